@@ -55,11 +55,14 @@ class KeywordScorer:
         kw = {lab: taxonomy.keywords_of(lab, self.with_sublabels) for lab in taxonomy.labels}
         kw_map = F.create_map(*[x for lab, words in kw.items()
                                 for x in (F.lit(lab), F.array(*[F.lit(w) for w in words]))])
-        toks = tokens_col(text_col)
         words = F.coalesce(F.try_element_at(kw_map, F.col(label_col)), F.array().cast("array<string>"))
-        hits = F.size(F.filter(toks, lambda t: F.array_contains(words, t)))
-        c, e = self.logits(hits, F.size(toks))
-        return pairs.withColumn("contradiction", c.cast("double")).withColumn("entailment", e)
+        pairs = pairs.withColumn("_toks", tokens_col(text_col)).withColumn("_words", words)
+        ntok = F.size("_toks")
+        flags = F.zip_with("_toks", F.array_repeat(F.col("_words"), ntok), lambda t, w: F.array_contains(w, t))
+        hits = F.size(F.filter(flags, lambda b: b))
+        c, e = self.logits(hits, ntok)
+        pairs = pairs.withColumn("contradiction", c.cast("double")).withColumn("entailment", e)
+        return pairs.drop("_toks", "_words")
 
 
 class ModelScorer:
@@ -151,7 +154,7 @@ class LabelSpace:
         if key in self.gid:
             return
         self.gid[key] = len(self.entries)
-        self.entries.append((tax, parent, label, pos, words))
+        self.entries.append((tax, parent, label, pos, list(dict.fromkeys(words))))
 
     def keyword_map(self) -> Column:
         by_word: dict[str, list[int]] = {}
@@ -163,18 +166,24 @@ class LabelSpace:
                                  F.array(*[F.array(*[F.lit(g) for g in by_word[k]]) for k in keys]))
 
     def add_scores(self, df: DataFrame, text_col: str) -> DataFrame:
-        """Add ``_scores``: array of every label's score, indexed by label id."""
+        """Add ``_scores``: array of every label's score, indexed by label id.
+
+        Heavy expressions (tokens, matched ids) are materialised as columns and
+        only passed *as arguments* to higher-order functions, never referenced
+        inside a lambda body, so the optimizer cannot inline them into a
+        per-label loop: each text is tokenised and looked up exactly once.
+        """
         kw_map = self.keyword_map()
         empty = F.array().cast("array<int>")
-        toks = tokens_col(text_col)
-        hit_ids = F.flatten(F.transform(toks, lambda t: F.coalesce(F.try_element_at(kw_map, t), empty)))
-        df = df.withColumn("_ntok", F.size(toks)).withColumn("_hit_ids", hit_ids)
         n = len(self.entries)
-        scores = F.transform(
-            F.sequence(F.lit(0), F.lit(n - 1)),
-            lambda g: self.scorer.score(F.size(F.filter(F.col("_hit_ids"), lambda x: x == g)), F.col("_ntok")),
-        )
-        return df.withColumn("_scores", scores).drop("_hit_ids", "_ntok")
+        df = df.withColumn("_toks", tokens_col(text_col))
+        df = (df.withColumn("_ntok", F.size("_toks"))
+              .withColumn("_hit_ids", F.flatten(F.transform(
+                  "_toks", lambda t: F.coalesce(F.try_element_at(kw_map, t), empty)))))
+        counts = F.aggregate("_hit_ids", F.array_repeat(F.lit(0), n),
+                             lambda acc, x: F.transform(acc, lambda v, i: F.when(i == x, v + 1).otherwise(v)))
+        scores = F.zip_with(counts, F.array_repeat(F.col("_ntok"), n), lambda c, m: self.scorer.score(c, m))
+        return df.withColumn("_scores", scores).drop("_toks", "_hit_ids", "_ntok")
 
     def _score_of(self, g) -> Column:
         return F.element_at(F.col("_scores"), g + 1)
@@ -256,3 +265,22 @@ def cascade(df: DataFrame, text_col: str, levels, flat=(), scorer: KeywordScorer
                  F.col(f"_f_{tax.name}.score").alias(f"{base}_SCORE")]
     keep = [c for c in df.columns]
     return out.select(*keep, *cols)
+
+
+def target_vs_other(df: DataFrame, text_col: str, taxonomy: Taxonomy, target: str,
+                    scorer: KeywordScorer | None = None) -> DataFrame:
+    """Score (target, 'other') per row and keep the target's own score.
+
+    Adds ``zs_topic`` (always the target) and ``zs_score``, whatever the
+    target's rank among the two labels.
+    """
+    space = LabelSpace([taxonomy], scorer or KeywordScorer())
+    out = space.add_scores(df, text_col)
+    g = space.gid[(taxonomy.name, None, target)]
+    return (out.withColumn("zs_topic", F.lit(target))
+            .withColumn("zs_score", space._score_of(F.lit(g))).drop("_scores"))
+
+
+def filter_score(df: DataFrame, threshold: float = 0.7, score_col: str = "zs_score") -> DataFrame:
+    """Rows whose score is strictly above the threshold."""
+    return df.where(F.col(score_col) > threshold)

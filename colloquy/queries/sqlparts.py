@@ -48,3 +48,56 @@ def keyword_scores(source: str, id_col: str, text_col: str, taxonomy: Taxonomy,
     LEFT JOIN {prefix}_hits h ON h.id = n.id AND h.label = l.label),
 {prefix}_top AS (SELECT id, label, score FROM {prefix}_sc
     QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, pos DESC) = 1)"""
+
+
+def sublist_rows(taxonomy: Taxonomy) -> tuple[str, str]:
+    kw, lab = [], []
+    for parent, subs in taxonomy.sublists.items():
+        for pos, s in enumerate(subs):
+            lab.append(f"({q(parent)}, {q(s)}, {pos})")
+            for w in dict.fromkeys(s.lower().split()):
+                kw.append(f"({q(parent)}, {q(s)}, {q(w)})")
+    return ", ".join(kw), ", ".join(lab)
+
+
+def sublist_scores(prefix: str, gain: float = 60.0, offset: float = 2.0, taxonomy: Taxonomy | None = None) -> str:
+    """CTE ``{prefix}_stop(id, label, score)``: best label of the winner's sublist.
+
+    Needs the CTEs of :func:`keyword_scores` with the same prefix.
+    """
+    kw, lab = sublist_rows(taxonomy)
+    if not lab:
+        return f"{prefix}_stop AS (SELECT NULL::BIGINT AS id, NULL::VARCHAR AS label, NULL::DOUBLE AS score WHERE false)"
+    return f"""
+{prefix}_skw(parent, label, tok) AS (VALUES {kw}),
+{prefix}_slab(parent, label, pos) AS (VALUES {lab}),
+{prefix}_shits AS (SELECT t.id, k.parent, k.label, count(*) AS h FROM {prefix}_toks t
+                   JOIN {prefix}_skw k ON t.tok = k.tok GROUP BY t.id, k.parent, k.label),
+{prefix}_ssc AS (SELECT w.id, s.label, s.pos,
+        1.0::DOUBLE / (1.0::DOUBLE + exp({offset}::DOUBLE - {gain}::DOUBLE * coalesce(h.h, 0)::DOUBLE
+                                         / greatest(n.n, 1)::DOUBLE)) AS score
+    FROM {prefix}_top w JOIN {prefix}_slab s ON s.parent = w.label JOIN {prefix}_n n ON n.id = w.id
+    LEFT JOIN {prefix}_shits h ON h.id = w.id AND h.parent = s.parent AND h.label = s.label),
+{prefix}_stop AS (SELECT id, label, score FROM {prefix}_ssc
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, pos DESC) = 1)"""
+
+
+def cascade_sql(source: str, id_col: str, text_col: str, levels, flat=(), keep: str = "", pre: str = "") -> str:
+    """Full wide annotation: per level topic/subtopic (+ scores), per flat list topic (+ score)."""
+    ctes, cols, joins = [], [], []
+    for i, tax in enumerate(levels, start=1):
+        p = f"l{i}"
+        ctes.append(keyword_scores(source, id_col, text_col, tax, prefix=p))
+        ctes.append(sublist_scores(p, taxonomy=tax))
+        joins.append(f"LEFT JOIN {p}_top ON {p}_top.id = s.{id_col} LEFT JOIN {p}_stop ON {p}_stop.id = s.{id_col}")
+        cols += [f"{p}_top.label AS TOPIC_IS_{i}", f"round({p}_top.score, 6) AS TOPIC_IS_SCORE_{i}",
+                 f"coalesce({p}_stop.label, {p}_top.label) AS SUBTOPIC_IS_{i}",
+                 f"round(coalesce({p}_stop.score, 0.0), 6) AS SUBTOPIC_IS_SCORE_{i}"]
+    for tax in flat:
+        p = f"f_{tax.name}"
+        base = f"TOPIC_{tax.name.upper()}_IS"
+        ctes.append(keyword_scores(source, id_col, text_col, tax, prefix=p))
+        joins.append(f"LEFT JOIN {p}_top ON {p}_top.id = s.{id_col}")
+        cols += [f"{p}_top.label AS {base}", f"round({p}_top.score, 6) AS {base}_SCORE"]
+    return ("WITH " + (pre + "," if pre else "") + ",".join(ctes) + f"\nSELECT {keep}s.{id_col}, " + ", ".join(cols)
+            + f" FROM {source} s " + " ".join(joins))
