@@ -142,8 +142,12 @@ def kmeans_sweep(points: DataFrame, group_cols: list[str], id_col: str, vec_col:
     """Cluster every group for every candidate k; returns (group..., k, id, cluster)."""
     ks = k_candidates(points, group_cols, k_max).drop("n")
     pts = points.select(*group_cols, id_col, as_double_array(vec_col).alias(vec_col))
-    exploded = pts.join(ks, on=group_cols, how="inner")
-    exploded = exploded.persist()
+    checkpoint_dir(points.sparkSession)
+    # The loop plans ~4 jobs per round; start it from a checkpointed input so
+    # every job plans a short lineage and a lost executor re-reads the file.
+    pts = pts.checkpoint(eager=True)
+    ks = ks.checkpoint(eager=True)
+    exploded = pts.join(ks, on=group_cols, how="inner").checkpoint(eager=True)
     centers = init_centers(pts, group_cols, id_col, vec_col, ks)
     final, _ = lloyd(exploded, centers, [*group_cols, "k"], vec_col, rounds)
     return final.select(*group_cols, "k", id_col, "cluster")
@@ -152,11 +156,12 @@ def kmeans_sweep(points: DataFrame, group_cols: list[str], id_col: str, vec_col:
 def kmeans_fixed_k(points: DataFrame, group_cols: list[str], id_col: str, vec_col: str, k_col: str,
                    rounds: int = 10) -> DataFrame:
     """Cluster every group with its own k (column ``k_col`` on the points)."""
+    checkpoint_dir(points.sparkSession)
     pts = points.select(*group_cols, id_col, F.col(k_col).alias("k"),
-                        as_double_array(vec_col).alias(vec_col))
+                        as_double_array(vec_col).alias(vec_col)).checkpoint(eager=True)
     ks = pts.select(*group_cols, "k").distinct()
     centers = init_centers(pts.drop("k"), group_cols, id_col, vec_col, ks)
-    final, _ = lloyd(pts.persist(), centers, [*group_cols, "k"], vec_col, rounds)
+    final, _ = lloyd(pts, centers, [*group_cols, "k"], vec_col, rounds)
     return final
 
 

@@ -13,6 +13,7 @@ from colloquy.functions.vectors import as_double_array, cosine
 from colloquy.operators import clustering as C
 from colloquy.operators import vectors as V
 from colloquy.operators.joins import join_small
+from colloquy.session import checkpoint_dir
 
 
 def most_frequent(df: DataFrame, group_cols: list[str], value_col: str, out: str = "main") -> DataFrame:
@@ -48,9 +49,10 @@ def answer_bag(qa: DataFrame, group_cols: list[str], question: str, answer: str,
     """
     extra = extra or []
     main = most_frequent(qa, group_cols, question, "_main").select(*group_cols, "_main")
-    main_vec = (qa.select(*group_cols, F.col(question).alias("_main"), F.col(vec_col).alias("_main_vec"))
-                .dropDuplicates([*group_cols, "_main"]))
-    mv = main.join(main_vec, on=[*group_cols, "_main"], how="inner")
+    # vector of the main question: any row carrying that text (same text, same vector)
+    hit = join_small(qa.select(*group_cols, question, vec_col), main, on=group_cols)
+    mv = (hit.where(F.col(question) == F.col("_main"))
+          .groupBy(*group_cols).agg(F.first("_main").alias("_main"), F.first(vec_col).alias("_main_vec")))
     j = join_small(qa, mv, on=group_cols)
     j = j.withColumn("similarity", cosine(vec_col, "_main_vec"))
     same = j.where(F.col(question) == F.col("_main")).withColumn("source", F.lit("main"))
@@ -77,7 +79,8 @@ def answer_count_per_group(docs: DataFrame, group_cols: list[str], id_col: str,
     emb = V.hash_embed(docs.select(*group_cols, id_col, text_col), text_col, dim, "vec").drop(text_col)
     pts = with_mean_row(emb, group_cols, id_col, "vec")
     pts = V.project(pts, "vec", dim, reduced, "vec").select(*group_cols, id_col, "vec", "is_mean")
-    pts = pts.persist()
+    checkpoint_dir(docs.sparkSession)
+    pts = pts.checkpoint(eager=True)
     a = C.kmeans_sweep(pts, group_cols, id_col, "vec", rounds=rounds)
     j = a.join(pts.select(*group_cols, id_col, "vec"), on=[*group_cols, id_col])
     keys = [*group_cols, "k"]
@@ -103,7 +106,9 @@ def typical_answers_per_group(bag: DataFrame, group_cols: list[str], id_col: str
     """
     emb = V.hash_embed(bag.select(*group_cols, id_col, answer), answer, dim, "vec")
     pts = with_mean_row(emb.drop(answer), group_cols, id_col, "vec")
-    pts = V.project(pts, "vec", dim, reduced, "vec").select(*group_cols, id_col, "vec", "is_mean").persist()
+    checkpoint_dir(bag.sparkSession)
+    pts = V.project(pts, "vec", dim, reduced, "vec").select(*group_cols, id_col, "vec", "is_mean")
+    pts = pts.checkpoint(eager=True)
     a = C.kmeans_sweep(pts, group_cols, id_col, "vec", rounds=rounds)
     j = a.join(pts.select(*group_cols, id_col, "vec"), on=[*group_cols, id_col])
     keys = [*group_cols, "k"]
