@@ -43,9 +43,15 @@ def euclid(a, b) -> Column:
 
 
 def normalize(a) -> Column:
-    """Unit-length copy; the zero vector stays zero."""
-    n = norm(a)
-    return F.transform(as_double_array(a), lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x / n))
+    """Unit-length copy; the zero vector stays zero.
+
+    The norm is handed to the lambda as an argument (``array_repeat``) so it
+    is computed once per row, not once per element.
+    """
+    arr = as_double_array(a)
+    n = norm(arr)
+    return F.zip_with(arr, F.array_repeat(n, F.size(arr)),
+                      lambda x, m: F.when(m == 0, F.lit(0.0)).otherwise(x / m))
 
 
 def entailment_score(contradiction, entailment) -> Column:

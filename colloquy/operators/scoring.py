@@ -157,13 +157,29 @@ class LabelSpace:
         self.entries.append((tax, parent, label, pos, list(dict.fromkeys(words))))
 
     def keyword_map(self) -> Column:
+        """Literal map: token length -> (keyword -> label ids).
+
+        Spark looks map keys up by a linear scan, so keywords are split by
+        length first: a token is compared with the few keywords of its own
+        length instead of all of them.
+        """
         by_word: dict[str, list[int]] = {}
         for g, (_, _, _, _, words) in enumerate(self.entries):
             for w in words:
                 by_word.setdefault(w, []).append(g)
-        keys = sorted(by_word)
-        return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]),
-                                 F.array(*[F.array(*[F.lit(g) for g in by_word[k]]) for k in keys]))
+        by_len: dict[int, list[str]] = {}
+        for w in sorted(by_word):
+            by_len.setdefault(len(w), []).append(w)
+        lens = sorted(by_len)
+        inner = [F.map_from_arrays(F.array(*[F.lit(w) for w in by_len[n]]),
+                                   F.array(*[F.array(*[F.lit(g) for g in by_word[w]]) for w in by_len[n]]))
+                 for n in lens]
+        return F.map_from_arrays(F.array(*[F.lit(n) for n in lens]), F.array(*inner))
+
+    def lookup(self, token: Column) -> Column:
+        """Label ids a token is evidence for (empty array when none)."""
+        inner = F.try_element_at(self.keyword_map(), F.length(token))
+        return F.coalesce(F.try_element_at(inner, token), F.array().cast("array<int>"))
 
     def add_scores(self, df: DataFrame, text_col: str) -> DataFrame:
         """Add ``_scores``: array of every label's score, indexed by label id.
@@ -173,13 +189,10 @@ class LabelSpace:
         inside a lambda body, so the optimizer cannot inline them into a
         per-label loop: each text is tokenised and looked up exactly once.
         """
-        kw_map = self.keyword_map()
-        empty = F.array().cast("array<int>")
         n = len(self.entries)
         df = df.withColumn("_toks", tokens_col(text_col))
         df = (df.withColumn("_ntok", F.size("_toks"))
-              .withColumn("_hit_ids", F.flatten(F.transform(
-                  "_toks", lambda t: F.coalesce(F.try_element_at(kw_map, t), empty)))))
+              .withColumn("_hit_ids", F.flatten(F.transform("_toks", self.lookup))))
         counts = F.aggregate("_hit_ids", F.array_repeat(F.lit(0), n),
                              lambda acc, x: F.transform(acc, lambda v, i: F.when(i == x, v + 1).otherwise(v)))
         scores = F.zip_with(counts, F.array_repeat(F.col("_ntok"), n), lambda c, m: self.scorer.score(c, m))
