@@ -132,6 +132,8 @@ def hash_embed(df: DataFrame, text_col: str, dim: int = 64, out: str = "vec") ->
 
     Buckets are computed in the JVM; only the int arrays cross to Python,
     where one vectorised ``bincount`` per Arrow batch builds the vectors.
+    Explode the result with ``posexplode_outer``: the plain generator makes
+    the optimizer add a size filter that re-runs the UDF.
     """
     return df.withColumn(out, _bincount_udf(dim)(token_buckets(text_col, dim)))
 

@@ -119,7 +119,9 @@ def hash_embed(spark, sf_dir):
     """Hashed bag-of-words vectors of all documents (64 buckets), non-zero entries."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     e = V.hash_embed(docs, "text", 64)
-    out = e.select("doc_id", F.posexplode("vec").alias("dim", "value")).where(F.col("value") != 0)
+    # *_outer: a plain posexplode makes the optimizer infer size(vec) > 0,
+    # which would evaluate the Python UDF a second time inside the filter.
+    out = e.select("doc_id", F.posexplode_outer("vec").alias("dim", "value")).where(F.col("value") != 0)
     return out.select("doc_id", "dim", rnd("value").alias("value"))
 
 
