@@ -41,10 +41,46 @@ def mean_long(df: DataFrame, group_cols: list[str], vec_col: str) -> DataFrame:
             .agg(F.avg("x").alias("value")))
 
 
+def exact_median(df: DataFrame, keys: list[str], value_col: str, accuracy: int = 1_000_000,
+                 out: str = "value") -> DataFrame:
+    """Exact median per key (mean of the two middle values), skew-safe.
+
+    ``F.median`` keeps every distinct value of a key in one buffer; here no
+    task ever holds more than a narrow band of a key's values:
+
+    1. one aggregate per key: n and two ``percentile_approx`` bounds at
+       0.5 -/+ 2/accuracy (mergeable sketches; rank error <= n/accuracy, and
+       exact while n < accuracy), which bracket both middle elements;
+    2. values are bucketed as "below", "above" or themselves (inside the band)
+       and counted per (key, bucket): the band holds O(n/accuracy) distinct
+       values, everything else collapses into two counters;
+    3. a running count over each key's few bucket rows finds the middle ranks.
+    """
+    x = F.col(value_col).cast("double")
+    base = df.select(*keys, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    d = 2.0 / accuracy
+    stats = base.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx("_x", [max(0.0, 0.5 - d), min(1.0, 0.5 + d)], accuracy).alias("_q"))
+    stats = stats.select(*keys, "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
+    j = join_small(base, stats, on=keys)
+    bucket = (F.when(F.col("_x") < F.col("_lo"), F.lit(float("-inf")))
+              .when(F.col("_x") > F.col("_hi"), F.lit(float("inf"))).otherwise(F.col("_x")))
+    counts = j.groupBy(*keys, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("_cum", F.sum("_c").over(w))
+    r1 = F.floor((F.col("_n") + 1) / 2)
+    r2 = F.floor(F.col("_n") / 2) + 1
+    agg = counts.groupBy(*keys).agg(F.min(F.when(F.col("_cum") >= r1, F.col("_b"))).alias("_m1"),
+                                    F.min(F.when(F.col("_cum") >= r2, F.col("_b"))).alias("_m2"))
+    return agg.select(*keys, ((F.col("_m1") + F.col("_m2")) / 2).alias(out))
+
+
 def median_long(df: DataFrame, group_cols: list[str], vec_col: str) -> DataFrame:
     """Element-wise exact median per group (mean of the two middle values)."""
-    return (explode_dims(df, group_cols, vec_col).groupBy(*group_cols, "dim")
-            .agg(F.median("x").alias("value")))
+    return exact_median(explode_dims(df, group_cols, vec_col), [*group_cols, "dim"], "x")
 
 
 def mean_vectors(df: DataFrame, group_cols: list[str], vec_col: str, out: str = "mean_vec") -> DataFrame:

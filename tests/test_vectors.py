@@ -58,3 +58,13 @@ def test_projection_matches_numpy(spark):
     out = {r.id: r.proj for r in V.project(_pts(spark), "vec", 2, 3).collect()}
     assert out[2] == pytest.approx(list(R @ np.array([3.0, 2.0])))
     assert abs(R[0][0]) == pytest.approx(1 / np.sqrt(3))
+
+
+def test_exact_median_band_path_matches_numpy(spark):
+    rng = np.random.default_rng(7)
+    vals = np.concatenate([rng.normal(size=4001), np.full(3000, 0.25)])  # heavy ties near the middle
+    rows = [("hot", float(v)) for v in vals] + [("even", 1.0), ("even", 4.0), ("even", 2.0), ("even", 10.0)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(7)
+    got = {r.k: r.value for r in V.exact_median(df, ["k"], "x", accuracy=100).collect()}
+    assert got["hot"] == np.median(vals)
+    assert got["even"] == 3.0
