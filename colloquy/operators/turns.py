@@ -15,8 +15,24 @@ from colloquy.functions.text import contains_literal, id_prefix, strip_one_leadi
 
 
 def turn_pairs(conv: DataFrame, conv_col: str = "conv_id", order_col: str = "turn",
-               text_col: str = "text", extra: tuple = ()) -> DataFrame:
-    """Row i with row i+1 of the same conversation; n-1 rows per conversation."""
+               text_col: str = "text", extra: tuple = (), method: str = "window") -> DataFrame:
+    """Row i with row i+1 of the same conversation; n-1 rows per conversation.
+
+    ``method="window"`` (default): ``lead`` over the conversation, one shuffle
+    by conversation; any turn numbering works. ``method="join"``: for
+    gap-free turn numbers, an equi-join on (conversation, turn + 1); it
+    shuffles twice but by (conversation, turn), so a conversation holding a
+    large share of all turns is spread over many tasks.
+    """
+    if method == "join":
+        cols = [text_col, *extra]
+        left = conv.select(conv_col, order_col, *cols)
+        right = conv.select(F.col(conv_col).alias("_c"), (F.col(order_col) - 1).alias("_t"),
+                            *[F.col(c).alias(f"next_{c}") for c in cols])
+        j = left.join(right, (left[conv_col] == right["_c"]) & (left[order_col] == right["_t"]), "inner")
+        return j.drop("_c", "_t")
+    if method != "window":
+        raise ValueError("method must be 'window' or 'join'")
     return _drop_last(conv, conv_col, order_col, text_col, extra)
 
 

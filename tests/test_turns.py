@@ -58,3 +58,11 @@ def test_first_seen(spark):
     out = {r.v: r.first_row for r in turns.first_seen(df, "v", "rid").collect()}
     assert out == {"a": 1, "b": 2, "c": 5}
     assert F is not None
+
+
+def test_join_method_equals_window_for_gap_free_turns(spark):
+    rows = [(c, t, f"t{c}-{t}") for c in range(5) for t in range(c + 1)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    a = sorted(map(tuple, turns.turn_pairs(conv).collect()))
+    b = sorted(map(tuple, turns.turn_pairs(conv, method="join").select("conv_id", "turn", "text", "next_text").collect()))
+    assert a == b and len(a) == sum(range(5))
