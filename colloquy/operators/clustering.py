@@ -85,39 +85,95 @@ def init_centers(points: DataFrame, group_cols: list[str], id_col: str, vec_col:
     return j.select(*group_cols, "k", F.slice("_firsts", 1, F.col("k")).alias("_centers"))
 
 
+def _key_schema(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def _nearest(X: np.ndarray, C: np.ndarray) -> np.ndarray:
+    """Index of the nearest centre (exact squared differences; first on ties)."""
+    d2 = ((X[:, None, :] - C[None, :, :]) ** 2).sum(-1)
+    return np.argmin(d2, axis=1)
+
+
+def _block_fn(keys: list[str], mode: str):
+    def fn(key, pts: pd.DataFrame, cen: pd.DataFrame) -> pd.DataFrame:
+        if pts.empty or cen.empty:
+            return pd.DataFrame({**{k: [] for k in keys}, **(
+                {"cluster": [], "_w": [], "_m": []} if mode == "partial" else {"_id": [], "cluster": []})})
+        cen = cen.sort_values("cluster")
+        C = np.stack(cen["center"].to_numpy())
+        X = np.stack(pts["_v"].to_numpy())
+        cl = cen["cluster"].to_numpy()
+        a = cl[_nearest(X, C)]
+        kv = {k: key[i] for i, k in enumerate(keys)}
+        if mode == "assign":
+            return pd.DataFrame({**{k: [v] * len(a) for k, v in kv.items()}, "_id": pts["_id"].to_numpy(),
+                                 "cluster": a})
+        labels, inv = np.unique(a, return_inverse=True)
+        w = np.bincount(inv).astype(np.float64)
+        sums = np.zeros((len(labels), X.shape[1]))
+        np.add.at(sums, inv, X)
+        means = sums / w[:, None]
+        return pd.DataFrame({**{k: [v] * len(labels) for k, v in kv.items()}, "cluster": labels, "_w": w,
+                             "_m": list(means)})
+    return fn
+
+
 def lloyd(points: DataFrame, centers: DataFrame, keys: list[str], vec_col: str = "vec",
-          rounds: int = 10, checkpoint_every: int = 3) -> tuple[DataFrame, DataFrame]:
+          rounds: int = 10, checkpoint_every: int = 3, id_col: str | None = None,
+          block: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """Fixed number of Lloyd rounds for all keys at once.
 
-    Per round: assign (centres joined per key, broadcast under a counted
-    bound), new means per (key, cluster) with Spark ML's ``Summarizer``
-    (partial aggregation, O(dim) buffer, so a hot key is summed by all tasks),
-    then old and new centres are merged inside the per-key row; a cluster
-    that lost all members keeps its previous centre. Centres are checkpointed
-    every ``checkpoint_every`` rounds. Returns (points with ``cluster``, centres).
+    Points are hash-partitioned once by (key, bucket) and checkpointed; the
+    checkpoint keeps that partitioning, so each round's co-group moves only
+    the small centre table (replicated per bucket). Inside a (key, bucket)
+    block numpy assigns points to the nearest centre and emits per-cluster
+    partial means; ``Summarizer`` combines them with their weights. A key
+    larger than ``block`` points is split into ceil(n / block) buckets, so a
+    hot group is spread over many tasks. A cluster that lost all members
+    keeps its centre. Returns (keys..., id, cluster) and the final centres.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
     spark = points.sparkSession
     checkpoint_dir(spark)
+    id_col = id_col or [c for c in points.columns if c not in keys and c != vec_col][0]
     n_keys = centers.count()
+    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select(*keys, F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block))).cast("int").alias("_s"))
+    sizes = sizes.checkpoint(eager=True)
+    pts = join_small(points.select(*keys, F.col(id_col).alias("_id"), as_double_array(vec_col).alias("_v")),
+                     sizes, on=keys, small_rows=n_keys)
+    pts = pts.withColumn("_bk", F.pmod(F.xxhash64("_id"), F.col("_s")).cast("int")).drop("_s")
+    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pts = pts.repartition(nparts, *keys, "_bk").checkpoint(eager=True)
+    ks = _key_schema(points, keys)
     kept: list[DataFrame] = []
-    pts = points.select(*keys, *[c for c in points.columns if c not in keys])
+
+    ckeys = [f"_c_{k}" for k in keys]
+
+    def centres_per_bucket(cs):
+        # key columns renamed: both co-group sides descend from the points
+        j = join_small(cs, sizes, on=keys, small_rows=n_keys)
+        return j.select(*[F.col(k).alias(c) for k, c in zip(keys, ckeys)],
+                        F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_c_bk"), F.inline("_centers"))
+
     for r in range(rounds):
-        assigned = assign(pts, centers, keys, vec_col, n_keys=n_keys)
-        means = (assigned.withColumn("_vv", array_to_vector(vec_col)).groupBy(*keys, "cluster")
-                 .agg(Summarizer.mean(F.col("_vv")).alias("_m")))
+        cen = centres_per_bucket(centers)
+        partial = (pts.groupBy(*keys, "_bk").cogroup(cen.groupBy(*ckeys, "_c_bk"))
+                   .applyInPandas(_block_fn(keys, "partial"), f"{ks}, cluster int, _w double, _m array<double>"))
+        means = (partial.withColumn("_vv", array_to_vector("_m")).groupBy(*keys, "cluster")
+                 .agg(Summarizer.mean(F.col("_vv"), F.col("_w")).alias("_mean")))
         new = means.groupBy(*keys).agg(F.map_from_entries(F.collect_list(
-            F.struct(F.col("cluster"), vector_to_array("_m").alias("m")))).alias("_new"))
+            F.struct(F.col("cluster"), vector_to_array("_mean").alias("m")))).alias("_new"))
         merged = join_small(centers, new, on=keys, how="left", small_rows=n_keys)
         centers = merged.select(*keys, F.transform("_centers", lambda c: F.struct(
             c["cluster"].alias("cluster"),
             F.coalesce(F.try_element_at(F.col("_new"), c["cluster"]), c["center"]).alias("center"))
         ).alias("_centers"))
-        # The centres feed two branches of the next round; materialise them so
-        # no round is recomputed, and cut the lineage every few rounds.
-        prev = centers
+        # Materialise the small centre table each round (it feeds the next
+        # round twice) and cut its lineage every few rounds.
         if checkpoint_every and (r + 1) % checkpoint_every == 0:
             centers = centers.checkpoint(eager=True)
         else:
@@ -126,8 +182,10 @@ def lloyd(points: DataFrame, centers: DataFrame, keys: list[str], vec_col: str =
         kept.append(centers)
         if len(kept) > 2:
             kept.pop(0).unpersist()
-        del prev
-    return assign(pts, centers, keys, vec_col, n_keys=n_keys), centers
+    cen = centres_per_bucket(centers)
+    assigned = (pts.groupBy(*keys, "_bk").cogroup(cen.groupBy(*ckeys, "_c_bk"))
+                .applyInPandas(_block_fn(keys, "assign"), f"{ks}, _id long, cluster int"))
+    return assigned.withColumnRenamed("_id", id_col), centers
 
 
 def k_candidates(points: DataFrame, group_cols: list[str], k_max: int = MAX_K) -> DataFrame:
@@ -147,9 +205,9 @@ def kmeans_sweep(points: DataFrame, group_cols: list[str], id_col: str, vec_col:
     # every job plans a short lineage and a lost executor re-reads the file.
     pts = pts.checkpoint(eager=True)
     ks = ks.checkpoint(eager=True)
-    exploded = pts.join(ks, on=group_cols, how="inner").checkpoint(eager=True)
+    exploded = pts.join(ks, on=group_cols, how="inner")
     centers = init_centers(pts, group_cols, id_col, vec_col, ks)
-    final, _ = lloyd(exploded, centers, [*group_cols, "k"], vec_col, rounds)
+    final, _ = lloyd(exploded, centers, [*group_cols, "k"], vec_col, rounds, id_col=id_col)
     return final.select(*group_cols, "k", id_col, "cluster")
 
 
@@ -161,8 +219,8 @@ def kmeans_fixed_k(points: DataFrame, group_cols: list[str], id_col: str, vec_co
                         as_double_array(vec_col).alias(vec_col)).checkpoint(eager=True)
     ks = pts.select(*group_cols, "k").distinct()
     centers = init_centers(pts.drop("k"), group_cols, id_col, vec_col, ks)
-    final, _ = lloyd(pts, centers, [*group_cols, "k"], vec_col, rounds)
-    return final
+    final, _ = lloyd(pts, centers, [*group_cols, "k"], vec_col, rounds, id_col=id_col)
+    return final.join(points.select(*group_cols, id_col, vec_col), on=[*group_cols, id_col])
 
 
 # ---------------------------------------------------------------------------
