@@ -95,8 +95,9 @@ def observed_agreement(ratings: DataFrame, unit_cols: list[str], annotators: lis
 
 def item_positions(ratings: DataFrame, tab_col: str, annotator_col: str, order_col: str) -> DataFrame:
     """Reference-compatible item text 't_{tab}_{pos}': position among the rows one
-    annotator rated in a sheet (kept as an option; the default key is the row id)."""
-    w = Window.partitionBy(tab_col, annotator_col).orderBy(order_col)
-    pos = F.row_number().over(w) - 1
-    return ratings.withColumn("pos", pos).withColumn(
+    annotator rated in a sheet (kept as an option; the default key is the row id).
+    Positions come from the range-partitioned index, not a per-sheet window."""
+    from colloquy.operators.positions import positional_index
+
+    return positional_index(ratings, [tab_col, annotator_col], [order_col], "pos").withColumn(
         "item_text", F.concat_ws("_", F.lit("t"), F.col(tab_col).cast("string"), F.col("pos").cast("string")))

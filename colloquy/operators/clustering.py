@@ -381,9 +381,10 @@ def typical_members(assigned: DataFrame, group_cols: list[str], id_col: str, vec
 
 
 def positional_ids(df: DataFrame, group_cols: list[str], order_col: str, out: str = "pos") -> DataFrame:
-    """0-based position of each row within its group, by ``order_col``."""
-    w = Window.partitionBy(*group_cols).orderBy(order_col)
-    return df.withColumn(out, F.row_number().over(w) - 1)
+    """0-based position of each row within its group, by ``order_col`` (skew-safe)."""
+    from colloquy.operators.positions import positional_index
+
+    return positional_index(df, group_cols, [order_col], out)
 
 
 EMPTY = T.StructType([])
