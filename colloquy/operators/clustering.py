@@ -388,3 +388,107 @@ def positional_ids(df: DataFrame, group_cols: list[str], order_col: str, out: st
 
 
 EMPTY = T.StructType([])
+
+
+# ---------------------------------------------------------------------------
+# dominant cluster: connected components of the eps-neighbour graph
+# ---------------------------------------------------------------------------
+
+def _min_label_block(eps: float):
+    big = np.iinfo(np.int64).max
+
+    def fn(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"_g": [], "_id": [], "_cand": []})
+        L = np.stack(left["_v"].to_numpy())
+        R = np.stack(right["_rv"].to_numpy())
+        d2 = (L * L).sum(1)[:, None] + (R * R).sum(1)[None, :] - 2.0 * (L @ R.T)
+        near = d2 <= eps * eps
+        same = left["_id"].to_numpy()[:, None] == right["_rid"].to_numpy()[None, :]
+        near |= same
+        rl = right["_rl"].to_numpy().astype(np.int64)
+        cand = np.where(near, rl[None, :], big).min(axis=1)
+        return pd.DataFrame({"_g": left["_g"].to_numpy(), "_id": left["_id"].to_numpy(), "_cand": cand})
+    return fn
+
+
+def eps_components(df: DataFrame, group_cols: list[str], id_col: str, vec_col: str, eps: float,
+                   tile: int = 1024) -> DataFrame:
+    """Connected components of the graph 'Euclidean distance <= eps' per group.
+
+    Exact: labels start as the point ids and every round each point takes the
+    smallest label within eps (computed in co-grouped tiles, never emitting
+    point pairs), until no label changes. Labels are checkpointed each round.
+    Returns (group..., id, component) with component = smallest id in it.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    keyed = df.select(*group_cols, F.col(id_col).cast("long").alias("_id"), as_double_array(vec_col).alias("_v"))
+    keyed = keyed.withColumn("_g", F.xxhash64(*[F.col(c) for c in group_cols]))
+    sizes = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_m", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(tile)).cast("int")))
+    pts = join_small(keyed, sizes.select("_g", "_m"), on=["_g"])
+    pts = pts.withColumn("_tile", F.pmod(F.xxhash64("_id"), F.col("_m")).cast("int")).checkpoint(eager=True)
+    left = pts.select("_g", F.col("_tile").alias("_a"), F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_b"),
+                      "_id", "_v")
+    labels = pts.select("_g", "_id", F.col("_id").alias("_l")).checkpoint(eager=True)
+    fn = _min_label_block(eps)
+    while True:
+        rl = pts.join(labels, on=["_g", "_id"])
+        right = rl.select(F.col("_g").alias("_rg"), F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_ra"),
+                          F.col("_tile").alias("_rb"), F.col("_id").alias("_rid"), F.col("_v").alias("_rv"),
+                          F.col("_l").alias("_rl"))
+        cand = (left.groupBy("_g", "_a", "_b").cogroup(right.groupBy("_rg", "_ra", "_rb"))
+                .applyInPandas(fn, "_g long, _id long, _cand long"))
+        best = cand.groupBy("_g", "_id").agg(F.min("_cand").alias("_c"))
+        new = labels.join(best, on=["_g", "_id"]).select(
+            "_g", "_id", F.least("_l", "_c").alias("_l"), (F.col("_c") < F.col("_l")).alias("_changed"))
+        new = new.checkpoint(eager=True)
+        changed = new.where("_changed").count()
+        labels = new.drop("_changed")
+        if changed == 0:
+            break
+    out = keyed.join(labels, on=["_g", "_id"]).select(*group_cols, F.col("_id").alias(id_col),
+                                                       F.col("_l").alias("component"))
+    return out
+
+
+def dominant_clusters(df: DataFrame, group_cols: list[str], id_col: str, vec_col: str, eps: float,
+                      tile: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """Density clusters with a minimum size of half the group (at most two).
+
+    Components of the eps-graph with at least max(2, n // 2) points are
+    clusters (numbered 1.. by size, then smallest id); the rest is noise (0).
+    Returns per-point rows (cluster, probability = 1 - d / d_max to the
+    cluster centroid; 0 for noise) and per-group rows (n, n_clusters,
+    dominant_share, silhouette over the labels with noise as one label).
+    """
+    comp = eps_components(df, group_cols, id_col, vec_col, eps, tile)
+    n = comp.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"))
+    sizes = comp.groupBy(*group_cols, "component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = join_small(sizes, n, on=group_cols)
+    big = sizes.where(F.col("size") >= F.greatest(F.lit(2), F.floor(F.col("n") / 2)))
+    w = Window.partitionBy(*group_cols).orderBy(F.col("size").desc(), F.col("component"))
+    big = big.withColumn("cluster", F.row_number().over(w))  # at most two rows per group
+    pts = comp.join(big.select(*group_cols, "component", "cluster"), on=[*group_cols, "component"], how="left")
+    pts = pts.withColumn("cluster", F.coalesce("cluster", F.lit(0)))
+    pts = pts.join(df.select(*group_cols, id_col, as_double_array(vec_col).alias("_v")), on=[*group_cols, id_col])
+    cen = V.mean_vectors(pts.where(F.col("cluster") > 0), [*group_cols, "cluster"], "_v", "_c")
+    pd_ = pts.join(cen, on=[*group_cols, "cluster"], how="left").withColumn(
+        "_d", F.when(F.col("_c").isNull(), F.lit(None).cast("double")).otherwise(F.sqrt(sq_dist("_v", "_c"))))
+    wmax = Window.partitionBy(*group_cols, "cluster")
+    members = pd_.withColumn("probability", F.when(F.col("cluster") == 0, F.lit(0.0)).otherwise(
+        F.when(F.max("_d").over(wmax) == 0, F.lit(1.0)).otherwise(1 - F.col("_d") / F.max("_d").over(wmax))))
+    members = members.select(*group_cols, id_col, "cluster", "probability", "_v")
+    labels_per_group = members.groupBy(*group_cols).agg(F.countDistinct("cluster").alias("_nl"),
+                                                        F.count(F.lit(1)).alias("_np"))
+    # silhouette is defined for 2 <= number of labels <= n - 1
+    sil_in = members.join(labels_per_group, on=group_cols).where(
+        (F.col("_nl") >= 2) & (F.col("_nl") <= F.col("_np") - 1))
+    sil = silhouette(silhouette_samples_euclid(sil_in, group_cols, id_col, "_v", "cluster", tile), group_cols)
+    summary = (big.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_clusters"), F.max("size").alias("_top")))
+    summary = n.join(summary, on=group_cols, how="left").join(sil, on=group_cols, how="left")
+    summary = summary.select(*group_cols, "n", F.coalesce("n_clusters", F.lit(0)).alias("n_clusters"),
+                             F.coalesce(F.col("_top") / F.col("n"), F.lit(0.0)).alias("dominant_share"),
+                             "silhouette")
+    return members.drop("_v"), summary

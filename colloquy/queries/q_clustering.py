@@ -181,6 +181,15 @@ def kmeans_sweep(spark, sf_dir):
     return C.silhouette(s, ["label", "k"]).select("label", "k", rnd("silhouette").alias("silhouette"))
 
 
+@query("dominant_cluster")
+def dominant_cluster(spark, sf_dir):
+    """Per label group: density clusters of at least half the group (eps = 1.25),
+    their count, the dominant share and the silhouette (rows-only check)."""
+    _, summary = C.dominant_clusters(_emb(spark, sf_dir), ["label"], "vec_id", "vec", eps=1.25)
+    return summary.select("label", "n", F.col("n_clusters").cast("int").alias("n_clusters"),
+                          rnd("dominant_share").alias("dominant_share"), rnd("silhouette").alias("silhouette"))
+
+
 @query("group_answer_count")
 def group_answer_count(spark, sf_dir):
     """Distinct answers per (chatbot = source, group = lang) of documents: hashed

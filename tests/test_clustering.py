@@ -102,3 +102,42 @@ def test_typical_members_drop_mean_row(spark):
     out = C.typical_members(df, ["grp"], "id", "vec", flag_col="is_mean").collect()
     assert [(r.cluster, r.medoid_id) for r in out] == [(0, 2)]
     assert F is not None
+
+
+def _components_brute(X, ids, eps):
+    parent = list(range(len(ids)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    for i in range(len(ids)):
+        for j in range(i + 1, len(ids)):
+            if D[i, j] <= eps:
+                parent[find(i)] = find(j)
+    comp = {}
+    for i in range(len(ids)):
+        comp.setdefault(find(i), []).append(ids[i])
+    return {i: min(members) for members in comp.values() for i in members}
+
+
+def test_eps_components_exact_across_tiles(spark):
+    rng = np.random.default_rng(5)
+    # a chain that needs several propagation rounds, plus blobs and outliers
+    chain = np.array([[i * 0.9, 0.0] for i in range(12)])
+    blob = rng.normal(size=(30, 2)) * 0.3 + np.array([30.0, 30.0])
+    far = np.array([[100.0, -100.0], [-50.0, 80.0]])
+    X = np.vstack([chain, blob, far])
+    ids = list(range(1000, 1000 + len(X)))
+    order = rng.permutation(len(X))
+    rows = [("g", ids[i], [float(v) for v in X[i]]) for i in order]
+    df = spark.createDataFrame(rows, "grp string, id long, vec array<double>")
+    got = {r.id: r.component for r in C.eps_components(df, ["grp"], "id", "vec", eps=1.0, tile=8).collect()}
+    assert got == _components_brute(X, ids, 1.0)
+    members, summary = C.dominant_clusters(df, ["grp"], "id", "vec", eps=1.0, tile=8)
+    s = summary.first()
+    assert s.n == 44 and s.n_clusters == 1 and s.dominant_share == 30 / 44
+    m = {r.id: r.cluster for r in members.collect()}
+    assert sum(1 for v in m.values() if v == 1) == 30 and all(0.0 <= r.probability <= 1.0 for r in members.collect())
