@@ -41,9 +41,22 @@ def _load_groups():
     )
 
 
+def _shipped(fn):
+    from functools import wraps
+
+    from colloquy.session import ship_package
+
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+    return run
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Registered queries; each first ships the package to the executors."""
     _load_groups()
-    return dict(QUERIES)
+    return {name: _shipped(fn) for name, fn in QUERIES.items()}
 
 
 def all_oracles() -> dict[str, str]:

@@ -121,7 +121,7 @@ def _block_fn(keys: list[str], mode: str):
 
 def lloyd(points: DataFrame, centers: DataFrame, keys: list[str], vec_col: str = "vec",
           rounds: int = 10, checkpoint_every: int = 3, id_col: str | None = None,
-          block: int = 20_000) -> tuple[DataFrame, DataFrame]:
+          block: int = 20_000, rows_per_part: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """Fixed number of Lloyd rounds for all keys at once.
 
     Points are hash-partitioned once by (key, bucket) and checkpointed; the
@@ -146,8 +146,16 @@ def lloyd(points: DataFrame, centers: DataFrame, keys: list[str], vec_col: str =
     pts = join_small(points.select(*keys, F.col(id_col).alias("_id"), as_double_array(vec_col).alias("_v")),
                      sizes, on=keys, small_rows=n_keys)
     pts = pts.withColumn("_bk", F.pmod(F.xxhash64("_id"), F.col("_s")).cast("int")).drop("_s")
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pts = pts.repartition(nparts, *keys, "_bk").checkpoint(eager=True)
+    # Lineage is cut by a reliable checkpoint; the co-partitioned copy is then
+    # cached (a cached plan keeps its hash partitioning, a checkpoint does not),
+    # so every round's co-group reuses it and only shuffles the centre table.
+    # Spark reuses an existing partitioning only when it has at least
+    # spark.sql.shuffle.partitions partitions, hence the lower bound.
+    pts = pts.checkpoint(eager=True)
+    total = pts.count()
+    nparts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_per_part))
+    pts = pts.repartition(nparts, *keys, "_bk").persist()
+    pts.count()
     ks = _key_schema(points, keys)
     kept: list[DataFrame] = []
 

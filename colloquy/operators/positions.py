@@ -50,7 +50,8 @@ def positional_index(df: DataFrame, partition_cols: list[str], order_cols: list[
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # about a million rows per range partition unless told otherwise
+    n = num_partitions or max(1, -(-df.count() // 1_000_000))
     keys = list(partition_cols)
     srt = (df.repartitionByRange(n, *keys, *order_cols).sortWithinPartitions(*keys, *order_cols)
            .withColumn("_pid", F.spark_partition_id())
