@@ -16,7 +16,7 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
                small_rows: int | None = None) -> DataFrame:
     """Join ``big`` with a side that is usually small (per-group summaries).
 
-    The small side is counted first. Up to ``max_rows`` it is broadcast, so the
+    The small side is materialised and counted first. Up to ``max_rows`` it is broadcast, so the
     big side is never shuffled. Beyond that it is joined by a shuffle on the
     keys plus a salt: every big row draws one of ``salt`` buckets from a hash of
     the row, and the small side is replicated once per bucket, so one hot key
@@ -24,7 +24,13 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
-    n = small.count() if small_rows is None else small_rows
+    if small_rows is None:
+        # materialise the small side while counting it, so the join reuses it
+        # instead of recomputing its upstream (usually an aggregate of big data)
+        small = small.persist()
+        n = small.count()
+    else:
+        n = small_rows
     if n <= max_rows:
         return big.join(F.broadcast(small), on=on, how=how)
     bucket = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salt))
