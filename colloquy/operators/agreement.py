@@ -20,6 +20,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def ratings_as_int(df: DataFrame, value_col: str = "value") -> DataFrame:
+    """Annotation values as integers (``try_cast``: unparsable -> null, then dropped)."""
+    return (df.withColumn(value_col, F.expr(f"try_cast(`{value_col}` AS INT)"))
+            .where(F.col(value_col).isNotNull()))
+
+
+def wide_to_long(sheet: DataFrame, id_col: str, annotators: list[str], tab: str | None = None) -> DataFrame:
+    """One column per annotator -> long (tab, item_id, annotator, value); missing ratings dropped."""
+    cols = [F.struct(F.lit(a).alias("annotator"), F.col(f"`{a}`").cast("string").alias("value")) for a in annotators]
+    out = sheet.select(F.lit(tab).alias("tab"), F.col(id_col).alias("item_id"), F.inline(F.array(*cols)))
+    return ratings_as_int(out.where(F.col("value").isNotNull()))
+
+
 def _pair_sum(m, q, s1, s2, level):
     if level == "nominal":
         return m * m - q

@@ -91,3 +91,9 @@ def preview(df: DataFrame, order_by: list[str], n: int = 5) -> DataFrame:
 def row_range(df: DataFrame, row_id: str, lo: int = 0, hi: int = 1000) -> DataFrame:
     """Rows whose id lies in [lo, hi], both ends inclusive (label-based slice)."""
     return df.where(F.col(row_id).between(lo, hi))
+
+
+def lists_to_rows(df: DataFrame, array_cols: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Parallel arrays (one element per item) -> one row per position."""
+    keep = keep or []
+    return df.select(*keep, F.inline(F.arrays_zip(*[F.col(c) for c in array_cols])))

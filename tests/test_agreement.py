@@ -48,3 +48,10 @@ def test_observed_agreement(spark):
     out = {x.pair: x.ao for x in A.observed_agreement(r, ["item_id"], ["A", "B", "C"]).collect()}
     assert out["A|B"] == 0.5 and out["A|C"] == 1.0 and out["B|C"] is None
     assert out["mean"] == pytest.approx(0.75)
+
+
+def test_wide_sheet_to_long_int_ratings(spark):
+    sheet = spark.createDataFrame([(1, "3", None), (2, "x", "7"), (None, "1", "1")], "Id int, A string, B string")
+    long = A.wide_to_long(sheet.where("Id IS NOT NULL"), "Id", ["A", "B"], tab="bot")
+    got = sorted((r.item_id, r.annotator, r.value) for r in long.collect())
+    assert got == [(1, "A", 3), (2, "B", 7)]

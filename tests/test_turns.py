@@ -66,3 +66,14 @@ def test_join_method_equals_window_for_gap_free_turns(spark):
     a = sorted(map(tuple, turns.turn_pairs(conv).collect()))
     b = sorted(map(tuple, turns.turn_pairs(conv, method="join").select("conv_id", "turn", "text", "next_text").collect()))
     assert a == b and len(a) == sum(range(5))
+
+
+def test_parse_labels_and_lists_to_rows(spark):
+    from colloquy.functions.text import parse_labels
+    from colloquy.sources.io import lists_to_rows
+
+    df = spark.createDataFrame([("sports, politics ,movies",)], "l string")
+    assert df.select(parse_labels("l").alias("a")).first().a == ["sports", "politics", "movies"]
+    arr = spark.createDataFrame([(1, ["a", "b"], [0.5, 0.7])], "id int, answers array<string>, sim array<double>")
+    rows = [tuple(r) for r in lists_to_rows(arr, ["answers", "sim"], keep=["id"]).collect()]
+    assert rows == [(1, "a", 0.5), (1, "b", 0.7)]
