@@ -33,8 +33,11 @@ def id_prefix(col, suffix_len: int = 4) -> Column:
 
 
 def contains_literal(col, needle: str) -> Column:
-    """Literal substring test (the question filter uses '?')."""
-    return F.instr(_c(col), needle) > 0
+    """Literal substring test (the question filter uses '?').
+
+    ``Column.contains`` is pushed to the Parquet scan as ``StringContains``.
+    """
+    return _c(col).contains(needle)
 
 
 def question_template(kind: str, word) -> Column:
