@@ -49,17 +49,17 @@ def answer_bag(qa: DataFrame, group_cols: list[str], question: str, answer: str,
     """
     extra = extra or []
     main = most_frequent(qa, group_cols, question, "_main").select(*group_cols, "_main")
-    # vector of the main question: any row carrying that text (same text, same vector)
-    hit = join_small(qa.select(*group_cols, question, vec_col), main, on=group_cols)
-    mv = (hit.where(F.col(question) == F.col("_main"))
-          .groupBy(*group_cols).agg(F.first("_main").alias("_main"), F.first(vec_col).alias("_main_vec")))
-    j = join_small(qa, mv, on=group_cols)
+    # qa rows (vectors included) are joined to their group's main question once
+    # and materialised: they feed both the main-vector lookup and the bag.
+    j = join_small(qa, main, on=group_cols).persist()
+    mv = (j.where(F.col(question) == F.col("_main"))
+          .groupBy(*group_cols).agg(F.first(vec_col).alias("_main_vec")))
+    j = join_small(j, mv, on=group_cols)
     j = j.withColumn("similarity", cosine(vec_col, "_main_vec"))
-    same = j.where(F.col(question) == F.col("_main")).withColumn("source", F.lit("main"))
-    near = j.where((F.col(question) != F.col("_main")) & (F.col("similarity") > threshold)) \
-        .withColumn("source", F.lit("similar"))
-    cols = [*group_cols, question, answer, *extra, "source", "similarity"]
-    return same.select(*cols).unionByName(near.select(*cols))
+    source = (F.when(F.col(question) == F.col("_main"), F.lit("main"))
+              .when(F.col("similarity") > threshold, F.lit("similar")))
+    out = j.withColumn("source", source).where(F.col("source").isNotNull())
+    return out.select(*group_cols, question, answer, *extra, "source", "similarity")
 
 
 def with_mean_row(points: DataFrame, group_cols: list[str], id_col: str, vec_col: str) -> DataFrame:
