@@ -146,16 +146,18 @@ def lloyd(points: DataFrame, centers: DataFrame, keys: list[str], vec_col: str =
     pts = join_small(points.select(*keys, F.col(id_col).alias("_id"), as_double_array(vec_col).alias("_v")),
                      sizes, on=keys, small_rows=n_keys)
     pts = pts.withColumn("_bk", F.pmod(F.xxhash64("_id"), F.col("_s")).cast("int")).drop("_s")
-    # Lineage is cut by a reliable checkpoint; the co-partitioned copy is then
-    # cached (a cached plan keeps its hash partitioning, a checkpoint does not),
-    # so every round's co-group reuses it and only shuffles the centre table.
-    # Spark reuses an existing partitioning only when it has at least
-    # spark.sql.shuffle.partitions partitions, hence the lower bound.
+    # Lineage is cut by a reliable checkpoint. When the points fill at least
+    # spark.sql.shuffle.partitions partitions (Spark reuses an existing
+    # partitioning only then), a co-partitioned copy is cached -- a cached plan
+    # keeps its hash partitioning, a checkpoint does not -- so every round's
+    # co-group moves only the centre table. Smaller inputs are re-shuffled per
+    # round instead, which is cheap and lets AQE coalesce them into few tasks.
     pts = pts.checkpoint(eager=True)
     total = pts.count()
-    nparts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_per_part))
-    pts = pts.repartition(nparts, *keys, "_bk").persist()
-    pts.count()
+    nparts = -(-total // rows_per_part)
+    if nparts >= int(spark.conf.get("spark.sql.shuffle.partitions")):
+        pts = pts.repartition(nparts, *keys, "_bk").persist()
+        pts.count()
     ks = _key_schema(points, keys)
     kept: list[DataFrame] = []
 
