@@ -163,39 +163,39 @@ def lloyd(points: DataFrame, centers: DataFrame, keys: list[str], vec_col: str =
 
     ckeys = [f"_c_{k}" for k in keys]
 
-    def centres_per_bucket(cs):
+    def centres_per_bucket(cl):
         # key columns renamed: both co-group sides descend from the points
-        j = join_small(cs, sizes, on=keys, small_rows=n_keys)
+        j = join_small(cl, sizes, on=keys, small_rows=n_keys)
         return j.select(*[F.col(k).alias(c) for k, c in zip(keys, ckeys)],
-                        F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_c_bk"), F.inline("_centers"))
+                        F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_c_bk"), "cluster", "center")
 
+    # centres in long form (key, cluster, centre): the new means are merged by
+    # a broadcast join on (key, cluster), no per-key regrouping per round
+    cl = centers.select(*keys, F.inline("_centers")).persist()
+    n_centres = cl.count()
     for r in range(rounds):
-        cen = centres_per_bucket(centers)
+        cen = centres_per_bucket(cl)
         partial = (pts.groupBy(*keys, "_bk").cogroup(cen.groupBy(*ckeys, "_c_bk"))
                    .applyInPandas(_block_fn(keys, "partial"), f"{ks}, cluster int, _w double, _m array<double>"))
         means = (partial.withColumn("_vv", array_to_vector("_m")).groupBy(*keys, "cluster")
                  .agg(Summarizer.mean(F.col("_vv"), F.col("_w")).alias("_mean")))
-        new = means.groupBy(*keys).agg(F.map_from_entries(F.collect_list(
-            F.struct(F.col("cluster"), vector_to_array("_mean").alias("m")))).alias("_new"))
-        merged = join_small(centers, new, on=keys, how="left", small_rows=n_keys)
-        centers = merged.select(*keys, F.transform("_centers", lambda c: F.struct(
-            c["cluster"].alias("cluster"),
-            F.coalesce(F.try_element_at(F.col("_new"), c["cluster"]), c["center"]).alias("center"))
-        ).alias("_centers"))
+        new = means.select(*keys, "cluster", vector_to_array("_mean").alias("_new"))
+        merged = join_small(cl, new, on=[*keys, "cluster"], how="left", small_rows=n_centres)
+        cl = merged.select(*keys, "cluster", F.coalesce("_new", "center").alias("center"))
         # Materialise the small centre table each round (it feeds the next
         # round twice) and cut its lineage every few rounds.
         if checkpoint_every and (r + 1) % checkpoint_every == 0:
-            centers = centers.checkpoint(eager=True)
+            cl = cl.checkpoint(eager=True)
         else:
-            centers = centers.persist()
-            centers.count()
-        kept.append(centers)
+            cl = cl.persist()
+            cl.count()
+        kept.append(cl)
         if len(kept) > 2:
             kept.pop(0).unpersist()
-    cen = centres_per_bucket(centers)
+    cen = centres_per_bucket(cl)
     assigned = (pts.groupBy(*keys, "_bk").cogroup(cen.groupBy(*ckeys, "_c_bk"))
                 .applyInPandas(_block_fn(keys, "assign"), f"{ks}, _id long, cluster int"))
-    return assigned.withColumnRenamed("_id", id_col), centers
+    return assigned.withColumnRenamed("_id", id_col), centers_by_group(cl, keys)
 
 
 def k_candidates(points: DataFrame, group_cols: list[str], k_max: int = MAX_K) -> DataFrame:
