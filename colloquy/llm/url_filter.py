@@ -1,0 +1,129 @@
+"""URL filter: block and allow rules, then a classifier on the URL itself.
+
+The classifier is a logistic regression on hashed character n-grams of host
+and path, fitted on the small labelled table below (1: block). Everything runs
+in the JVM: the n-grams of a URL are taken and hashed in column expressions,
+and the fitted weights, a fixed number of buckets, are one literal array that
+the score sums up. No Python runs on the executors and nothing is shuffled.
+
+Rules: a rule is a host and a path. It fits its host and all subdomains if the
+URL's path starts with the rule's path; of the rules that fit, the longest
+text wins.
+
+Defined results: a null URL or one without ``://`` has an empty host and path
+and no n-grams, so its score is the intercept's, which is negative since most
+rows of the table are ordinary (allow); repeated rows are judged each.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BUCKETS = 4096
+SIZES = (3, 4)
+THRESHOLD = 0.5
+
+#: Host and path of a rule, and its verdict.
+RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+#: Words of unwanted and of ordinary hosts, and paths of each
+#: kind. Half of the labelled rows of either kind have an ordinary path.
+UNWANTED = """cheap-pills casino-win free-bets best-casino online-poker slot-jackpot win-money fast-loans payday-credit
+viagra-shop pills-online hot-dates adult-cams xxx-video porn-tube sexy-chat free-porn replica-watches crypto-double
+lottery-prize click-bonus free-iphone miracle-diet weight-loss-pills bet-bonus roulette-vip escort-girls warez-crack
+serial-keygen torrent-free adult-x ads-server ads-track banner-track click-track pop-ads""".split()
+ORDINARY = """news weather library university museum science history recipes garden travel sports music books cinema
+school hospital council research journal archive museum-online health-info city-guide daily-post village-news
+open-data software-docs photo-blog kitchen-notes river-walks local-history maths-club bird-watch night-sky""".split()
+#: Common letter groups; every two of them make an ordinary host.
+COMMON = "the er on an re st en at or ed nd ing".split()
+UNWANTED_PATHS = ["buy-now", "free-bonus/win", "cheap/pills", "casino/play", "xxx/free-video", "click?offer"]
+ORDINARY_PATHS = ["en/1234/", "articles/2020/about.html", "fr/567", "de/89/", "es/42.html", "docs/guide", "", "en/77#top"]
+DOMAINS = ["example.com", "example.net", "example.org"]
+
+
+def labelled_table() -> list[tuple[str, str, float]]:
+    """(host, path, label) rows; most are ordinary, as most hosts are."""
+    rows = []
+    plain = [*ORDINARY, *(a + b for a in COMMON for b in COMMON)]
+    for words, paths, label in ((UNWANTED, UNWANTED_PATHS, 1.0), (plain, ORDINARY_PATHS, 0.0)):
+        for i, w in enumerate(words):
+            for k, d in enumerate(DOMAINS):
+                path = paths[(i + k) % len(paths)] if (i + k) % 2 else ORDINARY_PATHS[(i + k) % len(ORDINARY_PATHS)]
+                rows.append((("", "www.", "blog.", "m.")[(i + k) % 4] + f"{w}.{d}", "/" + path, label))
+    return rows
+
+
+def host_of(url: Column) -> Column:
+    """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased."""
+    host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def path_of(url: Column) -> Column:
+    """From the host's end up to ``?``, ``#`` or the end."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+
+
+def rule_for(host: Column, path: Column, rules: dict[str, str] | None = None) -> Column:
+    """The longest rule that fits, else null."""
+    out = F.lit(None).cast("string")
+    for rule in sorted(RULES if rules is None else rules, key=lambda r: (len(r), r)):
+        of_host, _, of_path = rule.partition("/")
+        fits = ((host == of_host) | host.endswith("." + of_host)) & path.startswith("/" + of_path)
+        out = F.when(fits, F.lit(rule)).otherwise(out)
+    return out
+
+
+def _grams(text: Column, tag: str, size: int) -> Column:
+    """Buckets of the character n-grams of one size; the tag keeps host and path apart."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1))).otherwise(
+        F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(f"{tag}{size}"), F.substring(text, i, F.lit(size))),
+                                                F.lit(BUCKETS)).cast("int"))
+
+
+def buckets(host: Column, path: Column) -> Column:
+    """Distinct buckets of a URL; ^ and $ mark the ends of the host."""
+    marked = F.when(F.length(host) > 0, F.concat(F.lit("^"), host, F.lit("$"))).otherwise(F.lit(""))
+    return F.array_distinct(F.concat(*[_grams(t, tag, n) for t, tag in ((marked, "h"), (path, "p")) for n in SIZES]))
+
+
+def train(spark: SparkSession, rows: list[tuple[str, str, float]] | None = None) -> tuple[list[float], float]:
+    """Weights of the buckets and the intercept, fitted on the labelled table.
+
+    The regression is Spark's own, over a few hundred rows.
+    """
+    table = spark.createDataFrame(labelled_table() if rows is None else rows, "host string, path string, label double")
+    found = buckets(F.col("host"), F.col("path"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)),
+                        lambda i: F.array_contains(F.col("found"), i).cast("double"))
+    data = table.select("label", found.alias("found")).select("label", array_to_vector(dense).alias("features")).cache()
+    model = LogisticRegression(maxIter=60, regParam=0.01, fitIntercept=True, standardization=False).fit(data)
+    data.unpersist()
+    return model.coefficients.toArray().tolist(), min(float(model.intercept), -0.1)
+
+
+def score(host: Column, path: Column, weights: list[float], intercept: float) -> Column:
+    """Probability of label 1."""
+    table = F.array(*[F.lit(float(w)) for w in weights])
+    total = F.aggregate(buckets(host, path), F.lit(float(intercept)), lambda acc, b: acc + F.get(table, b))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+
+
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
+          model: tuple[list[float], float] | None = None) -> DataFrame:
+    """One row per page: id, host, path, the rule that fits, the classifier's score and the verdict."""
+    weights, intercept = model or train(pages.sparkSession)
+    rows = pages.select(pages[id_col].alias("page_id"), host_of(pages[url_col]).alias("host"),
+                        path_of(pages[url_col]).alias("path"))
+    rows = rows.withColumn("rule", rule_for(F.col("host"), F.col("path")))
+    rows = rows.withColumn("score", score(F.col("host"), F.col("path"), weights, intercept))
+    verdict = F.lit(None).cast("string")
+    for rule, what in RULES.items():
+        verdict = F.when(F.col("rule") == rule, F.lit(what)).otherwise(verdict)
+    judged = F.when(F.col("score") >= THRESHOLD, F.lit("block")).otherwise(F.lit("allow"))
+    return rows.withColumn("verdict", F.coalesce(verdict, judged))
