@@ -30,11 +30,10 @@ null hosts form one host of their own; repeated rows are measured each; an
 empty table gives an empty table.
 """
 
-from __future__ import annotations
-
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,9 +147,7 @@ def keep_good(documents: DataFrame, text_col: str = "text", host_col: str = "sou
     ship_package(documents.sparkSession)
 
     @F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
-    def measures(texts):
-        import pandas as pd
-
+    def measures(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES))
 
     inner = pick(documents, host=host_col, text=text_col)

@@ -24,12 +24,12 @@ the patterns vote alone; repeated rows are scored each; an empty table gives an
 empty table.
 """
 
-from __future__ import annotations
-
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -387,12 +387,12 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 def keep_harmless(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, whose score is below the threshold."""
-    import pandas as pd
-
     ship_package(documents.sparkSession)
 
     @F.pandas_udf("double")
-    def toxic(texts: pd.Series) -> pd.Series:
-        return pd.Series(_score_texts([None if t is None else t for t in texts], _Lexicon(model.entries), model))
+    def toxic(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lexicon = _Lexicon(model.entries)
+        for texts in it:
+            yield pd.Series(_score_texts(texts.tolist(), lexicon, model))
 
     return documents.where(toxic(F.col(text_col)) < THRESHOLD)

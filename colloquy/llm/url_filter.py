@@ -17,8 +17,10 @@ rows of the table are ordinary (allow); repeated rows are judged each.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,17 +101,16 @@ def train(spark: SparkSession, rows: list[tuple[str, str, float]] | None = None)
     """
     table = spark.createDataFrame(labelled_table() if rows is None else rows, "host string, path string, label double")
     found = buckets(F.col("host"), F.col("path"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)),
-                        lambda i: F.array_contains(F.col("found"), i).cast("double"))
-    data = table.select("label", found.alias("found")).select("label", array_to_vector(dense).alias("features")).cache()
-    model = LogisticRegression(maxIter=60, regParam=0.01, fitIntercept=True, standardization=False).fit(data)
+    names = CountVectorizerModel.from_vocabulary([str(i) for i in range(BUCKETS)], inputCol="found", outputCol="features")
+    data = names.transform(table.select("label", found.cast("array<string>").alias("found"))).coalesce(1).cache()
+    model = LogisticRegression(maxIter=40, regParam=0.01, fitIntercept=True, standardization=False).fit(data)
     data.unpersist()
     return model.coefficients.toArray().tolist(), min(float(model.intercept), -0.1)
 
 
 def score(host: Column, path: Column, weights: list[float], intercept: float) -> Column:
-    """Probability of label 1."""
-    table = F.array(*[F.lit(float(w)) for w in weights])
+    """Probability of label 1. The weights are one constant, parsed when the plan is made."""
+    table = F.from_json(F.lit(json.dumps([float(w) for w in weights])), "array<double>")
     total = F.aggregate(buckets(host, path), F.lit(float(intercept)), lambda acc, b: acc + F.get(table, b))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
