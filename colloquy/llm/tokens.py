@@ -1,25 +1,36 @@
 """Token ids of whole texts, with a cache of the pieces that repeat.
 
-The public vocabularies used here never join characters across a single space
-between two other characters, nor a letter with a full stop or comma after
-it. A text is cut at such places, every distinct piece is encoded by the
-``tokenizers`` library and remembered, and the pieces' ids in a row are the
-ids of the whole text. ``tests/llm`` compares them with plain ``encode`` calls.
+The public vocabularies used here never join characters across a single
+space or line feed between two other characters, nor a letter or digit with a
+full stop or comma after it. Texts are cut at such places, found on their
+UTF-8 bytes; pieces are told apart by a 64-bit hash; each distinct piece is
+encoded by the ``tokenizers`` library once and remembered, and the ids of a
+text are those of its pieces in a row. ``tests/llm`` compares them with plain
+``encode`` calls. A cut that is left out (other white space, other scripts'
+white space near by) only makes a piece longer.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from itertools import chain
 
 import numpy as np
 
-#: Pieces in each of the two generations that a worker remembers.
-CACHE_PIECES = 250_000
-#: Longer pieces are not remembered.
-LONG_PIECE = 64
+from colloquy.llm.spans import joined, sorted_distinct, span_hashes
 
-_PIECE = re.compile(r" ?[^\W\d_]+(?= \S|[.,])|\s*\S+(?:(?! \S)\s+\S*)*|\s+")
+#: Pieces that a worker remembers at most (some 40 bytes each); then it starts anew.
+CACHE_PIECES = 1_500_000
+#: Bytes of texts that are cut and looked up at a time.
+CHUNK_BYTES = 2 << 20
+
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+# bytes that white space beyond ASCII begins with
+_MAY_START_SPACE = _SPACE.copy()
+_MAY_START_SPACE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
 
 def tokenizer_json(path: str) -> str:
@@ -28,65 +39,96 @@ def tokenizer_json(path: str) -> str:
         return f.read()
 
 
-class PieceEncoder(dict):
-    """Encode texts to ``uint32`` id arrays, exactly as ``Tokenizer.encode`` does.
-
-    As a dict it holds the ids of pieces (little-endian bytes). A full
-    generation becomes the old one; pieces still in use move back from there.
-    """
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """Positions in UTF-8 bytes where a text may be cut."""
+    at = np.flatnonzero((raw[1:-1] == 32) | (raw[1:-1] == 10)) + 1 if len(raw) > 2 else np.empty(0, dtype=np.int64)
+    before, after = raw[at - 1], raw[at + 1]
+    good = ~_SPACE[before] & ~_MAY_START_SPACE[after]
+    # the character before ends in a byte over 127: its first byte tells whether it can be white space
+    wide = np.flatnonzero(good & (before > 127))
+    if len(wide):
+        back = at[wide]
+        lead = raw[np.maximum(back - 2, 0)]
+        for k in (3, 4):
+            lead = np.where(lead < 0xC0, raw[np.maximum(back - k, 0)], lead)
+        good[wide[_MAY_START_SPACE[lead] | (lead < 0xC0)]] = False
+    dots = np.flatnonzero((raw[1:] == 46) | (raw[1:] == 44)) + 1 if len(raw) > 1 else np.empty(0, dtype=np.int64)
+    letter = _ALNUM[raw[dots - 1]]
+    two = raw[np.maximum(dots - 2, 0)]
+    letter |= (two == 0xC3) & (raw[dots - 1] != 0x97) & (raw[dots - 1] != 0xB7)  # À to ÿ without × and ÷
+    return sorted_distinct(at[good], dots[letter])
+
+
+class PieceEncoder:
+    """Encode texts to ``uint32`` id arrays, exactly as ``Tokenizer.encode`` does."""
 
     def __init__(self, json_text: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(json_text)
-        self._old: dict[str, bytes] = {}
-        # New pieces are encoded many in a call, between separators that always have one id of their own.
-        self._separator, self._separator_id = "", -1
-        for sep in ("\n", " \x01"):
-            ids = self._plain("a" + sep + " b")
-            if len(ids) == 3 and ids[0] == self._plain("a") and ids[2] == self._plain(" b"):
-                self._separator, self._separator_id = sep, ids[1]
-                break
-
-    def _plain(self, text: str) -> np.ndarray:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self._old.get(piece)
-        if ids is None:
-            ids = self._plain(piece).tobytes()
-        self._keep(piece, ids)
-        return ids
-
-    def _keep(self, piece: str, ids: bytes) -> None:
-        if len(piece) <= LONG_PIECE:
-            if len(self) >= CACHE_PIECES:
-                self._old = dict(self)
-                self.clear()
-            self[piece] = ids
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces that start with a space, a bounded number in a call."""
-        for at in range(0, len(pieces), 1000):
-            part = pieces[at:at + 1000]
-            ids = self._plain(self._separator.join(["a", *part]))
-            ends = np.flatnonzero(ids == self._separator_id)
-            if len(ends) != len(part):  # a piece holds the separator's id: __missing__ encodes them one by one
-                continue
-            raw, bounds = ids.tobytes(), [*(4 * (ends + 1)).tolist(), 4 * len(ids) + 4]
-            for p, x, y in zip(part, bounds, bounds[1:]):
-                self._keep(p, raw[x:y - 4])
+        self._forget()
+
+    def _forget(self) -> None:
+        self._hashes = np.empty(0, dtype=np.uint64)  # ascending
+        self._start, self._size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self._flat = np.empty(0, dtype="<u4")
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self._hashes, hashes)
+        known = at < len(self._hashes)
+        known[known] = self._hashes[at[known]] == hashes[known]
+        return at, known
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        found = [e.ids for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        size = np.array([len(x) for x in found], dtype=np.int64)
+        start = len(self._flat) + np.cumsum(size) - size
+        self._flat = np.concatenate((self._flat, np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(size.sum()))))
+        where = np.searchsorted(self._hashes, hashes)
+        self._hashes = np.insert(self._hashes, where, hashes)
+        self._start, self._size = np.insert(self._start, where, start), np.insert(self._size, where, size)
+
+    def _chunk(self, texts: list[str | None]) -> list[np.ndarray]:
+        raw, offsets = joined(texts)
+        # pieces end at cuts and at texts' ends; the line feed after a text belongs to none
+        inner = cuts(raw)
+        edges = offsets[1:] - 1
+        outside = np.zeros(len(raw) + 1, dtype=bool)
+        outside[edges] = outside[offsets] = True
+        inner = inner[~outside[inner]]
+        starts = sorted_distinct(inner, offsets[:-1][edges > offsets[:-1]])
+        ends = np.minimum(np.append(starts[1:], len(raw)), edges[np.searchsorted(offsets, starts, side="right") - 1])
+        hashes = span_hashes(raw, starts, ends)
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self._hashes) + len(distinct) > CACHE_PIECES:
+            self._forget()
+        _, known = self._find(distinct)
+        new = np.flatnonzero(~known)
+        if len(new):
+            data = raw.tobytes()
+            self._learn(distinct[new], [data[starts[i]:ends[i]].decode("utf-8", "surrogatepass") for i in first[new]])
+        at, _ = self._find(distinct)
+        size = self._size[at][which]
+        # ids of all pieces in a row: each one's stretch of the flat store
+        before = np.cumsum(size) - size
+        ids = self._flat[np.repeat(self._start[at][which] - before, size) + np.arange(int(size.sum()))]
+        total = np.concatenate(([0], np.cumsum(size)))
+        bounds = total[np.searchsorted(starts, offsets)]
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         """One id array per text; null and empty texts have none."""
-        pieces = [_PIECE.findall(t) if t else [] for t in texts]
-        if self._separator_id >= 0:
-            new = set().union(*pieces).difference(self.keys(), self._old.keys())
-            self._learn([p for p in new if p[0] == " " and 1 < len(p) <= LONG_PIECE
-                         and "\n" not in p and "\x01" not in p and "<|" not in p])
-        return [np.frombuffer(b"".join(map(self.__getitem__, p)), dtype="<u4") for p in pieces]
+        out: list[np.ndarray] = []
+        held: list[str | None] = []
+        size = 0
+        for t in texts:
+            held.append(t)
+            size += len(t or "")
+            if size >= CHUNK_BYTES:
+                out += self._chunk(held)
+                held, size = [], 0
+        return out + (self._chunk(held) if held else [])
 
 
 _encoders: dict[int, PieceEncoder] = {}

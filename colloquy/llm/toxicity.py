@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import arrow_map, batches, pick, ship_package, stored
-from colloquy.llm.jaccard_join import shingles
+from colloquy.llm.jaccard_join import shingle_sets
 
 #: Bounds of the fit: labelled rows, lexicon entries.
 SAMPLE_ROWS, LEXICON = 16_000, 2000
@@ -266,10 +266,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, label_col: str = "tox
 
     def sign(it):
         for b in batches(it):
-            signs = []
-            for text in b.column("text").to_pylist():
-                h = shingles(text)
-                signs.append(f"{h[0]:x}-{(h * np.uint64(0x9E3779B97F4A7C15)).min():x}" if len(h) else "")
+            signs = [f"{h[0]:x}-{(h * np.uint64(0x9E3779B97F4A7C15)).min():x}" if len(h) else ""
+                     for h in shingle_sets(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("text"), b.column("y"), pa.array(signs, pa.string())],
                                              ["text", "y", "sign"])
 
