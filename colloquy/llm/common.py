@@ -10,12 +10,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colloquy.session import checkpoint_dir, ship_package
+from colloquy import session
+from colloquy.session import checkpoint_dir
 
 __all__ = ["arrow_map", "batches", "gapless_rank", "new_folder", "pick", "ship_package", "stored", "write_bytes",
            "read_bytes", "shared_file_system"]
 
 
+#: Rows of a batch that Spark sends to Python, where the session leaves it at Spark's own 10,000:
+#: texts are long, and a task should not hold 10,000 of them.
+BATCH_ROWS = 1024
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors; keep batches for Python small."""
+    session.ship_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def pick(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Only the named columns, under the names the operator uses inside.
 

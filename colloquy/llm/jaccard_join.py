@@ -18,11 +18,12 @@ Which pairs are counted:
    (positional filter). Prefix shingles are dealt by shingle.
 3. Star round: in the list of a shingle the first class (fewest rarer
    shingles before it) of each range of sizes is a hub, every other class is
-   counted against the two hubs that most of its shingles name, and the
-   links' components are found. No pairs inside a group of copies are made.
+   counted against the hub that most of its shingles name, and the links'
+   components are found. No pairs inside a group of copies are made.
 4. Rest round: lists that still hold more than one component give the pairs
    across components that pass the prefix, positional, length and bitmap
-   filters, and these are all counted. A pair that was in no list with a
+   filters, and these are all counted. (A bitmap has a bit for a shingle's last
+   hash bits; as many bits as differ, so many shingles differ at least.) A pair that was in no list with a
    partner of another component is either linked through others or not alike,
    so the components are exact.
 
@@ -30,9 +31,12 @@ A hub's group is split by salt, a shingle's list is only ever aggregated,
 streamed past with a bounded state, or joined with skew handling.
 
 Order table: shingles that are found twice or more within blocks of some
-million shingles are counted; those with a count of at least n / 2000 for n
-documents (8 at least) count as frequent. There are at most 2000 times the mean
-set size of them. The order only decides how much work is done, never a result.
+million shingles are counted over all documents; those with a count of 8 or
+more are frequent. They share the slots of a table by their last hash bits, with
+a level for the slot's count: four slots for each of them, at most 2**24, so
+the table that goes to the tasks has at most 16 MB. Shingles that fall into a
+frequent one's slot by chance only come later in the order. The order decides how much
+work is done, never a result.
 
 Defined results: with fewer than 5 words the whole sequence is one shingle;
 null, empty and blank texts have no shingles and are linked with nothing, not
@@ -41,63 +45,75 @@ same id; a null id takes part, and its component is the smallest id that is
 not null (null if there is none); an empty table gives an empty table.
 """
 
-from __future__ import annotations
-
 import hashlib
-import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import arrow_map, batches, pick, stored
 from colloquy.llm.components import connected_components
+from colloquy.llm.spans import joined, mix, sorted_distinct, span_hashes
 
 N = 5
 PERCENT = 80
-BITS = 512
+BITS, MAX_BITS = 512, 1 << 16
 RARE_FRAGMENTS = 4
-FREQUENT_MIN, FREQUENT_SHARE = 8, 2000
+FREQUENT_MIN = 8
+MIN_SLOT_BITS, MAX_SLOT_BITS = 16, 24
 BLOCK_SHINGLES = 1 << 21
 HUB_MEMBERS = 500  # members of a hub counted in one group
+FILTER_BITS = 24
 _NO_ID = -(1 << 63)
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _WordHashes()
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+_MULTIPLIER = np.uint64(0xD1342543DE82EF95)
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+CHUNK_BYTES = 1 << 20  # bytes of texts that are hashed at a time
+
+
+def shingle_sets(texts: list[str | None], n: int = N) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the n-word shingles of each whole text."""
+    held: list[str | None] = []
+    size = 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size >= CHUNK_BYTES:
+            yield from _shingle_chunk(held, n)
+            held, size = [], 0
+    if held:
+        yield from _shingle_chunk(held, n)
+
+
+def _shingle_chunk(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+    raw, offsets = joined(texts, lower=True)
+    blank = np.concatenate(([True], _SPACE[raw]))  # every text ends in a line feed
+    starts = np.flatnonzero(blank[:-1] & ~blank[1:])
+    ends = np.flatnonzero(~blank[:-1] & blank[1:])
+    words = span_hashes(raw, starts, ends)
+    bounds = np.searchsorted(starts, offsets)
+
+    def runs(w: np.ndarray, size: int) -> np.ndarray:
+        h = w[:max(0, len(w) - size + 1)].copy()
+        for i in range(1, size):
+            h *= _MULTIPLIER
+            h += w[i:len(w) - size + 1 + i]
+        return mix(h + np.uint64(size))
+
+    full = runs(words, n)  # those across texts are left out below
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if b - a >= n:
+            yield sorted_distinct(full[a:b - n + 1])
+        else:
+            yield runs(words[a:b], b - a) if b > a else words[:0]
 
 
 def shingles(text: str | None, n: int = N) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles of a whole text."""
-    words = _WORD.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
-    size = min(n, len(w))
-    h = w[:len(w) - size + 1].copy()
-    for i in range(1, size):
-        h *= _MULTIPLIER
-        h += w[i:len(w) - size + 1 + i]
-    return np.unique(_mix(h + np.uint64(size)))
+    return next(shingle_sets([text], n))
 
 
 def least_overlap(x: int, y: int) -> int:
@@ -110,22 +126,23 @@ def prefix_size(n: int) -> int:
 
 
 class Order:
-    """The global order: frequent shingles come last, by level."""
+    """The global order: shingles by the level of their slot, then by hash.
 
-    def __init__(self, frequent: np.ndarray, levels: np.ndarray):
-        at = np.argsort(frequent)
-        self.frequent, self.levels = frequent[at], levels[at]
+    ``levels`` has a level for every value of a shingle's last hash bits: 0 for
+    slots without frequent shingles, else the logarithm of their count.
+    """
+
+    def __init__(self, levels: np.ndarray):
+        self.levels, self.mask = levels, np.uint64(len(levels) - 1)
 
     def split(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rare shingles by hash, frequent shingles by level and hash)."""
-        if not len(self.frequent) or not len(h):
-            return h, h[:0]
-        at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
-        common = self.frequent[at] == h
+        level = self.levels[(h & self.mask).astype(np.int64)]
+        common = level > 0
         if not common.any():
             return h, h[:0]
-        late, level = h[common], self.levels[at[common]]
-        return h[~common], late[np.lexsort((late, level))]
+        late = h[common]
+        return h[~common], late[np.argsort(level[common], kind="stable")]
 
     def segments(self, h: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(fragment, sorted shingles) of a set; empty segments are left out."""
@@ -140,10 +157,15 @@ def identity(h: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _bitmap(h: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, dtype=bool)
-    bits[(h & np.uint64(BITS - 1)).astype(np.int64)] = True
-    return np.packbits(bits).view(np.int64)
+def _bitmap(h: np.ndarray, size: int = BITS) -> np.ndarray:
+    bits = np.zeros(size, dtype=bool)
+    bits[(h & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.uint64)
+
+
+def wide_bits(n: int) -> int:
+    """Bits of the wide bitmap of a set: two to four for a shingle, within bounds."""
+    return min(MAX_BITS, max(BITS, 1 << (2 * n - 1).bit_length()))
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -155,56 +177,65 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 def global_order(docs: DataFrame) -> Order:
     """Count the shingles that repeat within blocks of documents, over all documents."""
     def count(it):
-        held, size, seen = [], 0, 0
+        held, size = [], 0
 
         def flush():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            keys, n = keys[n > 1], n[n > 1]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(n), pa.array([0] * len(keys), pa.int64())], ["token", "n", "docs"])
+            all_of = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.concatenate(([True], all_of[1:] != all_of[:-1])))
+            n = np.diff(np.append(first, len(all_of)))
+            keys, n = all_of[first[n > 1]], n[n > 1]
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["token", "n"])
 
         for b in batches(it):
-            for text in b.column("text").to_pylist():
-                h = shingles(text)
+            for h in shingle_sets(b.column("text").to_pylist()):
                 held.append(h)
                 size += len(h)
-                seen += 1
                 if size >= BLOCK_SHINGLES:
                     yield flush()
                     held, size = [], 0
         if size:
             yield flush()
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([seen])], ["token", "n", "docs"])
-
-    counted = stored(arrow_map(docs.select("text"), count, "token long, n long, docs long"), "repeats")
-    n_docs = counted.agg(F.sum("docs")).first()[0] or 0
-    least = max(FREQUENT_MIN, n_docs // FREQUENT_SHARE)
-    table = counted.where("n > 0").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    n = table.column("n").to_numpy().astype(np.float64)
-    return Order(table.column("token").to_numpy().view(np.uint64) if len(n) else np.empty(0, dtype=np.uint64),
-                 np.floor(np.log2(n)).astype(np.int64) if len(n) else np.empty(0, dtype=np.int64))
+    counted = arrow_map(docs.select("text"), count, "token long, n long")
+    frequent = stored(counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_MIN), "frequent")
+    slots = 1 << min(MAX_SLOT_BITS, max(MIN_SLOT_BITS, (4 * frequent.count()).bit_length()))
+    table = frequent.groupBy(F.col("token").bitwiseAND(F.lit(slots - 1)).cast("int").alias("slot")).agg(
+        F.floor(F.log2(F.sum("n"))).cast("tinyint").alias("level")).toArrow()  # at most a row per slot
+    levels = np.zeros(slots, dtype=np.int8)
+    levels[table.column("slot").to_numpy()] = table.column("level").to_numpy()
+    return Order(levels)
 
 
 def sets_of(docs: DataFrame, order) -> DataFrame:
-    """Per document: doc_id, text_hash, n, node (class of equal sets, with n), prefix and bitmap."""
+    """Per document: doc_id, text_hash, n, node (class of equal sets, with n), prefix and bitmaps.
+
+    The last three are empty where the task has given them for the class before.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make(it):
+        seen = set()  # classes whose prefix this task has given
         for b in batches(it):
-            n, node, prefix, bits = [], [], [], []
-            for text in b.column("text").to_pylist():
-                h = shingles(text)
+            n, node, prefix, bits, wide = [], [], [], [], []
+            for h in shingle_sets(b.column("text").to_pylist()):
                 n.append(len(h))
                 node.append(identity(h))
+                if not len(h) or (n[-1], node[-1]) in seen:
+                    for column in (prefix, bits, wide):
+                        column.append(h[:0])
+                    continue
+                seen.add((n[-1], node[-1]))
                 p = prefix_size(len(h))
                 rare, late = order.value.split(h)
                 prefix.append(rare[:p] if len(rare) >= p else np.concatenate((rare, late[:p - len(rare)])))
-                bits.append(_bitmap(h).view(np.uint64) if len(h) else h)
+                bits.append(_bitmap(h))
+                wide.append(_bitmap(h, wide_bits(len(h))))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
-                 _lists(prefix), _lists(bits)], ["doc_id", "text_hash", "n", "node", "prefix", "bits"])
+                 _lists(prefix), _lists(bits), _lists(wide)],
+                ["doc_id", "text_hash", "n", "node", "prefix", "bits", "wide"])
 
-    return arrow_map(docs, make, f"doc_id {kind}, text_hash long, n long, node long, prefix array<long>, bits array<long>")
+    return arrow_map(docs, make, f"doc_id {kind}, text_hash long, n long, node long, prefix array<long>, "
+                     "bits array<long>, wide array<long>")
 
 
 def _star(it):
@@ -214,7 +245,7 @@ def _star(it):
     """
     names = ["token", "pos", "n", "node", "h_n", "h_node", "main"]
     kinds = [pa.int64()] * 6 + [pa.bool_()]
-    token, first, hubs = None, None, {}
+    token, first, hubs, last = None, None, {}, None
 
     def size_range(n: int) -> int:
         return int(np.log(n) / np.log(100 / PERCENT))
@@ -222,12 +253,20 @@ def _star(it):
     for b in it:
         cols = {c: np.asarray(b.column(c)) for c in ("token", "pos", "n", "node")}
         t = cols["token"]
+        if not len(t):
+            continue
+        # equal sets that several tasks gave stand next to each other: one is enough
+        twice = np.concatenate(([(int(t[0]), int(cols["n"][0]), int(cols["node"][0])) == last],
+                                (t[1:] == t[:-1]) & (cols["n"][1:] == cols["n"][:-1]) & (cols["node"][1:] == cols["node"][:-1])))
+        last = (int(t[-1]), int(cols["n"][-1]), int(cols["node"][-1]))
+        cols = {c: v[~twice] for c, v in cols.items()}
+        t = cols["token"]
         if not len(t):
             continue
         # rows whose neighbours hold another shingle are alone, except at the batch's ends
         same = t[1:] == t[:-1]
         keep = np.concatenate(([True], same)) | np.concatenate((same, [True]))
-        rows = []
+        rows: list[tuple] = []
         for tok, pos, n, node in zip(*(cols[c][keep].tolist() for c in ("token", "pos", "n", "node"))):
             r = size_range(n)
             if tok != token:
@@ -249,6 +288,48 @@ def _pair(n: str, node: str) -> Column:
     return F.struct(F.col(n).alias("n"), F.col(node).alias("node"))
 
 
+def _key_filter(keyed: DataFrame):
+    """A test on ``xxhash64(key)`` that passes every key of a table, and others by chance.
+
+    It is a bitmap of fixed size (2 MB), so it can go to every task; it spares
+    the join the texts of most documents that it has no use for.
+    """
+    h = F.pmod(F.xxhash64("key"), F.lit(1 << FILTER_BITS))
+    words = keyed.groupBy(F.shiftright(h, 6).alias("w")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, int(pmod(xxhash64(key), {1 << FILTER_BITS}) & 63))")).alias("bits"))
+    table = words.toArrow()  # at most 2**FILTER_BITS / 64 rows
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    bitmap[table.column("w").to_numpy()] = table.column("bits").to_numpy()
+    sent = keyed.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def may_have(hashes: pd.Series) -> pd.Series:
+        h = hashes.to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+        return pd.Series((sent.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 1)
+
+    return may_have
+
+
+def may_be_alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose wide bitmaps leave room for the overlap that a link needs.
+
+    Two sets differ in at least as many shingles as their bitmaps differ in
+    bits; a bitmap of twice the other's size is folded first.
+    """
+    side = lambda x: classes.select(_pair("n", "node").alias(x), F.col("wide").alias(f"{x}_wide"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    size = F.least(F.size("a_wide"), F.size("b_wide"))
+
+    def folded(c: str):
+        upper = F.slice(c, size + 1, size)
+        return F.when(F.size(c) > size, F.zip_with(F.slice(c, 1, size), upper, lambda x, y: x.bitwiseOR(y))).otherwise(F.col(c))
+
+    differ = F.aggregate(F.zip_with(folded("a_wide"), folded("b_wide"), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                         F.lit(0), lambda total, d: total + d)
+    both_n = F.col("a.n") + F.col("b.n")
+    return both.where(both_n - differ >= 2 * F.ceil(PERCENT * both_n / F.lit(100 + PERCENT))).select("a", "b")
+
+
 def count_overlaps(docs: DataFrame, classes: DataFrame, pairs: DataFrame, order) -> DataFrame:
     """The pairs (structs a, b of n and node) that are linked.
 
@@ -276,14 +357,15 @@ def count_overlaps(docs: DataFrame, classes: DataFrame, pairs: DataFrame, order)
     where = stored(targets.join(classes.select(_pair("n", "node").alias("x"), "key"), "x").select("key", "x.n", "x.node",
                                                                                                   "targets"), "targets")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"), "text")
+    keyed = keyed.where(_key_filter(where)(F.xxhash64("key")))
 
     def cut(it):
         names = ["h_n", "h_node", "salt", "fragment", "is_hub", "n", "node", "segment"]
         kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches(it, max_rows=256):
             rows, size = [], 0
-            for text, n, node, targets in zip(*(b.column(c).to_pylist() for c in ("text", "n", "node", "targets"))):
-                h = shingles(text)
+            texts, *rest = (b.column(c).to_pylist() for c in ("text", "n", "node", "targets"))
+            for h, n, node, targets in zip(shingle_sets(texts), *rest):
                 if len(h) != n or identity(h) != node:  # another text under the same id
                     continue
                 for f, segment in order.value.segments(h):
@@ -341,22 +423,22 @@ def _can_link(a: str, b: str) -> Column:
 def links(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents with their classes, links between classes): the links found connect all that are connected."""
     docs = pick(documents, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text"))
-    order = documents.sparkSession.sparkContext.broadcast(global_order(docs))  # at most 2000 times the mean set
+    order = documents.sparkSession.sparkContext.broadcast(global_order(docs))  # at most 16 MB
     sets = stored(sets_of(docs, order), "sets")
     classes = stored(sets.where("n > 0").groupBy("n", "node").agg(
         F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).alias("key"),
-        F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
+        F.max("bits").alias("bits"), F.max("wide").alias("wide")), "classes")
 
-    lists = classes.select("n", "node", F.posexplode("prefix").alias("pos", "token"))
+    lists = sets.select("n", "node", F.posexplode("prefix").alias("pos", "token"))
     order_by = ["token", "pos", "n", "node"]
     shared = stored(arrow_map(lists.repartition("token").sortWithinPartitions(*order_by).select(*order_by), _star,
                               "token long, pos long, n long, node long, h_n long, h_node long, main boolean"), "shared")
     named = shared.where(F.col("h_node").isNotNull()).groupBy("n", "node", "h_n", "h_node").agg(
         F.count(F.lit(1)).alias("votes"))
     best = Window.partitionBy("n", "node").orderBy(F.desc("votes"), "h_n", "h_node")
-    stars = named.withColumn("r", F.row_number().over(best)).where("r <= 2").select(
+    stars = named.withColumn("r", F.row_number().over(best)).where("r = 1").select(
         _pair("n", "node").alias("a"), _pair("h_n", "h_node").alias("b"))
-    stars = stored(stars, "stars")
+    stars = stored(may_be_alike(stars, classes), "stars")
     found = count_overlaps(docs, classes, stars, order)
 
     parts = connected_components(found, "a", "b").select(
@@ -378,7 +460,7 @@ def links(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         & _can_link("a", "b"))
     more = across.select(_pair("a.n", "a.node").alias("a"), _pair("b.n", "b.node").alias("b")).distinct()
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(more.join(done, ["a", "b"], "left_anti"), "more")
+    more = stored(may_be_alike(more.join(done, ["a", "b"], "left_anti"), classes), "more")
     if not more.isEmpty():
         found = found.union(count_overlaps(docs, classes, more, order))
     return sets.select("doc_id", "text_hash", "n", "node"), found
