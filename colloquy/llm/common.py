@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -55,7 +56,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def batches(it: Iterator[pa.RecordBatch], max_rows: int = 2048, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches(it: Iterator[pa.RecordBatch], max_rows: int = 2048, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of bounded rows and bytes (one row at least)."""
     for b in it:
         if not b.num_rows:
@@ -65,10 +66,26 @@ def batches(it: Iterator[pa.RecordBatch], max_rows: int = 2048, max_bytes: int =
             yield b.slice(at, step)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers live on after a task, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library can
+        pass
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` with the package sent to the executors first."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def task(it):
+        try:
+            yield from fn(it)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def gapless_rank(df: DataFrame, key: str, rank: str, part: str, local: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK, LONG = 1 << 20, 1 << 16  # bytes summed up at a time; longer stretches are hashed by themselves
+BLOCK, LONG = 1 << 18, 1 << 16  # bytes summed up at a time; longer stretches are hashed by themselves
 _BASE = 0x9E3779B97F4A7C15
 _tables: list[np.ndarray] = []
 

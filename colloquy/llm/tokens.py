@@ -20,9 +20,9 @@ import numpy as np
 from colloquy.llm.spans import joined, sorted_distinct, span_hashes
 
 #: Pieces that a worker remembers at most (some 40 bytes each); then it starts anew.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_000_000
 #: Bytes of texts that are cut and looked up at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
