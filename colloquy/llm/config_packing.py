@@ -10,8 +10,8 @@ length; each round prices configurations by a knapsack over the capacity
 (dynamic program), takes for every length the best configuration that holds it
 if its value is within ``SLACK`` of the best of all, adds a small step of
 these, and lowers the weights of lengths by how far their pieces are covered.
-The steps are rounded down to whole sequences, largest first, as far as pieces
-are left; the rest is packed by best fit, longest piece first, on the
+The steps of full configurations are rounded down to whole sequences, those
+with the longest pieces first, as far as pieces are left; the rest is packed by best fit, longest piece first, on the
 histogram, whole multiples of a configuration at a time.
 
 Spark does the rest: documents are tokenized and cut in tasks, lengths counted,
@@ -25,6 +25,7 @@ repeated rows are packed each; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
@@ -35,6 +36,10 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import arrow_map, batches, gapless_rank, pick, stored
 from colloquy.llm.tokens import encoder, tokenizer_json
 
+#: A configuration is rounded if it fills this share of a sequence.
+FULL = 0.999
+#: Shares of the solution at which it is rounded.
+SHARES = (1.0, 0.75, 0.5, 0.25)
 #: Rounds of the solver, share of a length covered by a round's step, how near
 #: to the best value a configuration must be, and how many are rounded at most.
 ROUNDS, STEP, SLACK, CONFIGURATIONS = 80, 0.05, 0.02, 4000
@@ -96,7 +101,22 @@ def solve(counts: dict[int, int], capacity: int) -> dict[tuple[int, ...], float]
 
 
 def pack(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(configuration, sequences) pairs that hold every piece once."""
+    """(configuration, sequences) pairs that hold every piece once.
+
+    The solution is approximate, so rounding all of it can use up short pieces
+    that long ones need. It is rounded at several shares, and the packing with the
+    fewest sequences is taken.
+    """
+    shorter = {length: n for length, n in counts.items() if n and length < capacity}
+    fractional = solve(shorter, capacity) if shorter else {}
+    # only (nearly) full configurations are rounded, since what they waste is lost
+    full = heapq.nlargest(CONFIGURATIONS, ((x, c) for c, x in fractional.items() if sum(c) >= FULL * capacity))
+    full.sort(key=lambda e: (-e[1][0], -sum(e[1]), -e[0]))
+    return min((_round(counts, capacity, full, share) for share in SHARES), key=lambda plan: sum(k for _, k in plan))
+
+
+def _round(counts: dict[int, int], capacity: int, full: list, share: float) -> list[tuple[tuple[int, ...], int]]:
+    """Round the solution's configurations at a share and pack the rest by best fit."""
     left = {length: n for length, n in counts.items() if n}
     out = []
 
@@ -114,12 +134,8 @@ def pack(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     # pieces that fill a sequence need no program
     if capacity in left:
         take((capacity,), left[capacity])
-    if left:
-        fractional = sorted(solve(left, capacity).items(), key=lambda e: (-e[1], e[0]))[:CONFIGURATIONS]
-        for configuration, x in fractional:
-            # the waste of a rounded configuration stays; those that waste more than the rest would are left to best fit
-            if sum(configuration) >= 0.995 * capacity:
-                take(configuration, int(x))
+    for x, configuration in full:
+        take(configuration, int(share * x))
     while left:
         lengths = np.array(sorted(left), dtype=np.int64)
         room, configuration, used = capacity, [], {}
