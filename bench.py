@@ -19,7 +19,7 @@ HEADLINE = [
     "threshold_sweep", "annotate_wide", "pair_topics", "question_answer_pairs", "label_replace_chain",
     "events_label_metrics", "hash_embed", "medoid_median", "standardize", "silhouette_euclid",
     "silhouette_cosine", "alpha_interval", "observed_agreement", "topic_terms", "answer_bag",
-    "main_question", "kmeans_sweep",
+    "main_question", "kmeans_sweep", "best_k_by_count", "count_above_mean", "item_positions", "reduce_pca",
 ]
 
 
@@ -29,7 +29,8 @@ def main() -> None:
     from colloquy.catalog import all_queries
     from colloquy.session import get_spark
 
-    spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus))
+    spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
+                      conf={"spark.driver.memory": "12g"})
     qs = all_queries()
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in qs]
     warm = "/root/testdata/sf0.001" if os.path.isdir("/root/testdata/sf0.001") else sf_dir

@@ -16,13 +16,13 @@ def _c(col) -> Column:
 def capitalize_first(col) -> Column:
     """First character upper case, the rest lower case (not ``initcap``)."""
     c = _c(col)
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(c.substr(F.lit(2), F.length(c))))
 
 
 def strip_one_leading_space(col) -> Column:
     """Drop exactly one leading blank, if there is one."""
     c = _c(col)
-    return F.when(c.startswith(" "), F.substring(c, 2, 1 << 30)).otherwise(c)
+    return F.when(c.startswith(" "), c.substr(F.lit(2), F.length(c))).otherwise(c)
 
 
 def id_prefix(col, suffix_len: int = 4) -> Column:

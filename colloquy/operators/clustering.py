@@ -486,9 +486,11 @@ def dominant_clusters(df: DataFrame, group_cols: list[str], id_col: str, vec_col
     cen = V.mean_vectors(pts.where(F.col("cluster") > 0), [*group_cols, "cluster"], "_v", "_c")
     pd_ = pts.join(cen, on=[*group_cols, "cluster"], how="left").withColumn(
         "_d", F.when(F.col("_c").isNull(), F.lit(None).cast("double")).otherwise(F.sqrt(sq_dist("_v", "_c"))))
-    wmax = Window.partitionBy(*group_cols, "cluster")
+    # farthest member per cluster by an aggregate: a window would gather all noise of a group in a task
+    far = pd_.where(F.col("cluster") > 0).groupBy(*group_cols, "cluster").agg(F.max("_d").alias("_far"))
+    pd_ = pd_.join(far, on=[*group_cols, "cluster"], how="left")
     members = pd_.withColumn("probability", F.when(F.col("cluster") == 0, F.lit(0.0)).otherwise(
-        F.when(F.max("_d").over(wmax) == 0, F.lit(1.0)).otherwise(1 - F.col("_d") / F.max("_d").over(wmax))))
+        F.when(F.col("_far") == 0, F.lit(1.0)).otherwise(1 - F.col("_d") / F.col("_far"))))
     members = members.select(*group_cols, id_col, "cluster", "probability", "_v")
     labels_per_group = members.groupBy(*group_cols).agg(F.countDistinct("cluster").alias("_nl"),
                                                         F.count(F.lit(1)).alias("_np"))

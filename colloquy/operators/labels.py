@@ -79,8 +79,8 @@ def low_score_other(label, score, limit: float = LOW_SCORE, other: str = OTHER)
 
 
 def threshold_relabel(label, score, threshold: float, other: str = OTHER) -> Column:
-    """Keep the label only when score > threshold (strict)."""
-    return F.when(_c(score) > threshold, _c(label)).otherwise(F.lit(other))
+    """Keep the label only when score > threshold (strict); a NaN score passes no threshold."""
+    return F.when(nan_to_null(score) > threshold, _c(label)).otherwise(F.lit(other))
 
 
 def nan_to_null(col) -> Column:

@@ -129,8 +129,8 @@ def pad_absent(df: DataFrame, truth: str, pred: str, labels: list, first_label)
 
 
 def relabel_by_threshold(label, score, threshold, other: str = "Other"):
-    """Keep the label when score > threshold (strict), else ``other``."""
-    return F.when(score > threshold, label).otherwise(F.lit(other))
+    """Keep the label when score > threshold (strict), else ``other``; NaN passes no threshold."""
+    return F.when(~F.isnan(score) & (score > threshold), label).otherwise(F.lit(other))
 
 
 def threshold_sweep(scored: DataFrame, truth: str, label: str, score: str,

@@ -295,5 +295,5 @@ def target_vs_other(df: DataFrame, text_col: str, taxonomy: Taxonomy, target: st
 
 
 def filter_score(df: DataFrame, threshold: float = 0.7, score_col: str = "zs_score") -> DataFrame:
-    """Rows whose score is strictly above the threshold."""
-    return df.where(F.col(score_col) > threshold)
+    """Rows whose score is strictly above the threshold; a NaN score is not."""
+    return df.where(~F.isnan(score_col) & (F.col(score_col) > threshold))

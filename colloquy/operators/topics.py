@@ -54,10 +54,13 @@ def find_topics(topic_vecs: DataFrame, queries: DataFrame, topic_col: str, vec_c
                 query_vec: str = "query_vec", query_keys: list[str] | None = None, n: int = 10) -> DataFrame:
     """Top-n topics by cosine to each query vector (ties by topic)."""
     keys = query_keys or []
-    j = join_small(queries.withColumn("_k", F.lit(1)), topic_vecs.withColumn("_k", F.lit(1)), on=["_k"]).drop("_k")
+    j = join_small(topic_vecs.withColumn("_k", F.lit(1)), queries.withColumn("_k", F.lit(1)), on=["_k"]).drop("_k")
     j = j.withColumn("similarity", cosine(query_vec, vec_col))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    w = w.orderBy(F.col("similarity").desc(), F.col(topic_col))
+    if not keys:  # one query: a top-n, each task keeps n rows
+        top = j.orderBy(F.col("similarity").desc(), F.col(topic_col)).limit(n)
+        w = Window.orderBy(F.col("similarity").desc(), F.col(topic_col))
+        return top.withColumn("rank", F.row_number().over(w)).select(topic_col, "similarity", "rank")
+    w = Window.partitionBy(*keys).orderBy(F.col("similarity").desc(), F.col(topic_col))
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n) \
         .select(*keys, topic_col, "similarity", "rank")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.vectors import as_double_array, cosine
+from colloquy.functions.vectors import cosine
 from colloquy.operators import clustering as C
 from colloquy.operators import vectors as V
 from colloquy.operators.joins import join_small
@@ -95,15 +95,26 @@ def answer_count_per_group(docs: DataFrame, group_cols: list[str], id_col: str,
 
 def typical_answers_per_group(bag: DataFrame, group_cols: list[str], id_col: str, answer: str,
                               dim: int = 64, reduced: int = 2, rounds: int = 10,
-                              center: str = "median") -> DataFrame:
+                              center: str = "median", min_answers: int = 1) -> DataFrame:
     """Typical answers per group (topic): the full consistency plan.
 
     answers -> hashed vectors -> + mean row -> 2-d projection -> k sweep with
     Euclidean silhouette on the unscaled points -> first maximum -> points
     standardised per group -> k-means with that k (mean row included) ->
     mean row dropped -> per cluster the answer nearest the median/mean.
-    Groups with fewer than two answers return their answers as they are.
+    Every group gives a result: one with at most ``min_answers`` answers (one
+    at least) gives its most frequent answer (the smallest on ties, with its
+    smallest id), and one in which no k has a silhouette (such as equal
+    answers) is one cluster.
     """
+    n = bag.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    few = n.where(F.col("_n") <= max(1, min_answers)).select(*group_cols)
+    answered = bag.join(few, on=group_cols, how="left_semi").groupBy(*group_cols, answer).agg(
+        F.count(F.lit(1)).alias("_c"), F.min(id_col).alias("_id"))
+    first = F.min_by(F.struct("_id", answer), F.struct((-F.col("_c")).alias("neg"), F.col(answer)))
+    short = answered.groupBy(*group_cols).agg(first.alias("_f")).select(
+        *group_cols, F.lit(0).alias("cluster"), F.col("_f._id").alias(f"medoid_{id_col}"), F.col(f"_f.{answer}").alias(answer))
+    bag = bag.join(few, on=group_cols, how="left_anti")
     emb = V.hash_embed(bag.select(*group_cols, id_col, answer), answer, dim, "vec")
     pts = with_mean_row(emb.drop(answer), group_cols, id_col, "vec")
     checkpoint_dir(bag.sparkSession)
@@ -119,9 +130,10 @@ def typical_answers_per_group(bag: DataFrame, group_cols: list[str], id_col: str
     final = C.kmeans_fixed_k(scaled, group_cols, id_col, "vec", "best_k", rounds=rounds)
     final = final.join(pts.select(*group_cols, id_col, "is_mean"), on=[*group_cols, id_col])
     typ = C.typical_members(final, group_cols, id_col, "vec", "cluster", center, flag_col="is_mean")
+    alone = pts.where(~F.col("is_mean")).join(best, on=group_cols, how="left_anti")
+    whole = V.medoid(alone, group_cols, id_col, "vec", center).withColumn("cluster", F.lit(0))
+    typ = typ.select(*group_cols, "cluster", f"medoid_{id_col}").unionByName(
+        whole.select(*group_cols, "cluster", f"medoid_{id_col}"))
     answers = bag.select(*group_cols, F.col(id_col).alias(f"medoid_{id_col}"), answer)
     out = typ.join(answers, on=[*group_cols, f"medoid_{id_col}"], how="inner")
-    return out.select(*group_cols, "cluster", f"medoid_{id_col}", answer)
-
-
-__all__ = ["as_double_array"]
+    return out.select(*group_cols, "cluster", f"medoid_{id_col}", answer).unionByName(short)

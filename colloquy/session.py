@@ -22,18 +22,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "colloquy", conf: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with AQE and skew-join handling switched on.
 
-    On a cluster pass ``master=None`` and let the launcher decide; locally the
-    default is ``local[$BENCH_CPUS or 8]``.
+    On a cluster pass ``master=None`` and let the launcher decide; without one
+    it is ``local[*]``. Shuffle partitions and memory are the cluster's unless given.
     """
     builder = SparkSession.builder.appName(app)
     if master is None and not os.environ.get("SPARK_MASTER"):
-        master = f"local[{os.environ.get('BENCH_CPUS', '8')}]"
+        master = "local[*]"
     if master:
         builder = builder.master(master)
-    if shuffle_partitions is None:
-        shuffle_partitions = int(os.environ.get("BENCH_CPUS", "8"))
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in {**DEFAULT_CONF, **(conf or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

@@ -12,17 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
+# Text comes back as it was: blanks at the ends stay, and an empty text ("")
+# is told from a null (a bare \\N).
+CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": "false",
+               "ignoreTrailingWhiteSpace": "false", "nullValue": "\\N"}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
-             index_col: str | None = None) -> DataFrame:
+             index_col: str | None = None, multi_line: bool = True) -> DataFrame:
     """Read a headed CSV with a declared schema.
 
+    ``multi_line`` allows line feeds inside quoted text, and makes a file one
+    task; switch it off for large files without any.
+
     ``index_col`` names the first column as the row id (a pandas
     ``index_col=0`` file); it is renamed to ``row_id``.
     """
-    df = spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+    df = spark.read.options(**CSV_OPTIONS, multiLine=multi_line).schema(schema).csv(path)
     if index_col:
         df = df.withColumnRenamed(index_col, "row_id")
     return df
@@ -43,7 +49,7 @@ def read_tagged(spark: SparkSession, sheets: Mapping[str, str], fmt: str = "parq
         reader = spark.read
         if schema is not None:
             reader = reader.schema(schema)
-        df = reader.options(**CSV_OPTIONS).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+        df = reader.options(**CSV_OPTIONS, multiLine=True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
         parts.append(df.withColumn(tag_col, F.lit(tag)))
     out = parts[0]
     for p in parts[1:]:

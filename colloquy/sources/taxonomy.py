@@ -7,6 +7,7 @@ sublists. ``pos`` is the position in the list and decides ties.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,10 +90,10 @@ class Taxonomy:
         if label in self.keywords:
             words = list(self.keywords[label])
         else:
-            words = label.lower().split()
+            words = _letters(label)
             if with_sublabels:
                 for sub in self.sublists.get(label, []):
-                    words.extend(sub.lower().split())
+                    words.extend(_letters(sub))
         seen, out = set(), []
         for w in words:
             if w not in seen:
@@ -108,6 +109,11 @@ class Taxonomy:
         return out
 
 
+def _letters(label: str) -> list[str]:
+    """Lower-case letter runs, as the texts are tokenised."""
+    return re.findall(r"[^\W\d_]+", label.lower())
+
+
 def _tax(name, labels, sublists=None):
     return Taxonomy(name, tuple(labels), dict(sublists or {}))
 

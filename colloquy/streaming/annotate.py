@@ -8,14 +8,12 @@ the session's ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from colloquy.operators.scoring import KeywordScorer, cascade
-from colloquy.session import scratch_path
 from colloquy.sources.taxonomy import TOPIC_AMAZON, TOPIC_AMAZON_UNCASED, TOPIC_LEVEL1, TOPIC_LEVEL2, TOPIC_LEVEL3
 
 
@@ -38,8 +36,9 @@ def annotate_stream(spark: SparkSession, source_dir: str, schema: T.StructType,
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = annotate(reader.parquet(source_dir), text_col)
-    ckpt = checkpoint or scratch_path(spark, f"stream-{uuid.uuid4().hex}")
-    w = stream.writeStream.outputMode("append").option("checkpointLocation", ckpt)
+    if not checkpoint:  # a fresh folder would process everything again after a restart
+        raise ValueError("a stream needs a checkpoint folder that stays the same over restarts")
+    w = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     if sink == "memory":
         w = w.format("memory").queryName(query_name or "annotated")
     else:

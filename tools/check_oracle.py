@@ -39,7 +39,7 @@ def canon(rows, cols):
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
-    spark = get_spark()
+    spark = get_spark(shuffle_partitions=8, conf={"spark.driver.memory": "12g"})
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
