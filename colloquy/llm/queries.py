@@ -73,4 +73,13 @@ QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_decontamination, op3_host_quality, op4_arc_warc, op5_license_scan, op6_url_filter, op7_token_store,
     op8_jaccard_join, op9_config_packing, op10_hash_tree)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_arc_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
+             min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
+FROM d""",
+}
