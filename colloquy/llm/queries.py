@@ -73,7 +73,49 @@ QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_decontamination, op3_host_quality, op4_arc_warc, op5_license_scan, op6_url_filter, op7_token_store,
     op8_jaccard_join, op9_config_packing, op10_hash_tree)}
 
+_WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE: dict[str, str] = {
+    "op3_host_quality": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text,
+                  {_WORDS.format(text="text")} AS w FROM documents),
+l AS (SELECT rid, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS ln FROM d),
+win AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS k
+        FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM d) x),
+twice AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
+rep AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS j FROM twice) x GROUP BY rid),
+m AS (SELECT d.doc_id, d.source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+             (len(ln) - len(list_distinct(ln)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+      FROM d JOIN l ON l.rid = d.rid LEFT JOIN rep ON rep.rid = d.rid),
+t AS (SELECT *, n_words < {host_quality.MIN_WORDS}
+                OR n_repeat_words * 100 > n_words * {host_quality.MAX_REPEAT_PERCENT} AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR n_symbols * 2 > n_words OR n_dup_lines > 30
+             OR n_dup_lines * 20 > n_words OR word_chars > n_words * 15) AS f FROM t GROUP BY source),
+p AS (SELECT avg(f / n) AS mu, var_pop(f / n) AS v FROM h),
+s AS (SELECT mu, CASE WHEN v = 0 THEN {host_quality.PRIOR_STRENGTH[1]}::DOUBLE
+                      ELSE least({host_quality.PRIOR_STRENGTH[1]}::DOUBLE,
+                                 greatest({host_quality.PRIOR_STRENGTH[0]}::DOUBLE, mu * (1 - mu) / v - 1)) END AS s FROM p),
+bad AS (SELECT source, (f + mu * s) / (n + s) > {host_quality.MAX_RATE}::DOUBLE AS rejected FROM h CROSS JOIN s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR rejected) AS kept
+FROM t JOIN bad ON bad.source IS NOT DISTINCT FROM t.source""",
+    "op8_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=_LOWER.format(text="text"))} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+              ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM w),
+num AS (SELECT s, row_number() OVER () AS i FROM (SELECT DISTINCT s FROM sh) x),
+sets AS (SELECT doc_id, list_sort(list(i)) AS ids FROM sh JOIN num USING (s) GROUP BY doc_id),
+classes AS (SELECT min(doc_id) AS c, ids, len(ids) AS n FROM sets GROUP BY ids),
+inv AS (SELECT c, n, unnest(ids) AS i FROM classes),
+links AS (SELECT a.c AS a, b.c AS b FROM inv a JOIN inv b ON a.i = b.i AND a.c <> b.c AND a.n * 10 >= b.n * 8
+               AND b.n * 10 >= a.n * 8
+          GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(c, r) AS (SELECT c, c FROM classes UNION SELECT reach.c, links.b FROM reach JOIN links ON links.a = reach.r),
+comp AS (SELECT c, min(r) AS component_id FROM reach GROUP BY c)
+SELECT w.doc_id, coalesce(len(sets.ids), 0)::BIGINT AS n_shingles, coalesce(comp.component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN sets ON sets.doc_id = w.doc_id LEFT JOIN classes ON classes.ids = sets.ids LEFT JOIN comp ON comp.c = classes.c""",
     "op4_arc_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
