@@ -1,10 +1,8 @@
-"""Clustering of many small groups at once: Lloyd rounds, silhouettes, k rules.
+"""Clustering of many groups at once: Lloyd rounds, silhouettes, k rules.
 
-Layout: points are rows ``(group..., id, vec)``. A sweep over k replicates
-each point once per candidate k (at most 9 copies) so that every
-(group, k) clustering advances in the same Spark job; the per-round state
-(centres) is tiny and is checkpointed to the shared checkpoint folder every
-few rounds to cut lineage. No driver loop over groups.
+Layout: points are rows ``(group..., id, vec)``; ids and group keys may be of
+any type. All (group, k) clusterings of a sweep advance in the same Spark job
+and share one copy of the points. No driver loop over groups.
 
 Silhouettes:
 
@@ -12,10 +10,10 @@ Silhouettes:
   vectors, the mean cosine distance from x to C is (|C| - x^.S_C)/|C|
   (own cluster: remove x itself). One aggregation + one small join.
 * Euclidean: no linear form exists, so distances are computed exactly in
-  tiles: each group's points are hashed into ceil(n / tile) tiles, tile pairs
-  are co-grouped, and a numpy block computes the T x T distances inside the
-  task, emitting only per-(point, cluster) sums -- never point pairs. A hot
-  group is spread over (n / tile)^2 tasks.
+  tiles: each group's points are hashed into ceil(n / tile) tiles, every
+  unordered pair of tiles is one numpy block that emits per-(point, cluster)
+  sums for both sides -- never point pairs. A hot group is spread over
+  about (n / tile)^2 / 2 tasks.
 """
 
 from __future__ import annotations
@@ -24,12 +22,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from colloquy.functions.vectors import as_double_array, normalize, sq_dist
 from colloquy.operators import vectors as V
 from colloquy.operators.joins import join_small
-from colloquy.session import checkpoint_dir
+from colloquy.session import checkpoint_dir, ship_package
 
 MAX_K = 10
 
@@ -72,165 +69,157 @@ def first_points_as_centers(points: DataFrame, group_cols: list[str], id_col: st
     return firsts.select(*group_cols, (F.col("_rn") - 1).alias("rank"), as_double_array(vec_col).alias("center"))
 
 
-def init_centers(points: DataFrame, group_cols: list[str], id_col: str, vec_col: str,
-                 ks: DataFrame) -> DataFrame:
-    """Initial centres per (group, k): the first k points by id (deterministic).
-
-    ``ks`` has (group..., k). Output: one row per (group, k) with ``_centers``.
-    """
-    firsts = first_points_as_centers(points, group_cols, id_col, vec_col)
-    per_group = firsts.groupBy(*group_cols).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("rank").alias("cluster"), "center"))).alias("_firsts"))
-    j = ks.join(per_group, on=group_cols, how="inner")
-    return j.select(*group_cols, "k", F.slice("_firsts", 1, F.col("k")).alias("_centers"))
+def first_distinct(points: DataFrame, group_cols: list[str], id_col: str, vec_col: str,
+                   k_max: int = MAX_K) -> DataFrame:
+    """(group..., rank, center): the first k_max different vectors of each group, by their lowest id."""
+    once = points.groupBy(*group_cols, as_double_array(vec_col).alias("_v")).agg(F.min(id_col).alias("_first"))
+    return first_points_as_centers(once, group_cols, "_first", "_v", k_max)
 
 
-def _key_schema(df: DataFrame, keys: list[str]) -> str:
-    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+def _schema(df: DataFrame, cols: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
 
 
 def _nearest(X: np.ndarray, C: np.ndarray) -> np.ndarray:
-    """Index of the nearest centre (exact squared differences; first on ties)."""
-    d2 = ((X[:, None, :] - C[None, :, :]) ** 2).sum(-1)
-    return np.argmin(d2, axis=1)
-
-
-def _block_fn(keys: list[str], mode: str):
-    def fn(key, pts: pd.DataFrame, cen: pd.DataFrame) -> pd.DataFrame:
-        if pts.empty or cen.empty:
-            return pd.DataFrame({**{k: [] for k in keys}, **(
-                {"cluster": [], "_w": [], "_m": []} if mode == "partial" else {"_id": [], "cluster": []})})
-        cen = cen.sort_values("cluster")
-        C = np.stack(cen["center"].to_numpy())
-        X = np.stack(pts["_v"].to_numpy())
-        cl = cen["cluster"].to_numpy()
-        a = cl[_nearest(X, C)]
-        kv = {k: key[i] for i, k in enumerate(keys)}
-        if mode == "assign":
-            return pd.DataFrame({**{k: [v] * len(a) for k, v in kv.items()}, "_id": pts["_id"].to_numpy(),
-                                 "cluster": a})
-        labels, inv = np.unique(a, return_inverse=True)
-        w = np.bincount(inv).astype(np.float64)
-        sums = np.zeros((len(labels), X.shape[1]))
-        np.add.at(sums, inv, X)
-        means = sums / w[:, None]
-        return pd.DataFrame({**{k: [v] * len(labels) for k, v in kv.items()}, "cluster": labels, "_w": w,
-                             "_m": list(means)})
+    """Index of the nearest centre by squared distance; within 1e-9 of the smallest, the first."""
+    d2 = np.stack([((X - c) ** 2).sum(axis=1) for c in C], axis=1)
+    least = d2.min(axis=1, keepdims=True)
+    return np.argmax(d2 <= least + 1e-9 * (1.0 + least), axis=1)
+
+
+def _by_k(row):
+    """(k, cluster numbers, points, centres) for every k of a block of points."""
+    X = np.asarray(row["_vecs"], dtype=np.float64).reshape(len(row["_ids"]), -1)
+    C = np.asarray(row["_centers"], dtype=np.float64).reshape(len(row["_k"]), -1)
+    ks, clusters = np.asarray(row["_k"]), np.asarray(row["_cluster"])
+    for k in np.unique(ks):
+        yield int(k), clusters[ks == k], X, C[ks == k]
+
+
+def _partial_means(keys: list[str]):
+    def fn(frames):
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                key, hashes = [row[c] for c in keys], np.asarray(row["_hashes"])
+                for k, clusters, X, C in _by_k(row):
+                    near = _nearest(X, C)
+                    for j in np.unique(near):
+                        mine = near == j
+                        out.append((*key, k, int(clusters[j]), int(mine.sum()),
+                                    int(np.bitwise_xor.reduce(hashes[mine])), X[mine].mean(axis=0)))
+            yield pd.DataFrame(out, columns=[*keys, "k", "cluster", "_n", "_h", "_m"])
     return fn
 
 
-def lloyd(points: DataFrame, centers: DataFrame, keys: list[str], vec_col: str = "vec",
-          rounds: int = 10, checkpoint_every: int = 3, id_col: str | None = None,
-          block: int = 20_000, rows_per_part: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """Fixed number of Lloyd rounds for all keys at once.
+def _assignments(keys: list[str]):
+    def fn(frames):
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                for k, clusters, X, C in _by_k(row):
+                    yield pd.DataFrame({**{c: [row[c]] * len(X) for c in keys}, "k": k, "_id": list(row["_ids"]),
+                                        "cluster": clusters[_nearest(X, C)]})
+    return fn
 
-    Points are hash-partitioned once by (key, bucket) and checkpointed; the
-    checkpoint keeps that partitioning, so each round's co-group moves only
-    the small centre table (replicated per bucket). Inside a (key, bucket)
-    block numpy assigns points to the nearest centre and emits per-cluster
-    partial means; ``Summarizer`` combines them with their weights. A key
-    larger than ``block`` points is split into ceil(n / block) buckets, so a
-    hot group is spread over many tasks. A cluster that lost all members
-    keeps its centre. Returns (keys..., id, cluster) and the final centres.
+
+def lloyd(points: DataFrame, seeds: DataFrame, group_cols: list[str], id_col: str, vec_col: str = "vec",
+          block: int = 2_000, max_rounds: int = 300) -> tuple[DataFrame, DataFrame]:
+    """Lloyd's rounds for every (group, k) of ``seeds`` at once, until no assignment changes.
+
+    ``seeds`` holds (group..., k, cluster, center). The points are packed once,
+    one copy for all k, into checkpointed rows of about ``block`` points of a
+    group; a round joins the centres of its group to every such row (broadcast
+    if their size allows, see ``join_small``), so points are never shuffled
+    again and a hot group is many rows. Each row gives the partial mean,
+    count and xor of id hashes per (k, cluster); a (group, k) whose counts and
+    xors are those of the round before has the same assignment, and is left
+    out of further rounds. Distances within 1e-9 tie: the lowest cluster wins.
+    A cluster that lost its members keeps its centre; null vectors take no part.
+    After ``max_rounds`` the assignment of that round is given.
+    Returns (group..., k, id, cluster) and the centres (group..., k, cluster, center).
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    spark = points.sparkSession
-    checkpoint_dir(spark)
-    id_col = id_col or [c for c in points.columns if c not in keys and c != vec_col][0]
-    n_keys = centers.count()
-    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.select(*keys, F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block))).cast("int").alias("_s"))
-    sizes = sizes.checkpoint(eager=True)
-    pts = join_small(points.select(*keys, F.col(id_col).alias("_id"), as_double_array(vec_col).alias("_v")),
-                     sizes, on=keys, small_rows=n_keys)
-    pts = pts.withColumn("_bk", F.pmod(F.xxhash64("_id"), F.col("_s")).cast("int")).drop("_s")
-    # Lineage is cut by a reliable checkpoint. When the points fill at least
-    # spark.sql.shuffle.partitions partitions (Spark reuses an existing
-    # partitioning only then), a co-partitioned copy is cached -- a cached plan
-    # keeps its hash partitioning, a checkpoint does not -- so every round's
-    # co-group moves only the centre table. Smaller inputs are re-shuffled per
-    # round instead, which is cheap and lets AQE coalesce them into few tasks.
-    pts = pts.checkpoint(eager=True)
-    total = pts.count()
-    nparts = -(-total // rows_per_part)
-    if nparts >= int(spark.conf.get("spark.sql.shuffle.partitions")):
-        pts = pts.repartition(nparts, *keys, "_bk").persist()
-        pts.count()
-    ks = _key_schema(points, keys)
-    kept: list[DataFrame] = []
-
-    ckeys = [f"_c_{k}" for k in keys]
-
-    def centres_per_bucket(cl):
-        # key columns renamed: both co-group sides descend from the points
-        j = join_small(cl, sizes, on=keys, small_rows=n_keys)
-        return j.select(*[F.col(k).alias(c) for k, c in zip(keys, ckeys)],
-                        F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_c_bk"), "cluster", "center")
-
-    # centres in long form (key, cluster, centre): the new means are merged by
-    # a broadcast join on (key, cluster), no per-key regrouping per round
-    cl = centers.select(*keys, F.inline("_centers")).persist()
-    n_centres = cl.count()
-    for r in range(rounds):
-        cen = centres_per_bucket(cl)
-        partial = (pts.groupBy(*keys, "_bk").cogroup(cen.groupBy(*ckeys, "_c_bk"))
-                   .applyInPandas(_block_fn(keys, "partial"), f"{ks}, cluster int, _w double, _m array<double>"))
-        means = (partial.withColumn("_vv", array_to_vector("_m")).groupBy(*keys, "cluster")
-                 .agg(Summarizer.mean(F.col("_vv"), F.col("_w")).alias("_mean")))
-        new = means.select(*keys, "cluster", vector_to_array("_mean").alias("_new"))
-        merged = join_small(cl, new, on=[*keys, "cluster"], how="left", small_rows=n_centres)
-        cl = merged.select(*keys, "cluster", F.coalesce("_new", "center").alias("center"))
-        # Materialise the small centre table each round (it feeds the next
-        # round twice) and cut its lineage every few rounds.
-        if checkpoint_every and (r + 1) % checkpoint_every == 0:
-            cl = cl.checkpoint(eager=True)
-        else:
-            cl = cl.persist()
-            cl.count()
-        kept.append(cl)
-        if len(kept) > 2:
-            kept.pop(0).unpersist()
-    cen = centres_per_bucket(cl)
-    assigned = (pts.groupBy(*keys, "_bk").cogroup(cen.groupBy(*ckeys, "_c_bk"))
-                .applyInPandas(_block_fn(keys, "assign"), f"{ks}, _id long, cluster int"))
-    return assigned.withColumnRenamed("_id", id_col), centers_by_group(cl, keys)
+    ship_package(points.sparkSession)
+    checkpoint_dir(points.sparkSession)
+    pts = points.where(F.col(vec_col).isNotNull()).select(
+        *group_cols, F.col(id_col).alias("_id"), as_double_array(vec_col).alias("_v"))
+    sizes = pts.groupBy(*group_cols).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_blocks"))
+    pts = join_small(pts, sizes, on=group_cols).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")))
+    rows = pts.groupBy(*group_cols, "_block").agg(F.collect_list(F.struct("_id", "_v")).alias("_p"))
+    rows = rows.select(*group_cols, F.col("_p._id").alias("_ids"), F.flatten(F.col("_p._v")).alias("_vecs"),
+                       F.transform("_p", lambda x: F.xxhash64(x["_id"])).alias("_hashes")).checkpoint(eager=True)
+
+    clustering = [*group_cols, "k"]
+    state = seeds.select(*clustering, "cluster", "center", F.lit(-1).cast("long").alias("_n"),
+                         F.lit(0).cast("long").alias("_h"), F.lit(True).alias("_active"))
+    state = state.checkpoint(eager=True).persist()
+    schema = _schema(points, group_cols)
+
+    def with_centers(centres: DataFrame) -> tuple[DataFrame, DataFrame]:
+        packed = centres.groupBy(*group_cols).agg(
+            F.array_sort(F.collect_list(F.struct("k", "cluster", "center"))).alias("_c"))
+        packed = packed.select(*group_cols, F.col("_c.k").alias("_k"), F.col("_c.cluster").alias("_cluster"),
+                               F.flatten(F.col("_c.center")).alias("_centers")).persist()
+        return join_small(rows, packed, on=group_cols, small_rows=packed.count()), packed
+
+    active, done = state.count(), 0
+    while active and done < max_rounds:
+        joined, packed = with_centers(state.where("_active"))
+        partial = joined.mapInPandas(_partial_means(group_cols),
+                                     f"{schema}, k int, cluster int, _n long, _h long, _m array<double>")
+        new = partial.groupBy(*clustering, "cluster").agg(
+            F.sum("_n").alias("_n2"), F.bit_xor("_h").alias("_h2"),
+            Summarizer.mean(array_to_vector("_m"), F.col("_n").cast("double")).alias("_mean"))
+        new = new.withColumn("_new", vector_to_array("_mean")).drop("_mean")
+        n2, h2 = F.coalesce("_n2", F.lit(0)), F.coalesce("_h2", F.lit(0))
+        moved = F.col("_active") & ((n2 != F.col("_n")) | (h2 != F.col("_h")))
+        merged = state.join(new, on=[*clustering, "cluster"], how="left").select(
+            *clustering, "cluster", F.when(F.col("_active"), F.coalesce("_new", "center")).otherwise(F.col("center"))
+            .alias("center"), n2.alias("_n"), h2.alias("_h"),
+            F.max(moved).over(Window.partitionBy(*clustering)).alias("_active"))  # at most k rows each
+        before, state = state, merged.checkpoint(eager=True).persist()
+        active, done = state.where("_active").count(), done + 1
+        before.unpersist()
+        packed.unpersist()
+    joined, _ = with_centers(state)
+    ids = points.schema[id_col].dataType.simpleString()
+    assigned = joined.mapInPandas(_assignments(group_cols), f"{schema}, k int, _id {ids}, cluster int")
+    return assigned.withColumnRenamed("_id", id_col), state.select(*clustering, "cluster", "center")
 
 
 def k_candidates(points: DataFrame, group_cols: list[str], k_max: int = MAX_K) -> DataFrame:
     """(group..., n, k) for k = 2 .. min(k_max, n - 1); groups with n < 3 get none."""
     n = points.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"))
-    top = F.least(F.lit(k_max), F.col("n") - 1)
+    top = F.least(F.lit(k_max), F.col("n") - 1).cast("int")
     return n.where(F.col("n") >= 3).select(*group_cols, "n", F.explode(F.sequence(F.lit(2), top)).alias("k"))
 
 
-def kmeans_sweep(points: DataFrame, group_cols: list[str], id_col: str, vec_col: str,
-                 rounds: int = 10, k_max: int = MAX_K) -> DataFrame:
+def _seeds(points: DataFrame, ks: DataFrame, group_cols: list[str], id_col: str, vec_col: str,
+           flag_col: str | None, k_max: int = MAX_K) -> DataFrame:
+    """First different vectors per (group, k); rows flagged by ``flag_col`` never seed."""
+    own = points if flag_col is None else points.where(~F.col(flag_col))
+    firsts = first_distinct(own, group_cols, id_col, vec_col, k_max)
+    return firsts.join(ks, on=group_cols).where(F.col("rank") < F.col("k")).select(
+        *group_cols, F.col("k").cast("int").alias("k"), F.col("rank").cast("int").alias("cluster"), "center")
+
+
+def kmeans_sweep(points: DataFrame, group_cols: list[str], id_col: str, vec_col: str, k_max: int = MAX_K,
+                 flag_col: str | None = None, max_rounds: int = 300) -> DataFrame:
     """Cluster every group for every candidate k; returns (group..., k, id, cluster)."""
     ks = k_candidates(points, group_cols, k_max).drop("n")
-    pts = points.select(*group_cols, id_col, as_double_array(vec_col).alias(vec_col))
-    checkpoint_dir(points.sparkSession)
-    # The loop plans ~4 jobs per round; start it from a checkpointed input so
-    # every job plans a short lineage and a lost executor re-reads the file.
-    pts = pts.checkpoint(eager=True)
-    ks = ks.checkpoint(eager=True)
-    exploded = pts.join(ks, on=group_cols, how="inner")
-    centers = init_centers(pts, group_cols, id_col, vec_col, ks)
-    final, _ = lloyd(exploded, centers, [*group_cols, "k"], vec_col, rounds, id_col=id_col)
-    return final.select(*group_cols, "k", id_col, "cluster")
+    seeds = _seeds(points, ks, group_cols, id_col, vec_col, flag_col, k_max)
+    return lloyd(points, seeds, group_cols, id_col, vec_col, max_rounds=max_rounds)[0]
 
 
 def kmeans_fixed_k(points: DataFrame, group_cols: list[str], id_col: str, vec_col: str, k_col: str,
-                   rounds: int = 10) -> DataFrame:
+                   flag_col: str | None = None, max_rounds: int = 300) -> DataFrame:
     """Cluster every group with its own k (column ``k_col`` on the points)."""
-    checkpoint_dir(points.sparkSession)
-    pts = points.select(*group_cols, id_col, F.col(k_col).alias("k"),
-                        as_double_array(vec_col).alias(vec_col)).checkpoint(eager=True)
-    ks = pts.select(*group_cols, "k").distinct()
-    centers = init_centers(pts.drop("k"), group_cols, id_col, vec_col, ks)
-    final, _ = lloyd(pts, centers, [*group_cols, "k"], vec_col, rounds, id_col=id_col)
-    return final.join(points.select(*group_cols, id_col, vec_col), on=[*group_cols, id_col])
+    ks = points.select(*group_cols, F.col(k_col).alias("k")).distinct()
+    seeds = _seeds(points.drop("k"), ks, group_cols, id_col, vec_col, flag_col)
+    assigned, _ = lloyd(points, seeds, group_cols, id_col, vec_col, max_rounds=max_rounds)
+    return assigned.join(points.select(*group_cols, id_col, vec_col), on=[*group_cols, id_col])
 
 
 # ---------------------------------------------------------------------------
@@ -274,69 +263,63 @@ def silhouette_samples_cosine(df: DataFrame, group_cols: list[str], id_col: str,
                       .otherwise(_sil(F.col("a"), F.col("b"), F.col("_own"))).alias("s"))
 
 
-def _tile_block(cluster_count: int):
-    def fn(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def _distances(L: np.ndarray, R: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((L * L).sum(1)[:, None] + (R * R).sum(1)[None, :] - 2.0 * (L @ R.T), 0.0))
+
+
+def _tile_pairs(df: DataFrame, group_cols: list[str], tile: int) -> DataFrame:
+    """Points copied to every unordered pair (``_a`` <= ``_b``) of tiles that their own ``_tile`` is part of."""
+    sizes = df.groupBy(*group_cols).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("_m"))
+    pts = join_small(df, sizes, on=group_cols)
+    pts = pts.withColumn("_tile", F.pmod(F.xxhash64("_id"), F.col("_m")).cast("int"))
+    pts = pts.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    return pts.withColumn("_a", F.least("_tile", "_other")).withColumn("_b", F.greatest("_tile", "_other"))
+
+
+def _cluster_sums(keys: list[str]):
+    cols = [*keys, "_id", "_own", "_c", "_sum", "_cnt"]
+
+    def side(key, D: np.ndarray, rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        labels, inverse = np.unique(others["_own"].to_numpy(), return_inverse=True)
+        onehot = np.zeros((len(others), len(labels)))
+        onehot[np.arange(len(others)), inverse] = 1.0
+        n = len(rows)
+        return pd.DataFrame({**{c: [v] * (n * len(labels)) for c, v in zip(keys, key)},
+                             "_id": np.repeat(rows["_id"].to_numpy(), len(labels)),
+                             "_own": np.repeat(rows["_own"].to_numpy(), len(labels)), "_c": np.tile(labels, n),
+                             "_sum": (D @ onehot).reshape(-1), "_cnt": np.tile(onehot.sum(0), n)}, columns=cols)
+
+    def fn(key, pts: pd.DataFrame) -> pd.DataFrame:
+        group, a, b = key[:len(keys)], key[-2], key[-1]
+        left, right = pts[pts["_tile"] == a], pts[pts["_tile"] == b]
         if left.empty or right.empty:
-            return pd.DataFrame({"_g": [], "_id": [], "_c": [], "_sum": [], "_cnt": []})
-        L = np.stack(left["_v"].to_numpy())
-        R = np.stack(right["_rv"].to_numpy())
-        d2 = (L * L).sum(1)[:, None] + (R * R).sum(1)[None, :] - 2.0 * (L @ R.T)
-        D = np.sqrt(np.maximum(d2, 0.0))
-        same = left["_id"].to_numpy()[:, None] == right["_rid"].to_numpy()[None, :]
-        D[same] = 0.0
-        rc = right["_rc"].to_numpy().astype(np.int64)
-        onehot = np.zeros((len(rc), cluster_count))
-        onehot[np.arange(len(rc)), rc] = 1.0
-        sums = D @ onehot
-        cnt = onehot.sum(0)
-        nz = np.nonzero(cnt)[0]
-        nl = len(left)
-        return pd.DataFrame({
-            "_g": np.repeat(left["_g"].to_numpy(), len(nz)),
-            "_id": np.repeat(left["_id"].to_numpy(), len(nz)),
-            "_c": np.tile(nz, nl).astype(np.int64),
-            "_sum": sums[:, nz].reshape(-1),
-            "_cnt": np.tile(cnt[nz], nl),
-        })
+            return pd.DataFrame(columns=cols)
+        D = _distances(np.stack(left["_v"].to_numpy()), np.stack(right["_v"].to_numpy()))
+        if a == b:
+            np.fill_diagonal(D, 0.0)
+            return side(group, D, left, right)
+        return pd.concat([side(group, D, left, right), side(group, D.T, right, left)])
     return fn
 
 
 def silhouette_samples_euclid(df: DataFrame, group_cols: list[str], id_col: str, vec_col: str,
                               cluster_col: str = "cluster", tile: int = 1024) -> DataFrame:
-    """Per-point Euclidean silhouette, exact, computed in co-grouped tiles.
-
-    Cluster ids must be small non-negative integers (k-means labels).
-    """
-    keyed = df.withColumn("_g", F.xxhash64(*[F.col(c) for c in group_cols]))
-    sizes = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"),
-                                    F.max(cluster_col).alias("_cmax"))
-    kmax = sizes.agg(F.max("_cmax")).first()[0]
-    cluster_count = int(kmax) + 1 if kmax is not None else 1
-    sizes = sizes.withColumn("_m", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(tile)).cast("int")))
-    pts = join_small(keyed, sizes.select("_g", "_m"), on=["_g"])
-    pts = pts.select("_g", F.col(id_col).cast("long").alias("_id"), F.col(cluster_col).cast("long").alias("_c"),
-                     as_double_array(vec_col).alias("_v"),
-                     F.pmod(F.xxhash64(F.col(id_col)), F.col("_m")).cast("int").alias("_tile"), "_m")
-    left = pts.select("_g", F.col("_tile").alias("_a"), F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_b"),
-                      "_id", "_c", "_v")
-    right = pts.select(F.col("_g").alias("_rg"), F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_ra"),
-                       F.col("_tile").alias("_rb"), F.col("_id").alias("_rid"), F.col("_c").alias("_rc"),
-                       F.col("_v").alias("_rv"))
-    schema = "_g long, _id long, _c long, _sum double, _cnt double"
-    blocks = (left.groupBy("_g", "_a", "_b").cogroup(right.groupBy("_rg", "_ra", "_rb"))
-              .applyInPandas(_tile_block(cluster_count), schema))
-    per = blocks.groupBy("_g", "_id", "_c").agg(F.sum("_sum").alias("_sum"), F.sum("_cnt").alias("_cnt"))
-    own = keyed.select("_g", F.col(id_col).cast("long").alias("_id"), F.col(cluster_col).cast("long").alias("_own"),
-                       *group_cols, F.col(id_col).alias(id_col), F.col(cluster_col).alias(cluster_col))
-    j = per.join(own, on=["_g", "_id"])
-    j = j.withColumn("_mean", F.when(F.col("_c") == F.col("_own"),
-                                     F.when(F.col("_cnt") <= 1, F.lit(0.0)).otherwise(F.col("_sum") / (F.col("_cnt") - 1)))
-                     .otherwise(F.col("_sum") / F.col("_cnt")))
-    agg = j.groupBy(*group_cols, id_col, cluster_col).agg(
-        F.max(F.when(F.col("_c") == F.col("_own"), F.col("_mean"))).alias("a"),
-        F.max(F.when(F.col("_c") == F.col("_own"), F.col("_cnt"))).alias("_own_size"),
-        F.min(F.when(F.col("_c") != F.col("_own"), F.col("_mean"))).alias("b"))
-    return agg.select(*group_cols, id_col, cluster_col,
+    """Per-point Euclidean silhouette, exact, computed in blocks of two tiles of about ``tile`` points."""
+    ship_package(df.sparkSession)
+    pts = df.select(*group_cols, F.col(id_col).alias("_id"), F.col(cluster_col).alias("_own"),
+                    as_double_array(vec_col).alias("_v"))
+    types = {f.name: f.dataType.simpleString() for f in pts.schema}
+    schema = f"{_schema(pts, group_cols)}, _id {types['_id']}, _own {types['_own']}, _c {types['_own']}, " \
+             "_sum double, _cnt double"
+    blocks = (_tile_pairs(pts, group_cols, tile).select(*group_cols, "_a", "_b", "_tile", "_id", "_own", "_v")
+              .groupBy(*group_cols, "_a", "_b").applyInPandas(_cluster_sums(group_cols), schema))
+    per = blocks.groupBy(*group_cols, "_id", "_own", "_c").agg(F.sum("_sum").alias("_sum"), F.sum("_cnt").alias("_cnt"))
+    mine = F.col("_c") == F.col("_own")
+    within = F.when(F.col("_cnt") <= 1, F.lit(0.0)).otherwise(F.col("_sum") / (F.col("_cnt") - 1))
+    agg = per.groupBy(*group_cols, "_id", "_own").agg(
+        F.max(F.when(mine, within)).alias("a"), F.max(F.when(mine, F.col("_cnt"))).alias("_own_size"),
+        F.min(F.when(~mine, F.col("_sum") / F.col("_cnt"))).alias("b"))
+    return agg.select(*group_cols, F.col("_id").alias(id_col), F.col("_own").alias(cluster_col),
                       F.when(F.col("b").isNull(), F.lit(None).cast("double"))
                       .otherwise(_sil(F.col("a"), F.col("b"), F.col("_own_size"))).alias("s"))
 
@@ -397,28 +380,29 @@ def positional_ids(df: DataFrame, group_cols: list[str], order_col: str, out: st
     return positional_index(df, group_cols, [order_col], out)
 
 
-EMPTY = T.StructType([])
-
-
 # ---------------------------------------------------------------------------
 # dominant cluster: connected components of the eps-neighbour graph
 # ---------------------------------------------------------------------------
 
-def _min_label_block(eps: float):
-    big = np.iinfo(np.int64).max
+def _near_labels(keys: list[str], eps: float):
+    cols = [*keys, "_id", "_cand"]
 
-    def fn(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def fn(key, pts: pd.DataFrame) -> pd.DataFrame:
+        group, a, b = key[:len(keys)], key[-2], key[-1]
+        left, right = pts[pts["_tile"] == a], pts[pts["_tile"] == b]
         if left.empty or right.empty:
-            return pd.DataFrame({"_g": [], "_id": [], "_cand": []})
-        L = np.stack(left["_v"].to_numpy())
-        R = np.stack(right["_rv"].to_numpy())
-        d2 = (L * L).sum(1)[:, None] + (R * R).sum(1)[None, :] - 2.0 * (L @ R.T)
-        near = d2 <= eps * eps
-        same = left["_id"].to_numpy()[:, None] == right["_rid"].to_numpy()[None, :]
-        near |= same
-        rl = right["_rl"].to_numpy().astype(np.int64)
-        cand = np.where(near, rl[None, :], big).min(axis=1)
-        return pd.DataFrame({"_g": left["_g"].to_numpy(), "_id": left["_id"].to_numpy(), "_cand": cand})
+            return pd.DataFrame(columns=cols)
+        near = _distances(np.stack(left["_v"].to_numpy()), np.stack(right["_v"].to_numpy())) <= eps
+        none = np.iinfo(np.int64).max
+        ids = [left["_id"].to_numpy()]
+        found = [np.where(near, right["_l"].to_numpy()[None, :], none).min(axis=1)]
+        if a != b:
+            ids.append(right["_id"].to_numpy())
+            found.append(np.where(near, left["_l"].to_numpy()[:, None], none).min(axis=0))
+        ids, found = np.concatenate(ids), np.concatenate(found)
+        some = found < none
+        return pd.DataFrame({**{c: [v] * int(some.sum()) for c, v in zip(keys, group)}, "_id": ids[some],
+                             "_cand": found[some]}, columns=cols)
     return fn
 
 
@@ -426,41 +410,34 @@ def eps_components(df: DataFrame, group_cols: list[str], id_col: str, vec_col: s
                    tile: int = 1024) -> DataFrame:
     """Connected components of the graph 'Euclidean distance <= eps' per group.
 
-    Exact: labels start as the point ids and every round each point takes the
-    smallest label within eps (computed in co-grouped tiles, never emitting
-    point pairs), until no label changes. Labels are checkpointed each round.
-    Returns (group..., id, component) with component = smallest id in it.
+    Exact: labels start as row numbers; every round each point takes the
+    smallest label within eps (in blocks of two tiles, never emitting point
+    pairs), then the label of its label, until nothing changes. Labels are
+    checkpointed each round. Returns (group..., id, component) with
+    component = smallest id in it; ids may be of any orderable type.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    keyed = df.select(*group_cols, F.col(id_col).cast("long").alias("_id"), as_double_array(vec_col).alias("_v"))
-    keyed = keyed.withColumn("_g", F.xxhash64(*[F.col(c) for c in group_cols]))
-    sizes = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_m", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(tile)).cast("int")))
-    pts = join_small(keyed, sizes.select("_g", "_m"), on=["_g"])
-    pts = pts.withColumn("_tile", F.pmod(F.xxhash64("_id"), F.col("_m")).cast("int")).checkpoint(eager=True)
-    left = pts.select("_g", F.col("_tile").alias("_a"), F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_b"),
-                      "_id", "_v")
-    labels = pts.select("_g", "_id", F.col("_id").alias("_l")).checkpoint(eager=True)
-    fn = _min_label_block(eps)
-    while True:
-        rl = pts.join(labels, on=["_g", "_id"])
-        right = rl.select(F.col("_g").alias("_rg"), F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_ra"),
-                          F.col("_tile").alias("_rb"), F.col("_id").alias("_rid"), F.col("_v").alias("_rv"),
-                          F.col("_l").alias("_rl"))
-        cand = (left.groupBy("_g", "_a", "_b").cogroup(right.groupBy("_rg", "_ra", "_rb"))
-                .applyInPandas(fn, "_g long, _id long, _cand long"))
-        best = cand.groupBy("_g", "_id").agg(F.min("_cand").alias("_c"))
-        new = labels.join(best, on=["_g", "_id"]).select(
-            "_g", "_id", F.least("_l", "_c").alias("_l"), (F.col("_c") < F.col("_l")).alias("_changed"))
-        new = new.checkpoint(eager=True)
-        changed = new.where("_changed").count()
-        labels = new.drop("_changed")
-        if changed == 0:
-            break
-    out = keyed.join(labels, on=["_g", "_id"]).select(*group_cols, F.col("_id").alias(id_col),
-                                                       F.col("_l").alias("component"))
-    return out
+    ship_package(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
+    pts = df.select(*group_cols, F.col(id_col).alias("_key"), as_double_array(vec_col).alias("_v")) \
+        .withColumn("_id", F.monotonically_increasing_id()).checkpoint(eager=True)
+    labels = pts.select("_id", F.col("_id").alias("_l"))
+    schema = f"{_schema(pts, group_cols)}, _id long, _cand long"
+    changed = 1
+    while changed:
+        pairs = _tile_pairs(pts.drop("_key").join(labels, on="_id"), group_cols, tile)
+        cand = (pairs.select(*group_cols, "_a", "_b", "_tile", "_id", "_l", "_v").groupBy(*group_cols, "_a", "_b")
+                .applyInPandas(_near_labels(group_cols, eps), schema))
+        best = cand.groupBy("_id").agg(F.min("_cand").alias("_c"))
+        new = labels.join(best, on="_id", how="left").select(
+            "_id", F.col("_l").alias("_old"), F.least("_l", "_c").alias("_l")).checkpoint(eager=True)
+        # a label is a row of the same component, whose own label is as small or smaller
+        step = new.select(F.col("_id").alias("_l"), F.col("_l").alias("_jump"))
+        new = new.join(step, on="_l").select("_id", "_old", F.col("_jump").alias("_l")).checkpoint(eager=True)
+        changed = new.where(F.col("_l") != F.col("_old")).limit(1).count()
+        labels = new.drop("_old")
+    out = pts.join(labels, on="_id")
+    names = out.groupBy("_l").agg(F.min("_key").alias("component"))
+    return out.join(names, on="_l").select(*group_cols, F.col("_key").alias(id_col), "component")
 
 
 def dominant_clusters(df: DataFrame, group_cols: list[str], id_col: str, vec_col: str, eps: float,

@@ -63,13 +63,27 @@ def answer_bag(qa: DataFrame, group_cols: list[str], question: str, answer: str,
 
 
 def with_mean_row(points: DataFrame, group_cols: list[str], id_col: str, vec_col: str) -> DataFrame:
-    """Points plus each group's mean vector as an extra point with id -1, flagged."""
+    """Points plus each group's mean vector, flagged ``is_mean``; ``_row`` numbers all rows.
+
+    Checkpointed, so the numbers stay; they stand in for ids, which the mean rows lack.
+    """
+    checkpoint_dir(points.sparkSession)
     u = V.append_mean_row(points, group_cols, id_col, vec_col)
-    return u.withColumn(id_col, F.coalesce(F.col(id_col), F.lit(-1).cast(points.schema[id_col].dataType)))
+    return u.withColumn("_row", F.monotonically_increasing_id()).checkpoint(eager=True)
+
+
+def _sweep(pts: DataFrame, group_cols: list[str], id_col: str) -> DataFrame:
+    """Every candidate k of every group; seeds are the first own vectors by id."""
+    ks = C.k_candidates(pts, group_cols).drop("n")
+    firsts = C.first_distinct(pts.where(~F.col("is_mean")), group_cols, id_col, "vec")
+    seeds = firsts.join(ks, on=group_cols).where(F.col("rank") < F.col("k")).select(
+        *group_cols, "k", F.col("rank").cast("int").alias("cluster"), "center")
+    assigned, _ = C.lloyd(pts, seeds, group_cols, "_row", "vec")
+    return assigned.join(pts.select("_row", "vec"), on="_row")
 
 
 def answer_count_per_group(docs: DataFrame, group_cols: list[str], id_col: str, text_col: str,
-                           dim: int = 64, reduced: int = 50, rounds: int = 10) -> DataFrame:
+                           dim: int = 64, reduced: int = 50) -> DataFrame:
     """Number of distinct answers per group by the count rule.
 
     texts -> hashed vectors -> + group mean row -> random projection ->
@@ -77,15 +91,12 @@ def answer_count_per_group(docs: DataFrame, group_cols: list[str], id_col: str,
     per-point silhouettes -> k with most points above the mean (1 if none).
     """
     emb = V.hash_embed(docs.select(*group_cols, id_col, text_col), text_col, dim, "vec").drop(text_col)
+    emb = V.project(emb, "vec", dim, reduced, "vec")  # linear: the mean row may be added before or after
     pts = with_mean_row(emb, group_cols, id_col, "vec")
-    pts = V.project(pts, "vec", dim, reduced, "vec").select(*group_cols, id_col, "vec", "is_mean")
-    checkpoint_dir(docs.sparkSession)
-    pts = pts.checkpoint(eager=True)
-    a = C.kmeans_sweep(pts, group_cols, id_col, "vec", rounds=rounds)
-    j = a.join(pts.select(*group_cols, id_col, "vec"), on=[*group_cols, id_col])
+    j = _sweep(pts, group_cols, id_col).persist()
     keys = [*group_cols, "k"]
-    se = C.silhouette_samples_euclid(j, keys, id_col, "vec", "cluster", tile=512)
-    mc = C.silhouette(C.silhouette_samples_cosine(j, keys, id_col, "vec", "cluster"), keys)
+    se = C.silhouette_samples_euclid(j, keys, "_row", "vec", "cluster", tile=512)
+    mc = C.silhouette(C.silhouette_samples_cosine(j, keys, "_row", "vec", "cluster"), keys)
     cnt = C.count_above_mean(se, mc, keys)
     best = C.best_k_by_count(cnt, group_cols)
     groups = docs.select(*group_cols).distinct()
@@ -94,7 +105,7 @@ def answer_count_per_group(docs: DataFrame, group_cols: list[str], id_col: str,
 
 
 def typical_answers_per_group(bag: DataFrame, group_cols: list[str], id_col: str, answer: str,
-                              dim: int = 64, reduced: int = 2, rounds: int = 10,
+                              dim: int = 64, reduced: int = 2,
                               center: str = "median", min_answers: int = 1) -> DataFrame:
     """Typical answers per group (topic): the full consistency plan.
 
@@ -116,19 +127,17 @@ def typical_answers_per_group(bag: DataFrame, group_cols: list[str], id_col: str
         *group_cols, F.lit(0).alias("cluster"), F.col("_f._id").alias(f"medoid_{id_col}"), F.col(f"_f.{answer}").alias(answer))
     bag = bag.join(few, on=group_cols, how="left_anti")
     emb = V.hash_embed(bag.select(*group_cols, id_col, answer), answer, dim, "vec")
-    pts = with_mean_row(emb.drop(answer), group_cols, id_col, "vec")
-    checkpoint_dir(bag.sparkSession)
-    pts = V.project(pts, "vec", dim, reduced, "vec").select(*group_cols, id_col, "vec", "is_mean")
-    pts = pts.checkpoint(eager=True)
-    a = C.kmeans_sweep(pts, group_cols, id_col, "vec", rounds=rounds)
-    j = a.join(pts.select(*group_cols, id_col, "vec"), on=[*group_cols, id_col])
+    emb = V.project(emb.drop(answer), "vec", dim, reduced, "vec")
+    pts = with_mean_row(emb, group_cols, id_col, "vec")
     keys = [*group_cols, "k"]
-    sil = C.silhouette(C.silhouette_samples_euclid(j, keys, id_col, "vec", "cluster", tile=512), keys)
-    best = C.best_k_first_max(sil, group_cols).select(*group_cols, F.col("k").alias("best_k"))
-    scaled = V.standardize(pts, group_cols, "vec", "vec")
-    scaled = scaled.join(best, on=group_cols, how="inner")
-    final = C.kmeans_fixed_k(scaled, group_cols, id_col, "vec", "best_k", rounds=rounds)
-    final = final.join(pts.select(*group_cols, id_col, "is_mean"), on=[*group_cols, id_col])
+    samples = C.silhouette_samples_euclid(_sweep(pts, group_cols, id_col), keys, "_row", "vec", "cluster", tile=512)
+    best = C.best_k_first_max(C.silhouette(samples, keys), group_cols).select(*group_cols, "k").persist()
+    scaled = V.standardize(pts, group_cols, "vec", "vec").join(best, on=group_cols).checkpoint(eager=True)
+    firsts = C.first_distinct(scaled.where(~F.col("is_mean")), group_cols, id_col, "vec")
+    seeds = firsts.join(best, on=group_cols).where(F.col("rank") < F.col("k")).select(
+        *group_cols, "k", F.col("rank").cast("int").alias("cluster"), "center")
+    assigned, _ = C.lloyd(scaled, seeds, group_cols, "_row", "vec")
+    final = assigned.select("_row", "cluster").join(scaled.drop("k"), on="_row")
     typ = C.typical_members(final, group_cols, id_col, "vec", "cluster", center, flag_col="is_mean")
     alone = pts.where(~F.col("is_mean")).join(best, on=group_cols, how="left_anti")
     whole = V.medoid(alone, group_cols, id_col, "vec", center).withColumn("cluster", F.lit(0))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from colloquy.catalog import query, rnd
 from colloquy.functions.vectors import as_double_array
 from colloquy.operators import clustering as C
-from colloquy.operators import vectors as V
 from colloquy.queries.q_vectors import EV
+from colloquy.queries.sqlparts import bag_vectors_sql, lloyd_sql, silhouette_sql
 from colloquy.sources.tables import table
 
 
@@ -170,36 +170,86 @@ def best_k_by_count(spark, sf_dir):
                     rnd("ratio").alias("ratio"))
 
 
-@query("kmeans_sweep")
+# Rounds that the tables need until no assignment changes, with some to spare.
+SWEEP_ROUNDS = 20
+_POINTS = """
+pts AS MATERIALIZED (SELECT label AS g, vec_id AS id, embedding::DOUBLE[] AS vec, true AS own FROM embeddings),
+pairs AS MATERIALIZED (SELECT a.g, a.id AS i, b.id AS j, list_distance(a.vec, b.vec) AS d FROM pts a
+                       JOIN pts b ON b.g = a.g)"""
+
+
+@query("kmeans_sweep", f"""WITH {_POINTS},
+n AS (SELECT g, count(*) AS n FROM pts GROUP BY g),
+ks AS (SELECT g, k FROM n, range(2, 11) r(k) WHERE n >= 3 AND k <= n - 1),
+{lloyd_sql("km", "pts", "ks", SWEEP_ROUNDS)},
+{silhouette_sql("sil", "km_cl", "pairs")}
+SELECT g AS label, k::INTEGER AS k, round(avg(s), 6) AS silhouette FROM sil_s GROUP BY g, k""")
 def kmeans_sweep(spark, sf_dir):
     """Lloyd k-means for every label group and k = 2..10 at once, with the Euclidean
-    silhouette of each clustering (rows-only check: no SQL form of the loop)."""
+    silhouette of each clustering."""
     pts = _emb(spark, sf_dir)
-    a = C.kmeans_sweep(pts, ["label"], "vec_id", "vec", rounds=10)
+    a = C.kmeans_sweep(pts, ["label"], "vec_id", "vec")
     j = a.join(pts.select("vec_id", "vec"), on="vec_id")
     s = C.silhouette_samples_euclid(j, ["label", "k"], "vec_id", "vec", "cluster", tile=256)
     return C.silhouette(s, ["label", "k"]).select("label", "k", rnd("silhouette").alias("silhouette"))
 
 
-@query("dominant_cluster")
+@query("dominant_cluster", f"""WITH RECURSIVE {_POINTS},
+reach(g, i, j) AS (SELECT g, id, id FROM pts
+                   UNION SELECT r.g, r.i, p.j FROM reach r JOIN pairs p ON p.g = r.g AND p.i = r.j WHERE p.d <= 1.25),
+comp AS (SELECT g, i AS id, min(j) AS comp FROM reach GROUP BY g, i),
+n AS (SELECT g, count(*) AS n FROM pts GROUP BY g),
+sizes AS (SELECT g, comp, count(*) AS size FROM comp GROUP BY g, comp),
+big AS (SELECT s.g, s.comp, s.size FROM sizes s JOIN n ON n.g = s.g WHERE s.size >= greatest(2, n.n // 2)),
+cl AS (SELECT c.g, 0 AS k, c.id, coalesce(1 + b.comp, 0) AS c FROM comp c LEFT JOIN big b ON b.g = c.g AND b.comp = c.comp),
+fit AS (SELECT g FROM cl GROUP BY g HAVING count(DISTINCT c) BETWEEN 2 AND count(*) - 1),
+{silhouette_sql("sil", "cl", "pairs")},
+mean AS (SELECT sil_s.g, avg(s) AS s FROM sil_s JOIN fit ON fit.g = sil_s.g GROUP BY sil_s.g),
+top AS (SELECT g, count(*) AS n_clusters, max(size) AS size FROM big GROUP BY g)
+SELECT n.g AS label, n.n::BIGINT AS n, coalesce(top.n_clusters, 0)::INTEGER AS n_clusters,
+       round(coalesce(top.size / n.n, 0.0), 6) AS dominant_share, round(mean.s, 6) AS silhouette
+FROM n LEFT JOIN top ON top.g = n.g LEFT JOIN mean ON mean.g = n.g""")
 def dominant_cluster(spark, sf_dir):
     """Per label group: density clusters of at least half the group (eps = 1.25),
-    their count, the dominant share and the silhouette (rows-only check)."""
+    their count, the dominant share and the silhouette."""
     _, summary = C.dominant_clusters(_emb(spark, sf_dir), ["label"], "vec_id", "vec", eps=1.25)
     return summary.select("label", "n", F.col("n_clusters").cast("int").alias("n_clusters"),
                           rnd("dominant_share").alias("dominant_share"), rnd("silhouette").alias("silhouette"))
 
 
-@query("group_answer_count")
+_COSINE_PAIRS = """
+cpairs AS MATERIALIZED (SELECT a.g, a.id AS i, b.id AS j,
+    CASE WHEN a.id = b.id THEN 0.0 ELSE 1.0 - list_dot_product(a.vec, b.vec)
+         / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))) END AS d
+    FROM pts a JOIN pts b ON b.g = a.g)"""
+
+
+@query("group_answer_count", f"""WITH
+src AS (SELECT source || '/' || lang AS g, source, lang, doc_id AS id, text FROM documents),
+{bag_vectors_sql("src", "id", "text", 64, 50)},
+pts AS MATERIALIZED (SELECT s.g, s.id, v.vec, true AS own FROM src s JOIN bag_v v ON v.id = s.id
+    UNION ALL SELECT g, -1, list(x ORDER BY dim), false FROM (
+      SELECT s.g, v.dim, avg(v.x) AS x FROM src s JOIN bag_p v ON v.id = s.id GROUP BY s.g, v.dim) m GROUP BY g),
+pairs AS MATERIALIZED (SELECT a.g, a.id AS i, b.id AS j, list_distance(a.vec, b.vec) AS d FROM pts a JOIN pts b ON b.g = a.g),
+{_COSINE_PAIRS},
+n AS (SELECT g, count(*) AS n FROM pts GROUP BY g),
+ks AS (SELECT g, k FROM n, range(2, 11) r(k) WHERE n >= 3 AND k <= n - 1),
+{lloyd_sql("km", "pts", "ks", SWEEP_ROUNDS)},
+{silhouette_sql("se", "km_cl", "pairs")},
+{silhouette_sql("sc", "km_cl", "cpairs")},
+mc AS (SELECT g, k, avg(s) AS mu FROM sc_s GROUP BY g, k),
+cnt AS (SELECT se_s.g, se_s.k, count(*) FILTER (WHERE se_s.s > mc.mu) AS above FROM se_s JOIN mc ON mc.g = se_s.g AND mc.k = se_s.k
+        GROUP BY se_s.g, se_s.k),
+best AS (SELECT g, CASE WHEN above > 0 THEN k ELSE 1 END AS k FROM cnt
+         QUALIFY row_number() OVER (PARTITION BY g ORDER BY above DESC, k) = 1)
+SELECT o.source AS chatbot, o.lang AS group_id, coalesce(best.k, 1)::INTEGER AS n_clusters
+FROM (SELECT DISTINCT g, source, lang FROM src) o LEFT JOIN best ON best.g = o.g""")
 def group_answer_count(spark, sf_dir):
     """Distinct answers per (chatbot = source, group = lang) of documents: hashed
-    vectors + the mean row, 50-d projection, k sweep, count rule (rows-only)."""
+    vectors + the mean row, 50-d projection, k sweep, count rule."""
     from colloquy.plans.consistency import answer_count_per_group
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     out = answer_count_per_group(docs, ["source", "lang"], "doc_id", "text")
     return out.select(F.col("source").alias("chatbot"), F.col("lang").alias("group_id"),
                       F.col("k").cast("int").alias("n_clusters"))
-
-
-__all__ = ["V"]

@@ -101,3 +101,64 @@ def cascade_sql(source: str, id_col: str, text_col: str, levels, flat=(), keep:
         cols += [f"{p}_top.label AS {base}", f"round({p}_top.score, 6) AS {base}_SCORE"]
     return ("WITH " + (pre + "," if pre else "") + ",".join(ctes) + f"\nSELECT {keep}s.{id_col}, " + ", ".join(cols)
             + f" FROM {source} s " + " ".join(joins))
+
+
+def bag_vectors_sql(source: str, id_col: str, text_col: str, dim: int, reduced: int, prefix: str = "bag") -> str:
+    """Hashed, normalised and sign-projected vectors: ``{prefix}_p(id, dim, x)`` and ``{prefix}_v(id, vec)``."""
+    p = prefix
+    return f"""
+{p}_t AS (SELECT {id_col} AS id, unnest({TOKENS.format(text=text_col)}) AS tok FROM {source}),
+{p}_b AS (SELECT id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % {dim} AS b, count(*)::DOUBLE AS c FROM {p}_t
+          WHERE tok <> '' GROUP BY ALL),
+{p}_n AS (SELECT id, sqrt(sum(c * c)) AS nn FROM {p}_b GROUP BY id),
+{p}_r AS (SELECT b, dim, CASE WHEN substr(md5(b::VARCHAR || '_' || dim::VARCHAR), 1, 1) < '8' THEN 1.0 ELSE -1.0 END
+                 / sqrt({reduced}::DOUBLE) AS r FROM range(0, {dim}) x(b), range(0, {reduced}) y(dim)),
+{p}_h AS (SELECT h.id, r.dim, sum(h.c / n.nn * r.r) AS x FROM {p}_b h JOIN {p}_n n ON n.id = h.id
+          JOIN {p}_r r ON r.b = h.b GROUP BY h.id, r.dim),
+{p}_p AS MATERIALIZED (SELECT s.{id_col} AS id, d.dim, coalesce(h.x, 0.0) AS x FROM {source} s
+          CROSS JOIN range(0, {reduced}) d(dim) LEFT JOIN {p}_h h ON h.id = s.{id_col} AND h.dim = d.dim),
+{p}_v AS MATERIALIZED (SELECT id, list(x ORDER BY dim) AS vec FROM {p}_p GROUP BY id)"""
+
+
+def lloyd_sql(prefix: str, points: str, ks: str, rounds: int) -> str:
+    """K-means from the first different vectors, unrolled: CTE ``{prefix}_cl(g, k, id, c)``.
+
+    ``points`` is (g, id, vec, own): only own rows seed, the lowest ids first; ``ks`` is (g, k).
+    ``rounds`` must be at least what the data needs until no assignment changes.
+    """
+    p = prefix
+    ctes = [f"""
+{p}_v AS (SELECT g, vec, min(id) AS id FROM {points} WHERE own GROUP BY g, vec),
+{p}_f AS (SELECT g, vec, row_number() OVER (PARTITION BY g ORDER BY id) - 1 AS c FROM {p}_v QUALIFY c < 10),
+{p}_c0 AS MATERIALIZED (SELECT f.g, ks.k, f.c, f.vec AS center FROM {p}_f f JOIN {ks} ks ON ks.g = f.g WHERE f.c < ks.k)"""]
+    for i in range(rounds + 1):
+        ctes.append(f"""
+{p}_d{i} AS (SELECT p.g, p.id, c.k, c.c, list_distance(p.vec, c.center) ** 2 AS d2
+             FROM {points} p JOIN {p}_c{i} c ON c.g = p.g),
+{p}_l{i} AS (SELECT *, min(d2) OVER (PARTITION BY g, k, id) AS least FROM {p}_d{i}),
+{p}_a{i} AS MATERIALIZED (SELECT g, k, id, min(c) AS c FROM {p}_l{i} WHERE d2 <= least + 1e-9 * (1.0 + least)
+                          GROUP BY g, k, id)""")
+        if i < rounds:
+            ctes.append(f"""
+{p}_x{i} AS (SELECT a.g, a.k, a.c, unnest(range(1, len(p.vec) + 1)) AS dim, unnest(p.vec) AS x
+             FROM {p}_a{i} a JOIN {points} p ON p.g = a.g AND p.id = a.id),
+{p}_y{i} AS (SELECT g, k, c, dim, avg(x) AS x FROM {p}_x{i} GROUP BY g, k, c, dim),
+{p}_m{i} AS (SELECT g, k, c, list(x ORDER BY dim) AS center FROM {p}_y{i} GROUP BY g, k, c),
+{p}_c{i + 1} AS MATERIALIZED (SELECT c.g, c.k, c.c, coalesce(m.center, c.center) AS center FROM {p}_c{i} c
+                              LEFT JOIN {p}_m{i} m ON m.g = c.g AND m.k = c.k AND m.c = c.c)""")
+    ctes.append(f"\n{p}_cl AS (SELECT * FROM {p}_a{rounds})")
+    return ",".join(ctes)
+
+
+def silhouette_sql(prefix: str, clusters: str, pairs: str) -> str:
+    """Samples ``{prefix}_s(g, k, id, s)`` of ``clusters`` (g, k, id, c) from ``pairs`` (g, i, j, d)."""
+    p = prefix
+    return f"""
+{p}_m AS (SELECT a.g, a.k, a.id, a.c AS own, b.c, sum(d.d) AS s, count(*) AS n FROM {clusters} a
+          JOIN {pairs} d ON d.g = a.g AND d.i = a.id JOIN {clusters} b ON b.g = a.g AND b.k = a.k AND b.id = d.j
+          GROUP BY a.g, a.k, a.id, a.c, b.c),
+{p}_ab AS (SELECT g, k, id, max(n) FILTER (WHERE c = own) AS size,
+                  max(CASE WHEN n <= 1 THEN 0.0 ELSE s / (n - 1) END) FILTER (WHERE c = own) AS a,
+                  min(s / n) FILTER (WHERE c <> own) AS b FROM {p}_m GROUP BY g, k, id),
+{p}_s AS (SELECT g, k, id, CASE WHEN b IS NULL THEN NULL WHEN size <= 1 OR greatest(a, b) = 0 THEN 0.0
+                                ELSE (b - a) / greatest(a, b) END AS s FROM {p}_ab)"""

@@ -67,7 +67,7 @@ def test_singleton_cluster_scores_zero(spark):
 
 def test_kmeans_sweep_invariants(spark):
     df, _ = _blobs(spark, n=12)
-    a = C.kmeans_sweep(df.drop("cluster"), ["grp"], "id", "vec", rounds=5)
+    a = C.kmeans_sweep(df.drop("cluster"), ["grp"], "id", "vec")
     rows = a.collect()
     ks = {(r.grp, r.k) for r in rows}
     assert ks == {(g, k) for g in ("g1", "g2") for k in range(2, 11)}
@@ -76,7 +76,7 @@ def test_kmeans_sweep_invariants(spark):
         per.setdefault((r.grp, r.k), []).append(r)
         assert 0 <= r.cluster < r.k
     assert all(len(v) == 12 for v in per.values())  # every point exactly once per k
-    again = C.kmeans_sweep(df.drop("cluster").repartition(3), ["grp"], "id", "vec", rounds=5)
+    again = C.kmeans_sweep(df.drop("cluster").repartition(3), ["grp"], "id", "vec")
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))  # order / partitioning free
 
 

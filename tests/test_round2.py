@@ -15,7 +15,7 @@ def test_typical_answers_keep_every_group(spark):
     rows += [("mixed", 30 + i, t) for i, t in enumerate(["i like cats", "i like cats", "cats i like", "never mind the weather",
                                                          "never mind the weather", "the weather never mind"])]
     bag = spark.createDataFrame(rows, "topic string, id long, answer string")
-    got = consistency.typical_answers_per_group(bag, ["topic"], "id", "answer", rounds=2).collect()
+    got = consistency.typical_answers_per_group(bag, ["topic"], "id", "answer").collect()
     by = {}
     for r in got:
         by.setdefault(r["topic"], []).append(r["answer"])
@@ -26,7 +26,7 @@ def test_typical_answers_keep_every_group(spark):
 def test_few_answers_give_the_majority(spark):
     rows = [("a", 1, "x"), ("a", 2, "y"), ("a", 3, "y")]
     bag = spark.createDataFrame(rows, "topic string, id long, answer string")
-    got = consistency.typical_answers_per_group(bag, ["topic"], "id", "answer", rounds=1, min_answers=3).collect()
+    got = consistency.typical_answers_per_group(bag, ["topic"], "id", "answer", min_answers=3).collect()
     assert [(r["topic"], r["medoid_id"], r["answer"]) for r in got] == [("a", 2, "y")]
 
 
