@@ -72,7 +72,9 @@ def alpha(ratings: DataFrame, unit_cols: list[str], value_col: str = "value", le
         checks.append(F.max(F.when(~F.array_contains(dom, F.col("v")), 1).otherwise(0)).alias("out_of_domain"))
     exp = vals.groupBy(*g).agg(*checks)
     exp = exp.withColumn("de", _pair_sum(F.col("n"), F.col("q"), F.col("s1"), F.col("s2"), level))
-    j = obs.join(exp.select(*g, "de", "n", *(["out_of_domain"] if value_domain is not None else [])), on=g)
+    # both sides hold one row a group: stacked and folded, which needs no join (and no product without groups)
+    both = obs.unionByName(exp.drop("q", "s1", "s2"), allowMissingColumns=True)
+    j = both.groupBy(*g).agg(*[F.max(c).alias(c) for c in both.columns if c not in g])
     a = F.when(F.col("de") == 0, F.lit(None).cast("double")).otherwise(
         F.lit(1.0) - (F.col("n") - 1) * F.col("do") / F.col("de"))
     if value_domain is not None:

@@ -340,9 +340,9 @@ def count_above_mean(samples: DataFrame, means: DataFrame, group_cols: list[str]
 
 
 def best_k_first_max(scores: DataFrame, group_cols: list[str], score_col: str = "silhouette") -> DataFrame:
-    """k with the highest score; the smallest such k on ties."""
+    """k with the highest score; the smallest such k on ties (scores equal to 9 decimals)."""
     s = scores.where(F.col(score_col).isNotNull())
-    best = F.min_by(F.struct("k", score_col), F.struct((-F.col(score_col)).alias("neg"), F.col("k")))
+    best = F.min_by(F.struct("k", score_col), F.struct((-F.round(score_col, 9)).alias("neg"), F.col("k")))
     return s.groupBy(*group_cols).agg(best.alias("_b")).select(
         *group_cols, F.col("_b.k").alias("k"), F.col(f"_b.{score_col}").alias(score_col))
 

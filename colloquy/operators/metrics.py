@@ -9,11 +9,8 @@ aggregate and shuffle only #groups x #labels rows. Division by zero yields 0
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-MAX_LABELS = 100_000
 
 
 def _div0(num, den):
@@ -26,41 +23,27 @@ def confusion(df: DataFrame, truth: str, pred: str, group_cols=()) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def distinct_labels(df: DataFrame, *cols: str, limit: int = MAX_LABELS) -> list:
-    """The (small) set of class names, checked against ``limit`` before collecting."""
-    vals = None
-    for c in cols:
-        part = df.select(F.col(c).alias("label")).distinct()
-        vals = part if vals is None else vals.union(part)
-    vals = vals.distinct()
-    rows = vals.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} distinct labels")
-    return sorted((r["label"] for r in rows), key=lambda x: (x is None, x))
-
-
-def class_counts(df: DataFrame, truth: str, pred: str, group_cols=(), labels=None,
-                 groups=None) -> DataFrame:
-    """(group..., label, n_true, n_pred, tp) for every label of ``labels``.
+def class_counts(df: DataFrame, truth: str, pred: str, group_cols=(), labels=(),
+                 weight: str | None = None) -> DataFrame:
+    """(group..., label, n_true, n_pred, tp) for every label that occurs.
 
-    ``labels`` is a list of class names that must appear even with no rows
-    (the fitted label list); ``groups`` lists the group key tuples to complete.
+    ``labels`` are names, or columns of label names, that every group lists,
+    with zeros where nothing counts for them. ``weight`` is a column of row
+    counts (input that is counted already). An empty table gives no rows.
     """
-    ticks = F.array(
-        F.struct(F.col(truth).alias("label"), F.lit(1).alias("t"), F.lit(0).alias("p"),
-                 F.when(F.col(truth).eqNullSafe(F.col(pred)), 1).otherwise(0).alias("tp")),
-        F.struct(F.col(pred).alias("label"), F.lit(0).alias("t"), F.lit(1).alias("p"), F.lit(0).alias("tp")),
-    )
-    rows = df.select(*[F.col(g) for g in group_cols], F.inline(ticks))
-    if labels is not None:
-        spark = df.sparkSession
-        schema = T.StructType([*[df.schema[g] for g in group_cols],
-                               T.StructField("label", T.StringType()), T.StructField("t", T.IntegerType()),
-                               T.StructField("p", T.IntegerType()), T.StructField("tp", T.IntegerType())])
-        keys = list(groups) if group_cols else [()]
-        zeros = spark.createDataFrame([(*k, lab, 0, 0, 0) for k in keys for lab in labels], schema)
-        rows = rows.unionByName(zeros)
-    return (rows.groupBy(*group_cols, "label")
+    if weight is None:  # counted first, so that the labels are listed on few rows
+        df = df.groupBy(*group_cols, truth, pred).agg(F.count(F.lit(1)).alias("_n"))
+        weight = "_n"
+    n, zero = F.col(weight), F.lit(0).cast("long")
+
+    def tick(label, t, p, tp):
+        return F.struct(label.alias("label"), t.alias("t"), p.alias("p"), tp.alias("tp"))
+
+    hit = F.when(F.col(truth).eqNullSafe(F.col(pred)), n).otherwise(zero)
+    listed = [x if isinstance(x, Column) else F.lit(x) for x in labels]
+    ticks = F.array(tick(F.col(truth), n, zero, hit), tick(F.col(pred), zero, n, zero),
+                    *[tick(x, zero, zero, zero) for x in listed])
+    return (df.select(*[F.col(g) for g in group_cols], F.inline(ticks)).groupBy(*group_cols, "label")
             .agg(F.sum("t").alias("n_true"), F.sum("p").alias("n_pred"), F.sum("tp").alias("tp")))
 
 
@@ -115,17 +98,15 @@ def absent_labels(df: DataFrame, truth: str, pred: str, labels: DataFrame) -> Da
     return labels.join(present, on="label", how="left_anti")
 
 
-def pad_absent(df: DataFrame, truth: str, pred: str, labels: list, first_label) -> DataFrame:
-    """Reference-compatible option: one fake row (truth=first, pred=absent) per absent label."""
-    present = set(distinct_labels(df, truth, pred))
-    fake = [lab for lab in labels if lab not in present]
-    if not fake:
-        return df
-    spark = df.sparkSession
-    extra = spark.createDataFrame([(first_label, lab) for lab in fake],
-                                  T.StructType([T.StructField(truth, T.StringType()),
-                                                T.StructField(pred, T.StringType())]))
-    return df.select(truth, pred).unionByName(extra)
+def pad_absent(df: DataFrame, truth: str, pred: str, labels, first_label) -> DataFrame:
+    """Reference-compatible option: one fake row (truth=first, pred=absent) per absent label.
+
+    ``labels`` is a list of names or a DataFrame (label).
+    """
+    if not isinstance(labels, DataFrame):
+        labels = df.sparkSession.createDataFrame([(x,) for x in labels], "label string")
+    fake = absent_labels(df, truth, pred, labels)
+    return df.select(truth, pred).unionByName(fake.select(F.lit(first_label).alias(truth), F.col("label").alias(pred)))
 
 
 def relabel_by_threshold(label, score, threshold, other: str = "Other"):
@@ -137,19 +118,22 @@ def threshold_sweep(scored: DataFrame, truth: str, label: str, score: str,
                     tenths=range(2, 10), other: str = "Other", labels=None) -> DataFrame:
     """Per-threshold, per-label precision / recall / F1 for all thresholds at once.
 
-    Thresholds are exact tenths ``t / 10`` (no accumulated float noise); rows
-    are replicated per threshold inside the row (a literal array, no join).
+    Thresholds are exact tenths ``t / 10`` (no accumulated float noise). Rows
+    are counted once by (truth, label, number of thresholds passed); only
+    these few counts are expanded to the thresholds. Every truth label, the
+    labels in ``labels`` and ``other`` appear at every threshold, and without
+    ``labels`` every predicted one as well. An empty table gives no rows.
     """
-    tenths = list(tenths)
-    rows = scored.select(truth, label, score, F.explode(F.array(*[F.lit(t) for t in tenths])).alias("_t"))
-    rows = rows.withColumn("threshold", F.col("_t") / F.lit(10.0))
-    rows = rows.withColumn("_pred", relabel_by_threshold(F.col(label), F.col(score), F.col("threshold"), other))
-    if labels is None:
-        labels = distinct_labels(scored, truth, label)
-    labels = sorted(set(labels) | {other}, key=lambda x: (x is None, x))
-    counts = class_counts(rows, truth, "_pred", group_cols=["threshold"], labels=labels,
-                          groups=[(t / 10.0,) for t in tenths])
-    return per_class_prf(counts)
+    tenths = sorted(tenths)
+    value = F.col(score)
+    passed = [F.when(~F.isnan(value) & (value > F.lit(t / 10.0)), 1).otherwise(0) for t in tenths]
+    counted = scored.groupBy(F.col(truth).alias("_truth"), F.col(label).alias("_label"),
+                             sum(passed[1:], passed[0]).alias("_passed")).agg(F.count(F.lit(1)).alias("_n"))
+    steps = F.array(*[F.struct(F.lit(t / 10.0).alias("threshold"), F.lit(i).alias("_i")) for i, t in enumerate(tenths)])
+    rows = counted.select("*", F.inline(steps)).withColumn(
+        "_pred", F.when(F.col("_passed") > F.col("_i"), F.col("_label")).otherwise(F.lit(other)))
+    listed = [other, F.col("_label")] if labels is None else sorted({*labels, other})
+    return per_class_prf(class_counts(rows, "_truth", "_pred", ["threshold"], listed, "_n"))
 
 
 def pivot_metric(prf: DataFrame, metric: str, tenths=range(2, 10)) -> DataFrame:
@@ -159,13 +143,11 @@ def pivot_metric(prf: DataFrame, metric: str, tenths=range(2, 10)) -> DataFrame:
     return keyed.groupBy("label").pivot("_th", names).agg(F.first(metric))
 
 
-def transpose(df: DataFrame, header_col: str, value_cols: list[str], row_name: str = "row") -> DataFrame:
+def transpose(df: DataFrame, header_col: str, value_cols: list[str], row_name: str = "row", headers=None) -> DataFrame:
     """Rows become columns: values of ``header_col`` name the new columns.
 
-    Implemented as unpivot + pivot; the header values are the (small) label set.
+    Implemented as unpivot + pivot. Without ``headers`` Spark's pivot looks
+    the values up itself, within its own ``spark.sql.pivotMaxValues``.
     """
-    headers = [r[0] for r in df.select(header_col).distinct().limit(MAX_LABELS + 1).collect()]
-    if len(headers) > MAX_LABELS:
-        raise ValueError("too many columns to transpose")
     long = df.unpivot([header_col], [F.col(f"`{c}`") for c in value_cols], row_name, "_v")
-    return long.groupBy(row_name).pivot(header_col, sorted(headers)).agg(F.first("_v"))
+    return long.groupBy(row_name).pivot(header_col, headers).agg(F.first("_v"))

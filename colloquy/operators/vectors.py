@@ -126,12 +126,12 @@ def standardize(df: DataFrame, group_cols: list[str], vec_col: str, out: str | N
 def medoid(df: DataFrame, group_cols: list[str], id_col: str, vec_col: str, center: str = "median") -> DataFrame:
     """Per group: the member closest (squared Euclidean) to the group centre.
 
-    Ties go to the smallest id. Returns (group..., medoid id, d2).
+    Ties (squared distances equal to 9 decimals) go to the smallest id. Returns (group..., medoid id, d2).
     """
     centers = center_vectors(df, group_cols, vec_col, center, "_center")
     j = join_small(df.select(*group_cols, id_col, vec_col), centers, on=group_cols)
     j = j.withColumn("_d2", sq_dist(vec_col, "_center"))
-    best = F.min_by(F.struct(F.col(id_col).alias("id"), F.col("_d2").alias("d2")), F.struct("_d2", id_col))
+    best = F.min_by(F.struct(F.col(id_col).alias("id"), F.col("_d2").alias("d2")), F.struct(F.round("_d2", 9).alias("d2"), id_col))
     return j.groupBy(*group_cols).agg(best.alias("_b")).select(
         *group_cols, F.col("_b.id").alias(f"medoid_{id_col}"), F.col("_b.d2").alias("d2"))
 

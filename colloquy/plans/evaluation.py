@@ -29,14 +29,7 @@ def language_predictions(documents: DataFrame, taxonomy: Taxonomy = LANGUAGES,
 
 def language_sweep(documents: DataFrame, tenths=range(2, 10)) -> DataFrame:
     pred = language_predictions(documents)
-    labels = list(LANGUAGES.labels)
-    prf = metrics.threshold_sweep(pred, "truth", "label", "score", tenths=tenths,
-                                  labels=labels + _truth_labels(documents))
-    return prf
-
-
-def _truth_labels(documents: DataFrame) -> list:
-    return metrics.distinct_labels(documents, "lang")
+    return metrics.threshold_sweep(pred, "truth", "label", "score", tenths=tenths, labels=LANGUAGES.labels)
 
 
 def report_at(documents: DataFrame, threshold_tenths: int = 9) -> DataFrame:

@@ -9,10 +9,11 @@ from colloquy.operators import vectors as V
 from colloquy.operators.scoring import top1
 from colloquy.plans import consistency as CS
 from colloquy.plans.evaluation import LANG_SCORER
-from colloquy.queries.sqlparts import TOKENS, keyword_scores
+from colloquy.queries.sqlparts import TOKENS, keyword_scores, typical_answers_sql
 from colloquy.sources.tables import qa_pairs, table
 from colloquy.sources.taxonomy import LANGUAGES
 
+LIKES_ROUNDS = 30  # rounds the tables need until no assignment changes, with some to spare
 SIMILAR = 0.5  # cosine bar for "nearly the same question" with hashed vectors
 
 
@@ -44,14 +45,16 @@ def _qa_topics(spark, sf_dir):
     return V.hash_embed(t, "question", 64, "vec")
 
 
-_QA_SQL = f"""
+def _qa_sql(where: str) -> str:
+    """CTEs from conversations to ``bag``; ``where`` filters the topic's score."""
+    return f"""
 p AS (SELECT conv_id, turn, text, role, lead(text) OVER w AS next_text, lead(role) OVER w AS next_role,
              lead(turn) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 qa AS (SELECT conv_id * 100000 + turn AS uid, conv_id, turn, text AS question, next_text AS answer,
               'bot' || (conv_id % 4)::VARCHAR AS chatbot FROM p
        WHERE nt IS NOT NULL AND role = 'user' AND next_role = 'assistant'),
 {keyword_scores("qa", "uid", "question", LANGUAGES)},
-qt AS (SELECT qa.*, k_top.label AS topic FROM qa JOIN k_top ON k_top.id = qa.uid),
+qt AS (SELECT qa.*, k_top.label AS topic FROM qa JOIN k_top ON k_top.id = qa.uid WHERE {where}),
 qtok AS (SELECT uid, unnest({TOKENS.format(text='question')}) AS tok FROM qt),
 qb AS (SELECT uid, (('0x' || substr(md5(tok), 1, 8))::BIGINT % 64)::INTEGER AS dim, count(*) AS c
        FROM qtok WHERE tok <> '' GROUP BY uid, dim),
@@ -63,12 +66,15 @@ mu AS (SELECT mq.topic, mq.main, min(qt.uid) AS muid FROM mq JOIN qt ON qt.topic
        GROUP BY mq.topic, mq.main),
 sim AS (SELECT qt.uid, coalesce(sum(a.value * b.value), 0.0) AS similarity FROM qt JOIN mu ON mu.topic = qt.topic
         LEFT JOIN qv a ON a.uid = qt.uid LEFT JOIN qv b ON b.uid = mu.muid AND b.dim = a.dim GROUP BY qt.uid),
-bag AS (SELECT qt.topic, qt.question, qt.answer, qt.chatbot, qt.conv_id, qt.turn,
+bag AS (SELECT qt.uid, qt.topic, qt.question, qt.answer, qt.chatbot, qt.conv_id, qt.turn,
                CASE WHEN qt.question = mu.main THEN 'main' ELSE 'similar' END AS source, sim.similarity
         FROM qt JOIN mu ON mu.topic = qt.topic JOIN sim ON sim.uid = qt.uid
         WHERE qt.question = mu.main OR sim.similarity > {SIMILAR}::DOUBLE)"""
 
 
+_QA_SQL = _qa_sql("true")
+
+
 def _bag(spark, sf_dir):
     qa = _qa_topics(spark, sf_dir)
     return CS.answer_bag(qa, ["topic"], "question", "answer", "vec", SIMILAR,
@@ -90,7 +96,9 @@ def answer_bag_by_chatbot(spark, sf_dir):
     return _bag(spark, sf_dir).select("topic", "chatbot", "answer", "source")
 
 
-@query("topic_likes")
+@query("topic_likes", f"""WITH {_qa_sql("k_top.score > 0.7::DOUBLE")},
+{typical_answers_sql("bag", "topic", "uid", "answer", LIKES_ROUNDS)}
+SELECT g AS topic, cluster::INTEGER AS cluster, id AS medoid_uid, answer FROM typical""")
 def topic_likes(spark, sf_dir):
     """Typical answers per topic: questions kept when their topic score exceeds
     0.7, answer bag, hashed vectors + mean row, 2-d projection, k sweep with

@@ -162,3 +162,38 @@ def silhouette_sql(prefix: str, clusters: str, pairs: str) -> str:
                   min(s / n) FILTER (WHERE c <> own) AS b FROM {p}_m GROUP BY g, k, id),
 {p}_s AS (SELECT g, k, id, CASE WHEN b IS NULL THEN NULL WHEN size <= 1 OR greatest(a, b) = 0 THEN 0.0
                                 ELSE (b - a) / greatest(a, b) END AS s FROM {p}_ab)"""
+
+
+def typical_answers_sql(bag: str, group: str, id_col: str, answer: str, rounds: int) -> str:
+    """CTE ``typical(g, cluster, id, answer)``: 64 buckets, two dimensions, best k, scaled clusters, median medoid."""
+    return f"""
+src AS MATERIALIZED (SELECT {group} AS g, {id_col} AS id, {answer} AS answer, count(*) OVER (PARTITION BY {group}) AS n
+                     FROM {bag}),
+few AS (SELECT g, 0 AS cluster, min(id) AS id, min(answer) AS answer FROM src WHERE n <= 1 GROUP BY g),
+many AS MATERIALIZED (SELECT * FROM src WHERE n > 1),
+{bag_vectors_sql("many", "id", "answer", 64, 2)},
+pts AS MATERIALIZED (SELECT s.g, s.id, v.vec, true AS own FROM many s JOIN bag_v v ON v.id = s.id
+    UNION ALL SELECT g, -1, list(x ORDER BY dim), false FROM (
+      SELECT s.g, v.dim, avg(v.x) AS x FROM many s JOIN bag_p v ON v.id = s.id GROUP BY s.g, v.dim) m GROUP BY g),
+pairs AS MATERIALIZED (SELECT a.g, a.id AS i, b.id AS j, list_distance(a.vec, b.vec) AS d FROM pts a JOIN pts b ON b.g = a.g),
+n AS (SELECT g, count(*) AS n FROM pts GROUP BY g),
+ks AS (SELECT g, k FROM n, range(2, 11) r(k) WHERE n >= 3 AND k <= n - 1),
+{lloyd_sql("km", "pts", "ks", rounds)},
+{silhouette_sql("se", "km_cl", "pairs")},
+mean AS (SELECT g, k, avg(s) AS s FROM se_s GROUP BY g, k),
+bestk AS MATERIALIZED (SELECT g, k FROM mean WHERE s IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY g ORDER BY round(s, 9) DESC, k) = 1),
+dims AS (SELECT g, id, own, unnest([1, 2]) AS dim, unnest(vec) AS x FROM pts),
+stats AS (SELECT g, dim, avg(x) AS mu, CASE WHEN stddev_pop(x) = 0 THEN 1.0 ELSE stddev_pop(x) END AS sd
+          FROM dims GROUP BY g, dim),
+scaled AS MATERIALIZED (SELECT d.g, d.id, list((d.x - t.mu) / t.sd ORDER BY d.dim) AS vec, d.own FROM dims d
+          JOIN stats t ON t.g = d.g AND t.dim = d.dim GROUP BY d.g, d.id, d.own),
+{lloyd_sql("fx", "scaled", "bestk", rounds)},
+kept AS (SELECT c.g, c.c AS cluster, c.id, s.vec FROM fx_cl c JOIN scaled s ON s.g = c.g AND s.id = c.id WHERE s.own
+         UNION ALL SELECT g, 0, id, vec FROM pts WHERE own AND g NOT IN (SELECT g FROM bestk)),
+mids AS (SELECT g, cluster, [median(vec[1]), median(vec[2])] AS mid FROM kept GROUP BY g, cluster),
+medoids AS (SELECT k.g, k.cluster, k.id FROM kept k JOIN mids m ON m.g = k.g AND m.cluster = k.cluster
+            QUALIFY row_number() OVER (PARTITION BY k.g, k.cluster
+                                       ORDER BY round(list_distance(k.vec, m.mid) ** 2, 9), k.id) = 1),
+typical AS (SELECT m.g, m.cluster, m.id, s.answer FROM medoids m JOIN src s ON s.g = m.g AND s.id = m.id
+            UNION ALL SELECT * FROM few)"""
