@@ -108,6 +108,18 @@ def observed_agreement(ratings: DataFrame, unit_cols: list[str], annotators: lis
     return per_pair.unionByName(mean)
 
 
+def agreement_report(ratings: DataFrame, unit_cols: list[str], annotators: list[str], value_domain: tuple,
+                     annotator_col: str = "annotator", value_col: str = "value") -> DataFrame:
+    """(measure, value): nominal alpha, interval alpha and the mean observed agreement."""
+    def row(name, df, col):
+        return df.select(F.lit(name).alias("measure"), F.col(col).alias("value"))
+
+    observed = observed_agreement(ratings, unit_cols, annotators, annotator_col, value_col)
+    return (row("nominal", alpha(ratings, unit_cols, value_col), "alpha")
+            .unionByName(row("interval", alpha(ratings, unit_cols, value_col, "interval", value_domain=value_domain), "alpha"))
+            .unionByName(row("observed", observed.where(F.col("pair") == "mean"), "ao")))
+
+
 def item_positions(ratings: DataFrame, tab_col: str, annotator_col: str, order_col: str) -> DataFrame:
     """Reference-compatible item text 't_{tab}_{pos}': position among the rows one
     annotator rated in a sheet (kept as an option; the default key is the row id).

@@ -6,11 +6,12 @@ table, which is a distinct over the (small) label set.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import capitalize_first
 from colloquy.operators.joins import join_small
+from colloquy.operators.positions import positional_index
 from colloquy.sources.taxonomy import LEVEL_RENAME
 
 OTHER = "Other"
@@ -134,12 +135,10 @@ def clean_tagged(df: DataFrame, label: str = "topic", mode: str = "substring") -
 
 
 def label_codes(df: DataFrame, label: str = "topic") -> DataFrame:
-    """(label, code): distinct labels in sorted order, code 0..n-1.
-
-    Only the distinct label set (a vocabulary, not the data) is ranked.
-    """
+    """(label, code): distinct labels in sorted order, code 0..n-1 (ranked by range partitions)."""
     labels = df.select(F.col(label).alias("label")).where(F.col("label").isNotNull()).distinct()
-    return labels.withColumn("code", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))
+    coded = positional_index(labels.withColumn("_all", F.lit(0)), ["_all"], ["label"], "code")
+    return coded.select("label", F.col("code").cast("int").alias("code"))
 
 
 def encode(df: DataFrame, codes: DataFrame, label: str = "topic", out: str = "topic_encoded") -> DataFrame:

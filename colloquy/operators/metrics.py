@@ -56,15 +56,15 @@ def per_class_prf(counts: DataFrame) -> DataFrame:
             .withColumnRenamed("n_true", "support"))
 
 
-def f1_averages(prf: DataFrame, group_cols=()) -> DataFrame:
-    """Weighted (by support), micro and macro F1 per group."""
+def f1_averages(prf: DataFrame, group_cols=(), support: bool = False) -> DataFrame:
+    """Weighted (by support), micro and macro F1 per group; the group's support as well if asked for."""
     agg = prf.groupBy(*group_cols).agg(
         F.sum(F.col("f1") * F.col("support")).alias("_wf"), F.sum("support").alias("_s"),
         F.sum("tp").alias("_tp"), F.sum("n_pred").alias("_p"), F.avg("f1").alias("f1_macro"),
     )
     fp_fn = (F.col("_p") - F.col("_tp")) + (F.col("_s") - F.col("_tp"))
     return agg.select(
-        *group_cols,
+        *group_cols, *([F.col("_s").cast("long").alias("support")] if support else []),
         _div0(F.col("_wf"), F.col("_s")).alias("f1_weighted"),
         _div0(F.col("_tp"), F.col("_tp") + fp_fn * F.lit(0.5)).alias("f1_micro"),
         F.col("f1_macro"),
@@ -92,6 +92,15 @@ def classification_report(prf: DataFrame, group_cols=()) -> DataFrame:
     return per.unionByName(acc).unionByName(macro).unionByName(weighted)
 
 
+def metric_bundle(prf: DataFrame, codes: DataFrame) -> DataFrame:
+    """Per-label rows with the label's code, then the weighted, micro and macro F1, as one table."""
+    per = prf.join(codes, on="label", how="left").select(
+        F.col("label").alias("row"), "code", "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
+    names = ("f1_weighted", "f1_micro", "f1_macro")
+    averages = f1_averages(prf, support=True).unpivot(["support"], list(names), "row", "f1")
+    return per.unionByName(averages, allowMissingColumns=True)
+
+
 def absent_labels(df: DataFrame, truth: str, pred: str, labels: DataFrame) -> DataFrame:
     """Labels of the list that occur in neither column (anti join)."""
     present = df.select(F.col(truth).alias("label")).union(df.select(F.col(pred).alias("label"))).distinct()

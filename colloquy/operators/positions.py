@@ -4,45 +4,24 @@
 in a single task; a key holding a large share of the data becomes one huge
 task. Here the data is range-partitioned by (key, order) -- a hot key is
 split across many partitions -- and checkpointed, so partition ids are
-stable. Then three cheap steps follow: rows per (partition, key) (small), a
-running offset per key over those counts (at most #partitions rows per key),
-and local running indices inside each sorted partition (``mapInPandas``,
-streaming the partition in order). Position = offset + local index.
+stable.
+Every row takes its ``monotonically_increasing_id`` there, consecutive within a
+sorted partition. Rows and the first such id per (partition, key) make a small
+table; a running sum of its counts per key (at most #partitions rows per key)
+gives offsets. Position = offset + id - first id, all in the JVM.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from colloquy.operators.joins import join_small
 from colloquy.session import checkpoint_dir
 
 
-def _local_index(keys: list[str]):
-    def fn(batches):
-        carry: dict = {}
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(_local=pd.Series(dtype="int64"))
-                continue
-            cc = pdf.groupby(keys, sort=False, dropna=False).cumcount().to_numpy()
-            tuples = list(zip(*[pdf[k].tolist() for k in keys]))
-            base = [carry.get(t, 0) for t in tuples]
-            out = pdf.assign(_local=cc + pd.Series(base).to_numpy())
-            sizes = pd.Series(1, index=pd.MultiIndex.from_tuples(tuples)).groupby(level=list(range(len(keys)))).sum() \
-                if len(keys) > 1 else pd.Series([1] * len(tuples), index=[t[0] for t in tuples]).groupby(level=0).sum()
-            for k, n in sizes.items():
-                kt = k if isinstance(k, tuple) else (k,)
-                carry[kt] = carry.get(kt, 0) + int(n)
-            yield out
-    return fn
-
-
 def positional_index(df: DataFrame, partition_cols: list[str], order_cols: list[str], out: str = "pos",
-                     num_partitions: int | None = None) -> DataFrame:
+                     num_partitions: int | None = None, rows_per_partition: int = 1_000_000) -> DataFrame:
     """0-based position of each row within its ``partition_cols`` key, by ``order_cols``.
 
     Rows with equal order values keep a deterministic order only if the
@@ -50,18 +29,15 @@ def positional_index(df: DataFrame, partition_cols: list[str], order_cols: list[
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    # about a million rows per range partition unless told otherwise
-    n = num_partitions or max(1, -(-df.count() // 1_000_000))
+    n = num_partitions or max(1, -(-df.count() // rows_per_partition))
     keys = list(partition_cols)
     srt = (df.repartitionByRange(n, *keys, *order_cols).sortWithinPartitions(*keys, *order_cols)
            .withColumn("_pid", F.spark_partition_id())
+           .withColumn("_mid", F.monotonically_increasing_id())
            .withColumn("_kj", F.to_json(F.struct(*keys)))  # null-safe join key
            .checkpoint(eager=True))
-    counts = srt.groupBy("_pid", "_kj").agg(F.count(F.lit(1)).alias("_c"))
+    counts = srt.groupBy("_pid", "_kj").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_first"))
     w = Window.partitionBy("_kj").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", "_kj", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
-    schema = T.StructType([*srt.schema.fields, T.StructField("_local", T.LongType())])
-    local = srt.mapInPandas(_local_index(keys), schema)
-    j = join_small(local, offsets, on=["_pid", "_kj"])
-    return (j.withColumn(out, (F.col("_off") + F.col("_local")).cast("long"))
-            .drop("_pid", "_off", "_local", "_kj"))
+    offsets = counts.select("_pid", "_kj", (F.coalesce(F.sum("_c").over(w), F.lit(0)) - F.col("_first")).alias("_off"))
+    j = join_small(srt, offsets, on=["_pid", "_kj"])
+    return j.withColumn(out, F.col("_off") + F.col("_mid")).drop("_pid", "_off", "_mid", "_kj")

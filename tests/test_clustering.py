@@ -141,3 +141,38 @@ def test_eps_components_exact_across_tiles(spark):
     assert s.n == 44 and s.n_clusters == 1 and s.dominant_share == 30 / 44
     m = {r.id: r.cluster for r in members.collect()}
     assert sum(1 for v in m.values() if v == 1) == 30 and all(0.0 <= r.probability <= 1.0 for r in members.collect())
+
+
+def _lloyd_brute(X, k):
+    """Lloyd's rounds from the first k different rows until nothing moves; a lost cluster keeps its centre."""
+    firsts = list(dict.fromkeys(map(tuple, X)))[:k]
+    centres, last = np.array(firsts, dtype=float), None
+    while True:
+        d2 = ((X[:, None, :] - centres[None, :, :]) ** 2).sum(-1)
+        near = np.argmax(d2 <= d2.min(1, keepdims=True) * (1 + 1e-9) + 1e-9, axis=1)
+        if last is not None and (near == last).all():
+            return near
+        centres = np.array([X[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
+        last = near
+
+
+def test_kmeans_runs_to_convergence_with_any_ids(spark):
+    rng = np.random.default_rng(9)
+    X = np.round(rng.normal(size=(80, 2)) * 3, 2)
+    X[1] = X[0]  # equal vectors seed once
+    rows = [("g", f"id{i:03d}", [float(v) for v in x]) for i, x in enumerate(X)] + [("tiny", "a", [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "grp string, id string, vec array<double>")
+    ks = C.k_candidates(df, ["grp"], 5).drop("n")
+    got = C.lloyd(df, C._seeds(df, ks, ["grp"], "id", "vec", None, 5), ["grp"], "id", "vec", block=16)[0].collect()
+    for k in range(2, 6):
+        mine = {r.id: r.cluster for r in got if r.k == k}
+        assert [mine[f"id{i:03d}"] for i in range(80)] == list(_lloyd_brute(X, k))
+    assert {r.grp for r in got} == {"g"}
+
+
+def test_silhouette_keeps_string_ids(spark):
+    df, rows = _blobs(spark, n=20)
+    named = df.withColumn("id", F.concat(F.lit("x"), F.col("id").cast("string")))
+    a = {r.id: r.s for r in C.silhouette_samples_euclid(named, ["grp"], "id", "vec", "cluster", tile=8).collect()}
+    b = {r.id: r.s for r in C.silhouette_samples_euclid(df, ["grp"], "id", "vec", "cluster", tile=64).collect()}
+    assert {k[1:]: pytest.approx(v, abs=1e-9) for k, v in a.items()} == {str(k): v for k, v in b.items()}
