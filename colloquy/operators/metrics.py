@@ -131,13 +131,15 @@ def threshold_sweep(scored: DataFrame, truth: str, label: str, score: str,
     are counted once by (truth, label, number of thresholds passed); only
     these few counts are expanded to the thresholds. Every truth label, the
     labels in ``labels`` and ``other`` appear at every threshold, and without
-    ``labels`` every predicted one as well. An empty table gives no rows.
+    ``labels`` every predicted one as well. An empty table gives zeros.
     """
     tenths = sorted(tenths)
     value = F.col(score)
     passed = [F.when(~F.isnan(value) & (value > F.lit(t / 10.0)), 1).otherwise(0) for t in tenths]
     counted = scored.groupBy(F.col(truth).alias("_truth"), F.col(label).alias("_label"),
                              sum(passed[1:], passed[0]).alias("_passed")).agg(F.count(F.lit(1)).alias("_n"))
+    nothing = scored.sparkSession.createDataFrame([(other, other, 0, 0)], counted.schema)  # lists the labels, adds no row
+    counted = counted.unionByName(nothing)
     steps = F.array(*[F.struct(F.lit(t / 10.0).alias("threshold"), F.lit(i).alias("_i")) for i, t in enumerate(tenths)])
     rows = counted.select("*", F.inline(steps)).withColumn(
         "_pred", F.when(F.col("_passed") > F.col("_i"), F.col("_label")).otherwise(F.lit(other)))

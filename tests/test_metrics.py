@@ -58,3 +58,10 @@ def test_absent_labels(spark):
     assert out == ["d"]
     padded = M.pad_absent(_pairs(spark), "truth", "pred", ["a", "b", "c", "d"], "a")
     assert padded.count() == 8
+
+
+def test_sweep_of_an_empty_table_lists_the_labels(spark):
+    df = spark.createDataFrame([], "truth string, label string, score double")
+    got = M.threshold_sweep(df, "truth", "label", "score", tenths=[2, 9], labels=["a", "b"]).collect()
+    assert sorted((r.threshold, r.label) for r in got) == [(t, x) for t in (0.2, 0.9) for x in ("Other", "a", "b")]
+    assert {(r.support, r.n_pred, r.f1) for r in got} == {(0, 0, 0.0)}
