@@ -16,9 +16,12 @@ Rules (a document fails one or more):
   20 words,
 * ``long_words``: more than 15 code points a word on average.
 
-``short`` and ``repeats`` reject the document itself; all five count against
-the host. A host is rejected when its shrunk rate of failing documents is over
-``max_rate``.
+All five count against the host. A host is rejected when its shrunk rate of
+failing documents is over ``max_rate``: most of what it holds is junk, so the
+rest goes as well. Of the documents of other hosts, ``keep_good`` drops each
+that fails any of the five rules itself. ``judge`` gives the verdict as the
+SQL of ``op3_host_quality`` defines it: there only ``short`` and ``repeats``
+(``base_failed``) reject the document itself.
 
 Prior: over the hosts, the mean m and variance v of the failure rates (each
 host counts once) give strength s = m (1 - m) / v - 1, held within 1 .. 10,000
@@ -143,7 +146,7 @@ def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_good(documents: DataFrame, text_col: str = "text", host_col: str = "source",
               max_rate: float = MAX_RATE) -> DataFrame:
-    """The documents, with all their columns, that neither fail themselves nor have a rejected host."""
+    """The documents, with all their columns, that neither fail a rule themselves nor have a rejected host."""
     ship_package(documents.sparkSession)
 
     @F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
@@ -156,4 +159,4 @@ def keep_good(documents: DataFrame, text_col: str = "text", host_col: str = "sou
     kept = documents.join(bad, documents[host_col].eqNullSafe(bad["__rejected_host"]), "left_anti")
     tests = rules(lambda c: F.col(f"__measures.{c}"))
     kept = kept.withColumn("__measures", measures(F.col(text_col)))
-    return kept.where(~(tests["short"] | tests["repeats"])).drop("__measures")
+    return kept.where(~any_of(list(tests.values()))).drop("__measures")

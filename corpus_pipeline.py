@@ -14,7 +14,7 @@ from colloquy.llm.common import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose host is not rejected."""
+    """Documents that pass all five rules and whose host is not rejected."""
     return host_quality.keep_good(docs)
 
 

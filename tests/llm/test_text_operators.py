@@ -52,6 +52,25 @@ def test_bad_host_is_rejected_and_small_host_is_shrunk(spark):
     assert sorted(r["doc_id"] for r in Q.keep_good(df).collect()) == sorted(k for k, v in kept.items() if v)
 
 
+def test_each_rule_drops_its_own_document_of_a_good_host(spark):
+    good = " ".join(f"w{i}" for i in range(50))
+    junk = {1: "spam", 2: "a b c d e f g h " * 10, 3: good + " " + "$%&" * 20, 4: good + "\nsame line" * 5,
+            5: " ".join("x" * 16 + str(i) for i in range(10, 40))}
+    failed = {i: [k for k, f in zip(("short", "repeats", "symbols", "lines", "long_words"), _failures(t)) if f]
+              for i, t in junk.items()}
+    assert failed == {1: ["short"], 2: ["repeats"], 3: ["symbols"], 4: ["lines"], 5: ["long_words"]}
+    rows = [(i, t, "host") for i, t in junk.items()] + [(100 + i, good, "host") for i in range(50)]
+    kept = Q.keep_good(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [100 + i for i in range(50)]
+
+
+def _failures(text):
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    n, dup = len(words), len(lines) - len(set(lines))
+    return (n < 20, _repeat_brute(words) > 0.3 * n, sum(c in "#*$%&|<>" for c in text) > n / 2, dup > 30 or dup > n / 20,
+            len("".join(words)) > 15 * n)
+
+
 def test_license_phrases_priority_and_containment():
     text = "Licensed under the GNU Lesser General Public License, version 3. CC BY-NC 4.0; MIT\nlicense! amit license"
     n, base, first, last, base_labels, labels, score, spans = L.scan_text(text)
