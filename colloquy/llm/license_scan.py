@@ -1,9 +1,10 @@
 """License scan: ordered signature rules over whole texts.
 
 A signature is a regular expression with a label, a priority, a confidence and
-a keyword that the text must hold before the expression is tried. Signatures
-come from a rule: every license family's names are put into phrasings
-("licensed under ...", an SPDX tag, a bare name, a URL ...), some 300 in all.
+a word of its own name that the text must hold before the expression is tried.
+Signatures come from a rule: each of the 73 names of the license families is
+put into 10 phrasings ("licensed under ...", an SPDX tag, a bare name ...), 730
+in all.
 Detections are intervals of the text. They are taken in order of priority,
 then length, then position; one that lies inside an interval already taken is
 suppressed, so "GNU Lesser General Public License" is no hit for the shorter
@@ -35,7 +36,7 @@ from colloquy.llm.common import arrow_map, batches, pick
 #: Phrases that are counted in all their places, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label, keyword that must occur, names of the license as words.
+#: Label, keyword, names of the license as words. The keyword's first word gates the names that hold it.
 FAMILIES = [
     ("agpl", "affero", ["gnu affero general public license", "affero general public license", "affero gpl"]),
     ("agpl", "agpl", ["agpl", "gnu agpl", "agplv3"]),
@@ -119,14 +120,20 @@ def phrase(words: str) -> re.Pattern:
     return re.compile(b"(?<!" + _IN + b")" + body + b"(?!" + _IN + b")")
 
 
+def gate(keyword: str, name: str) -> bytes:
+    """What every text with the name holds: the keyword's first word if the name has it, else the name's own first."""
+    first = keyword.split()[0]
+    return (first if first in name else name.split()[0]).encode()
+
+
 @cache
 def signatures() -> dict[bytes, list[Signature]]:
-    """All signatures by the first word of their keyword; the order is by priority."""
+    """All signatures by their gate; the order is by priority."""
     found: dict[bytes, list[Signature]] = {}
     for label, keyword, names in FAMILIES:
         for name in names:
             for text, priority, confidence in PHRASINGS:
-                key = keyword.split()[0].encode()
+                key = gate(keyword, name)
                 # a longer name is the more special rule among equals
                 found.setdefault(key, []).append(Signature(
                     label, 100 * priority + len(name), confidence, key, phrase(text.replace("@", name))))

@@ -80,6 +80,13 @@ def test_license_phrases_priority_and_containment():
     assert sum(len(v) for v in L.signatures().values()) > 300
 
 
+def test_every_license_signature_finds_its_own_phrasing():
+    said = [(label, p.replace("@", name)) for label, _, names in L.FAMILIES for name in names for p, _, _ in L.PHRASINGS]
+    assert len(said) == sum(len(v) for v in L.signatures().values())
+    assert [x for x in said if x[0] not in L.scan_text(x[1])[5].split(",")] == []
+    assert L.scan_text("Licensed under the Expat License")[5:7] == ("mit", 0.97)
+
+
 def test_license_scan_of_odd_rows(spark):
     got = {r["doc_id"]: r for r in L.scan(_docs(spark, ODD, labels="x", score=1)).collect()}
     assert got[0]["n_words"] == 0 and got[0]["labels"] == "" and got[0]["first_word"] is None and got[4]["n_words"] == 5000
