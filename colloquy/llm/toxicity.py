@@ -254,15 +254,17 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def training_rows(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
                   text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, y): texts of at most ``rows`` labelled ids that are not held out.
+    """(text, y): texts of at most ``rows`` labelled ids that are not held out, one text an id.
 
-    Copies, most near copies too, count once (two minhashes of word 5-grams
+    Of different texts under one id, that with the smallest hash counts. Copies, most near copies too, count once (two minhashes of word 5-grams
     agree), so that words of a text that was copied often do not pass for a lexicon.
     """
     lab = pick(labels, doc_id=id_col, y=label_col).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull())
     lab = lab.where(~held_out()).groupBy("doc_id").agg(F.avg(F.col("y").cast("double")).alias("y"))
     lab = stored(lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labelled")
-    found = pick(documents, doc_id=id_col, text=text_col).join(F.broadcast(lab), "doc_id")  # at most ``rows`` rows
+    found = pick(documents, doc_id=id_col, text=text_col).join(F.broadcast(lab), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")
+    found = found.groupBy("doc_id", "y").agg(one).select("one.text", "y")  # at most ``rows`` rows
 
     def sign(it):
         for b in batches(it):
@@ -271,7 +273,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, label_col: str = "tox
             yield pa.RecordBatch.from_arrays([b.column("text"), b.column("y"), pa.array(signs, pa.string())],
                                              ["text", "y", "sign"])
 
-    signed = arrow_map(found.select("text", "y"), sign, "text string, y double, sign string")
+    signed = arrow_map(found, sign, "text string, y double, sign string")
     return signed.groupBy("sign").agg(F.min("text").alias("text"), F.avg("y").alias("y")).select("text", "y")
 
 

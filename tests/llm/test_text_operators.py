@@ -200,6 +200,14 @@ def test_toxicity_learns_held_out_words_and_handles_odd_rows(spark):
     assert T.score(docs.where("false"), empty).count() == 0
 
 
+def test_training_sample_has_one_text_an_id(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(200)]
+                                 + [(2, "one other text of its own"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 40)], "doc_id long, toxic int").where(~T.held_out())
+    assert 1 in [r["doc_id"] for r in labels.collect()]
+    assert T.training_rows(docs, labels).count() <= 3
+
+
 @pytest.mark.parametrize("i", [0, 1, 2])
 def test_whole_texts_count(i):
     text = "fine " * 50_000 + ["zero", "MIT License", "Apache   License"][i]
