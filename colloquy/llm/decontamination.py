@@ -14,7 +14,10 @@ item's length, rounded down. A passage must begin and end at word ends when
 k is 0, which concerns items of under 20 characters.
 
 The benchmark is the query set: items are handed to the tasks in blocks of at
-most ``BLOCK_CHARS`` characters, one pass over the documents per block.
+most ``BLOCK_CHARS`` characters, one pass over the documents per block. With
+more than one block the documents are numbered and written once; each pass
+writes the hits it found by number and gives its block back before the next,
+so driver and workers hold one block's items and automaton at a time.
 
 Defined results: null and empty items match nothing; items of equal text are
 all reported; null and empty documents match nothing; repeated rows are judged
@@ -23,12 +26,13 @@ each; an empty benchmark leaves every document clean.
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import pick, ship_package
+from colloquy.llm.common import pick, ship_package, stored
 
 MAX_ERROR_RATE = 0.05
 BLOCK_CHARS = 4 << 20
@@ -174,9 +178,23 @@ def with_hits(documents: DataFrame, benchmark: DataFrame, text_col: str, out: st
     """The documents with a column of the benchmark items they hold."""
     spark = documents.sparkSession
     ship_package(spark)
-    finders = [_finder(spark.sparkContext.broadcast(items), max_error_rate)  # each bounded by block_chars
-               for items in blocks(benchmark, block_chars=block_chars)]
-    return documents.withColumn(out, F.concat(*[find(F.col(text_col)) for find in finders]))
+    rest = blocks(benchmark, block_chars=block_chars)  # each bounded by block_chars
+    items, after = next(rest), next(rest, None)
+    if after is None:
+        return documents.withColumn(out, _finder(spark.sparkContext.broadcast(items), max_error_rate)(F.col(text_col)))
+    numbered = stored(documents.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    passes = []
+    while items is not None:
+        sent = spark.sparkContext.broadcast(items)
+        hits = numbered.select("__row", F.lit(len(passes)).alias("block"),
+                               _finder(sent, max_error_rate)(F.col(text_col)).alias("hits"))
+        passes.append(stored(hits.where(F.size("hits") > 0), "block-hits"))
+        sent.destroy()
+        items, after = after, next(rest, None)
+    merged = reduce(DataFrame.unionAll, passes).groupBy("__row").agg(
+        F.flatten(F.sort_array(F.collect_list(F.struct("block", "hits")))["hits"]).alias(out))  # in the order of blocks
+    return numbered.join(merged, "__row", "left").drop("__row").withColumn(
+        out, F.coalesce(out, F.array().cast(_HITS_SQL)))
 
 
 def _finder(sent, max_error_rate: float):

@@ -159,6 +159,18 @@ def test_decontamination_matches_brute_force(spark):
     assert none.count() == len(texts) and none.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_many_benchmark_blocks_take_one_pass_each(spark):
+    items = [" ".join(w + n for n in "one two three four five six seven".split()) for w in "abcdef"]
+    texts = [None, "nothing here", items[5] + " and " + items[0], items[3], items[3], " ".join(items)]
+    docs = spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1)
+    whole, parts = D.matches(docs, bench), D.matches(docs, bench, block_chars=60)
+    seen = sorted((r["doc_id"], r["contaminated"], r["n_items"], r["item_ids"]) for r in parts.collect())
+    assert seen == sorted((r["doc_id"], r["contaminated"], r["n_items"], r["item_ids"]) for r in whole.collect())
+    assert sorted(x[2] for x in seen) == [0, 0, 1, 1, 2, 6] and parts.dtypes == whole.dtypes
+    assert "ArrowEvalPython" not in parts._jdf.queryExecution().executedPlan().toString()  # the passes are over
+
+
 def test_label_model_finds_accuracies_and_ignores_a_copy():
     rng = np.random.default_rng(4)
     y = rng.random(4000) < 0.3
