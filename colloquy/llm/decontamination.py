@@ -19,8 +19,11 @@ more than one block the documents are numbered and written once; each pass
 writes the hits it found by number and gives its block back before the next,
 so driver and workers hold one block's items and automaton at a time.
 
-Defined results: null and empty items match nothing; items of equal text are
-all reported; null and empty documents match nothing; repeated rows are judged
+Item ids may be of any type; they are carried, never compared with each other
+but to sort a document's hits: nulls first, then by id and distance.
+
+Defined results: null and empty items match nothing; items of equal text and
+items under one id (null or repeated) are all reported, each by itself; null and empty documents match nothing; repeated rows are judged
 each; an empty benchmark leaves every document clean.
 """
 
@@ -32,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import pick, ship_package, stored
+from colloquy.llm.common import pick, ship_package, stored, unused
 
 MAX_ERROR_RATE = 0.05
 BLOCK_CHARS = 4 << 20
@@ -107,20 +110,20 @@ class Matcher:
         return (start >= 0 and text.startswith(item, start) and (start == 0 or text[start - 1] == " ")
                 and (end == len(text) or text[end] == " "))
 
-    def match(self, text: str) -> list[tuple[int, int]]:
-        """(item id, distance) of the items in a text, by item id."""
+    def match(self, text: str) -> list[tuple]:
+        """(item id, distance) of the items in a text, one for each, by id (nulls first) and distance."""
         if not text or not self.found:
             return []
         places: dict[int, set[int]] = {}
         for end, (length, uses) in self.automaton.iter(text):
             for n, start in uses:
                 places.setdefault(n, set()).add(end + 1 - length - start)
-        out: dict[int, int] = {}
+        out: list[tuple] = []
         for n, starts in places.items():
             identity, item, k = self.items[n]
             if k == 0:
                 if any(self._stands(text, s, n) for s in starts):
-                    out[identity] = 0
+                    out.append((identity, 0))
                 continue
             best = k + 1
             for a, b in _windows(sorted(starts), len(item), k, len(text)):
@@ -129,8 +132,13 @@ class Matcher:
                     break
                 best = min(best, myers_distance(item, text[a:b]))
             if best <= k:
-                out[identity] = min(best, out.get(identity, best))
-        return sorted(out.items())
+                out.append((identity, best))
+        return sorted(out, key=_by_id)
+
+
+def _by_id(hit: tuple) -> tuple:
+    identity, distance = hit
+    return (False, distance) if identity is None else (True, identity, distance)
 
 
 def _windows(starts: list[int], m: int, k: int, n: int) -> Iterator[tuple[int, int]]:
@@ -161,7 +169,8 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     yield block
 
 
-_HITS_SQL = "array<struct<item_id: long, distance: long>>"
+def _hits_type(benchmark: DataFrame, id_col: str = "item_id") -> str:
+    return f"array<struct<item_id: {benchmark.schema[id_col].dataType.simpleString()}, distance: long>>"
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -178,27 +187,28 @@ def with_hits(documents: DataFrame, benchmark: DataFrame, text_col: str, out: st
     """The documents with a column of the benchmark items they hold."""
     spark = documents.sparkSession
     ship_package(spark)
-    rest = blocks(benchmark, block_chars=block_chars)  # each bounded by block_chars
+    rest, kind = blocks(benchmark, block_chars=block_chars), _hits_type(benchmark)  # each bounded by block_chars
+    row, block, hits = unused(documents, "row", "block", "hits")
     items, after = next(rest), next(rest, None)
     if after is None:
-        return documents.withColumn(out, _finder(spark.sparkContext.broadcast(items), max_error_rate)(F.col(text_col)))
-    numbered = stored(documents.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        return documents.withColumn(out, _finder(spark.sparkContext.broadcast(items), kind, max_error_rate)(F.col(text_col)))
+    numbered = stored(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
     passes = []
     while items is not None:
         sent = spark.sparkContext.broadcast(items)
-        hits = numbered.select("__row", F.lit(len(passes)).alias("block"),
-                               _finder(sent, max_error_rate)(F.col(text_col)).alias("hits"))
-        passes.append(stored(hits.where(F.size("hits") > 0), "block-hits"))
+        found = numbered.select(row, F.lit(len(passes)).alias(block),
+                                _finder(sent, kind, max_error_rate)(F.col(text_col)).alias(hits))
+        passes.append(stored(found.where(F.size(hits) > 0), "block-hits"))
         sent.destroy()
         items, after = after, next(rest, None)
-    merged = reduce(DataFrame.unionAll, passes).groupBy("__row").agg(
-        F.flatten(F.sort_array(F.collect_list(F.struct("block", "hits")))["hits"]).alias(out))  # in the order of blocks
-    return numbered.join(merged, "__row", "left").drop("__row").withColumn(
-        out, F.coalesce(out, F.array().cast(_HITS_SQL)))
+    merged = reduce(DataFrame.unionAll, passes).groupBy(row).agg(
+        F.array_sort(F.flatten(F.collect_list(hits))).alias(out))
+    return numbered.join(merged, row, "left").drop(row).withColumn(
+        out, F.coalesce(out, F.array().cast(kind)))
 
 
-def _finder(sent, max_error_rate: float):
-    @F.pandas_udf(_HITS_SQL)
+def _finder(sent, kind: str, max_error_rate: float):
+    @F.pandas_udf(kind)
     def find(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = Matcher(sent.value, max_error_rate)
         for texts in it:
@@ -210,5 +220,6 @@ def _finder(sent, max_error_rate: float):
 def remove(documents: DataFrame, benchmark: DataFrame, text_col: str = "text",
            max_error_rate: float = MAX_ERROR_RATE) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark item."""
-    found = with_hits(documents, benchmark, text_col, "__hits", max_error_rate)
-    return found.where(F.size("__hits") == 0).drop("__hits")
+    hits, = unused(documents, "hits")
+    found = with_hits(documents, benchmark, text_col, hits, max_error_rate)
+    return found.where(F.size(hits) == 0).drop(hits)

@@ -16,23 +16,26 @@ Rules (a document fails one or more):
   20 words,
 * ``long_words``: more than 15 code points a word on average.
 
-All five count against the host. A host is rejected when its shrunk rate of
-failing documents is over ``max_rate``: most of what it holds is junk, so the
-rest goes as well. Of the documents of other hosts, ``keep_good`` drops each
-that fails any of the five rules itself. ``judge`` gives the verdict as the
-SQL of ``op3_host_quality`` defines it: there only ``short`` and ``repeats``
-(``base_failed``) reject the document itself.
+A document that fails any rule is not kept; ``base_failed`` says that it fails
+``short`` or ``repeats``. All five count against the host, and of a rejected
+host nothing is kept.
 
 Prior: over the hosts, the mean m and variance v of the failure rates (each
-host counts once) give strength s = m (1 - m) / v - 1, held within 1 .. 10,000
-(10,000 where all hosts fail alike); the shrunk rate of a host with f failures
-in n documents is (f + m s) / (n + s).
+host counts once) give strength s = m (1 - m) / v - 1, held within 1 .. 50
+(50 where all hosts fail alike); the shrunk rate of a host with f failures
+in n documents is (f + m s) / (n + s). The prior's deviation is
+sqrt(m (1 - m) / (s + 1)). A host is rejected when its shrunk rate lies more
+than ``deviations`` = 3 of them above m, or over ``max_rate`` = 0.6, where most
+of what it holds is junk whatever the other hosts are like. The bound of 50
+on the strength keeps the deviation at a seventh of sqrt(m (1 - m)) at least,
+so hosts that differ by chance only are never far out.
 
 Defined results: a null or empty text has no words, so it fails ``short``;
 null hosts form one host of their own; repeated rows are measured each; an
 empty table gives an empty table.
 """
 
+import math
 import re
 
 import numpy as np
@@ -41,13 +44,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import any_of, arrow_map, batches, pick, ship_package, stored
+from colloquy.llm.common import any_of, arrow_map, batches, pick, ship_package, stored, unused
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 MAX_RATE = 0.6
-PRIOR_STRENGTH = (1.0, 10_000.0)
+DEVIATIONS = 3.0
+PRIOR_STRENGTH = (1.0, 50.0)
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]+")
@@ -110,7 +114,7 @@ def rules(col=F.col) -> dict[str, Column]:
     }
 
 
-def host_rates(measured: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
+def host_rates(measured: DataFrame, max_rate: float = MAX_RATE, deviations: float = DEVIATIONS) -> DataFrame:
     """Per host: documents, failures of each rule, failing documents, shrunk rate, verdict.
 
     The sums combine before the shuffle, so a hot host is one row a task.
@@ -126,37 +130,40 @@ def host_rates(measured: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     m = m if m is not None else 0.0
     s = min(high, max(low, m * (1 - m) / v - 1)) if v else high
     shrunk = (F.col("n_failing") + F.lit(m * s)) / (F.col("n_docs") + F.lit(s))
-    return hosts.withColumn("rate", shrunk).withColumn("host_rejected", F.col("rate") > F.lit(max_rate))
+    bar = min(max_rate, m + deviations * math.sqrt(m * (1 - m) / (s + 1)))
+    return hosts.withColumn("rate", shrunk).withColumn("host_rejected", F.col("rate") > F.lit(bar))
 
 
 def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-          max_rate: float = MAX_RATE) -> DataFrame:
+          max_rate: float = MAX_RATE, deviations: float = DEVIATIONS) -> DataFrame:
     """One row per document: its id, host, measures, ``base_failed``, ``host_rate`` and ``kept``."""
     narrow = pick(documents, doc_id=id_col, host=host_col, text=text_col)
     schema = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, host " \
              f"{narrow.schema['host'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES)
     measured = stored(arrow_map(narrow, _measure_batches, schema), "measures")
-    hosts = host_rates(measured, max_rate).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"),
+    hosts = host_rates(measured, max_rate, deviations).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"),
                                                   "host_rejected")
     tests = rules()
     out = measured.join(hosts, measured["host"].eqNullSafe(hosts["_host"]), "left")
     return out.select("doc_id", "host", *MEASURES, (tests["short"] | tests["repeats"]).alias("base_failed"),
-                      "host_rate", (~(tests["short"] | tests["repeats"] | F.col("host_rejected"))).alias("kept"))
+                      "host_rate", (~any_of([*tests.values(), F.col("host_rejected")])).alias("kept"))
 
 
 def keep_good(documents: DataFrame, text_col: str = "text", host_col: str = "source",
-              max_rate: float = MAX_RATE) -> DataFrame:
-    """The documents, with all their columns, that neither fail a rule themselves nor have a rejected host."""
+              max_rate: float = MAX_RATE, deviations: float = DEVIATIONS) -> DataFrame:
+    """The documents, with all their columns, that neither fail a rule themselves nor have a rejected host.
+
+    Texts are measured once: the measured documents are written and read twice.
+    """
     ship_package(documents.sparkSession)
 
     @F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
     def measures(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES))
 
-    inner = pick(documents, host=host_col, text=text_col)
-    hosts = host_rates(inner.select("host", measures("text").alias("_m")).select("host", "_m.*"), max_rate)
-    bad = stored(hosts.where("host_rejected").select(F.col("host").alias("__rejected_host")), "rejected-hosts")
-    kept = documents.join(bad, documents[host_col].eqNullSafe(bad["__rejected_host"]), "left_anti")
-    tests = rules(lambda c: F.col(f"__measures.{c}"))
-    kept = kept.withColumn("__measures", measures(F.col(text_col)))
-    return kept.where(~any_of(list(tests.values()))).drop("__measures")
+    m, gone = unused(documents, "measures", "rejected_host")
+    measured = stored(documents.withColumn(m, measures(F.col(text_col))), "measured")
+    hosts = host_rates(measured.select(F.col(host_col).alias("host"), f"{m}.*"), max_rate, deviations)
+    bad = stored(hosts.where("host_rejected").select(F.col("host").alias(gone)), "rejected-hosts")
+    kept = measured.where(~any_of(list(rules(lambda c: F.col(f"{m}.{c}")).values())))
+    return kept.join(bad, kept[host_col].eqNullSafe(bad[gone]), "left_anti").drop(m)

@@ -28,7 +28,7 @@ Which pairs are counted:
    so the components are exact.
 
 A hub's group is split by salt, a shingle's list is only ever aggregated,
-streamed past with a bounded state, or joined with skew handling.
+streamed past with a bounded state, or joined with skew handling. Ids are integers.
 
 Order table: shingles that are found twice or more within blocks of some
 million shingles are counted over all documents; those with a count of 8 or
@@ -54,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import arrow_map, batches, pick, stored
+from colloquy.llm.common import arrow_map, batches, pick, stored, unused
 from colloquy.llm.components import connected_components
 from colloquy.llm.spans import joined, mix, sorted_distinct, span_hashes
 
@@ -497,17 +497,18 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.count(F.lit(1)).alias("rows")).where("rows > 1")
     firsts = stored(firsts.select("c_n", "c_node", F.col("first.doc_id").alias("_id"),
                                   F.col("first.text_hash").alias("_hash")), "firsts")
+    gone_id, gone_hash = unused(documents, "gone_id", "gone_hash")
     many = found.join(firsts, ["c_n", "c_node"])
     is_first = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash"))
-    gone = stored(many.where(~is_first).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(),
+    gone = stored(many.where(~is_first).select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct(),
                   "dropped")
     hashed = F.xxhash64(documents[text_col])
-    left = documents.join(gone, documents[id_col].eqNullSafe(gone["__id"]) & (hashed == gone["__hash"]), "left_anti")
+    left = documents.join(gone, documents[id_col].eqNullSafe(gone[gone_id]) & (hashed == gone[gone_hash]), "left_anti")
     # rows that repeat a kept document
     repeated = stored(found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "repeated")
+        F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)), "repeated")
     if repeated.isEmpty():
         return left
-    again = left[id_col].eqNullSafe(repeated["__id"]) & (F.xxhash64(left[text_col]) == repeated["__hash"])
+    again = left[id_col].eqNullSafe(repeated[gone_id]) & (F.xxhash64(left[text_col]) == repeated[gone_hash])
     once = left.join(repeated, again, "left_semi").dropDuplicates([id_col, text_col])
     return left.join(repeated, again, "left_anti").unionByName(once)

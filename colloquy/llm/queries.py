@@ -89,17 +89,19 @@ m AS (SELECT d.doc_id, d.source, len(w)::BIGINT AS n_words, length(array_to_stri
              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
              (len(ln) - len(list_distinct(ln)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
       FROM d JOIN l ON l.rid = d.rid LEFT JOIN rep ON rep.rid = d.rid),
-t AS (SELECT *, n_words < {host_quality.MIN_WORDS}
+b AS (SELECT *, n_words < {host_quality.MIN_WORDS}
                 OR n_repeat_words * 100 > n_words * {host_quality.MAX_REPEAT_PERCENT} AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR n_symbols * 2 > n_words OR n_dup_lines > 30
-             OR n_dup_lines * 20 > n_words OR word_chars > n_words * 15) AS f FROM t GROUP BY source),
+t AS (SELECT *, base_failed OR n_symbols * 2 > n_words OR n_dup_lines > 30 OR n_dup_lines * 20 > n_words
+                OR word_chars > n_words * 15 AS failed FROM b),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE failed) AS f FROM t GROUP BY source),
 p AS (SELECT avg(f / n) AS mu, var_pop(f / n) AS v FROM h),
 s AS (SELECT mu, CASE WHEN v = 0 THEN {host_quality.PRIOR_STRENGTH[1]}::DOUBLE
                       ELSE least({host_quality.PRIOR_STRENGTH[1]}::DOUBLE,
                                  greatest({host_quality.PRIOR_STRENGTH[0]}::DOUBLE, mu * (1 - mu) / v - 1)) END AS s FROM p),
-bad AS (SELECT source, (f + mu * s) / (n + s) > {host_quality.MAX_RATE}::DOUBLE AS rejected FROM h CROSS JOIN s)
+bad AS (SELECT source, (f + mu * s) / (n + s) > least({host_quality.MAX_RATE}::DOUBLE,
+                   mu + {host_quality.DEVIATIONS}::DOUBLE * sqrt(mu * (1 - mu) / (s + 1))) AS rejected FROM h CROSS JOIN s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR rejected) AS kept
+       NOT (failed OR rejected) AS kept
 FROM t JOIN bad ON bad.source IS NOT DISTINCT FROM t.source""",
     "op8_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=_LOWER.format(text="text"))} AS w FROM documents),

@@ -1,18 +1,20 @@
 """64-bit hashes of many stretches of bytes at once, without an object per stretch.
 
-The bytes' weighted prefix sums modulo 2**64 give the polynomial hash of any
-stretch by one subtraction and one multiplication; a mixing step with the
-length follows. Used for words and token pieces, of which a text has too many
-to handle one by one.
+Stretches of up to 16 bytes are read as one or two whole 8-byte numbers, and
+these are mixed; longer ones go through xxh3 one by one. Of stretches of one
+size, those of up to 8 bytes have the same hash only if they are equal. Used
+for words and token pieces, of which a text has too many to handle one by one.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-BLOCK, LONG = 1 << 18, 1 << 16  # bytes summed up at a time; longer stretches are hashed by themselves
-_BASE = 0x9E3779B97F4A7C15
-_tables: list[np.ndarray] = []
+EXACT = 8  # bytes up to which equal sizes and hashes mean equal stretches
+_SHORT = 16
+_SECOND, _SIZE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)  # the lowest i bytes of a number
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -22,39 +24,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers() -> list[np.ndarray]:
-    if not _tables:
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(BLOCK + LONG + 1, base, dtype=np.uint64)
-            p[0] = 1
-            _tables.append(np.cumprod(p))
-    return _tables
-
-
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of ``raw[starts[i]:ends[i]]``; starts ascend and stretches don't overlap."""
-    power, inverse = _powers()
-    out = np.empty(len(starts), dtype=np.uint64)
+    """Hashes of ``raw[starts[i]:ends[i]]``."""
     size = ends - starts
-    at = 0
-    while at < len(starts):
-        first = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(starts, first + BLOCK)))
-        if size[at:to].max() > LONG:
-            import xxhash
+    padded = np.zeros(len(raw) + 16, dtype=np.uint8)
+    padded[:len(raw)] = raw
+    number = np.ndarray((len(raw) + 9,), dtype="<u8", buffer=padded, strides=(1,))  # the 8 bytes from any place on
+    out = mix((number[starts] & _KEEP[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _SIZE))
+    two = np.flatnonzero((size > EXACT) & (size <= _SHORT))
+    if len(two):
+        second = number[starts[two] + 8] & _KEEP[size[two] - 8]
+        out[two] = mix(out[two] + mix(second ^ _SECOND))
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i]:ends[i]].tobytes())
+    return out
+
 
-            to = at + int(np.argmax(size[at:to] > LONG))
-            if to == at:
-                out[at] = xxhash.xxh3_64_intdigest(raw[first:int(ends[at])].tobytes())
-                at += 1
-                continue
-        last = int(ends[to - 1])
-        sums = np.zeros(last - first + 1, dtype=np.uint64)
-        np.cumsum((raw[first:last].astype(np.uint64) + np.uint64(1)) * power[:last - first], out=sums[1:])
-        s = starts[at:to] - first
-        out[at:to] = (sums[ends[at:to] - first] - sums[s]) * inverse[s]
-        at = to
-    return mix(out ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+def same_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> bool:
+    """Whether all stretches of ``a`` hold the bytes of those of ``b`` of the same size."""
+    total = int(size.sum())
+    if not total:
+        return True
+    inside = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
+    return bool((a[np.repeat(a_starts, size) + inside] == b[np.repeat(b_starts, size) + inside]).all())
 
 
 def joined(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,8 @@
 The public vocabularies used here never join characters across a single
 space or line feed between two other characters, nor a letter or digit with a
 full stop or comma after it. Texts are cut at such places, found on their
-UTF-8 bytes; pieces are told apart by a 64-bit hash; each distinct piece is
+UTF-8 bytes; pieces are looked up by a 64-bit hash and compared byte by byte
+(texts with two pieces of one hash are encoded as a whole); each distinct piece is
 encoded by the ``tokenizers`` library once and remembered, and the ids of a
 text are those of its pieces in a row. ``tests/llm`` compares them with plain
 ``encode`` calls. A cut that is left out (other white space, other scripts'
@@ -17,7 +18,7 @@ from itertools import chain
 
 import numpy as np
 
-from colloquy.llm.spans import joined, sorted_distinct, span_hashes
+from colloquy.llm.spans import EXACT, joined, same_spans, sorted_distinct, span_hashes
 
 #: Pieces that a worker remembers at most (some 40 bytes each); then it starts anew.
 CACHE_PIECES = 1_000_000
@@ -73,6 +74,9 @@ class PieceEncoder:
         self._hashes = np.empty(0, dtype=np.uint64)  # ascending
         self._start, self._size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         self._flat = np.empty(0, dtype="<u4")
+        # the bytes of the pieces: where they begin, how many, all in a row
+        self._from, self._bytes = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self._raw = np.empty(0, dtype=np.uint8)
 
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self._hashes, hashes)
@@ -80,7 +84,8 @@ class PieceEncoder:
         known[known] = self._hashes[at[known]] == hashes[known]
         return at, known
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, raws: list[bytes]) -> None:
+        pieces = [r.decode("utf-8", "surrogatepass") for r in raws]
         found = [e.ids for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         size = np.array([len(x) for x in found], dtype=np.int64)
         start = len(self._flat) + np.cumsum(size) - size
@@ -88,6 +93,14 @@ class PieceEncoder:
         where = np.searchsorted(self._hashes, hashes)
         self._hashes = np.insert(self._hashes, where, hashes)
         self._start, self._size = np.insert(self._start, where, start), np.insert(self._size, where, size)
+        length = np.array([len(r) for r in raws], dtype=np.int64)
+        begin = len(self._raw) + np.cumsum(length) - length
+        self._raw = np.concatenate((self._raw, np.frombuffer(b"".join(raws), dtype=np.uint8)))
+        self._from, self._bytes = np.insert(self._from, where, begin), np.insert(self._bytes, where, length)
+
+    def _plain(self, texts: list[str | None]) -> list[np.ndarray]:
+        found = self._tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4") for e in found]
 
     def _chunk(self, texts: list[str | None]) -> list[np.ndarray]:
         raw, offsets = joined(texts)
@@ -103,11 +116,20 @@ class PieceEncoder:
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self._hashes) + len(distinct) > CACHE_PIECES:
             self._forget()
-        _, known = self._find(distinct)
+        at, known = self._find(distinct)
+        length = ends - starts
+        # pieces of one hash against the first of them, and this against the piece remembered
+        chosen, old = first[which], first[known]
+        long, old_long = np.flatnonzero((length > EXACT) & (chosen != np.arange(len(chosen)))), length[old] > EXACT
+        same = ((length == length[chosen]).all() and (length[old] == self._bytes[at[known]]).all()
+                and same_spans(raw, starts[long], raw, starts[chosen[long]], length[long])
+                and same_spans(raw, starts[old][old_long], self._raw, self._from[at[known]][old_long], length[old][old_long]))
+        if not same:
+            return self._plain(texts)
         new = np.flatnonzero(~known)
         if len(new):
             data = raw.tobytes()
-            self._learn(distinct[new], [data[starts[i]:ends[i]].decode("utf-8", "surrogatepass") for i in first[new]])
+            self._learn(distinct[new], [data[starts[i]:ends[i]] for i in first[new]])
         at, _ = self._find(distinct)
         size = self._size[at][which]
         # ids of all pieces in a row: each one's stretch of the flat store

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import decontamination as D
 from colloquy.llm import host_quality as Q
+from colloquy.llm import jaccard_join as J
 from colloquy.llm import license_scan as L
 from colloquy.llm import toxicity as T
 from colloquy.llm import url_filter as U
@@ -224,3 +225,64 @@ def test_training_sample_has_one_text_an_id(spark):
 def test_whole_texts_count(i):
     text = "fine " * 50_000 + ["zero", "MIT License", "Apache   License"][i]
     assert L.scan_text(text)[1] == (i > 0)
+
+
+def test_items_with_null_and_repeated_ids_are_each_reported(spark):
+    items = [(None, "the quick brown fox jumps over the lazy dog"), (None, "pack my box with five dozen liquor jugs now"),
+             ("b", "sphinx of black quartz judge my vow today"), ("b", "how vexingly quick daft zebras jump at night")]
+    text = " -- ".join(t for _, t in items)
+    docs = spark.createDataFrame([(1, text), (1, text), (2, items[2][1]), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string").coalesce(1)
+    for block_chars in (1 << 20, 50):  # one block, and one for each item
+        got = sorted((r["doc_id"], r["item_ids"], r["n_items"]) for r in D.matches(docs, bench, block_chars=block_chars).collect())
+        assert got == [(1, [None, None, "b", "b"], 4)] * 2 + [(2, ["b"], 1), (3, [], 0)]
+
+
+def test_filters_keep_columns_with_the_names_they_use(spark):
+    good = " ".join(f"w{i}" for i in range(50))
+    df = spark.createDataFrame([(1, good, "h", 1, 2, 3, 4, 5, 6)], "doc_id long, text string, source string, hits long, measures long, "
+                               "row long, rejected_host long, gone_id long, __hits long")
+    for out in (D.remove(df, spark.createDataFrame([(1, "not in there at all, not at all")], "item_id long, text string")), Q.keep_good(df),
+                J.keep_one(df), J.keep_one(df.union(df))):
+        assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [tuple(df.first())]
+
+
+def test_one_bad_host_among_twenty(spark):
+    good, junk = " ".join(f"w{i}" for i in range(50)), "$ % & " * 20
+    rows = [(h * 100 + i, junk if i < (40 if h == 7 else 10) else good, f"h{h}") for h in range(20) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rejected = {r["host"] for r in Q.host_rates(Q.judge(df).select("host", *Q.MEASURES)).where("host_rejected").collect()}
+    assert rejected == {"h7"}
+    want = sorted(d for d, t, h in rows if t == good and h != "h7")
+    assert sorted(r["doc_id"] for r in Q.judge(df).where("kept").collect()) == want
+    assert sorted(r["doc_id"] for r in Q.keep_good(df).collect()) == want
+
+
+def test_words_and_pieces_are_told_apart_by_more_than_a_polynomial(spark):
+    import public_tokenizers
+
+    from colloquy.llm.tokens import PieceEncoder, tokenizer_json
+
+    word = "a"
+    while len(word) < 1 << 14:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(i, t) for i, t in enumerate(x[:n] for n in (1024, 2048, 16384) for x in (word, other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r["component_id"] == r["doc_id"] for r in J.components(docs).collect())
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e = PieceEncoder(tokenizer_json(public_tokenizers.path(name)))
+        for got, (_, t) in zip(e.encode_many([t for _, t in rows]), rows):
+            assert got.tolist() == e._tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_pieces_of_one_hash_are_compared(monkeypatch):
+    import public_tokenizers
+
+    from colloquy.llm import tokens
+
+    monkeypatch.setattr(tokens, "span_hashes", lambda raw, a, b: (b - a).astype(np.uint64))  # all pieces of a size collide
+    e = tokens.PieceEncoder(tokens.tokenizer_json(public_tokenizers.path("word_bpe_49k.json")))
+    for texts in (["international understanding"], ["understandable internationals"], ["one two", "six ten"]):
+        texts = [t.replace("one two", "some such thing like that").replace("six ten", "fashionable unfashionable") for t in texts]
+        assert [x.tolist() for x in e.encode_many(texts)] == [e._tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
