@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import (
     arc_warc, config_packing, decontamination, hash_tree, host_quality, jaccard_join, license_scan, token_store, toxicity,
-    url_filter,
+    turn_repair, url_filter,
 )
 
 
@@ -69,9 +69,14 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.shards(_table(spark, sf_dir, "documents"), 40)
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hurt = turn_repair.damaged(_table(spark, sf_dir, "conversations"))
+    return turn_repair.repair(hurt, present="present").withColumnRenamed("conv", "conv_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_decontamination, op3_host_quality, op4_arc_warc, op5_license_scan, op6_url_filter, op7_token_store,
-    op8_jaccard_join, op9_config_packing, op10_hash_tree)}
+    op8_jaccard_join, op9_config_packing, op10_hash_tree, op11_turn_repair)}
 
 _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
