@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import (
-    arc_warc, config_packing, decontamination, hash_tree, host_quality, jaccard_join, license_scan, token_store, toxicity,
+    arc_warc, config_packing, decontamination, filter_audit, hash_tree, host_quality, jaccard_join, license_scan, token_store, toxicity,
     turn_repair, url_filter,
 )
 
@@ -74,9 +74,14 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(hurt, present="present").withColumnRenamed("conv", "conv_id")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_decontamination, op3_host_quality, op4_arc_warc, op5_license_scan, op6_url_filter, op7_token_store,
-    op8_jaccard_join, op9_config_packing, op10_hash_tree, op11_turn_repair)}
+    op8_jaccard_join, op9_config_packing, op10_hash_tree, op11_turn_repair,
+    op12_filter_audit)}
 
 _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -123,6 +128,31 @@ reach(c, r) AS (SELECT c, c FROM classes UNION SELECT reach.c, links.b FROM reac
 comp AS (SELECT c, min(r) AS component_id FROM reach GROUP BY c)
 SELECT w.doc_id, coalesce(len(sets.ids), 0)::BIGINT AS n_shingles, coalesce(comp.component_id, w.doc_id) AS component_id
 FROM w LEFT JOIN sets ON sets.doc_id = w.doc_id LEFT JOIN classes ON classes.ids = sets.ids LEFT JOIN comp ON comp.c = classes.c""",
+    "op12_filter_audit": f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_WORDS.format(text="text")} AS w FROM documents),
+lab AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(lab.good, 0) AS good, coalesce(lab.toxic, 0) AS toxic,
+             [len(w) < {filter_audit.MIN_WORDS}, 100 * len(list_distinct(w)) < {filter_audit.DISTINCT_PERCENT} * len(w),
+              100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {filter_audit.CAPITALS_PERCENT} * length(text),
+              regexp_matches(text, '[#$%&*|]'),
+              coalesce(min(d.doc_id) OVER (PARTITION BY text) < d.doc_id, false)] AS fails
+      FROM d LEFT JOIN lab ON lab.doc_id = d.doc_id),
+g AS (SELECT part, fails, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+f AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS ord FROM f a, f b, f c, f d, f e
+      WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT ord, step, ord[step] AS x, ord[1:step - 1] AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+t AS (SELECT part, ord, step, x, n, good, toxic, fails[x] AS bad, len([y FOR y IN before IF fails[y]]) > 0 AS gone,
+             len([y FOR y IN fails IF y]) AS n_bad FROM g, s),
+r AS (SELECT part, ord, step, x, sum(CASE WHEN NOT gone AND NOT bad THEN n ELSE 0 END)::BIGINT AS kept,
+             sum(CASE WHEN bad AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+             sum(CASE WHEN bad AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+             sum(CASE WHEN bad AND n_bad = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+             sum(CASE WHEN bad AND NOT gone THEN n * good ELSE 0 END)::BIGINT AS good_lost,
+             sum(CASE WHEN bad AND NOT gone THEN n * toxic ELSE 0 END)::BIGINT AS toxic_lost
+      FROM t GROUP BY part, ord, step, x)
+SELECT part, array_to_string([substr('ABCDE', y, 1) FOR y IN ord], '') AS filter_order, step::INTEGER AS step, kept, removed,
+       redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM r""",
     "op4_arc_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
