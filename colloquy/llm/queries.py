@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import (
-    arc_warc, config_packing, decontamination, filter_audit, hash_tree, host_quality, jaccard_join, license_scan, token_store, toxicity,
+    arc_warc, config_packing, decontamination, filter_audit, hash_tree, host_quality, jaccard_join, license_scan, minmax_dedup, token_store, toxicity,
     turn_repair, url_filter,
 )
 
@@ -78,10 +78,14 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_decontamination, op3_host_quality, op4_arc_warc, op5_license_scan, op6_url_filter, op7_token_store,
     op8_jaccard_join, op9_config_packing, op10_hash_tree, op11_turn_repair,
-    op12_filter_audit)}
+    op12_filter_audit, op13_minmax_dedup)}
 
 _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -127,6 +131,22 @@ links AS (SELECT a.c AS a, b.c AS b FROM inv a JOIN inv b ON a.i = b.i AND a.c <
 reach(c, r) AS (SELECT c, c FROM classes UNION SELECT reach.c, links.b FROM reach JOIN links ON links.a = reach.r),
 comp AS (SELECT c, min(r) AS component_id FROM reach GROUP BY c)
 SELECT w.doc_id, coalesce(len(sets.ids), 0)::BIGINT AS n_shingles, coalesce(comp.component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN sets ON sets.doc_id = w.doc_id LEFT JOIN classes ON classes.ids = sets.ids LEFT JOIN comp ON comp.c = classes.c""",
+    "op13_minmax_dedup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=_LOWER.format(text="text"))} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+              ELSE [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)] END) AS s FROM w),
+num AS (SELECT s, row_number() OVER () AS i FROM (SELECT DISTINCT s FROM sh) x),
+sets AS (SELECT doc_id, list_sort(list(i)) AS ids FROM sh JOIN num USING (s) GROUP BY doc_id),
+classes AS (SELECT min(doc_id) AS c, ids, len(ids) AS n FROM sets GROUP BY ids),
+inv AS (SELECT c, n, unnest(ids) AS i FROM classes),
+links AS (SELECT a.c AS a, b.c AS b FROM inv a JOIN inv b ON a.i = b.i AND a.c <> b.c AND a.n * 100 >= b.n * 85
+               AND b.n * 100 >= a.n * 85
+          GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(c, r) AS (SELECT c, c FROM classes UNION SELECT reach.c, links.b FROM reach JOIN links ON links.a = reach.r),
+comp AS (SELECT c, min(r) AS component_id FROM reach GROUP BY c)
+SELECT w.doc_id, coalesce(len(sets.ids), 0)::BIGINT AS n_shingles, coalesce(comp.component_id, w.doc_id) AS component_id,
+       coalesce(comp.component_id, w.doc_id) = w.doc_id AS kept
 FROM w LEFT JOIN sets ON sets.doc_id = w.doc_id LEFT JOIN classes ON classes.ids = sets.ids LEFT JOIN comp ON comp.c = classes.c""",
     "op12_filter_audit": f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_WORDS.format(text="text")} AS w FROM documents),
