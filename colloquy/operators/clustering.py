@@ -289,7 +289,7 @@ def _cluster_sums(keys: list[str]):
                              "_own": np.repeat(rows["_own"].to_numpy(), len(labels)), "_c": np.tile(labels, n),
                              "_sum": (D @ onehot).reshape(-1), "_cnt": np.tile(onehot.sum(0), n)}, columns=cols)
 
-    def fn(key, pts: pd.DataFrame) -> pd.DataFrame:
+    def fn(key: tuple, pts: pd.DataFrame) -> pd.DataFrame:
         group, a, b = key[:len(keys)], key[-2], key[-1]
         left, right = pts[pts["_tile"] == a], pts[pts["_tile"] == b]
         if left.empty or right.empty:
@@ -387,7 +387,7 @@ def positional_ids(df: DataFrame, group_cols: list[str], order_col: str, out: st
 def _near_labels(keys: list[str], eps: float):
     cols = [*keys, "_id", "_cand"]
 
-    def fn(key, pts: pd.DataFrame) -> pd.DataFrame:
+    def fn(key: tuple, pts: pd.DataFrame) -> pd.DataFrame:
         group, a, b = key[:len(keys)], key[-2], key[-1]
         left, right = pts[pts["_tile"] == a], pts[pts["_tile"] == b]
         if left.empty or right.empty:
