@@ -31,8 +31,7 @@ def class_tfidf(docs: DataFrame, topic_col: str, text_col: str, min_len: int = 2
     tf = term_counts(docs, topic_col, text_col, min_len).persist()
     f = tf.groupBy("term").agg(F.sum("tf").alias("f"))
     totals = tf.groupBy(topic_col).agg(F.sum("tf").alias("total"))
-    avg = totals.agg(F.floor(F.avg("total")).alias("A")).withColumn("_k", F.lit(1))
-    totals = join_small(totals.withColumn("_k", F.lit(1)), avg, on=["_k"]).drop("_k")
+    totals = totals.withColumn("A", totals.agg(F.floor(F.avg("total"))).scalar())
     j = tf.join(f, on="term")
     j = join_small(j, totals, on=[topic_col])
     w = (F.col("tf") / F.col("total")) * F.log(F.lit(1.0) + F.col("A") / F.col("f"))
@@ -51,18 +50,15 @@ def topic_vectors(vecs: DataFrame, topic_col: str, vec_col: str, out: str = "top
 
 
 def find_topics(topic_vecs: DataFrame, queries: DataFrame, topic_col: str, vec_col: str = "topic_vec",
-                query_vec: str = "query_vec", query_keys: list[str] | None = None, n: int = 10) -> DataFrame:
-    """Top-n topics by cosine to each query vector (ties by topic)."""
-    keys = query_keys or []
-    j = join_small(topic_vecs.withColumn("_k", F.lit(1)), queries.withColumn("_k", F.lit(1)), on=["_k"]).drop("_k")
-    j = j.withColumn("similarity", cosine(query_vec, vec_col))
-    if not keys:  # one query: a top-n, each task keeps n rows
-        top = j.orderBy(F.col("similarity").desc(), F.col(topic_col)).limit(n)
-        w = Window.orderBy(F.col("similarity").desc(), F.col(topic_col))
-        return top.withColumn("rank", F.row_number().over(w)).select(topic_col, "similarity", "rank")
-    w = Window.partitionBy(*keys).orderBy(F.col("similarity").desc(), F.col(topic_col))
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n) \
-        .select(*keys, topic_col, "similarity", "rank")
+                query_vec: str = "query_vec", n: int = 10) -> DataFrame:
+    """Top-n topics by cosine to one query vector (ties by topic); a table of queries: ``topic_fit.topics_of_texts``.
+
+    ``queries`` has one row, which goes into the plan as a scalar subquery; each task keeps n rows.
+    """
+    j = topic_vecs.withColumn("_asked", queries.select(query_vec).scalar()).withColumn("similarity", cosine("_asked", vec_col))
+    top = j.orderBy(F.col("similarity").desc(), F.col(topic_col)).limit(n)
+    w = Window.orderBy(F.col("similarity").desc(), F.col(topic_col))
+    return top.withColumn("rank", F.row_number().over(w)).select(topic_col, "similarity", "rank")
 
 
 def representatives(vecs: DataFrame, topic_vecs: DataFrame, topic_col: str, id_col: str, vec_col: str,

@@ -6,14 +6,19 @@ over groups on the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions.text import question_template
 from colloquy.functions.vectors import cosine
 from colloquy.operators import clustering as C
+from colloquy.operators import topic_fit as TF
+from colloquy.operators import topics as TP
 from colloquy.operators import vectors as V
 from colloquy.operators.joins import join_small
-from colloquy.session import checkpoint_dir
+from colloquy.session import checkpoint_dir, stored
 
 
 def most_frequent(df: DataFrame, group_cols: list[str], value_col: str, out: str = "main") -> DataFrame:
@@ -146,3 +151,38 @@ def typical_answers_per_group(bag: DataFrame, group_cols: list[str], id_col: str
     answers = bag.select(*group_cols, F.col(id_col).alias(f"medoid_{id_col}"), answer)
     out = typ.join(answers, on=[*group_cols, f"medoid_{id_col}"], how="inner")
     return out.select(*group_cols, "cluster", f"medoid_{id_col}", answer).unionByName(short)
+
+
+def topics_matching_words(qa: DataFrame, words: DataFrame, kinds: list[str], topic: str, question: str, vec_col: str,
+                          id_col: str, dim: int = 64, top_n: int = 10, n_representative: int = 3, bar: float = 0.65) -> DataFrame:
+    """(word, kind, topic): topics found for a subject word that hold a question like the word's template.
+
+    A word's topics are the ``top_n`` of largest cosine between its vector and the topic's mean question
+    vector; a topic matches a kind of question (``like``, ``favorite``, ``no-fill``) if one of its ``n_representative``
+    questions nearest to the mean has a cosine of ``bar`` or more to the template filled with the word.
+    """
+    topic_vecs = stored(TP.topic_vectors(qa, topic, vec_col), "topic-vectors")
+    subjects = V.hash_embed(words.select("word").distinct(), "word", dim, "query_vec")
+    found = TF.topics_of_texts(topic_vecs, subjects, topic, "word", n=top_n).select("word", topic)
+    asked = reduce(DataFrame.unionByName, [words.select("word").distinct().select(
+        "word", F.lit(k).alias("kind"), question_template(k, F.col("word")).alias("_asked")) for k in kinds])
+    asked = V.hash_embed(asked, "_asked", dim, "_asked_vec").select("word", "kind", "_asked_vec")
+    reps = TP.representatives(qa, topic_vecs, topic, id_col, vec_col, n_representative).select(topic, F.col(vec_col).alias("_rep"))
+    pairs = found.join(asked, "word").join(reps, topic)
+    return pairs.where(cosine("_rep", "_asked_vec") >= bar).select("word", "kind", topic).distinct()
+
+
+def likes_by_word(qa: DataFrame, words: DataFrame, kinds: list[str], topic: str, question: str, answer: str, vec_col: str,
+                  score_col: str, id_col: str, threshold: float = 0.95, zs_threshold: float = 0.7, bar: float = 0.65,
+                  dim: int = 64, min_answers: int = 1) -> DataFrame:
+    """(word, kind, topic, cluster, medoid id, answer): from subject words to the typical answers of their topics.
+
+    Word -> topics -> those with a representative question like the template -> their questions whose topic
+    score exceeds ``zs_threshold`` -> main question and near copies -> answers -> typical answers. Every topic that some
+    word matches is worked out once. Each topic filters the original rows, not what an earlier topic left over.
+    """
+    matched = stored(topics_matching_words(qa, words, kinds, topic, question, vec_col, id_col, dim, bar=bar), "matched-topics")
+    rows = qa.where(F.col(score_col) > zs_threshold).join(matched.select(topic).distinct(), topic, "left_semi")
+    bag = stored(answer_bag(rows, [topic], question, answer, vec_col, threshold, extra=[id_col]), "answers")
+    typical = typical_answers_per_group(bag, [topic], id_col, answer, dim, min_answers=min_answers)
+    return matched.join(typical, topic).select("word", "kind", topic, "cluster", f"medoid_{id_col}", answer)

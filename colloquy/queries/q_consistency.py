@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy.catalog import query, rnd
+from colloquy.functions.text import tokens
 from colloquy.operators import vectors as V
 from colloquy.operators.scoring import top1
 from colloquy.plans import consistency as CS
 from colloquy.plans.evaluation import LANG_SCORER
-from colloquy.queries.sqlparts import TOKENS, keyword_scores, typical_answers_sql
+from colloquy.queries.sqlparts import TOKENS, keyword_scores, typical_answers_sql, unit_vectors_sql
+from colloquy.session import stored
 from colloquy.sources.tables import qa_pairs, table
 from colloquy.sources.taxonomy import LANGUAGES
 
@@ -107,3 +109,40 @@ def topic_likes(spark, sf_dir):
     bag = CS.answer_bag(qa, ["topic"], "question", "answer", "vec", SIMILAR, extra=["uid"])
     out = CS.typical_answers_per_group(bag, ["topic"], "uid", "answer")
     return out.select("topic", F.col("cluster").cast("int").alias("cluster"), "medoid_uid", "answer")
+
+
+MATCH = 0.3  # cosine bar between a filled template and a question with hashed vectors
+KINDS = ("like", "favorite", "no-fill")
+
+
+@query("likes_by_word", f"""WITH {_qa_sql("k_top.score > 0.7::DOUBLE")},
+alq AS MATERIALIZED (SELECT qa.uid, qa.question, k_top.label AS topic FROM qa JOIN k_top ON k_top.id = qa.uid),
+{unit_vectors_sql("alq", "alq", "uid", "question")},
+alv AS MATERIALIZED (SELECT alq.uid, alq.topic, alq_v.v FROM alq JOIN alq_v ON alq_v.uid = alq.uid),
+tvx AS (SELECT topic, unnest(range(64)) AS dim, unnest(v) AS x FROM alv),
+tvs AS (SELECT topic, list(x ORDER BY dim) AS v FROM (SELECT topic, dim, avg(x) AS x FROM tvx GROUP BY topic, dim) m GROUP BY topic),
+wtok AS (SELECT topic, unnest({TOKENS.format(text='question')}) AS word FROM alq),
+subj AS (SELECT DISTINCT word FROM (SELECT topic, word FROM wtok WHERE length(word) >= 3 GROUP BY topic, word
+         QUALIFY row_number() OVER (PARTITION BY topic ORDER BY count(*) DESC, word) = 1) x),
+{unit_vectors_sql("sbj", "subj", "word", "word")},
+fnd AS (SELECT w.word, t.topic FROM sbj_v w CROSS JOIN tvs t
+        QUALIFY row_number() OVER (PARTITION BY w.word ORDER BY round(list_cosine_similarity(w.v, t.v), 9) DESC, t.topic) <= 10),
+tpl(kind, head, tail) AS (VALUES ('like', 'do you like ', '?'), ('favorite', 'what''s your favorite ', '?'), ('no-fill', '', '')),
+askd AS (SELECT word, kind, word || '/' || kind AS akey, head || word || tail AS text FROM subj CROSS JOIN tpl),
+{unit_vectors_sql("ask", "askd", "akey", "text")},
+rps AS (SELECT a.topic, a.v FROM alv a JOIN tvs t ON t.topic = a.topic
+        QUALIFY row_number() OVER (PARTITION BY a.topic ORDER BY round(list_cosine_similarity(a.v, t.v), 9) DESC, a.uid) <= 3),
+matched AS (SELECT DISTINCT k.word, k.kind, f.topic FROM askd k JOIN ask_v v ON v.akey = k.akey JOIN fnd f ON f.word = k.word
+            JOIN rps r ON r.topic = f.topic WHERE list_cosine_similarity(r.v, v.v) >= {MATCH}::DOUBLE),
+{typical_answers_sql("bag", "topic", "uid", "answer", LIKES_ROUNDS)}
+SELECT m.word, m.kind, m.topic, t.cluster::INTEGER AS cluster, t.id AS medoid_uid, t.answer
+FROM matched m JOIN typical t ON t.g = m.topic""")
+def likes_by_word(spark, sf_dir):
+    """From subject words (each topic's most frequent word of three letters or more) and both question
+    templates to the typical answers of the topics that hold such a question."""
+    qa = stored(_qa_topics(spark, sf_dir), "questions")
+    said = qa.select("topic", F.explode(tokens("question")).alias("word")).where(F.length("word") >= 3)
+    words = stored(CS.most_frequent(said, ["topic"], "word", "word").select("word").distinct(), "subject-words")
+    out = CS.likes_by_word(qa, words, list(KINDS), "topic", "question", "answer", "vec", "topic_score", "uid",
+                           threshold=SIMILAR, bar=MATCH)
+    return out.select("word", "kind", "topic", F.col("cluster").cast("int").alias("cluster"), "medoid_uid", "answer")

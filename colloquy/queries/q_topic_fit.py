@@ -8,7 +8,7 @@ from colloquy.catalog import query, rnd
 from colloquy.operators import topic_fit as TF
 from colloquy.operators import topics as TP
 from colloquy.operators import vectors as V
-from colloquy.queries.sqlparts import TOKENS
+from colloquy.queries.sqlparts import TOKENS, unit_vectors_sql
 from colloquy.session import stored
 from colloquy.sources.tables import table
 
@@ -16,17 +16,7 @@ K, BAR, MIN_SIZE, DIVERSITY = 4, 0.88, 3, 0.5
 CANDIDATES, TERMS = 30, 5
 
 
-def _vec_sql(prefix: str, source: str, key: str, text: str) -> str:
-    """CTE ``{prefix}_v(key, v)``: hashed token counts of unit length in 64 buckets, as a list."""
-    p = prefix
-    return f"""{p}_t AS (SELECT {key}, unnest({TOKENS.format(text=text)}) AS tok FROM {source}),
-{p}_b AS (SELECT {key}, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS b, count(*)::DOUBLE AS c FROM {p}_t WHERE tok <> '' GROUP BY ALL),
-{p}_n AS (SELECT {key}, sqrt(sum(c * c)) AS nn FROM {p}_b GROUP BY {key}),
-{p}_v AS MATERIALIZED (SELECT s.{key}, list(coalesce(b.c / n.nn, 0.0) ORDER BY d.dim) AS v FROM (SELECT DISTINCT {key} FROM {source}) s
-    CROSS JOIN range(64) d(dim) LEFT JOIN {p}_b b ON b.{key} = s.{key} AND b.b = d.dim LEFT JOIN {p}_n n ON n.{key} = s.{key} GROUP BY s.{key})"""
-
-
-_FIT_SQL = f"""{_vec_sql("f", "documents", "doc_id", "text")},
+_FIT_SQL = f"""{unit_vectors_sql("f", "documents", "doc_id", "text")},
 fp AS (SELECT d.source AS g, d.doc_id AS id, f_v.v FROM documents d JOIN f_v ON f_v.doc_id = d.doc_id),
 fs AS (SELECT a.g, a.id, b.id AS other, round(list_dot_product(a.v, b.v), {TF.PLACES}) AS s FROM fp a JOIN fp b ON b.g = a.g AND b.id <> a.id),
 nn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g, id ORDER BY s DESC, other) AS r FROM fs QUALIFY r <= {K}),
@@ -89,7 +79,7 @@ wt AS (SELECT tf.name, tf.term, (tf.tf::DOUBLE / tot.total) * ln(1.0 + (SELECT f
 cand AS MATERIALIZED (SELECT name, term, weight / max(weight) OVER (PARTITION BY name) AS rel FROM wt
         QUALIFY row_number() OVER (PARTITION BY name ORDER BY weight DESC, term) <= {CANDIDATES}),
 grams AS (SELECT DISTINCT term, array_to_string([substr(term, i, 3) FOR i IN range(1, greatest(1, length(term) - 2) + 1)], ' ') AS text FROM cand),
-{_vec_sql("g", "grams", "term", "text")},
+{unit_vectors_sql("g", "grams", "term", "text")},
 sims AS MATERIALIZED (SELECT a.name, a.term AS a, b.term AS b, list_dot_product(x.v, y.v) AS s FROM cand a JOIN cand b ON b.name = a.name
         JOIN g_v x ON x.term = a.term JOIN g_v y ON y.term = b.term),
 firsts AS (SELECT name, min({{'neg': -round(rel, {TF.PLACES}), 'term': term}}) AS best FROM cand GROUP BY name),
@@ -124,7 +114,7 @@ def fitted_representatives(spark, sf_dir):
 
 
 @query("topics_of_benchmark", f"""WITH RECURSIVE {_NAMED_SQL}, {_TV_SQL},
-{_vec_sql("q", "benchmark", "item_id", "text")},
+{unit_vectors_sql("q", "benchmark", "item_id", "text")},
 sim AS (SELECT q.item_id, tv.name, coalesce(round(CASE WHEN list_dot_product(q.v, q.v) = 0 THEN 0.0
                ELSE list_cosine_similarity(q.v, tv.v) END, {TF.PLACES}), 0.0) AS s FROM q_v q CROSS JOIN tv)
 SELECT item_id, name, round(s, 6) AS similarity, (row_number() OVER (PARTITION BY item_id ORDER BY s DESC, name))::INTEGER AS rank

@@ -9,7 +9,6 @@ from colloquy.functions.text import question_template
 from colloquy.functions.vectors import cosine
 from colloquy.operators import topics as TP
 from colloquy.operators import vectors as V
-from colloquy.operators.joins import join_small
 from colloquy.queries.q_vectors import HASH_SQL
 from colloquy.queries.sqlparts import TOKENS
 from colloquy.sources.tables import table
@@ -95,8 +94,7 @@ def topic_has_match(spark, sf_dir):
     docs, tv = _topic_model(spark, sf_dir)
     found = TP.find_topics(tv, _query_vec(spark, SUBJECT), "lang", n=10).select("lang")
     reps = TP.representatives(docs, tv, "lang", "doc_id", "vec", 3)
-    q = _query_vec(spark, SUBJECT).select("query_vec").withColumn("_k", F.lit(1))
-    rq = join_small(reps.withColumn("_k", F.lit(1)), q, on=["_k"]).drop("_k")
-    hits = rq.where(cosine("vec", "query_vec") >= 0.5).select("lang")
+    asked = reps.withColumn("_asked", _query_vec(spark, SUBJECT).select("query_vec").scalar())
+    hits = asked.where(cosine("vec", "_asked") >= 0.5).select("lang")
     return found.join(hits, on="lang", how="left_semi")
 

@@ -103,6 +103,16 @@ def cascade_sql(source: str, id_col: str, text_col: str, levels, flat=(), keep:
             + f" FROM {source} s " + " ".join(joins))
 
 
+def unit_vectors_sql(prefix: str, source: str, key: str, text: str) -> str:
+    """CTE ``{prefix}_v(key, v)``: hashed token counts of unit length in 64 buckets, as a list."""
+    p = prefix
+    return f"""{p}_t AS (SELECT {key}, unnest({TOKENS.format(text=text)}) AS tok FROM {source}),
+{p}_b AS (SELECT {key}, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS b, count(*)::DOUBLE AS c FROM {p}_t WHERE tok <> '' GROUP BY ALL),
+{p}_n AS (SELECT {key}, sqrt(sum(c * c)) AS nn FROM {p}_b GROUP BY {key}),
+{p}_v AS MATERIALIZED (SELECT s.{key}, list(coalesce(b.c / n.nn, 0.0) ORDER BY d.dim) AS v FROM (SELECT DISTINCT {key} FROM {source}) s
+    CROSS JOIN range(64) d(dim) LEFT JOIN {p}_b b ON b.{key} = s.{key} AND b.b = d.dim LEFT JOIN {p}_n n ON n.{key} = s.{key} GROUP BY s.{key})"""
+
+
 def bag_vectors_sql(source: str, id_col: str, text_col: str, dim: int, reduced: int, prefix: str = "bag") -> str:
     """Hashed, normalised and sign-projected vectors: ``{prefix}_p(id, dim, x)`` and ``{prefix}_v(id, vec)``."""
     p = prefix
