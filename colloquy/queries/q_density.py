@@ -43,3 +43,13 @@ def cluster_report(spark, sf_dir):
     r = D.cluster_report(_emb(spark, sf_dir), ["label"], "vec_id", "vec", min_share=0.5, min_samples=5)
     return r.select("label", "n", F.col("n_clusters").cast("int").alias("n_clusters"), "n_noise", "size",
                     *(rnd(c).alias(c) for c in ("persistence", "mean_probability", "silhouette")))
+
+
+@query("neighbour_graph_reduced")
+def neighbour_graph_reduced(spark, sf_dir):
+    """Two leading eigenvector dimensions of each label group's neighbour graph, with eigenvalues."""
+    from colloquy.operators import spectral as S
+
+    r = S.spectral_reduce(_emb(spark, sf_dir), ["label"], "vec_id", "vec", dims=2, k=10)
+    return r.select("label", "vec_id", "reduced", rnd(F.col("vec")[0], 3).alias("x"), rnd(F.col("vec")[1], 3).alias("y"),
+                    *(rnd(F.col("eigenvalues")[j], 4).alias(f"eigenvalue_{j + 1}") for j in range(2)))
