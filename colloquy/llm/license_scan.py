@@ -2,9 +2,10 @@
 
 A signature is a regular expression with a label, a priority, a confidence and
 a word of its own name that the text must hold before the expression is tried.
-Signatures come from a rule: each of the 73 names of the license families is
-put into 10 phrasings ("licensed under ...", an SPDX tag, a bare name ...), 730
-in all.
+Most rules are hand-written (``license_rules``: SPDX identifiers, version forms,
+file headers, the wordings of notices that never name their license,
+addresses of the texts). Below them stand plain phrasings of license names
+("licensed under ...", a bare name): 73 names in 10 phrasings.
 Detections are intervals of the text. They are taken in order of priority,
 then length, then position; one that lies inside an interval already taken is
 suppressed, so "GNU Lesser General Public License" is no hit for the shorter
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from colloquy.llm.common import arrow_map, batches, pick
+from colloquy.llm.license_rules import RULES
 
 #: Phrases that are counted in all their places, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -120,6 +122,12 @@ def phrase(words: str) -> re.Pattern:
     return re.compile(b"(?<!" + _IN + b")" + body + b"(?!" + _IN + b")")
 
 
+def expression(rule: str) -> re.Pattern:
+    """A hand-written rule: a space is what separates two words, both ends are word ends."""
+    body = rule.encode().replace(b",? ", b" ").replace(b" ?", b"(?:" + _SEP + b")?").replace(b" ", _SEP)
+    return re.compile(b"(?<!" + _IN + b")(?:" + body + b")(?!" + _IN + b")")
+
+
 def gate(keyword: str, name: str) -> bytes:
     """What every text with the name holds: the keyword's first word if the name has it, else the name's own first."""
     first = keyword.split()[0]
@@ -130,6 +138,10 @@ def gate(keyword: str, name: str) -> bytes:
 def signatures() -> dict[bytes, list[Signature]]:
     """All signatures by their gate; the order is by priority."""
     found: dict[bytes, list[Signature]] = {}
+    for label, rules in RULES.items():
+        for keyword, priority, confidence, rule in rules:
+            found.setdefault(keyword.encode(), []).append(Signature(
+                label, 100 * priority + 99, confidence, keyword.encode(), expression(rule)))
     for label, keyword, names in FAMILIES:
         for name in names:
             for text, priority, confidence in PHRASINGS:
@@ -163,7 +175,7 @@ def detect(lowered: bytes) -> list[Hit]:
     """
     hits = []
     for keyword, group in signatures().items():
-        if keyword in lowered:
+        if all(word in lowered for word in keyword.split()):
             hits += [Hit(*m.span(), s.label, s.priority, s.confidence) for s in group for m in s.pattern.finditer(lowered)]
     hits.sort()
     taken: list[Hit] = []
