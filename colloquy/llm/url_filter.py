@@ -1,7 +1,8 @@
 """URL filter: block and allow rules, then a classifier on the URL itself.
 
 The classifier is a logistic regression on hashed character n-grams of host
-and path, fitted on the small labelled table below (1: block). Everything runs
+and path, fitted on the labelled table below (1: block), which is written from
+public knowledge of what such hosts are called. Everything runs
 in the JVM: the n-grams of a URL are taken and hashed in column expressions,
 and the fitted weights, a fixed number of buckets, are one literal array that
 the score sums up. No Python runs on the executors and nothing is shuffled.
@@ -12,7 +13,8 @@ text wins.
 
 Defined results: a null URL or one without ``://`` has an empty host and path
 and no n-grams, so its score is the intercept's, which is negative since most
-rows of the table are ordinary (allow); repeated rows are judged each.
+rows of the table are ordinary (allow); URLs of any length are judged whole;
+repeated rows are judged each; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,38 +26,89 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
-SIZES = (3, 4)
+BUCKETS = 16384
+SIZES = (3, 4, 5)
 THRESHOLD = 0.5
 
 #: Host and path of a rule, and its verdict.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
-#: Words of unwanted and of ordinary hosts, and paths of each
-#: kind. Half of the labelled rows of either kind have an ordinary path.
-UNWANTED = """cheap-pills casino-win free-bets best-casino online-poker slot-jackpot win-money fast-loans payday-credit
-viagra-shop pills-online hot-dates adult-cams xxx-video porn-tube sexy-chat free-porn replica-watches crypto-double
-lottery-prize click-bonus free-iphone miracle-diet weight-loss-pills bet-bonus roulette-vip escort-girls warez-crack
-serial-keygen torrent-free adult-x ads-server ads-track banner-track click-track pop-ads""".split()
-ORDINARY = """news weather library university museum science history recipes garden travel sports music books cinema
-school hospital council research journal archive museum-online health-info city-guide daily-post village-news
-open-data software-docs photo-blog kitchen-notes river-walks local-history maths-club bird-watch night-sky""".split()
-#: Common letter groups; every two of them make an ordinary host.
-COMMON = "the er on an re st en at or ed nd ing".split()
-UNWANTED_PATHS = ["buy-now", "free-bonus/win", "cheap/pills", "casino/play", "xxx/free-video", "click?offer"]
-ORDINARY_PATHS = ["en/1234/", "articles/2020/about.html", "fr/567", "de/89/", "es/42.html", "docs/guide", "", "en/77#top"]
-DOMAINS = ["example.com", "example.net", "example.org"]
-
-
-def labelled_table() -> list[tuple[str, str, float]]:
-    """(host, path, label) rows; most are ordinary, as most hosts are."""
+#: Stems of unwanted hosts by kind, what such names put before or after them, well-known names.
+STEMS = {
+    "adult": "porn porno sex xxx adult nude naked milf hentai erotic fetish camgirls webcams escorts stripper sexcam pornstar hookup",
+    "gambling": "casino poker bet bets betting slots slot roulette blackjack jackpot bingo lotto lottery gambling vegas wager sportsbook",
+    "pills": "viagra cialis levitra pills pharmacy meds steroids xanax tramadol slimming dietpills",
+    "money": "payday loans quickcash forex binary bitcoin crypto getrich profits airdrop moneyfast",
+    "piracy": "torrent torrents warez crack cracked keygen serials nulled pirate freemovies fullmovie modapk",
+    "fakes": "replica replicas fakewatch rolex giveaway freeprize winner spam spammer phishing clickbait malware",
+    "ads": "ads adserver popads popunder banners adclick tracker adnetwork",
+}
+AROUND = "free best online top hot live cheap my the club hub tube zone city king vip 24 365 world royal mega super star win buy shop girls pro now".split()
+KNOWN_UNWANTED = """pornhub.com xvideos.com xnxx.com xhamster.com redtube.com youporn.com tube8.com spankbang.com chaturbate.com
+livejasmin.com brazzers.com stripchat.com bongacams.com cam4.com adultfriendfinder.com beeg.com porntrex.com sexu.com xxxbunker.com
+youjizz.com motherless.com erome.com literotica.com nudevista.com hentaihaven.xxx rule34.xxx pornpics.com sex.com bet365.com betway.com
+888casino.com 888poker.com pokerstars.com partypoker.com ladbrokes.com bwin.com unibet.com betfair.com betvictor.com draftkings.com fanduel.com
+1xbet.com betonline.ag bovada.lv stake.com 22bet.com betsson.com betano.com leovegas.com slotomania.com jackpotcity.com spincasino.com
+royalvegas.com casinoeuro.com pokerbros.net ggpoker.com thepiratebay.org 1337x.to rarbg.to kickasstorrents.to torrentz2.eu limetorrents.info
+yourbittorrent.com fitgirl-repacks.site crackwatch.com nulled.to serials.ws popcash.net popads.net propellerads.com adsterra.com
+exoclick.com trafficjunky.com doubleclick.net""".split()
+#: Words of ordinary hosts, and well-known ones, some with an unwanted stem inside a plain word.
+PLAIN = """news weather library university museum science history recipes garden travel sports music books cinema school hospital
+council research journal archive health guide daily post village open data software docs photo kitchen river local maths bird sky
+blog times herald tribune gazette review academy college institute society church parish town county state police fire train bus
+airport hotel cafe bakery farm forest ocean mountain island harbour bridge castle art design studio print paper press radio film
+theatre dance opera piano guitar football cricket tennis cycling running yoga running hiking camping fishing sailing knitting sewing
+wood metal stone glass paint build home house family kids baby pets dog cat horse bee flower tree seed soil water energy solar wind
+car bike engine motor tool shop market store trade bank insurance law tax job career work office team group network cloud code linux
+python java web mobile phone tablet camera video game chess puzzle math physics chemistry biology geology astronomy medicine nurse
+doctor dental clinic care support help forum wiki answers learn teach course lesson student teacher language english german french
+spanish italian poem story novel author reader magazine digest report letter mail post""".split()
+KNOWN_ORDINARY = """wikipedia.org wikimedia.org archive.org nytimes.com bbc.co.uk theguardian.com lemonde.fr spiegel.de zeit.de elpais.com
+reuters.com apnews.com nature.com science.org nasa.gov noaa.gov nih.gov who.int europa.eu gov.uk service.gov.uk bund.de loc.gov un.org
+mit.edu stanford.edu harvard.edu ox.ac.uk cam.ac.uk ethz.ch essex.ac.uk sussex.ac.uk middlesex.edu wessexwater.co.uk github.com gitlab.com
+stackoverflow.com python.org apache.org mozilla.org kernel.org debian.org ubuntu.com w3.org ietf.org arxiv.org jstor.org springer.com
+elsevier.com plos.org britannica.com merriam-webster.com dictionary.com imdb.com rottentomatoes.com goodreads.com gutenberg.org
+openstreetmap.org weather.com accuweather.com booking.com tripadvisor.com lonelyplanet.com amazon.com ebay.com etsy.com ikea.com
+walmart.com target.com bestbuy.com apple.com microsoft.com google.com alphabet.com youtube.com facebook.com linkedin.com reddit.com
+medium.com wordpress.com blogspot.com tumblr.com nba.com fifa.com espn.com allrecipes.com epicurious.com webmd.com mayoclinic.org
+clevelandclinic.org pharmaceutical-journal.com better.org.uk betterhealth.vic.gov.au betty.org sextant.org sexton.net crackers-and-cheese.com
+slothsanctuary.com pokeroot.org casinelli-architects.it lottierose.com analytics.com adulteducation.org livescience.com startribune.com
+bingham.edu vegetables.org binaryheap.dev cryptography.io pirateship.com winnipeg.ca wagner.edu""".split()
+ORDINARY_PATHS = ["", "/", "/about", "/index.html", "/news/2021/05/12/story.html", "/en/1234", "/wiki/Main_Page", "/articles/77", "/de/seite/5/",
+                  "/fr/page.html", "/contact", "/product/123", "/category/item"]
+UNWANTED_PATHS = ["/buy", "/free-bonus", "/signup/bonus", "/videos/xxx", "/order/cheap", "/download/full-crack", "/play/win", "/live-sex"]
+DOMAINS = ["com", "net", "org", "info", "co.uk", "de", "eu", "biz"]
+
+
+def labelled_hosts() -> list[tuple[str, float]]:
+    """(host, label: 1 unwanted): stems with what stands around them, pairs of plain words, known names.
+
+    Two ordinary hosts for an unwanted one, about, as most hosts are ordinary.
+    """
+    bad, good = [], []
+    for stem in (w for words in STEMS.values() for w in words.split()):
+        k = len(bad)
+        for i in range(10):
+            other, join = AROUND[(7 * k + 5 * i) % len(AROUND)], ("", "-")[(k + i) % 2]
+            name = f"{other}{join}{stem}" if i % 2 else f"{stem}{join}{other}"
+            bad.append(f"{name}.{DOMAINS[(k + i) % len(DOMAINS)]}")
+    words = list(dict.fromkeys(PLAIN))
+    for k, word in enumerate(words):
+        for i in range(8):
+            other = words[(37 * k + 11 * i + 1) % len(words)] if i < 6 else AROUND[(k + i) % len(AROUND)]
+            good.append(f"{word}{('', '-')[(k + i) % 2]}{other}.{DOMAINS[(k + i) % len(DOMAINS)]}")
+    table = [(h, 1.0) for h in [*bad, *KNOWN_UNWANTED]] + [(h, 0.0) for h in [*good, *KNOWN_ORDINARY]]
+    return list(dict(table).items())
+
+
+def labelled_table(hosts: list[tuple[str, float]] | None = None) -> list[tuple[str, str, float]]:
+    """(host, path, label) rows: each host with and without a subdomain, most with an ordinary path."""
     rows = []
-    plain = [*ORDINARY, *(a + b for a in COMMON for b in COMMON)]
-    for words, paths, label in ((UNWANTED, UNWANTED_PATHS, 1.0), (plain, ORDINARY_PATHS, 0.0)):
-        for i, w in enumerate(words):
-            for k, d in enumerate(DOMAINS):
-                path = paths[(i + k) % len(paths)] if (i + k) % 2 else ORDINARY_PATHS[(i + k) % len(ORDINARY_PATHS)]
-                rows.append((("", "www.", "blog.", "m.")[(i + k) % 4] + f"{w}.{d}", "/" + path, label))
+    for i, (host, label) in enumerate(labelled_hosts() if hosts is None else hosts):
+        for k, sub in enumerate((("", "www."), ("m.", ""), ("blog.", "www."))[i % 3]):
+            odd = label and (i + k) % 4 == 0
+            paths = UNWANTED_PATHS if odd else ORDINARY_PATHS
+            rows.append((sub + host, paths[(3 * i + k) % len(paths)], label))
     return rows
 
 
@@ -97,15 +150,15 @@ def buckets(host: Column, path: Column) -> Column:
 def train(spark: SparkSession, rows: list[tuple[str, str, float]] | None = None) -> tuple[list[float], float]:
     """Weights of the buckets and the intercept, fitted on the labelled table.
 
-    The regression is Spark's own, over a few hundred rows.
+    The regression is Spark's own, over a few thousand rows.
     """
     table = spark.createDataFrame(labelled_table() if rows is None else rows, "host string, path string, label double")
     found = buckets(F.col("host"), F.col("path"))
     names = CountVectorizerModel.from_vocabulary([str(i) for i in range(BUCKETS)], inputCol="found", outputCol="features")
     data = names.transform(table.select("label", found.cast("array<string>").alias("found"))).coalesce(1).cache()
-    model = LogisticRegression(maxIter=40, regParam=0.01, fitIntercept=True, standardization=False).fit(data)
+    model = LogisticRegression(maxIter=80, regParam=0.0015, fitIntercept=True, standardization=False).fit(data)
     data.unpersist()
-    return model.coefficients.toArray().tolist(), min(float(model.intercept), -0.1)
+    return model.coefficients.toArray().tolist(), float(model.intercept)
 
 
 def score(host: Column, path: Column, weights: list[float], intercept: float) -> Column:
