@@ -287,8 +287,9 @@ def to_warc(archives: DataFrame, folder: str | None = None, min_bytes: int = MIN
                     .select(*same, F.col("first.record_id").alias("refers_to")), "arc-firsts")
     decided = found.join(firsts, same, "left").select(
         "arc", "place", F.when(F.col("refers_to") != F.col("record_id"), F.col("refers_to")).alias("refers_to"))
-    # the decisions of an archive come together again; an archive is bounded
-    ordered = decided.repartition("arc").sortWithinPartitions("arc", "place")
+    # the decisions of an archive come together again; an archive is bounded. They are narrow, so the
+    # number of partitions is given: left to itself, Spark would convert all archives in one task
+    ordered = decided.repartition(max(1, archives.count()), "arc").sortWithinPartitions("arc", "place")
 
     def write(it):
         name, refers, made = None, {}, []

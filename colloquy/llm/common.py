@@ -150,5 +150,10 @@ def read_bytes(uri: str, start: int = 0, length: int | None = None) -> bytes:
         return f.read(length) if length is not None else f.read()
 
 
+def file_size(uri: str) -> int:
+    system, path = shared_file_system(uri)
+    return system.get_file_info(path).size
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)

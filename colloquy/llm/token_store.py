@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.common import arrow_map, batches, new_folder, pick, read_bytes, stored, write_bytes
+from colloquy.llm.common import arrow_map, batches, file_size, new_folder, pick, read_bytes, stored, write_bytes
 from colloquy.llm.tokens import encoder, tokenizer_json
 
 MAGIC = b"TKZ1"
@@ -160,37 +160,46 @@ def write(documents: DataFrame, tokenizer: str, end_id: int, folder: str | None
 
 
 class TokenFile:
-    """One file, for reading single documents or all of them."""
+    """One file, for reading single documents (``whole`` false: only the header, the index and the documents
+    asked for are read) or all of them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: bool = True):
         import zstandard
 
         self.path = path
-        # the footer alone would do over a network; files are bounded, so one read is simplest
-        raw = read_bytes(path)
-        if raw[:4] != MAGIC or raw[-4:] != MAGIC:
+        raw = read_bytes(path) if whole else None
+        part = (lambda a, n: raw[a:a + n]) if whole else (lambda a, n: read_bytes(path, a, n))
+        length = len(raw) if whole else file_size(path)
+        head, tail = part(0, 8), part(length - 12, 12)
+        if head[:4] != MAGIC or tail[-4:] != MAGIC:
             raise ValueError(f"not a token file: {path}")
-        size = struct.unpack("<I", raw[4:8])[0]
-        self.header = json.loads(raw[8:8 + size])
+        self.header = json.loads(part(8, struct.unpack("<I", head[4:])[0]))
         dictionary = read_bytes(f"{path.rsplit('/', 1)[0]}/{self.header['dictionary']}.zdict")
         if hashlib.sha256(dictionary).hexdigest() != self.header["dictionary"]:
             raise ValueError(f"the dictionary of {path} was changed")
         self.zstd = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        n, at = self.header["documents"], struct.unpack("<Q", raw[-12:-4])[0]
-        ids = np.frombuffer(raw, dtype="<i8", count=n, offset=at).tolist()
-        nulls = np.frombuffer(raw, dtype="u1", count=n, offset=at + 8 * n)
+        n, at = self.header["documents"], struct.unpack("<Q", tail[:8])[0]
+        index = part(at, length - 12 - at)
+        ids = np.frombuffer(index, dtype="<i8", count=n).tolist()
+        nulls = np.frombuffer(index, dtype="u1", count=n, offset=8 * n)
         self.doc_ids = [None if z else i for i, z in zip(ids, nulls)]
-        self.counts = np.frombuffer(raw, dtype="<u4", count=n, offset=at + 9 * n).astype(np.int64)
-        self.offsets = np.frombuffer(raw, dtype="<u8", count=n + 1, offset=at + 13 * n).astype(np.int64)
-        self.raw = raw
+        self.counts = np.frombuffer(index, dtype="<u4", count=n, offset=9 * n).astype(np.int64)
+        self.offsets = np.frombuffer(index, dtype="<u8", count=n + 1, offset=13 * n).astype(np.int64)
+        self.part = part
 
     def ids(self, k: int) -> np.ndarray:
         """The ids of the file's k-th document."""
         width = self.header["id_bytes"]
-        frame = self.raw[self.offsets[k]:self.offsets[k + 1]]
+        frame = self.part(int(self.offsets[k]), int(self.offsets[k + 1] - self.offsets[k]))
         return np.frombuffer(self.zstd.decompress(frame, max_output_size=int(self.counts[k]) * width), dtype=f"<u{width}")
 
 
+def document(path: str, doc_id: int | None) -> list[np.ndarray]:
+    """The ids of a document (of each row under that id) of one file, by ranged reads."""
+    f = TokenFile(path, whole=False)
+    return [f.ids(k) for k, i in enumerate(f.doc_ids) if i == doc_id]
+
+
 def read(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     """Read all files back: doc_id, start, n_tokens, ids_crc32 and, if asked for, the ids.
 

@@ -51,6 +51,13 @@ def test_token_files_round_trip(spark):
         at += len(ids)
     one = S.TokenFile(manifest.first()["path"])
     assert one.ids(0).tolist()[-1] == 2 and len(rows) == len(want)
+    # single documents, by ranges of the file
+    for path in [r["path"] for r in manifest.collect()]:
+        whole = S.TokenFile(path)
+        for k, doc_id in enumerate(whole.doc_ids):
+            got = S.document(path, doc_id)
+            assert any(np.array_equal(x, whole.ids(k)) for x in got) and len(got) == whole.doc_ids.count(doc_id)
+        assert S.document(path, -5) == []
     assert S.read(S.write(docs.where("false"), WORD, end_id=2)).count() == 0
 
 
