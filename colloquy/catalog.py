@@ -36,7 +36,7 @@ def rnd(col, places: int = R):
 def _load_groups():
     # Importing the modules registers their queries.
     from colloquy.queries import (  # noqa: F401
-        q_agreement, q_clustering, q_consistency, q_density, q_labels, q_metrics, q_reports, q_scoring, q_sources, q_topic_fit,
+        q_agreement, q_clustering, q_consistency, q_density, q_labels, q_metrics, q_reports, q_scoring, q_similar, q_sources, q_topic_fit,
         q_topics, q_turns, q_vectors,
     )
 

@@ -1,9 +1,9 @@
 """Turn pairing and conversation-level text preparation.
 
-Adjacent turns are paired with ``lead`` over a window partitioned by
-conversation and ordered by turn: one shuffle by conversation id, rows stay
-rows (no self-join). A conversation is small (its turns), so the window's
-per-partition buffer is bounded by the longest conversation, not by the data.
+Adjacent turns are paired over range partitions: rows are dealt by ranges of
+(conversation, turn), so a conversation with a large share of all turns is many
+partitions. Each row takes the next one of its partition, and the last row of a
+partition takes the first of the next one, from a table of one row per partition.
 """
 
 from __future__ import annotations
@@ -12,18 +12,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import contains_literal, id_prefix, strip_one_leading_space
+from colloquy.session import stored
 
 
 def turn_pairs(conv: DataFrame, conv_col: str = "conv_id", order_col: str = "turn",
-               text_col: str = "text", extra: tuple = (), method: str = "window") -> DataFrame:
+               text_col: str = "text", extra: tuple = (), method: str = "ranges") -> DataFrame:
     """Row i with row i+1 of the same conversation; n-1 rows per conversation.
 
-    ``method="window"`` (default): ``lead`` over the conversation, one shuffle
-    by conversation; any turn numbering works. ``method="join"``: for
-    gap-free turn numbers, an equi-join on (conversation, turn + 1); it
-    shuffles twice but by (conversation, turn), so a conversation holding a
-    large share of all turns is spread over many tasks.
+    ``method="ranges"`` (default): next rows over range partitions; any turn
+    numbering works, and no task holds a conversation. ``method="window"``:
+    ``lead`` over the conversation in one task. ``method="join"``: for
+    gap-free turn numbers, an equi-join on (conversation, turn + 1). Rows of
+    one turn are taken by text.
     """
+    if method == "ranges":
+        return _next_over_ranges(conv, conv_col, order_col, text_col, extra)
     if method == "join":
         cols = [text_col, *extra]
         left = conv.select(conv_col, order_col, *cols)
@@ -36,6 +39,21 @@ def turn_pairs(conv: DataFrame, conv_col: str = "conv_id", order_col: str = "tur
     return _drop_last(conv, conv_col, order_col, text_col, extra)
 
 
+def _next_over_ranges(conv, conv_col, order_col, text_col, extra):
+    cols = [text_col, *extra]
+    # long texts break ties inside a partition only: they are no range bounds
+    dealt = conv.select(conv_col, order_col, *cols).repartitionByRange(conv_col, order_col).sortWithinPartitions(
+        conv_col, order_col, *cols)
+    rows = stored(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "ranges")
+    mine = F.struct(F.col(conv_col).alias("conv"), *(F.col(c).alias(f"next_{c}") for c in cols))
+    firsts = rows.groupBy("_part").agg(F.min_by(mine, "_row").alias("_first"))
+    follow = firsts.select("_part", F.lead("_first").over(Window.orderBy("_part")).alias("_over"))  # a row per partition
+    inside = rows.withColumn("_next", F.lead(mine).over(Window.partitionBy("_part").orderBy("_row")))
+    j = inside.join(follow, "_part").withColumn("_next", F.coalesce("_next", "_over"))
+    return j.where(F.col("_next.conv") == F.col(conv_col)).select(
+        conv_col, order_col, *cols, *(F.col(f"_next.next_{c}") for c in cols))
+
+
 def _drop_last(conv, conv_col, order_col, text_col, extra):
     w = Window.partitionBy(conv_col).orderBy(order_col)
     cols = [text_col, *extra]

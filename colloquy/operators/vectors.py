@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.functions.text import tokens as tokens_col
 from colloquy.functions.vectors import as_double_array, sq_dist
 from colloquy.operators.joins import join_small
+from colloquy.session import stored
 
 
 def explode_dims(df: DataFrame, keys: list[str], vec_col: str) -> DataFrame:
@@ -41,41 +43,71 @@ def mean_long(df: DataFrame, group_cols: list[str], vec_col: str) -> DataFrame:
             .agg(F.avg("x").alias("value")))
 
 
-def exact_median(df: DataFrame, keys: list[str], value_col: str, accuracy: int = 1_000_000,
+BINS = 1024
+FEW_VALUES = 100_000  # rows of a key that are counted value by value
+
+
+def exact_median(df: DataFrame, keys: list[str], value_col: str, few: int = FEW_VALUES, bins: int = BINS,
                  out: str = "value") -> DataFrame:
-    """Exact median per key (mean of the two middle values), skew-safe.
-
-    ``F.median`` keeps every distinct value of a key in one buffer; here no
-    task ever holds more than a narrow band of a key's values:
-
-    1. one aggregate per key: n and two ``percentile_approx`` bounds at
-       0.5 -/+ 2/accuracy (mergeable sketches; rank error <= n/accuracy, and
-       exact while n < accuracy), which bracket both middle elements;
-    2. values are bucketed as "below", "above" or themselves (inside the band)
-       and counted per (key, bucket): the band holds O(n/accuracy) distinct
-       values, everything else collapses into two counters;
-    3. a running count over each key's few bucket rows finds the middle ranks.
+    """Exact median per key (mean of the two middle values), by counted passes.
+
+    A key's rows between ``lo`` and ``hi`` hold both middle ranks. While they
+    are more than ``few``, a pass counts them in ``bins`` equal ranges, with
+    the smallest and largest value of each, and goes on with the ranges that the ranks fall into; the state of a
+    pass is a row per key and bin. The last pass counts the values that are
+    left. If the ranks part between two bins, they are the largest value of one and the smallest of the other.
+    Infinite values have bins of their own.
+    Null and NaN are left out. A rank that is not found is an error.
     """
     x = F.col(value_col).cast("double")
     base = df.select(*keys, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    d = 2.0 / accuracy
-    stats = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_x", [max(0.0, 0.5 - d), min(1.0, 0.5 + d)], accuracy).alias("_q"))
-    stats = stats.select(*keys, "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
-    j = join_small(base, stats, on=keys)
-    bucket = (F.when(F.col("_x") < F.col("_lo"), F.lit(float("-inf")))
-              .when(F.col("_x") > F.col("_hi"), F.lit(float("inf"))).otherwise(F.col("_x")))
-    counts = j.groupBy(*keys, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("_cum", F.sum("_c").over(w))
-    r1 = F.floor((F.col("_n") + 1) / 2)
-    r2 = F.floor(F.col("_n") / 2) + 1
-    agg = counts.groupBy(*keys).agg(F.min(F.when(F.col("_cum") >= r1, F.col("_b"))).alias("_m1"),
-                                    F.min(F.when(F.col("_cum") >= r2, F.col("_b"))).alias("_m2"))
-    return agg.select(*keys, ((F.col("_m1") + F.col("_m2")) / 2).alias(out))
+    state = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    state = stored(state.select(*keys, "_lo", "_hi", F.floor((F.col("_n") + 1) / 2).alias("_r1"), (F.floor(F.col("_n") / 2) + 1).alias("_r2"),
+                                F.col("_n").alias("_inside"), F.lit(0).cast("long").alias("_below"),
+                                F.lit(None).cast("double").alias("_median")), "ranks")
+    names = [F.struct(*(F.col(k) for k in keys)).alias("_key")]
+    base = base.select(*names, "_x")
+    state = state.select(*names, "_lo", "_hi", "_r1", "_r2", "_inside", "_below", "_median")
+    found = []
+    while True:
+        wide = (F.col("_inside") > few) & (F.col("_lo") < F.col("_hi")) & F.col("_median").isNull()
+        found.append(state.where(~wide))
+        state = state.where(wide)
+        if state.isEmpty():
+            break
+        state = stored(_narrowed(base, state, bins), "ranks")
+    done = reduce(DataFrame.unionByName, found)
+    parted = done.where("_median IS NOT NULL").select("_key.*", F.col("_median").alias(out))
+    done = done.where("_median IS NULL")
+    values = join_small(base, done, on=["_key"]).where(F.col("_x").between(F.col("_lo"), F.col("_hi"))).groupBy("_key", "_x").agg(
+        F.count(F.lit(1)).alias("_c"), *(F.first(c).alias(c) for c in ("_below", "_r1", "_r2")))
+    upto = Window.partitionBy("_key").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = values.withColumn("_cum", F.col("_below") + F.sum("_c").over(upto))
+    pick = [F.min(F.when(F.col("_cum") >= F.col(r), F.col("_x"))) for r in ("_r1", "_r2")]
+    agg = values.groupBy("_key").agg(*(p.alias(f"_m{i}") for i, p in enumerate(pick)))
+    middle = (F.col("_m0") + F.col("_m1")) / 2
+    return agg.select("_key.*", F.when(middle.isNull(), F.raise_error(F.lit("a middle rank was not found")).cast("double"))
+                      .otherwise(middle).alias(out)).unionByName(parted)
+
+
+def _narrowed(base: DataFrame, state: DataFrame, bins: int) -> DataFrame:
+    """The state with each key's bounds moved to the bins that its middle ranks fall into."""
+    low, high, infinite = F.col("_lo"), F.col("_hi"), F.lit(float("inf"))
+    inner = join_small(base, state, on=["_key"]).where(F.col("_x").between(low, high))
+    # infinite bounds: the finite range is not known yet, so they are only split off
+    spread = (F.col("_x") / 2 - low / 2) / (high / 2 - low / 2) * bins
+    rank = F.when(F.col("_x") == -infinite, F.lit(-1)).when(F.col("_x") == infinite, F.lit(bins + 1)).when(
+        (low == -infinite) | (high == infinite), F.lit(0)).otherwise(F.least(F.lit(bins - 1), F.floor(spread))).cast("int")
+    counts = inner.groupBy("_key", rank.alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
+        *(F.first(c).alias(c) for c in ("_below", "_r1", "_r2")))
+    upto = Window.partitionBy("_key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row per bin
+    counts = counts.withColumn("_cum", F.col("_below") + F.sum("_c").over(upto))
+    holds = [(F.col("_cum") >= F.col(r)) & (F.col("_cum") - F.col("_c") < F.col(r)) for r in ("_r1", "_r2")]
+    hit = counts.where(holds[0] | holds[1])
+    return hit.groupBy("_key").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.first("_r1").alias("_r1"), F.first("_r2").alias("_r2"),
+                                   F.sum("_c").alias("_inside"), F.min(F.col("_cum") - F.col("_c")).alias("_below"),
+                                   F.when(F.count(F.lit(1)) == 2, (F.min("_hi") + F.max("_lo")) / 2).alias("_median"))
 
 
 def median_long(df: DataFrame, group_cols: list[str], vec_col: str) -> DataFrame:

@@ -65,6 +65,19 @@ def test_exact_median_band_path_matches_numpy(spark):
     vals = np.concatenate([rng.normal(size=4001), np.full(3000, 0.25)])  # heavy ties near the middle
     rows = [("hot", float(v)) for v in vals] + [("even", 1.0), ("even", 4.0), ("even", 2.0), ("even", 10.0)]
     df = spark.createDataFrame(rows, "k string, x double").repartition(7)
-    got = {r.k: r.value for r in V.exact_median(df, ["k"], "x", accuracy=100).collect()}
-    assert got["hot"] == np.median(vals)
-    assert got["even"] == 3.0
+    for few, bins in ((100_000, 1024), (50, 7), (2, 2)):
+        got = {r.k: r.value for r in V.exact_median(df, ["k"], "x", few, bins).collect()}
+        assert got["hot"] == np.median(vals)
+        assert got["even"] == 3.0
+
+
+def test_exact_median_of_awkward_values(spark):
+    inf = float("inf")
+    groups = {"two": [0.25] * 300 + [0.75] * 300, "wide": [10.0 ** k for k in range(-300, 300)], "inf": [-inf] * 5 + [1.0, 2.0] * 60 + [inf] * 4,
+              "all_inf": [inf] * 200, "one": [5.0], "copies": [3.5] * 500, "huge": [1.7e308, -1.7e308] * 150 + [0.0], None: [2.0, 9.0]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("two", None), ("two", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    for few, bins in ((100_000, 1024), (20, 64)):
+        got = {r.k: r.value for r in V.exact_median(df, ["k"], "x", few, bins).collect()}
+        assert got == {k: float(np.median(v)) for k, v in groups.items()}
+    assert V.exact_median(df.where("false"), ["k"], "x").count() == 0
