@@ -112,6 +112,27 @@ def _partial_means(keys: list[str]):
     return fn
 
 
+def _settled(keys: list[str], max_rounds: int):
+    """Rounds to the end for groups that are one block; gives their last centres."""
+    def fn(frames):
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                key = [row[c] for c in keys]
+                for k, clusters, X, C in _by_k(row):
+                    C, before = C.copy(), None
+                    for _ in range(max_rounds):
+                        near = _nearest(X, C)
+                        for j in np.unique(near):
+                            C[j] = X[near == j].mean(axis=0)
+                        if before is not None and (near == before).all():
+                            break
+                        before = near
+                    else:
+                        raise RuntimeError(f"no stable assignment after {max_rounds} rounds")
+                    yield pd.DataFrame({**{c: [v] * len(C) for c, v in zip(keys, key)}, "k": k, "cluster": clusters, "center": list(C)})
+    return fn
+
+
 def _assignments(keys: list[str]):
     def fn(frames):
         for frame in frames:
@@ -135,7 +156,8 @@ def lloyd(points: DataFrame, seeds: DataFrame, group_cols: list[str], id_col: st
     xors are those of the round before has the same assignment, and is left
     out of further rounds. Distances within 1e-9 tie: the lowest cluster wins.
     A cluster that lost its members keeps its centre; null vectors take no part.
-    After ``max_rounds`` the assignment of that round is given.
+    Groups of one row (a block at most) run all their rounds in one call instead.
+    An assignment that still changes after ``max_rounds`` is an error.
     Returns (group..., k, id, cluster) and the centres (group..., k, cluster, center).
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -147,26 +169,33 @@ def lloyd(points: DataFrame, seeds: DataFrame, group_cols: list[str], id_col: st
         *group_cols, F.col(id_col).alias("_id"), as_double_array(vec_col).alias("_v"))
     sizes = pts.groupBy(*group_cols).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_blocks"))
     pts = join_small(pts, sizes, on=group_cols).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")))
-    rows = pts.groupBy(*group_cols, "_block").agg(F.collect_list(F.struct("_id", "_v")).alias("_p"))
-    rows = rows.select(*group_cols, F.col("_p._id").alias("_ids"), F.flatten(F.col("_p._v")).alias("_vecs"),
+    rows = pts.groupBy(*group_cols, "_blocks", "_block").agg(F.collect_list(F.struct("_id", "_v")).alias("_p"))
+    rows = rows.select(*group_cols, "_blocks", F.col("_p._id").alias("_ids"), F.flatten(F.col("_p._v")).alias("_vecs"),
                        F.transform("_p", lambda x: F.xxhash64(x["_id"])).alias("_hashes")).checkpoint(eager=True)
 
     clustering = [*group_cols, "k"]
-    state = seeds.select(*clustering, "cluster", "center", F.lit(-1).cast("long").alias("_n"),
-                         F.lit(0).cast("long").alias("_h"), F.lit(True).alias("_active"))
-    state = state.checkpoint(eager=True).persist()
     schema = _schema(points, group_cols)
+    seeds = seeds.select(*clustering, F.col("cluster").cast("int").alias("cluster"), as_double_array("center").alias("center"))
+    seeds = seeds.checkpoint(eager=True)
 
-    def with_centers(centres: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def with_centers(centres: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         packed = centres.groupBy(*group_cols).agg(
             F.array_sort(F.collect_list(F.struct("k", "cluster", "center"))).alias("_c"))
         packed = packed.select(*group_cols, F.col("_c.k").alias("_k"), F.col("_c.cluster").alias("_cluster"),
                                F.flatten(F.col("_c.center")).alias("_centers")).persist()
         return join_small(rows, packed, on=group_cols, small_rows=packed.count()), packed
 
+    joined, packed = with_centers(seeds, rows.where("_blocks = 1"))
+    small = joined.mapInPandas(_settled(group_cols, max_rounds), f"{schema}, k int, cluster int, center array<double>")
+    small = small.checkpoint(eager=True)
+    packed.unpersist()
+    long = rows.where("_blocks > 1").select(*group_cols).distinct()
+    state = seeds.join(long, on=group_cols, how="left_semi").select(
+        *clustering, "cluster", "center", F.lit(-1).cast("long").alias("_n"), F.lit(0).cast("long").alias("_h"), F.lit(True).alias("_active"))
+    state = state.checkpoint(eager=True).persist()
     active, done = state.count(), 0
     while active and done < max_rounds:
-        joined, packed = with_centers(state.where("_active"))
+        joined, packed = with_centers(state.where("_active"), rows.where("_blocks > 1"))
         partial = joined.mapInPandas(_partial_means(group_cols),
                                      f"{schema}, k int, cluster int, _n long, _h long, _m array<double>")
         new = partial.groupBy(*clustering, "cluster").agg(
@@ -183,10 +212,13 @@ def lloyd(points: DataFrame, seeds: DataFrame, group_cols: list[str], id_col: st
         active, done = state.where("_active").count(), done + 1
         before.unpersist()
         packed.unpersist()
-    joined, _ = with_centers(state)
+    if active:
+        raise RuntimeError(f"no stable assignment after {max_rounds} rounds")
+    centres = state.select(*clustering, "cluster", "center").unionByName(small.select(*clustering, "cluster", "center"))
+    joined, _ = with_centers(centres, rows)
     ids = points.schema[id_col].dataType.simpleString()
     assigned = joined.mapInPandas(_assignments(group_cols), f"{schema}, k int, _id {ids}, cluster int")
-    return assigned.withColumnRenamed("_id", id_col), state.select(*clustering, "cluster", "center")
+    return assigned.withColumnRenamed("_id", id_col), centres
 
 
 def k_candidates(points: DataFrame, group_cols: list[str], k_max: int = MAX_K) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.catalog import query, rnd
@@ -143,23 +145,36 @@ def typical_answers_mean(spark, sf_dir):
     return t.select("label", F.col("cluster").cast("int").alias("cluster"), "medoid_vec_id", rnd("d2").alias("d2"))
 
 
-@query("scores_by_scorer", f"""WITH {keyword_scores("documents", "doc_id", "text", LANGUAGES)}
-SELECT id AS doc_id, 'keyword' AS scorer, label, round(score, 6) AS score FROM k_top""")
+#: Gain of each scorer: how much evidence a share of keywords is.
+SCORERS = {"keyword": 60.0, "cautious": 15.0}
+
+
+@query("scores_by_scorer", "WITH " + ", ".join(
+    keyword_scores("documents", "doc_id", "text", LANGUAGES, gain=gain, prefix=f"k{i}") for i, gain in enumerate(SCORERS.values()))
+    + " UNION ALL ".join(f"\nSELECT id AS doc_id, '{name}' AS scorer, label, round(score, 6) AS score FROM k{i}_top"
+                         for i, name in enumerate(SCORERS)))
 def scores_by_scorer(spark, sf_dir):
-    """Predictions written as CSV, one folder per scorer, and read back with the scorer's name."""
-    p = evaluation.language_predictions(table(spark, sf_dir, "documents")).select("doc_id", "label", "score")
+    """Predictions of two scorers written as CSV, one folder per scorer, and read back with the scorer's name."""
+    docs = table(spark, sf_dir, "documents")
+    predicted = [evaluation.language_predictions(docs, scorer=S.KeywordScorer(gain=gain)).select("doc_id", "label", "score")
+                 .withColumn("scorer", F.lit(name)) for name, gain in SCORERS.items()]
     path = scratch_path(spark, f"scorer-{uuid.uuid4().hex}")
-    io.write_csv(p.withColumn("scorer", F.lit("keyword")), path, partition_by=["scorer"])
+    io.write_csv(reduce(DataFrame.unionByName, predicted), path, partition_by=["scorer"])
     back = io.read_csv(spark, path, "doc_id long, label string, score double, scorer string", multi_line=False)
     return back.select("doc_id", "scorer", "label", rnd("score").alias("score"))
 
 
 @query("point_table", f"""WITH {bag_vectors_sql("documents", "doc_id", "text", 64, 2)}
-SELECT d.source AS chatbot, d.doc_id, round(v.vec[1], 6) AS x, round(v.vec[2], 6) AS y, d.text AS answer
-FROM documents d JOIN bag_v v ON v.id = d.doc_id""")
+SELECT d.source AS chatbot, d.doc_id, round(v.vec[1], 6) AS x, round(v.vec[2], 6) AS y, d.text AS answer, 0 AS is_mean
+FROM documents d JOIN bag_v v ON v.id = d.doc_id
+UNION ALL SELECT d.source, NULL, round(avg(v.vec[1]), 6), round(avg(v.vec[2]), 6), 'MEAN EMBEDDING', 1
+FROM documents d JOIN bag_v v ON v.id = d.doc_id GROUP BY d.source""")
 def point_table(spark, sf_dir):
-    """Answers as points: chatbot, two coordinates of the text's vector, and the text itself."""
+    """Answers as points: chatbot, two coordinates of the text's vector, the text itself, and a row for each chatbot's mean."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     p = V.project(V.hash_embed(docs, "text", 64, "vec"), "vec", 64, 2, "vec")
+    means = V.mean_vectors(p, ["source"], "vec", "vec").select(
+        "source", F.lit(None).cast("long").alias("doc_id"), F.lit("MEAN EMBEDDING").alias("text"), "vec", F.lit(1).alias("is_mean"))
+    p = p.select("source", "doc_id", "text", "vec", F.lit(0).alias("is_mean")).unionByName(means)
     return p.select(F.col("source").alias("chatbot"), "doc_id", rnd(F.col("vec")[0]).alias("x"),
-                    rnd(F.col("vec")[1]).alias("y"), F.col("text").alias("answer"))
+                    rnd(F.col("vec")[1]).alias("y"), F.col("text").alias("answer"), "is_mean")

@@ -9,7 +9,7 @@ from colloquy.operators import similarity_join as SJ
 from colloquy.queries.sqlparts import TOKENS
 from colloquy.sources.tables import qa_pairs
 
-BAR = 0.7
+BAR = 0.5
 
 
 @query("similar_questions", f"""WITH
@@ -23,7 +23,7 @@ s AS (SELECT a.uid AS uid_a, b.uid AS uid_b, sum(a.w * b.w) AS similarity FROM v
       GROUP BY a.uid, b.uid)
 SELECT uid_a, uid_b, round(similarity, 6) AS similarity FROM s WHERE round(similarity, 9) >= {BAR}::DOUBLE""")
 def similar_questions(spark, sf_dir):
-    """All pairs of distinct questions with a cosine of their term counts of 0.7 or more."""
+    """All pairs of distinct questions with a cosine of their term counts of 0.5 or more."""
     qa = qa_pairs(spark, sf_dir).select((F.col("conv_id") * 100000 + F.col("turn")).alias("uid"), "question")
     once = qa.groupBy("question").agg(F.min("uid").alias("uid"))
     pairs = SJ.cosine_pairs(SJ.term_vectors(once, "uid", "question"), "uid", BAR)

@@ -42,14 +42,17 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def read_tagged(spark: SparkSession, sheets: Mapping[str, str], fmt: str = "parquet",
-                schema: T.StructType | str | None = None, tag_col: str = "tab") -> DataFrame:
-    """Read one file per sheet and stack them with the sheet name as a column."""
+                schema: T.StructType | str | None = None, tag_col: str = "tab", multi_line: bool = True) -> DataFrame:
+    """Read one file per sheet and stack them with the sheet name as a column.
+
+    ``multi_line`` as in ``read_csv``: switch it off to split large CSV sheets into many tasks.
+    """
     parts = []
     for tag, path in sheets.items():
         reader = spark.read
         if schema is not None:
             reader = reader.schema(schema)
-        df = reader.options(**CSV_OPTIONS, multiLine=True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+        df = reader.options(**CSV_OPTIONS, multiLine=multi_line).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
         parts.append(df.withColumn(tag_col, F.lit(tag)))
     out = parts[0]
     for p in parts[1:]:
