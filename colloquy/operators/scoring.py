@@ -193,10 +193,15 @@ class LabelSpace:
         df = df.withColumn("_toks", tokens_col(text_col))
         df = (df.withColumn("_ntok", F.size("_toks"))
               .withColumn("_hit_ids", F.flatten(F.transform("_toks", self.lookup))))
-        counts = F.aggregate("_hit_ids", F.array_repeat(F.lit(0), n),
-                             lambda acc, x: F.transform(acc, lambda v, i: F.when(i == x, v + 1).otherwise(v)))
-        scores = F.zip_with(counts, F.array_repeat(F.col("_ntok"), n), lambda c, m: self.scorer.score(c, m))
-        return df.withColumn("_scores", scores).drop("_toks", "_hit_ids", "_ntok")
+        # only the labels that were hit are counted; the others are 0
+        df = df.withColumn("_labels", F.array_distinct("_hit_ids"))
+        times = F.zip_with("_labels", F.array_repeat(F.col("_hit_ids"), F.size("_labels")),
+                           lambda g, hits: F.size(F.filter(hits, lambda x: x == g)))
+        df = df.withColumn("_counts", F.map_from_arrays("_labels", times))
+        facts = F.array_repeat(F.struct(F.col("_counts").alias("c"), F.col("_ntok").alias("m")), n)
+        scores = F.zip_with(F.sequence(F.lit(0), F.lit(n - 1)), facts,
+                            lambda g, f: self.scorer.score(F.coalesce(F.try_element_at(f["c"], g), F.lit(0)), f["m"]))
+        return df.withColumn("_scores", scores).drop("_toks", "_hit_ids", "_ntok", "_labels", "_counts")
 
     def _score_of(self, g) -> Column:
         return F.element_at(F.col("_scores"), g + 1)
