@@ -53,3 +53,12 @@ def neighbour_graph_reduced(spark, sf_dir):
     r = S.spectral_reduce(_emb(spark, sf_dir), ["label"], "vec_id", "vec", dims=2, k=10)
     return r.select("label", "vec_id", "reduced", rnd(F.col("vec")[0], 3).alias("x"), rnd(F.col("vec")[1], 3).alias("y"),
                     *(rnd(F.col("eigenvalues")[j], 4).alias(f"eigenvalue_{j + 1}") for j in range(2)))
+
+
+@query("seeding_cost")
+def seeding_cost(spark, sf_dir):
+    """Per label group: cost of five oversampled k-means seeds, of the first five different vectors, and of the cheaper."""
+    from colloquy.operators import seeding as S
+
+    _, costs = S.best_seeds(_emb(spark, sf_dir), ["label"], "vec_id", "vec", 5)
+    return costs.select("label", *(rnd(c, 4).alias(c) for c in ("cost_oversampled", "cost_first", "cost")))
