@@ -63,7 +63,8 @@ FAMILIES = [
                     "simplified bsd license"]),
     ("isc", "isc", ["isc license", "isc licence"]),
     ("mpl", "mozilla", ["mozilla public license", "mozilla public licence"]),
-    ("epl", "eclipse", ["eclipse public license", "eclipse distribution license"]),
+    ("epl", "eclipse", ["eclipse public license"]),
+    ("edl", "eclipse", ["eclipse distribution license"]),
     ("eupl", "european union public", ["european union public licence", "european union public license"]),
     ("cddl", "common development", ["common development and distribution license"]),
     ("artistic", "artistic", ["artistic license", "perl artistic license"]),
@@ -75,7 +76,8 @@ FAMILIES = [
     ("odbl", "open database", ["open database license", "open data commons open database license"]),
     ("python", "python software", ["python software foundation license"]),
     ("postgresql", "postgresql", ["postgresql license"]),
-    ("ms-pl", "microsoft", ["microsoft public license", "microsoft reciprocal license"]),
+    ("ms-pl", "microsoft", ["microsoft public license"]),
+    ("ms-rl", "microsoft", ["microsoft reciprocal license"]),
     ("public-domain", "public domain", ["public domain dedication", "dedicated to the public domain"]),
     ("proprietary", "all rights reserved", ["all rights reserved"]),
 ]
