@@ -21,18 +21,25 @@ hits a pair of J = 0.85 with probability below 1e-9.
 Rounds, without listing the pairs of a bucket:
 
 1. Star rounds: every bucket (a band's value) names one class as its hub, by an
-   aggregation, and its other classes are compared with the hub that most of
-   their buckets name, if they are not in one component already. The links'
-   components are found. Three rounds with hubs drawn anew link groups of near
-   copies of any size with a few comparisons per document.
-2. Rest round: buckets that still hold several components give the pairs across
-   components that pass the length and signature filters, and all of these
-   are compared. A pair that no round compares is in one component already, or shares no band.
+   aggregation, and every class is compared with the hub of its buckets whose
+   signature agrees most, if the two are not known to be connected already; links
+   make parts that are connected. In the first round the hub is the class with most
+   neighbours in its buckets, which is the text that others were copied from if it is there. In later
+   rounds every bucket draws its own, so that a class has up to 24 to choose from: groups whose texts
+   differ more from each other grow together. The rounds end
+   when under a tenth of the pairs compared are linked, at the fourth at last.
+2. Rest round, for classes in buckets that still hold several parts. A group of copies that differ too
+   much to be linked has as many candidates as pairs, so these are not listed but filtered by
+   prefixes: shingles are ordered by how many of these classes have them (a sketch of counts; any order gives the same
+   result), rare ones first, and two sets of sizes x <= y that are linked share one of the first
+   x - L(x, x) + 1 and y - L(0.85 y, y) + 1, at places that leave room for an overlap of L(x, y), the least
+   that links. The pairs found by these lists, across parts, that also agree in a band and pass the
+   signature filter are compared. A candidate that no round compares is in one part already or cannot be linked.
 
 Comparisons are dealt by (hub, salt, range of hashes): a hub with many partners
 is split by salt, a long set by ranges of ``SEGMENT`` shingles, partial overlaps are summed up per
-pair, and a task holds one segment of one hub. Texts are read again for the
-sets that take part; sets are never stored.
+pair, and a task holds one segment of one hub. The texts of classes that share
+a bucket are set aside once, sets are never stored.
 
 Defined results: with fewer than 3 words the whole sequence is one shingle;
 null, empty and blank texts have no shingles and are linked with nothing, not
@@ -49,21 +56,23 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import arrow_map, batches, pick, stored
 from colloquy.llm.components import connected_components
-from colloquy.llm.jaccard_join import shingle_sets
+from colloquy.llm.jaccard_join import _key_filter, shingle_sets
 from colloquy.llm.spans import mix
 
 N, PERCENT = 3, 85
 PERMUTATIONS, BAND_PERMUTATIONS = 48, 2
 BANDS = PERMUTATIONS // BAND_PERMUTATIONS
 LEAST_AGREE = 57
-STAR_ROUNDS = 3
+STAR_ROUNDS = 4
 HUB_MEMBERS = 500  # members of a hub compared in one group
 SEGMENT = 8192  # shingles of a set in one row, about
+SKETCH = 12  # values of either end that estimate a similarity where the best of several hubs is chosen
+SLOT_BITS = (16, 22)  # least and most bits of the sketch that orders shingles: 64 KB to 4 MB
 _AT_ONCE = 1 << 14  # shingles whose permutations are evaluated at a time
 
 _numbers = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -115,27 +124,31 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 seen.add(node[-1])
                 low, high = signature(h)
                 tokens.append(band_tokens(low, high).view(np.int64))
-                ends.append(np.concatenate((low, high)).view(np.int64) >> 32)  # 32 bits are enough to estimate
+                ends.append((np.concatenate((low, high)).view(np.int64) >> 48).astype(np.int16))  # enough to estimate
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.binary()),
-                 pa.array(tokens, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int32()))],
+                 pa.array(tokens, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int16()))],
                 ["doc_id", "text_hash", "n", "node", "tokens", "ends"])
 
-    return arrow_map(docs, make, f"doc_id {kind}, text_hash long, n long, node binary, tokens array<long>, ends array<int>")
+    return arrow_map(docs, make, f"doc_id {kind}, text_hash long, n long, node binary, tokens array<long>, ends array<smallint>")
 
 
 def _near_size(a: str, b: str) -> Column:
     return 100 * F.least(F.col(a), F.col(b)) >= PERCENT * F.greatest(F.col(a), F.col(b))
 
 
-def compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are linked, from their whole sets."""
-    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+def _agreement(a: str, b: str) -> Column:
+    """How many values of two signatures are the same."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda total, x: total + x)
+
+
+def compare(texts: DataFrame, active: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of classes that are linked, from the whole sets of ``texts`` (node, n, text)."""
     degree = pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("deg"))
     both = pairs.join(degree.select(F.col("x").alias("a"), F.col("deg").alias("deg_a")), "a") \
         .join(degree.select(F.col("x").alias("b"), F.col("deg").alias("deg_b")), "b")
     a_hub = (F.col("deg_a") > F.col("deg_b")) | ((F.col("deg_a") == F.col("deg_b")) & (F.col("a") < F.col("b")))
-    sizes = classes.select(F.col("node").alias("hub"), "n")
+    sizes = active.select(F.col("node").alias("hub"), "n")
     oriented = both.select(F.when(a_hub, F.col("a")).otherwise(F.col("b")).alias("hub"),
                            F.when(a_hub, F.col("b")).otherwise(F.col("a")).alias("member"),
                            F.greatest("deg_a", "deg_b").alias("deg")).join(sizes, "hub")
@@ -147,10 +160,7 @@ def compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     to_hub = oriented.groupBy("hub", "bits").agg(F.max("salts").alias("salts")).select(
         F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "bits")
     targets = to_member.union(to_hub).groupBy("node").agg(F.collect_list(F.struct("hub", "salt", "bits")).alias("targets"))
-    where = stored(targets.join(classes.select("node", F.col("key.doc_id").alias("id"), F.col("key.text_hash").alias("hash")), "node"),
-                   "targets")
-    texts = docs.join(where, docs["doc_id"].eqNullSafe(where["id"]) & (docs["text_hash"] == where["hash"])).select(
-        "text", "node", "targets")
+    texts = texts.join(targets, "node").select("text", "node", "targets")
 
     def segments(it):
         names = ["hub", "salt", "part", "is_hub", "n", "node", "segment"]
@@ -207,61 +217,150 @@ def compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(total.where(alike).select(F.col("hub").alias("a"), F.col("node").alias("b")), "alike")
 
 
-def _with_parts(buckets: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """Rows of the buckets that hold several components, with the row's component."""
-    if parts is None:
-        rows = buckets.withColumn("part", F.col("node"))
-    else:
-        rows = buckets.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+def least_overlap(x: int, y: int) -> int:
+    """Smallest overlap of two sets of sizes x and y that are linked."""
+    return -(-PERCENT * (x + y) // (100 + PERCENT))
+
+
+def _shingle_levels(rest: DataFrame) -> np.ndarray:
+    """Logarithm of how many sets of the table (n, node, text) have a shingle, by the last bits of its hash."""
+    total = rest.agg(F.sum("n")).first()[0] or 1
+    bits = min(SLOT_BITS[1], max(SLOT_BITS[0], int(total).bit_length()))
+
+    def count(it):
+        counts = np.zeros(1 << bits, dtype=np.int64)
+        for b in batches(it):
+            for h in shingle_sets(b.column("text").to_pylist(), N):
+                np.add.at(counts, (h & np.uint64(len(counts) - 1)).astype(np.int64), 1)
+        slots = np.flatnonzero(counts > 1)
+        for at in range(0, len(slots), 1 << 16):
+            some = slots[at:at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["slot", "n"])
+
+    summed = arrow_map(rest.select("text"), count, "slot long, n long").groupBy("slot").agg(
+        F.floor(F.log2(F.sum("n"))).cast("tinyint").alias("level"))
+    table = summed.toArrow()  # at most a row per slot
+    levels = np.zeros(1 << bits, dtype=np.int8)
+    levels[table.column("slot").to_numpy()] = table.column("level").to_numpy()
+    return levels
+
+
+def prefix_lists(rest: DataFrame) -> DataFrame:
+    """(token, pos, n, node, short): the first shingles of each set of the table, rare ones first.
+
+    ``short`` says that the place is early enough for a partner that is no smaller.
+    """
+    levels = rest.sparkSession.sparkContext.broadcast(_shingle_levels(rest))
+
+    def make(it):
+        names = ["token", "pos", "n", "node", "short"]
+        level, mask = levels.value, np.uint64(len(levels.value) - 1)
+        for b in batches(it):
+            for h, node in zip(shingle_sets(b.column("text").to_pylist(), N), b.column("node").to_pylist()):
+                n = len(h)
+                if identity(h) != node:
+                    continue
+                first = n - -(-PERCENT * n // 100) + 1
+                order = np.argsort(level[(h & mask).astype(np.int64)], kind="stable")[:first]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[order].view(np.int64)), pa.array(np.arange(first)), pa.array([n] * first, pa.int64()),
+                     pa.array([node] * first, pa.binary()), pa.array(np.arange(first) <= n - least_overlap(n, n))], names)
+
+    return arrow_map(rest.select("text", "node"), make, "token long, pos long, n long, node binary, short boolean")
+
+
+def _rest_pairs(active: DataFrame, texts: DataFrame, buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Candidates across components that prefixes and signatures leave."""
+    open_ = stored(_with_parts(buckets, parts).select("node", "part").distinct(), "rest-classes")
+    rest = stored(texts.join(open_, "node", "left_semi"), "rest-texts")
+    lists = stored(prefix_lists(rest).distinct().join(open_, "node"), "prefixes")
+    a, b = lists.where("short").alias("a"), lists.alias("b")
+    least = F.ceil(PERCENT * (F.col("a.n") + F.col("b.n")) / F.lit(100 + PERCENT))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.part") != F.col("b.part")) & _near_size("a.n", "b.n")
+                 & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node"))))
+                 & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= least))
+    pairs = stored(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "prefix-pairs")
+    side = lambda x: active.select(F.col("node").alias(x), F.col("ends").alias(f"{x}_ends"),
+                                   F.col("tokens").alias(f"{x}_tokens"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(F.arrays_overlap("a_tokens", "b_tokens") & (_agreement("a_ends", "b_ends") >= LEAST_AGREE)).select("a", "b")
+
+
+def _with_parts(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several parts, with the row's part."""
+    rows = buckets.join(parts, "node")
     split = rows.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("token")
     return rows.join(split, "token", "left_semi")
 
 
+def _merged(parts: DataFrame, found: DataFrame) -> DataFrame:
+    """Parts (node, part) joined along the links: one part is always connected, though what is connected may be several
+    parts until the components are found at the end. A part goes to the smallest one that it has a link to, twice over."""
+    side = lambda x: parts.select(F.col("node").alias(x), F.col("part").alias(f"p{x}"))
+    ends = found.join(side("a"), "a").join(side("b"), "b").where("pa != pb")
+    up = stored(ends.groupBy(F.greatest("pa", "pb").alias("part")).agg(F.min(F.least("pa", "pb")).alias("to")), "ups")
+    for _ in range(2):
+        up = up.join(up.select(F.col("part").alias("to"), F.col("to").alias("next")), "to", "left").select(
+            "part", F.coalesce("next", "to").alias("to"))
+    return stored(parts.join(up, "part", "left").select("node", F.coalesce("to", "part").alias("part")), "parts")
+
+
 def links(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents with their classes, links between classes): the links connect all that are connected."""
     docs = pick(documents, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text"))
     sets = stored(sets_of(docs), "minmax-sets")
-    some = sets.where("n > 0")
-    classes = stored(some.groupBy("n", "node").agg(
+    given = sets.where("tokens IS NOT NULL")  # once a class and task
+    every = given.select("node", F.explode("tokens").alias("token"))
+    shared = every.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
+    pairs = stored(every.join(shared, "token").distinct(), "bucket-classes")
+    active = stored(given.join(pairs.select("node").distinct(), "node", "left_semi").groupBy("n", "node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("key"),
-        F.max("ends").alias("ends")), "minmax-classes")
-    buckets = some.where("tokens IS NOT NULL").select("n", "node", F.explode("tokens").alias("token")).distinct()
-    buckets = stored(_with_parts(buckets, None).drop("part"), "buckets")
-
-    tested, found, parts = [], [], None
+        F.max("ends").alias("ends"), F.max("tokens").alias("tokens")), "active-classes")
+    sketch = F.concat(F.slice("ends", 1, SKETCH), F.slice("ends", PERMUTATIONS + 1, SKETCH))
+    sizes = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+    buckets = stored(pairs.join(sizes, "token").join(active.select("node", "n", sketch.alias("sketch")), "node"), "buckets")
+    keys = active.select("node", "n", F.col("key.doc_id").alias("id"), F.col("key.text_hash").alias("key"))
+    rows = docs.where(_key_filter(keys)(F.xxhash64("text_hash")))
+    texts = stored(rows.join(keys, rows["doc_id"].eqNullSafe(keys["id"]) & (rows["text_hash"] == keys["key"])).select(
+        "node", "n", "text"), "active-texts")
+
+    tested, found = [], []
+    parts = active.select("node", F.col("node").alias("part"))
 
     def test(pairs: DataFrame) -> bool:
-        """Compare the pairs that were not compared before; whether there were any."""
+        """Compare the pairs that were not compared before; whether enough of them were linked to go on alike."""
         nonlocal parts
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for done in tested:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stored(pairs, "candidates")
-        if pairs.isEmpty():
+        n = pairs.count()
+        if not n:
             return False
         tested.append(pairs)
-        found.append(compare(docs, classes, pairs))
-        parts = stored(connected_components(reduce(DataFrame.union, found), "a", "b"), "parts")
-        return True
+        found.append(compare(texts, active, pairs))
+        parts = _merged(parts, found[-1])
+        return 10 * found[-1].count() >= n
 
     for number in range(STAR_ROUNDS):
         rows = stored(_with_parts(buckets, parts), "split-buckets")
-        drawn = F.struct(F.xxhash64("node", F.lit(number)).alias("draw"), "node", "n", "part")
+        if number:
+            rank = F.xxhash64("node", "token", F.lit(number))
+        else:
+            met = rows.groupBy("node").agg(F.sum("size").alias("met"))
+            rows, rank = rows.join(met, "node"), -F.col("met")
+        drawn = F.struct(rank.alias("rank"), "node", "n", "part", "sketch")
         hubs = rows.groupBy("token").agg(F.min(drawn).alias("h")).select(
-            "token", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.part").alias("hub_part"))
+            "token", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.part").alias("hub_part"),
+            F.col("h.sketch").alias("hub_sketch"))
         named = rows.join(hubs, "token").where((F.col("part") != F.col("hub_part")) & _near_size("n", "hub_n"))
-        votes = named.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("votes"))
-        best = Window.partitionBy("node").orderBy(F.desc("votes"), "hub")  # at most 24 rows
-        stars = votes.withColumn("r", F.row_number().over(best)).where("r = 1")
+        near = named.select("node", "hub", _agreement("sketch", "hub_sketch").alias("near"))
+        stars = near.groupBy("node").agg(F.max(F.struct("near", "hub")).alias("best")).where(F.col("best.near") >= SKETCH).select(
+            "node", F.col("best.hub").alias("hub"))
         if not test(stars.select(F.col("node").alias("a"), F.col("hub").alias("b"))):
             break
-    rest = stored(_with_parts(buckets, parts).join(classes.select("node", "ends"), "node"), "rest-buckets")
-    a, b = rest.alias("a"), rest.alias("b")
-    agree = F.aggregate(F.zip_with("a.ends", "b.ends", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    across = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node"))
-                    & (F.col("a.part") != F.col("b.part")) & _near_size("a.n", "b.n") & (agree >= LEAST_AGREE))
-    test(across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
-    none = classes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    test(_rest_pairs(active, texts, buckets, parts))
+    none = active.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
     return sets.select("doc_id", "n", "node"), reduce(DataFrame.union, found) if found else none
 
 
