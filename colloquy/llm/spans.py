@@ -24,12 +24,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def numbers(raw: np.ndarray, used: int | None = None) -> np.ndarray:
+    """The 8 bytes from any place on, as a number; of ``used`` bytes, if a buffer with 16 to spare is given."""
+    if used is None:
+        used = len(raw)
+        padded = np.zeros(used + 16, dtype=np.uint8)
+        padded[:used] = raw
+        raw = padded
+    return np.ndarray((used + 9,), dtype="<u8", buffer=raw, strides=(1,))
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of ``raw[starts[i]:ends[i]]``."""
     size = ends - starts
-    padded = np.zeros(len(raw) + 16, dtype=np.uint8)
-    padded[:len(raw)] = raw
-    number = np.ndarray((len(raw) + 9,), dtype="<u8", buffer=padded, strides=(1,))  # the 8 bytes from any place on
+    number = numbers(raw)
     out = mix((number[starts] & _KEEP[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _SIZE))
     two = np.flatnonzero((size > EXACT) & (size <= _SHORT))
     if len(two):
@@ -41,12 +49,20 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def same_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> bool:
-    """Whether all stretches of ``a`` hold the bytes of those of ``b`` of the same size."""
-    total = int(size.sum())
-    if not total:
-        return True
-    inside = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-    return bool((a[np.repeat(a_starts, size) + inside] == b[np.repeat(b_starts, size) + inside]).all())
+    """Whether all stretches of ``a`` hold the bytes of those of ``b`` of the same size; both as ``numbers``."""
+    at = 0
+    while len(size):
+        keep = _KEEP[np.minimum(size - at, 8)]
+        if ((a[a_starts + at] ^ b[b_starts + at]) & keep).any():
+            return False
+        at += 8
+        more = size > at
+        a_starts, b_starts, size = a_starts[more], b_starts[more], size[more]
+        if at >= 64 and len(size):  # few and long: byte by byte
+            x, y = a.base if a.base is not None else a, b.base if b.base is not None else b
+            x, y = np.asarray(x).view(np.uint8), np.asarray(y).view(np.uint8)
+            return all((x[i:i + n] == y[j:j + n]).all() for i, j, n in zip(a_starts.tolist(), b_starts.tolist(), size.tolist()))
+    return True
 
 
 def joined(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ from itertools import chain
 
 import numpy as np
 
-from colloquy.llm.spans import EXACT, joined, same_spans, sorted_distinct, span_hashes
+from colloquy.llm.spans import EXACT, joined, numbers, same_spans, sorted_distinct, span_hashes
 
 #: Pieces that a worker remembers at most (some 40 bytes each); then it starts anew.
 CACHE_PIECES = 1_000_000
@@ -60,6 +60,20 @@ def cuts(raw: np.ndarray) -> np.ndarray:
     return sorted_distinct(at[good], dots[letter])
 
 
+class _Grown:
+    """An array that is appended to in place, with room to spare."""
+
+    def __init__(self, dtype):
+        self.data, self.used = np.zeros(1 << 12, dtype=dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.used + len(values) + 16
+        if need > len(self.data):
+            self.data = np.concatenate((self.data, np.zeros(need, dtype=self.data.dtype)))
+        self.data[self.used:self.used + len(values)] = values
+        self.used += len(values)
+
+
 class PieceEncoder:
     """Encode texts to ``uint32`` id arrays, exactly as ``Tokenizer.encode`` does."""
 
@@ -72,11 +86,10 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         self._hashes = np.empty(0, dtype=np.uint64)  # ascending
-        self._start, self._size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        self._flat = np.empty(0, dtype="<u4")
-        # the bytes of the pieces: where they begin, how many, all in a row
-        self._from, self._bytes = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        self._raw = np.empty(0, dtype=np.uint8)
+        self._slots = np.empty(0, dtype=np.int32)  # where the rest about a piece stands
+        # its ids: first place, number; its bytes: first place, number; all ids and all bytes in a row
+        self._start, self._size, self._flat = _Grown(np.int64), _Grown(np.int64), _Grown("<u4")
+        self._from, self._bytes, self._raw = _Grown(np.int64), _Grown(np.int64), _Grown(np.uint8)
 
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self._hashes, hashes)
@@ -88,15 +101,16 @@ class PieceEncoder:
         pieces = [r.decode("utf-8", "surrogatepass") for r in raws]
         found = [e.ids for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         size = np.array([len(x) for x in found], dtype=np.int64)
-        start = len(self._flat) + np.cumsum(size) - size
-        self._flat = np.concatenate((self._flat, np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(size.sum()))))
+        length = np.array([len(r) for r in raws], dtype=np.int64)
         where = np.searchsorted(self._hashes, hashes)
         self._hashes = np.insert(self._hashes, where, hashes)
-        self._start, self._size = np.insert(self._start, where, start), np.insert(self._size, where, size)
-        length = np.array([len(r) for r in raws], dtype=np.int64)
-        begin = len(self._raw) + np.cumsum(length) - length
-        self._raw = np.concatenate((self._raw, np.frombuffer(b"".join(raws), dtype=np.uint8)))
-        self._from, self._bytes = np.insert(self._from, where, begin), np.insert(self._bytes, where, length)
+        self._slots = np.insert(self._slots, where, np.arange(self._start.used, self._start.used + len(size), dtype=np.int32))
+        self._start.add(self._flat.used + np.cumsum(size) - size)
+        self._size.add(size)
+        self._flat.add(np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(size.sum())))
+        self._from.add(self._raw.used + np.cumsum(length) - length)
+        self._bytes.add(length)
+        self._raw.add(np.frombuffer(b"".join(raws), dtype=np.uint8))
 
     def _plain(self, texts: list[str | None]) -> list[np.ndarray]:
         found = self._tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
@@ -121,20 +135,22 @@ class PieceEncoder:
         # pieces of one hash against the first of them, and this against the piece remembered
         chosen, old = first[which], first[known]
         long, old_long = np.flatnonzero((length > EXACT) & (chosen != np.arange(len(chosen)))), length[old] > EXACT
-        same = ((length == length[chosen]).all() and (length[old] == self._bytes[at[known]]).all()
-                and same_spans(raw, starts[long], raw, starts[chosen[long]], length[long])
-                and same_spans(raw, starts[old][old_long], self._raw, self._from[at[known]][old_long], length[old][old_long]))
+        slot, mine = self._slots[at[known]], numbers(raw)
+        same = ((length == length[chosen]).all() and (length[old] == self._bytes.data[slot]).all()
+                and same_spans(mine, starts[long], mine, starts[chosen[long]], length[long])
+                and same_spans(mine, starts[old[old_long]], numbers(self._raw.data, self._raw.used),
+                               self._from.data[slot[old_long]], length[old[old_long]]))
         if not same:
             return self._plain(texts)
         new = np.flatnonzero(~known)
         if len(new):
             data = raw.tobytes()
             self._learn(distinct[new], [data[starts[i]:ends[i]] for i in first[new]])
-        at, _ = self._find(distinct)
-        size = self._size[at][which]
+        slot = self._slots[self._find(distinct)[0]]
+        size = self._size.data[slot][which]
         # ids of all pieces in a row: each one's stretch of the flat store
         before = np.cumsum(size) - size
-        ids = self._flat[np.repeat(self._start[at][which] - before, size) + np.arange(int(size.sum()))]
+        ids = self._flat.data[np.repeat(self._start.data[slot][which] - before, size) + np.arange(int(size.sum()))]
         total = np.concatenate(([0], np.cumsum(size)))
         bounds = total[np.searchsorted(starts, offsets)]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
