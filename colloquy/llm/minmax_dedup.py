@@ -33,7 +33,7 @@ Rounds, without listing the pairs of a bucket:
    prefixes: shingles are ordered by how many of these classes have them (a sketch of counts; any order gives the same
    result), rare ones first, and two sets of sizes x <= y that are linked share one of the first
    x - L(x, x) + 1 and y - L(0.85 y, y) + 1, at places that leave room for an overlap of L(x, y), the least
-   that links. The pairs found by these lists, across parts, that also agree in a band and pass the
+   that links, as must bitmaps of both sets. The pairs found by these lists, across parts, that also agree in a band and pass the
    signature filter are compared. A candidate that no round compares is in one part already or cannot be linked.
 
 Comparisons are dealt by (hub, salt, range of hashes): a hub with many partners
@@ -72,6 +72,7 @@ STAR_ROUNDS = 4
 HUB_MEMBERS = 500  # members of a hub compared in one group
 SEGMENT = 8192  # shingles of a set in one row, about
 SKETCH = 12  # values of either end that estimate a similarity where the best of several hubs is chosen
+BITMAP = 1024  # bits of a set's bitmap in the lists
 SLOT_BITS = (16, 22)  # least and most bits of the sketch that orders shingles: 64 KB to 4 MB
 _AT_ONCE = 1 << 14  # shingles whose permutations are evaluated at a time
 
@@ -246,14 +247,15 @@ def _shingle_levels(rest: DataFrame) -> np.ndarray:
 
 
 def prefix_lists(rest: DataFrame) -> DataFrame:
-    """(token, pos, n, node, short): the first shingles of each set of the table, rare ones first.
+    """(token, pos, n, node, short, bits): the first shingles of each set of the table, rare ones first.
 
-    ``short`` says that the place is early enough for a partner that is no smaller.
+    ``short`` says that the place is early enough for a partner that is no smaller; ``bits`` has a bit for
+    every shingle's last hash bits.
     """
     levels = rest.sparkSession.sparkContext.broadcast(_shingle_levels(rest))
 
     def make(it):
-        names = ["token", "pos", "n", "node", "short"]
+        names = ["token", "pos", "n", "node", "short", "bits"]
         level, mask = levels.value, np.uint64(len(levels.value) - 1)
         for b in batches(it):
             for h, node in zip(shingle_sets(b.column("text").to_pylist(), N), b.column("node").to_pylist()):
@@ -261,24 +263,32 @@ def prefix_lists(rest: DataFrame) -> DataFrame:
                 if identity(h) != node:
                     continue
                 first = n - -(-PERCENT * n // 100) + 1
+                marks = np.zeros(BITMAP, dtype=bool)
+                marks[(h & np.uint64(BITMAP - 1)).astype(np.int64)] = True
+                bits = np.packbits(marks).view(np.int64)
                 order = np.argsort(level[(h & mask).astype(np.int64)], kind="stable")[:first]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h[order].view(np.int64)), pa.array(np.arange(first)), pa.array([n] * first, pa.int64()),
-                     pa.array([node] * first, pa.binary()), pa.array(np.arange(first) <= n - least_overlap(n, n))], names)
+                     pa.array([node] * first, pa.binary()), pa.array(np.arange(first) <= n - least_overlap(n, n)),
+                     pa.ListArray.from_arrays(pa.array(np.arange(first + 1, dtype=np.int32) * len(bits)), pa.array(np.tile(bits, first)))],
+                    names)
 
-    return arrow_map(rest.select("text", "node"), make, "token long, pos long, n long, node binary, short boolean")
+    return arrow_map(rest.select("text", "node"), make, "token long, pos long, n long, node binary, short boolean, bits array<long>")
 
 
 def _rest_pairs(active: DataFrame, texts: DataFrame, buckets: DataFrame, parts: DataFrame) -> DataFrame:
     """Candidates across components that prefixes and signatures leave."""
     open_ = stored(_with_parts(buckets, parts).select("node", "part").distinct(), "rest-classes")
     rest = stored(texts.join(open_, "node", "left_semi"), "rest-texts")
-    lists = stored(prefix_lists(rest).distinct().join(open_, "node"), "prefixes")
+    lists = stored(prefix_lists(rest).dropDuplicates(["token", "node"]).join(open_, "node"), "prefixes")
     a, b = lists.where("short").alias("a"), lists.alias("b")
     least = F.ceil(PERCENT * (F.col("a.n") + F.col("b.n")) / F.lit(100 + PERCENT))
+    # two sets differ in at least as many shingles as their bitmaps differ in bits
+    differ = sum((F.bit_count(F.col("a.bits")[i].bitwiseXOR(F.col("b.bits")[i])) for i in range(BITMAP // 64)), F.lit(0))
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.part") != F.col("b.part")) & _near_size("a.n", "b.n")
                  & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node"))))
-                 & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= least))
+                 & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= least)
+                 & (F.col("a.n") + F.col("b.n") - differ >= 2 * least))
     pairs = stored(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "prefix-pairs")
     side = lambda x: active.select(F.col("node").alias(x), F.col("ends").alias(f"{x}_ends"),
                                    F.col("tokens").alias(f"{x}_tokens"))
