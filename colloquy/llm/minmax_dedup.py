@@ -341,8 +341,8 @@ def links(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         """Compare the pairs that were not compared before; whether enough of them were linked to go on alike."""
         nonlocal parts
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for done in tested:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        if tested:
+            pairs = pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
         pairs = stored(pairs, "candidates")
         n = pairs.count()
         if not n:
