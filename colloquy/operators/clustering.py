@@ -9,26 +9,29 @@ Silhouettes:
 * cosine: linear. With unit vectors x^ and per-cluster sums S_C of unit
   vectors, the mean cosine distance from x to C is (|C| - x^.S_C)/|C|
   (own cluster: remove x itself). One aggregation + one small join.
-* Euclidean: no linear form exists, so distances are computed exactly in
-  tiles: each group's points are hashed into ceil(n / tile) tiles, every
-  unordered pair of tiles is one numpy block that emits per-(point, cluster)
-  sums for both sides -- never point pairs. A hot group is spread over
-  about (n / tile)^2 / 2 tasks.
+* Euclidean: no linear form exists, so distances are computed exactly: each
+  group's points are dealt to a bounded number of parts (``blocks``), every
+  unordered pair of parts is one task that emits per-(point, cluster) sums
+  for both sides -- never point pairs. The work is quadratic in a group's size; what is
+  shuffled and held is not.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.vectors import as_double_array, normalize, sq_dist
 from colloquy.operators import vectors as V
+from colloquy.operators.blocks import blocks, codes, deal, matrix, part_pairs, sides
 from colloquy.operators.joins import join_small
-from colloquy.session import checkpoint_dir, ship_package
+from colloquy.session import checkpoint_dir, ship_package, stored
 
 MAX_K = 10
+MAX_ROUNDS = 10_000  # rounds grow with the points; an assignment that still changes then is an error
 
 
 # ---------------------------------------------------------------------------
@@ -80,56 +83,75 @@ def _schema(df: DataFrame, cols: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
 
 
-def _nearest(X: np.ndarray, C: np.ndarray) -> np.ndarray:
-    """Index of the nearest centre by squared distance; within 1e-9 of the smallest, the first."""
-    d2 = np.stack([((X - c) ** 2).sum(axis=1) for c in C], axis=1)
-    least = d2.min(axis=1, keepdims=True)
-    return np.argmax(d2 <= least + 1e-9 * (1.0 + least), axis=1)
+def _nearest(X: np.ndarray, C: np.ndarray, length: np.ndarray | None = None) -> np.ndarray:
+    """Index of the nearest centre by squared distance; within 1e-9 of the smallest, the first.
+
+    Distances come from one product; rows where its rounding could matter are done again from the differences.
+    """
+    length = (X * X).sum(axis=1) if length is None else length
+    own = (C * C).sum(axis=1)
+    d2 = length[:, None] + own - 2.0 * (X @ C.T)
+    near, least = d2.argmin(axis=1), d2.min(axis=1)
+    close = least + 2e-9 * (1.0 + np.abs(least)) + 1e-12 * (length + own.max())
+    unsure = np.flatnonzero((d2 <= close[:, None]).sum(axis=1) > 1)
+    if len(unsure):
+        d2 = np.stack([((X[unsure] - c) ** 2).sum(axis=1) for c in C], axis=1)
+        least = d2.min(axis=1, keepdims=True)
+        near[unsure] = np.argmax(d2 <= least + 1e-9 * (1.0 + least), axis=1)
+    return near
+
+
+def _points(row) -> np.ndarray:
+    return np.asarray(row["_vecs"], dtype=np.float64).reshape(len(row["_ids"]), -1)
 
 
 def _by_k(row):
     """(k, cluster numbers, points, centres) for every k of a block of points."""
-    X = np.asarray(row["_vecs"], dtype=np.float64).reshape(len(row["_ids"]), -1)
+    X = _points(row)
     C = np.asarray(row["_centers"], dtype=np.float64).reshape(len(row["_k"]), -1)
     ks, clusters = np.asarray(row["_k"]), np.asarray(row["_cluster"])
     for k in np.unique(ks):
         yield int(k), clusters[ks == k], X, C[ks == k]
 
 
-def _partial_means(keys: list[str]):
+def _partial_means(centres: dict):
+    """Count, xor of id hashes and mean of a block's points by (group number, k, cluster)."""
     def fn(frames):
         for frame in frames:
             out = []
             for row in frame.to_dict("records"):
-                key, hashes = [row[c] for c in keys], np.asarray(row["_hashes"])
-                for k, clusters, X, C in _by_k(row):
-                    near = _nearest(X, C)
+                X, hashes, group = _points(row), np.asarray(row["_hashes"]), int(row["_group"])
+                length = (X * X).sum(axis=1)
+                for k, C in centres[group].items():
+                    near = _nearest(X, C, length)
                     for j in np.unique(near):
                         mine = near == j
-                        out.append((*key, k, int(clusters[j]), int(mine.sum()),
-                                    int(np.bitwise_xor.reduce(hashes[mine])), X[mine].mean(axis=0)))
-            yield pd.DataFrame(out, columns=[*keys, "k", "cluster", "_n", "_h", "_m"])
+                        out.append((group, k, int(j), int(mine.sum()), int(np.bitwise_xor.reduce(hashes[mine])), X[mine].mean(axis=0)))
+            yield pd.DataFrame(out, columns=["_group", "k", "_j", "_n", "_h", "_m"])
     return fn
 
 
-def _settled(keys: list[str], max_rounds: int):
-    """Rounds to the end for groups that are one block; gives their last centres."""
-    def fn(frames):
-        for frame in frames:
-            for row in frame.to_dict("records"):
-                key = [row[c] for c in keys]
-                for k, clusters, X, C in _by_k(row):
-                    C, before = C.copy(), None
-                    for _ in range(max_rounds):
-                        near = _nearest(X, C)
-                        for j in np.unique(near):
-                            C[j] = X[near == j].mean(axis=0)
-                        if before is not None and (near == before).all():
-                            break
-                        before = near
-                    else:
-                        raise RuntimeError(f"no stable assignment after {max_rounds} rounds")
-                    yield pd.DataFrame({**{c: [v] * len(C) for c, v in zip(keys, key)}, "k": k, "cluster": clusters, "center": list(C)})
+def _settled(max_rounds: int):
+    """Rounds to the end for one k of a group of a few blocks; gives its last centres."""
+    def fn(rows: pd.DataFrame) -> pd.DataFrame:
+        X = np.vstack([_points(row) for row in rows[["_ids", "_vecs"]].to_dict("records")])
+        length = (X * X).sum(axis=1)
+        one = rows.iloc[0]
+        clusters = np.asarray(one["_cluster"])
+        C = np.array(one["_centers"], dtype=np.float64).reshape(len(clusters), -1)
+        before = None
+        for _ in range(max_rounds):
+            near = _nearest(X, C, length)
+            if before is not None and (near == before).all():
+                break
+            member = (near[:, None] == np.arange(len(C))).astype(np.float64)
+            n = member.sum(axis=0)
+            C[n > 0] = (member.T @ X)[n > 0] / n[n > 0, None]
+            before = near
+        else:
+            raise RuntimeError(f"no stable assignment after {max_rounds} rounds")
+        keys = [c for c in rows.columns if not c.startswith("_") and c != "k"]
+        return pd.DataFrame({**{c: [one[c]] * len(C) for c in keys}, "k": one["k"], "cluster": clusters, "center": list(C)})
     return fn
 
 
@@ -144,78 +166,86 @@ def _assignments(keys: list[str]):
 
 
 def lloyd(points: DataFrame, seeds: DataFrame, group_cols: list[str], id_col: str, vec_col: str = "vec",
-          block: int = 2_000, max_rounds: int = 300) -> tuple[DataFrame, DataFrame]:
+          block: int = 2_000, max_rounds: int = MAX_ROUNDS, whole: int = 65_536) -> tuple[DataFrame, DataFrame]:
     """Lloyd's rounds for every (group, k) of ``seeds`` at once, until no assignment changes.
 
     ``seeds`` holds (group..., k, cluster, center). The points are packed once,
     one copy for all k, into checkpointed rows of about ``block`` points of a
-    group; a round joins the centres of its group to every such row (broadcast
-    if their size allows, see ``join_small``), so points are never shuffled
-    again and a hot group is many rows. Each row gives the partial mean,
-    count and xor of id hashes per (k, cluster); a (group, k) whose counts and
+    group. Groups of ``whole`` points at most run all rounds of a k in one call. Of
+    larger ones a round is one job over the rows, kept where they are: each gives the mean,
+    count and xor of id hashes per (k, cluster), which are merged to a row per centre; the centres (a few per
+    ``whole`` points) go back with the next round. A (group, k) whose counts and
     xors are those of the round before has the same assignment, and is left
     out of further rounds. Distances within 1e-9 tie: the lowest cluster wins.
     A cluster that lost its members keeps its centre; null vectors take no part.
-    Groups of one row (a block at most) run all their rounds in one call instead.
     An assignment that still changes after ``max_rounds`` is an error.
     Returns (group..., k, id, cluster) and the centres (group..., k, cluster, center).
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    ship_package(points.sparkSession)
-    checkpoint_dir(points.sparkSession)
+    spark = points.sparkSession
+    ship_package(spark)
+    checkpoint_dir(spark)
     pts = points.where(F.col(vec_col).isNotNull()).select(
         *group_cols, F.col(id_col).alias("_id"), as_double_array(vec_col).alias("_v"))
-    sizes = pts.groupBy(*group_cols).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_blocks"))
+    n = F.count(F.lit(1))
+    sizes = pts.groupBy(*group_cols).agg(F.ceil(n / F.lit(block)).cast("int").alias("_blocks"), (n > whole).alias("_long"))
     pts = join_small(pts, sizes, on=group_cols).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")))
-    rows = pts.groupBy(*group_cols, "_blocks", "_block").agg(F.collect_list(F.struct("_id", "_v")).alias("_p"))
-    rows = rows.select(*group_cols, "_blocks", F.col("_p._id").alias("_ids"), F.flatten(F.col("_p._v")).alias("_vecs"),
-                       F.transform("_p", lambda x: F.xxhash64(x["_id"])).alias("_hashes")).checkpoint(eager=True)
+    rows = pts.groupBy(*group_cols, "_long", "_block").agg(F.collect_list(F.struct("_id", "_v")).alias("_p"))
+    rows = rows.select(*group_cols, "_long", F.col("_p._id").alias("_ids"), F.flatten(F.col("_p._v")).alias("_vecs"),
+                       F.transform("_p", lambda x: F.xxhash64(x["_id"])).alias("_hashes"))
+    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism).checkpoint(eager=True)  # work for every core, however few bytes
 
     clustering = [*group_cols, "k"]
     schema = _schema(points, group_cols)
     seeds = seeds.select(*clustering, F.col("cluster").cast("int").alias("cluster"), as_double_array("center").alias("center"))
     seeds = seeds.checkpoint(eager=True)
 
-    def with_centers(centres: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        packed = centres.groupBy(*group_cols).agg(
-            F.array_sort(F.collect_list(F.struct("k", "cluster", "center"))).alias("_c"))
-        packed = packed.select(*group_cols, F.col("_c.k").alias("_k"), F.col("_c.cluster").alias("_cluster"),
-                               F.flatten(F.col("_c.center")).alias("_centers")).persist()
-        return join_small(rows, packed, on=group_cols, small_rows=packed.count()), packed
-
-    joined, packed = with_centers(seeds, rows.where("_blocks = 1"))
-    small = joined.mapInPandas(_settled(group_cols, max_rounds), f"{schema}, k int, cluster int, center array<double>")
-    small = small.checkpoint(eager=True)
-    packed.unpersist()
-    long = rows.where("_blocks > 1").select(*group_cols).distinct()
-    state = seeds.join(long, on=group_cols, how="left_semi").select(
-        *clustering, "cluster", "center", F.lit(-1).cast("long").alias("_n"), F.lit(0).cast("long").alias("_h"), F.lit(True).alias("_active"))
-    state = state.checkpoint(eager=True).persist()
-    active, done = state.count(), 0
-    while active and done < max_rounds:
-        joined, packed = with_centers(state.where("_active"), rows.where("_blocks > 1"))
-        partial = joined.mapInPandas(_partial_means(group_cols),
-                                     f"{schema}, k int, cluster int, _n long, _h long, _m array<double>")
-        new = partial.groupBy(*clustering, "cluster").agg(
-            F.sum("_n").alias("_n2"), F.bit_xor("_h").alias("_h2"),
-            Summarizer.mean(array_to_vector("_m"), F.col("_n").cast("double")).alias("_mean"))
-        new = new.withColumn("_new", vector_to_array("_mean")).drop("_mean")
-        n2, h2 = F.coalesce("_n2", F.lit(0)), F.coalesce("_h2", F.lit(0))
-        moved = F.col("_active") & ((n2 != F.col("_n")) | (h2 != F.col("_h")))
-        merged = state.join(new, on=[*clustering, "cluster"], how="left").select(
-            *clustering, "cluster", F.when(F.col("_active"), F.coalesce("_new", "center")).otherwise(F.col("center"))
-            .alias("center"), n2.alias("_n"), h2.alias("_h"),
-            F.max(moved).over(Window.partitionBy(*clustering)).alias("_active"))  # at most k rows each
-        before, state = state, merged.checkpoint(eager=True).persist()
-        active, done = state.where("_active").count(), done + 1
-        before.unpersist()
-        packed.unpersist()
-    if active:
-        raise RuntimeError(f"no stable assignment after {max_rounds} rounds")
-    centres = state.select(*clustering, "cluster", "center").unionByName(small.select(*clustering, "cluster", "center"))
-    joined, _ = with_centers(centres, rows)
+    def packed(centres: DataFrame, keys: list[str], *first: str) -> DataFrame:
+        """A row per key with the numbers and centres of its clusters."""
+        some = centres.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*first, "cluster", "center"))).alias("_c"))
+        return some.select(*keys, *(F.col(f"_c.{c}").alias(f"_{c}") for c in (*first, "cluster")),
+                           F.flatten(F.col("_c.center")).alias("_centers"))
+
+    by_k = packed(seeds, clustering).persist()
+    runs = by_k.count()
+    short = join_small(rows.where("NOT _long").select(*group_cols, "_ids", "_vecs"), by_k, on=group_cols, small_rows=runs)
+    short = short.repartition(max(1, min(1_000, 2 * runs)), *clustering).groupBy(*clustering).applyInPandas(
+        _settled(max_rounds), f"{schema}, k int, cluster int, center array<double>")
+    centres = stored(short.select(*clustering, "cluster", "center"), "centres")
+    by_k.unpersist()
+
+    groups = stored(rows.where("_long").select(*group_cols).distinct().withColumn("_group", F.monotonically_increasing_id()), "long-groups")
+    state: dict = {}  # group number -> k -> centres
+    for r in seeds.join(groups, on=group_cols).orderBy("_group", "k", "cluster").select("_group", "k", "cluster", "center").toLocalIterator():
+        state.setdefault(r["_group"], {}).setdefault(r["k"], []).append((r["cluster"], np.array(r["center"])))
+    numbers = {(g, k): [c for c, _ in x] for g, ks in state.items() for k, x in ks.items()}
+    state = {g: {k: np.stack([c for _, c in x]) for k, x in ks.items()} for g, ks in state.items()}
+    active, before, done = set(numbers), {}, 0
+    far = rows.where("_long").join(groups, on=group_cols).select("_group", "_ids", "_vecs", "_hashes").persist()
+    while active:
+        if done == max_rounds:
+            raise RuntimeError(f"no stable assignment after {max_rounds} rounds")
+        now = {g: {k: C for k, C in ks.items() if (g, k) in active} for g, ks in state.items()}
+        partial = far.where(F.col("_group").isin([g for g, ks in now.items() if ks])).mapInPandas(
+            _partial_means(now), "_group long, k int, _j int, _n long, _h long, _m array<double>")
+        new = partial.groupBy("_group", "k", "_j").agg(
+            F.sum("_n").alias("_n"), F.bit_xor("_h").alias("_h"),
+            Summarizer.mean(array_to_vector("_m"), F.col("_n").cast("double")).alias("_m"))
+        seen: dict = {}
+        for r in new.withColumn("_m", vector_to_array("_m")).collect():  # a row per centre
+            state[r["_group"]][r["k"]][r["_j"]] = r["_m"]
+            seen.setdefault((r["_group"], r["k"]), set()).add((r["_j"], r["_n"], r["_h"]))
+        active = {x for x in active if seen[x] != before.get(x)}
+        before, done = seen, done + 1
+    far.unpersist()
+    if numbers:
+        last = [(g, k, c, C.tolist()) for (g, k), cs in numbers.items() for c, C in zip(cs, state[g][k])]
+        last = spark.createDataFrame(last, "_group long, k int, cluster int, center array<double>")
+        centres = stored(centres.unionByName(last.join(groups, on="_group").select(*clustering, "cluster", "center")), "centres")
+    every = packed(centres, group_cols, "k").persist()
+    joined = join_small(rows, every, on=group_cols, small_rows=every.count())
     ids = points.schema[id_col].dataType.simpleString()
     assigned = joined.mapInPandas(_assignments(group_cols), f"{schema}, k int, _id {ids}, cluster int")
     return assigned.withColumnRenamed("_id", id_col), centres
@@ -238,7 +268,7 @@ def _seeds(points: DataFrame, ks: DataFrame, group_cols: list[str], id_col: str,
 
 
 def kmeans_sweep(points: DataFrame, group_cols: list[str], id_col: str, vec_col: str, k_max: int = MAX_K,
-                 flag_col: str | None = None, max_rounds: int = 300) -> DataFrame:
+                 flag_col: str | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Cluster every group for every candidate k; returns (group..., k, id, cluster)."""
     ks = k_candidates(points, group_cols, k_max).drop("n")
     seeds = _seeds(points, ks, group_cols, id_col, vec_col, flag_col, k_max)
@@ -246,7 +276,7 @@ def kmeans_sweep(points: DataFrame, group_cols: list[str], id_col: str, vec_col:
 
 
 def kmeans_fixed_k(points: DataFrame, group_cols: list[str], id_col: str, vec_col: str, k_col: str,
-                   flag_col: str | None = None, max_rounds: int = 300) -> DataFrame:
+                   flag_col: str | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Cluster every group with its own k (column ``k_col`` on the points)."""
     ks = points.select(*group_cols, F.col(k_col).alias("k")).distinct()
     seeds = _seeds(points.drop("k"), ks, group_cols, id_col, vec_col, flag_col)
@@ -295,65 +325,181 @@ def silhouette_samples_cosine(df: DataFrame, group_cols: list[str], id_col: str,
                       .otherwise(_sil(F.col("a"), F.col("b"), F.col("_own"))).alias("s"))
 
 
-def _distances(L: np.ndarray, R: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((L * L).sum(1)[:, None] + (R * R).sum(1)[None, :] - 2.0 * (L @ R.T), 0.0))
-
-
-def _tile_pairs(df: DataFrame, group_cols: list[str], tile: int) -> DataFrame:
-    """Points copied to every unordered pair (``_a`` <= ``_b``) of tiles that their own ``_tile`` is part of."""
-    sizes = df.groupBy(*group_cols).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("_m"))
-    pts = join_small(df, sizes, on=group_cols)
-    pts = pts.withColumn("_tile", F.pmod(F.xxhash64("_id"), F.col("_m")).cast("int"))
-    pts = pts.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
-    return pts.withColumn("_a", F.least("_tile", "_other")).withColumn("_b", F.greatest("_tile", "_other"))
-
-
-def _cluster_sums(keys: list[str]):
-    cols = [*keys, "_id", "_own", "_c", "_sum", "_cnt"]
-
-    def side(key, D: np.ndarray, rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        labels, inverse = np.unique(others["_own"].to_numpy(), return_inverse=True)
-        onehot = np.zeros((len(others), len(labels)))
-        onehot[np.arange(len(others)), inverse] = 1.0
-        n = len(rows)
-        return pd.DataFrame({**{c: [v] * (n * len(labels)) for c, v in zip(keys, key)},
-                             "_id": np.repeat(rows["_id"].to_numpy(), len(labels)),
-                             "_own": np.repeat(rows["_own"].to_numpy(), len(labels)), "_c": np.tile(labels, n),
-                             "_sum": (D @ onehot).reshape(-1), "_cnt": np.tile(onehot.sum(0), n)}, columns=cols)
-
-    def fn(key: tuple, pts: pd.DataFrame) -> pd.DataFrame:
-        group, a, b = key[:len(keys)], key[-2], key[-1]
-        left, right = pts[pts["_tile"] == a], pts[pts["_tile"] == b]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=cols)
-        D = _distances(np.stack(left["_v"].to_numpy()), np.stack(right["_v"].to_numpy()))
-        if a == b:
-            np.fill_diagonal(D, 0.0)
-            return side(group, D, left, right)
-        return pd.concat([side(group, D, left, right), side(group, D.T, right, left)])
+def _entries(labels) -> tuple[np.ndarray, pa.StructArray]:
+    """Row number of each (k, cluster) in a column of lists, and all of them one after the other."""
+    lists = labels.combine_chunks()
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy()), lists.flatten()
+
+
+class _Side:
+    """The points of a part with the weights that their clusters give them.
+
+    Points of equal clusters stand together in ``X``, so distances to them are
+    summed by runs; where there are more kinds of points than clusters, by the weights of the points.
+    """
+
+    def __init__(self, points: pa.Table):
+        at, self.entries = _entries(points["_labels"])
+        k, c = codes(self.entries.field(0)), codes(self.entries.field(1))
+        named = np.flatnonzero(c >= 0)  # a point of no cluster counts for none
+        _, first, column = np.unique(k[named] * (c.max(initial=0) + 1) + c[named], return_index=True, return_inverse=True)
+        self.columns = named[first]
+        weights = np.zeros((len(points), len(first)))
+        np.add.at(weights, (at[named], column), 1.0)
+        self.counts = weights.sum(axis=0)
+        kinds, self.kind = np.unique(weights, axis=0, return_inverse=True) if len(first) else (weights[:1], np.zeros(len(points), int))
+        self.kind = self.kind.reshape(-1)
+        self.runs = len(kinds) <= len(first)
+        self.fold = kinds if self.runs else None
+        self.order = np.argsort(self.kind, kind="stable") if self.runs else np.arange(len(points))
+        self.kind, self.weights = self.kind[self.order], weights[self.order]
+        self.X = matrix(points["_v"])[self.order]
+        self.tile = points["_tile"].to_numpy()
+        one, length = np.ones((len(points), 1)), (self.X * self.X).sum(axis=1)[:, None]
+        self.left, self.right = np.hstack([-2.0 * self.X, length, one]), np.hstack([self.X, one, length]).T.copy()
+
+    def blank(self, n: int) -> np.ndarray:
+        return np.zeros((n, len(self.fold) if self.runs else self.weights.shape[1]))
+
+    def add(self, to: np.ndarray, D: np.ndarray, at: slice, turned: bool = False) -> None:
+        """Add to ``to`` what distances to the points ``at`` come to; they are the rows of D if ``turned``."""
+        if not self.runs:
+            to += (D.T if turned else D) @ self.weights[at]
+            return
+        kind = self.kind[at]
+        starts = np.flatnonzero(np.diff(kind, prepend=-1))
+        sums = np.add.reduceat(D, starts, axis=0).T if turned else np.add.reduceat(D, starts, axis=1)
+        to[:, kind[starts]] += sums
+
+    def by_cluster(self, sums: np.ndarray, other: "_Side") -> np.ndarray:
+        """Sums over another side's points, a column per cluster, in the order in which the points came."""
+        sums = sums @ other.fold if other.runs else sums
+        out = np.empty_like(sums)
+        out[self.order] = sums
+        return out
+
+
+def _pair_sums(keys: list[str]):
+    def messages(key: tuple, mine: _Side, other: _Side, sums: np.ndarray) -> list[pa.Table]:
+        """A row per tile and cluster of the other side: the sums of all points of the tile."""
+        out, starts = [], np.flatnonzero(np.diff(mine.tile, prepend=-1))
+        named, m = other.entries.take(pa.array(other.columns)), len(other.columns)
+        for at, to in zip(starts, [*starts[1:], len(mine.tile)]) if m else ():
+            flat = np.ascontiguousarray(sums[at:to].T).reshape(-1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * np.int32(to - at)), pa.array(flat))
+            out.append(pa.table([*(pa.repeat(x, m) for x in key[:len(keys)]), pa.array(np.full(m, mine.tile[at], dtype=np.int32)),
+                                 named.field(0), named.field(1), pa.array(other.counts), lists],
+                                names=[*keys, "_tile", "_k", "_c", "_cnt", "_sums"]))
+        return out
+
+    def fn(key: tuple, table: pa.Table) -> pa.Table:
+        both = [_Side(x) for x in sides(key, table, ["_tile", "_row"])]
+        out = []
+        if both:
+            left, right = both[0], both[-1]
+            same = left is right
+            of_left, of_right = right.blank(len(left.X)), left.blank(len(right.X))
+            for i, j in blocks(len(left.X), len(right.X)):
+                D = left.left[i] @ right.right[:, j]
+                np.maximum(D, 0.0, out=D)
+                np.sqrt(D, out=D)
+                if same:
+                    own = np.arange(max(i.start, j.start), min(i.stop, j.stop))
+                    D[own - i.start, own - j.start] = 0.0
+                else:
+                    left.add(of_right[j], D, i, turned=True)
+                right.add(of_left[i], D, j)
+            out = messages(key, left, right, left.by_cluster(of_left, right))
+            if not same:
+                out += messages(key, right, left, right.by_cluster(of_right, left))
+        if out:
+            return pa.concat_tables(out)
+        kind = table["_labels"].type.value_type
+        return pa.table([*(pa.array([], x.type) for x in key[:len(keys)]), pa.array([], pa.int32()), pa.array([], kind.field(0).type),
+                         pa.array([], kind.field(1).type), pa.array([], pa.float64()), pa.array([], pa.list_(pa.float64()))],
+                        names=[*keys, "_tile", "_k", "_c", "_cnt", "_sums"])
+    return fn
+
+
+def _silhouettes_of_tile(keys: list[str]):
+    def fn(key: tuple, found: pa.Table, points: pa.Table) -> pa.Table:
+        points = points.sort_by("_row")
+        at, entries = _entries(points["_labels"])
+        n, m = len(entries), len(found)
+        k = codes(pa.concat_arrays([entries.field(0), found["_k"].combine_chunks()]))
+        c = codes(pa.concat_arrays([entries.field(1), found["_c"].combine_chunks()]))
+        _, column = np.unique(k * (c.max(initial=0) + 2) + c + 1, return_inverse=True)
+        sums, counts = np.zeros((column.max(initial=0) + 1, len(points))), np.zeros(column.max(initial=0) + 1)
+        np.add.at(sums, column[n:], matrix(found["_sums"]) if m else np.zeros((0, len(points))))
+        np.add.at(counts, column[n:], found["_cnt"].to_numpy())
+        kind = np.zeros(len(counts), dtype=np.int64)
+        kind[column] = k
+        # rows of equal id and cluster are one row, as many times as they come
+        ids = codes(points["_id"].combine_chunks())[at]
+        _, first, same = np.unique(np.stack([ids, column[:n]], axis=1), axis=0, return_index=True, return_inverse=True)
+        same, times = same.reshape(-1), np.bincount(same.reshape(-1), minlength=len(first)).astype(float)
+        s, none = np.zeros(len(first)), np.zeros(len(first), dtype=bool)
+        for one in np.unique(k[:n]):
+            mine, cols = np.flatnonzero(k[first] == one), np.flatnonzero((kind == one) & (counts > 0))
+            place = np.full(len(first), -1)
+            place[mine] = np.arange(len(mine))
+            rows = np.flatnonzero(place[same] >= 0)
+            total = np.zeros((len(mine), len(cols)))
+            if len(rows) == len(mine):
+                total[place[same[rows]]] = sums[cols][:, at[rows]].T
+            else:
+                np.add.at(total, place[same[rows]], sums[cols][:, at[rows]].T)
+            count = times[mine][:, None] * counts[cols]
+            own = cols[None, :] == column[first[mine]][:, None]
+            size = np.where(own, count, 0.0).sum(axis=1)
+            a = np.where(size > 1, np.where(own, total, 0.0).sum(axis=1) / np.maximum(size - 1, 1.0), 0.0)
+            b = np.where(own, np.inf, total / count).min(axis=1, initial=np.inf)
+            most = np.maximum(a, b)
+            none[mine] = np.isinf(b) | (c[first[mine]] < 0)
+            s[mine] = np.where((size <= 1) | (most == 0) | none[mine], 0.0, (b - a) / np.where((most == 0) | np.isinf(most), 1.0, most))
+        rows = entries.take(pa.array(first))
+        return pa.table([*(pa.repeat(x, len(first)) for x in key[:len(keys)]), rows.field(0), points["_id"].take(pa.array(at[first])),
+                         rows.field(1), pa.array(s, mask=none)], names=[*keys, "_k", "_id", "_own", "s"])
     return fn
 
 
+def silhouettes_of_labellings(df: DataFrame, group_cols: list[str], id_col: str, vec_col: str, labels_col: str,
+                              tile: int = 1024) -> DataFrame:
+    """(groups..., k, id, cluster, s): per-point Euclidean silhouettes of several clusterings of the same points, exact.
+
+    ``labels_col`` holds an array of (k, cluster) per point. Distances are made once for all of
+    them, in tasks of two parts of a group (see ``blocks``). A task gives the sums of its distances per point and
+    cluster, packed by tile; the sums of a tile from all parts then meet in one small task.
+    """
+    ship_package(df.sparkSession)
+    pts = df.where(F.col(vec_col).isNotNull()).select(
+        *group_cols, F.col(id_col).alias("_id"), as_double_array(vec_col).alias("_v"), F.col(labels_col).alias("_labels"))
+    pts = stored(pts.withColumn("_row", F.monotonically_increasing_id()), "points")
+    inner = pts.schema["_labels"].dataType.elementType
+    k_name, k_type, c_name, c_type = *(x for f in inner.fields for x in (f.name, f.dataType.simpleString())),
+    dealt, pairs = deal(pts, group_cols, tile)
+    sums = part_pairs(dealt, pairs, group_cols).groupBy(*group_cols, "_a", "_b").applyInArrow(
+        _pair_sums(group_cols), f"{_schema(pts, group_cols)}, _tile int, _k {k_type}, _c {c_type}, _cnt double, _sums array<double>")
+    rows = dealt.select(*group_cols, "_tile", "_row", "_id", "_labels")
+    out = sums.groupBy(*group_cols, "_tile").cogroup(rows.groupBy(*group_cols, "_tile")).applyInArrow(
+        _silhouettes_of_tile(group_cols),
+        f"{_schema(pts, group_cols)}, _k {k_type}, {_schema(pts, ['_id'])}, _own {c_type}, s double")
+    return out.select(*group_cols, F.col("_k").alias(k_name), F.col("_id").alias(id_col), F.col("_own").alias(c_name), "s")
+
+
 def silhouette_samples_euclid(df: DataFrame, group_cols: list[str], id_col: str, vec_col: str,
                               cluster_col: str = "cluster", tile: int = 1024) -> DataFrame:
-    """Per-point Euclidean silhouette, exact, computed in blocks of two tiles of about ``tile`` points."""
-    ship_package(df.sparkSession)
-    pts = df.select(*group_cols, F.col(id_col).alias("_id"), F.col(cluster_col).alias("_own"),
-                    as_double_array(vec_col).alias("_v"))
-    types = {f.name: f.dataType.simpleString() for f in pts.schema}
-    schema = f"{_schema(pts, group_cols)}, _id {types['_id']}, _own {types['_own']}, _c {types['_own']}, " \
-             "_sum double, _cnt double"
-    blocks = (_tile_pairs(pts, group_cols, tile).select(*group_cols, "_a", "_b", "_tile", "_id", "_own", "_v")
-              .groupBy(*group_cols, "_a", "_b").applyInPandas(_cluster_sums(group_cols), schema))
-    per = blocks.groupBy(*group_cols, "_id", "_own", "_c").agg(F.sum("_sum").alias("_sum"), F.sum("_cnt").alias("_cnt"))
-    mine = F.col("_c") == F.col("_own")
-    within = F.when(F.col("_cnt") <= 1, F.lit(0.0)).otherwise(F.col("_sum") / (F.col("_cnt") - 1))
-    agg = per.groupBy(*group_cols, "_id", "_own").agg(
-        F.max(F.when(mine, within)).alias("a"), F.max(F.when(mine, F.col("_cnt"))).alias("_own_size"),
-        F.min(F.when(~mine, F.col("_sum") / F.col("_cnt"))).alias("b"))
-    return agg.select(*group_cols, F.col("_id").alias(id_col), F.col("_own").alias(cluster_col),
-                      F.when(F.col("b").isNull(), F.lit(None).cast("double"))
-                      .otherwise(_sil(F.col("a"), F.col("b"), F.col("_own_size"))).alias("s"))
+    """Per-point Euclidean silhouette, exact, computed in blocks of the points of two parts of a group."""
+    one = df.withColumn("_labels", F.array(F.struct(F.lit(0).alias("_one"), F.col(cluster_col).alias(cluster_col))))
+    return silhouettes_of_labellings(one, group_cols, id_col, vec_col, "_labels", tile).drop("_one")
+
+
+def silhouettes_of_sweep(assigned: DataFrame, points: DataFrame, group_cols: list[str], id_col: str, vec_col: str,
+                         tile: int = 1024) -> DataFrame:
+    """(groups..., k, id, cluster, s) for the clusterings (groups..., k, id, cluster) of ``points`` (id, vec)."""
+    labels = assigned.groupBy(*group_cols, id_col).agg(F.collect_list(F.struct("k", "cluster")).alias("_labels"))
+    both = labels.join(points.select(id_col, vec_col), on=id_col)
+    return silhouettes_of_labellings(both, group_cols, id_col, vec_col, "_labels", tile)
 
 
 def silhouette(samples: DataFrame, group_cols: list[str]) -> DataFrame:
@@ -416,25 +562,21 @@ def positional_ids(df: DataFrame, group_cols: list[str], order_col: str, out: st
 # dominant cluster: connected components of the eps-neighbour graph
 # ---------------------------------------------------------------------------
 
-def _near_labels(keys: list[str], eps: float):
-    cols = [*keys, "_id", "_cand"]
-
-    def fn(key: tuple, pts: pd.DataFrame) -> pd.DataFrame:
-        group, a, b = key[:len(keys)], key[-2], key[-1]
-        left, right = pts[pts["_tile"] == a], pts[pts["_tile"] == b]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=cols)
-        near = _distances(np.stack(left["_v"].to_numpy()), np.stack(right["_v"].to_numpy())) <= eps
+def _near_labels(eps: float):
+    def fn(key: tuple, table: pa.Table) -> pa.Table:
+        two = sides(key, table, ["_id"])
+        if not two:
+            return pa.table({"_id": pa.array([], pa.int64()), "_cand": pa.array([], pa.int64())})
         none = np.iinfo(np.int64).max
-        ids = [left["_id"].to_numpy()]
-        found = [np.where(near, right["_l"].to_numpy()[None, :], none).min(axis=1)]
-        if a != b:
-            ids.append(right["_id"].to_numpy())
-            found.append(np.where(near, left["_l"].to_numpy()[:, None], none).min(axis=0))
-        ids, found = np.concatenate(ids), np.concatenate(found)
-        some = found < none
-        return pd.DataFrame({**{c: [v] * int(some.sum()) for c, v in zip(keys, group)}, "_id": ids[some],
-                             "_cand": found[some]}, columns=cols)
+        X, labels = [matrix(t["_v"]) for t in two], [t["_l"].to_numpy() for t in two]
+        length, found = [(x * x).sum(axis=1) for x in X], [np.full(len(x), none) for x in X]
+        for i, j in blocks(len(X[0]), len(X[-1])):
+            near = np.sqrt(np.maximum(length[0][i, None] + length[-1][j] - 2.0 * (X[0][i] @ X[-1][j].T), 0.0)) <= eps
+            found[0][i] = np.minimum(found[0][i], np.where(near, labels[-1][None, j], none).min(axis=1))
+            if len(two) > 1:
+                found[1][j] = np.minimum(found[1][j], np.where(near, labels[0][i, None], none).min(axis=0))
+        ids, found = np.concatenate([t["_id"].to_numpy() for t in two]), np.concatenate(found)
+        return pa.table({"_id": ids[found < none], "_cand": found[found < none]})
     return fn
 
 
@@ -443,7 +585,7 @@ def eps_components(df: DataFrame, group_cols: list[str], id_col: str, vec_col: s
     """Connected components of the graph 'Euclidean distance <= eps' per group.
 
     Exact: labels start as row numbers; every round each point takes the
-    smallest label within eps (in blocks of two tiles, never emitting point
+    smallest label within eps (in tasks of two parts of a group, never emitting point
     pairs), then the label of its label, until nothing changes. Labels are
     checkpointed each round. Returns (group..., id, component) with
     component = smallest id in it; ids may be of any orderable type.
@@ -453,12 +595,10 @@ def eps_components(df: DataFrame, group_cols: list[str], id_col: str, vec_col: s
     pts = df.select(*group_cols, F.col(id_col).alias("_key"), as_double_array(vec_col).alias("_v")) \
         .withColumn("_id", F.monotonically_increasing_id()).checkpoint(eager=True)
     labels = pts.select("_id", F.col("_id").alias("_l"))
-    schema = f"{_schema(pts, group_cols)}, _id long, _cand long"
     changed = 1
     while changed:
-        pairs = _tile_pairs(pts.drop("_key").join(labels, on="_id"), group_cols, tile)
-        cand = (pairs.select(*group_cols, "_a", "_b", "_tile", "_id", "_l", "_v").groupBy(*group_cols, "_a", "_b")
-                .applyInPandas(_near_labels(group_cols, eps), schema))
+        pairs = part_pairs(*deal(pts.drop("_key").join(labels, on="_id"), group_cols, tile), group_cols)
+        cand = pairs.groupBy(*group_cols, "_a", "_b").applyInArrow(_near_labels(eps), "_id long, _cand long")
         best = cand.groupBy("_id").agg(F.min("_cand").alias("_c"))
         new = labels.join(best, on="_id", how="left").select(
             "_id", F.col("_l").alias("_old"), F.least("_l", "_c").alias("_l")).checkpoint(eager=True)

@@ -162,7 +162,9 @@ SELECT (CASE WHEN n_above > 0 THEN k ELSE 1 END)::INTEGER AS k, n_above::BIGINT
 def best_k_by_count(spark, sf_dir):
     """Best k by the count rule: most Euclidean samples above the cosine mean."""
     pts = _mod_clusterings(spark, sf_dir)
-    se = C.silhouette_samples_euclid(pts, ["k"], "vec_id", "vec", "cluster", tile=128)
+    labels = F.transform(F.sequence(F.lit(2), F.lit(10)), lambda k: F.struct(k.alias("k"), F.pmod(F.col("label"), k).alias("cluster")))
+    every = _emb(spark, sf_dir).withColumn("_labels", labels).withColumn("_all", F.lit(1))  # distances once for every k
+    se = C.silhouettes_of_labellings(every, ["_all"], "vec_id", "vec", "_labels", tile=128)
     mc = C.silhouette(C.silhouette_samples_cosine(pts, ["k"], "vec_id", "vec", "cluster"), ["k"])
     cnt = C.count_above_mean(se, mc, ["k"]).withColumn("_all", F.lit(1))
     b = C.best_k_by_count(cnt, ["_all"])
@@ -189,8 +191,7 @@ def kmeans_sweep(spark, sf_dir):
     silhouette of each clustering."""
     pts = _emb(spark, sf_dir)
     a = C.kmeans_sweep(pts, ["label"], "vec_id", "vec")
-    j = a.join(pts.select("vec_id", "vec"), on="vec_id")
-    s = C.silhouette_samples_euclid(j, ["label", "k"], "vec_id", "vec", "cluster", tile=256)
+    s = C.silhouettes_of_sweep(a, pts, ["label"], "vec_id", "vec", tile=256)
     return C.silhouette(s, ["label", "k"]).select("label", "k", rnd("silhouette").alias("silhouette"))
 
 
