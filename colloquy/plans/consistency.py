@@ -100,7 +100,7 @@ def answer_count_per_group(docs: DataFrame, group_cols: list[str], id_col: str,
     pts = with_mean_row(emb, group_cols, id_col, "vec")
     j = _sweep(pts, group_cols, id_col).persist()
     keys = [*group_cols, "k"]
-    se = C.silhouette_samples_euclid(j, keys, "_row", "vec", "cluster", tile=512)
+    se = C.silhouettes_of_sweep(j, pts, group_cols, "_row", "vec", tile=512)
     mc = C.silhouette(C.silhouette_samples_cosine(j, keys, "_row", "vec", "cluster"), keys)
     cnt = C.count_above_mean(se, mc, keys)
     best = C.best_k_by_count(cnt, group_cols)
@@ -135,7 +135,7 @@ def typical_answers_per_group(bag: DataFrame, group_cols: list[str], id_col: str
     emb = V.project(emb.drop(answer), "vec", dim, reduced, "vec")
     pts = with_mean_row(emb, group_cols, id_col, "vec")
     keys = [*group_cols, "k"]
-    samples = C.silhouette_samples_euclid(_sweep(pts, group_cols, id_col), keys, "_row", "vec", "cluster", tile=512)
+    samples = C.silhouettes_of_sweep(_sweep(pts, group_cols, id_col), pts, group_cols, "_row", "vec", tile=512)
     best = C.best_k_first_max(C.silhouette(samples, keys), group_cols).select(*group_cols, "k").persist()
     scaled = V.standardize(pts, group_cols, "vec", "vec").join(best, on=group_cols).checkpoint(eager=True)
     firsts = C.first_distinct(scaled.where(~F.col("is_mean")), group_cols, id_col, "vec")
