@@ -1,27 +1,26 @@
 """Exact cosine join of sparse vectors above a bar.
 
-Vectors are rows (key, term, w) of unit length per key. Terms have one order,
-frequent ones first; in it every vector is cut where the bound on what the
-terms so far can contribute, the smaller of sum(w * largest w of the term) and
-the norm so far, would reach the bar. Only the rest, the rarer terms, is
-indexed: the rarest term that two vectors share lies in the rest of both, or
-their product stays below the bar. Lists of a term are cut into blocks of ``LIST_BLOCK`` rows and every
-pair of blocks is a key of its own, so a hot term is many tasks. Partial
-products of the indexed terms, plus the bounds of both rests, leave the
-candidates, and these are multiplied out term by term, by key.
-
-The vector side is never broadcast, and no pair is made that shares no rare term.
+Vectors are rows (key, term, w) of unit length per key. Terms are numbered and
+every vector is packed into a row. Rows are dealt to a bounded number of parts,
+every pair of parts is one task (see ``blocks``), so a row is copied to as many tasks as there are parts and
+only pairs that reach the bar leave a task. Inside a task, terms that many rows
+hold are multiplied as a dense matrix, the others term by term where both rows hold them.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import tokens
-from colloquy.session import stored
+from colloquy.operators.blocks import deal, part_pairs, sides
+from colloquy.session import ship_package, stored
 
-LIST_BLOCK = 500
+LIST_BLOCK = 500  # rows of a tile
+DENSE_SHARE = 0.03  # terms that so many of a task's rows hold are columns of a dense matrix
+CELLS = 4_000_000  # products held at a time
 PLACES = 9  # decimals to which a product is compared with the bar
 
 
@@ -33,30 +32,77 @@ def term_vectors(df: DataFrame, key: str, text_col: str) -> DataFrame:
     return counts.select(key, "term", (F.col("c") / F.sqrt(F.sum(F.col("c") * F.col("c")).over(size))).alias("w"))
 
 
+def _numbers(lists) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of all entries of a column of lists."""
+    arr = lists.combine_chunks()
+    return np.repeat(np.arange(len(arr)), arr.value_lengths().to_numpy()), arr.flatten().to_numpy()
+
+
+def _similar(low: float):
+    def fn(key: tuple, table: pa.Table) -> pa.Table:
+        two = sides(key, table, ["_row"])
+        if not two:
+            two = [table.slice(0, 0)]
+        rows, terms, w = [], [], []
+        for t in two:
+            r, x = _numbers(t["_terms"])
+            rows.append(r), terms.append(x), w.append(_numbers(t["_ws"])[1])
+        n, m = len(two[0]), len(two[-1])
+        every, held = np.unique(np.concatenate(terms), return_counts=True)
+        often = every[held >= DENSE_SHARE * (len(table) if len(two) > 1 else n)]
+
+        def split(r, x, v, size):
+            place = np.searchsorted(often, x)
+            frequent = (place < len(often)) & (often[np.minimum(place, len(often) - 1)] == x) if len(often) else np.zeros(len(x), bool)
+            dense = np.zeros((size, len(often)))
+            np.add.at(dense, (r[frequent], place[frequent]), v[frequent])
+            return dense, r[~frequent], x[~frequent], v[~frequent]
+
+        parts = [split(r, x, v, len(t)) for r, x, v, t in zip(rows, terms, w, two)]
+        (left, lr, lx, lw), (right, rr, rx, rw) = parts[0], parts[-1]
+        order = np.argsort(rx, kind="stable")
+        rr, rx, rw = rr[order], rx[order], rw[order]
+        right = np.ascontiguousarray(right.T)
+        step = max(1, min(512, CELLS // max(m, 1)))
+        out = []
+        for at in range(0, n, step):
+            to = min(at + step, n)
+            S = left[at:to] @ right
+            a, b = np.searchsorted(lr, (at, to))
+            start, end = np.searchsorted(rx, lx[a:b], "left"), np.searchsorted(rx, lx[a:b], "right")
+            met = end - start
+            for x, y in _pieces(met, CELLS):
+                some = met[x:y]
+                inner = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + np.repeat(start[x:y], some)
+                cell = np.repeat((lr[a + x:a + y] - at) * m, some) + rr[inner]
+                np.add.at(S.reshape(-1), cell, np.repeat(lw[a + x:a + y], some) * rw[inner])
+            i, j = np.nonzero(S >= low)
+            if len(two) == 1:
+                i, j = i[i + at < j], j[i + at < j]
+            out.append((i + at, j, S[i, j]))
+        i, j, s = (np.concatenate([o[c] for o in out]) if out else np.zeros(0, np.int64) for c in range(3))
+        ids = [t["_id"].combine_chunks() for t in two]
+        return pa.table([ids[0].take(pa.array(i)), ids[-1].take(pa.array(j)), pa.array(s, pa.float64())], names=["x", "y", "similarity"])
+    return fn
+
+
+def _pieces(sizes: np.ndarray, most: int):
+    """Bounds of runs of sizes that come to about ``most``."""
+    if len(sizes):
+        cut = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most)) + 1
+        yield from zip([0, *cut.tolist()], [*cut.tolist(), len(sizes)])
+
+
 def cosine_pairs(vectors: DataFrame, key: str, bar: float) -> DataFrame:
     """(key_a, key_b, similarity) of all pairs key_a < key_b with a cosine of ``bar`` or more."""
-    vecs = stored(vectors.select(F.col(key).alias("k"), "term", "w"), "vectors")
-    terms = stored(vecs.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top")), "terms")
-    order = Window.partitionBy("k").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bound = F.least(F.sum(F.col("w") * F.col("top")).over(order), F.sqrt(F.sum(F.col("w") * F.col("w")).over(order)))
-    cut = stored(vecs.join(terms, "term").withColumn("bound", bound), "bounds")
-    low = bar - 1e-6  # room for rounding
-    rest = cut.groupBy("k").agg(F.coalesce(F.max(F.when(F.col("bound") < low, F.col("bound"))), F.lit(0.0)).alias("left"))
-    indexed = cut.where(F.col("bound") >= low).select("k", "term", "w", F.ceil(F.col("df") / LIST_BLOCK).alias("m"))
-    rows = indexed.withColumn("mine", F.pmod(F.xxhash64("k"), "m")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    rows = rows.select("k", "term", "w", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-    a, b = rows.where("mine = x").alias("a"), rows.where("mine = y").alias("b")
-    # of two blocks one side is a; inside a block both are
-    met = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
-                 & ((F.col("a.x") != F.col("a.y")) | (F.col("a.k") < F.col("b.k"))) & (F.col("a.k") != F.col("b.k")))
-    partial = met.groupBy(F.least("a.k", "b.k").alias("ka"), F.greatest("a.k", "b.k").alias("kb")).agg(
-        F.sum(F.col("a.w") * F.col("b.w")).alias("p"))
-    side = lambda n: rest.select(F.col("k").alias(n), F.col("left").alias(f"{n}_left"))
-    pairs = partial.join(side("ka"), "ka").join(side("kb"), "kb").where(F.col("p") + F.col("ka_left") + F.col("kb_left") >= low)
-    pairs = stored(pairs.select("ka", "kb"), "candidates")
-    mine = pairs.join(vecs.select(F.col("k").alias("ka"), "term", F.col("w").alias("wa")), "ka")
-    both = mine.join(vecs.select(F.col("k").alias("kb"), "term", F.col("w").alias("wb")), ["kb", "term"])
-    total = both.groupBy("ka", "kb").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
-    return total.where(F.round("similarity", PLACES) >= bar).select(
-        F.col("ka").alias(f"{key}_a"), F.col("kb").alias(f"{key}_b"), "similarity")
+    ship_package(vectors.sparkSession)
+    vecs = stored(vectors.select(F.col(key).alias("k"), "term", "w").where("k IS NOT NULL"), "vectors")
+    terms = stored(vecs.select("term").distinct().withColumn("t", F.monotonically_increasing_id()), "terms")
+    rows = vecs.join(terms, "term").groupBy(F.col("k").alias("_id")).agg(F.collect_list(F.struct("t", "w")).alias("_e"))
+    rows = stored(rows.select("_id", F.lit(0).alias("_g"), F.col("_e.t").alias("_terms"), F.col("_e.w").alias("_ws"),
+                              F.monotonically_increasing_id().alias("_row")), "rows")
+    kind = rows.schema["_id"].dataType.simpleString()
+    pairs = part_pairs(*deal(rows, ["_g"], LIST_BLOCK), ["_g"]).groupBy("_g", "_a", "_b").applyInArrow(
+        _similar(bar - 1e-6), f"x {kind}, y {kind}, similarity double")  # room for rounding
+    return pairs.where(F.round("similarity", PLACES) >= bar).select(
+        F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"), "similarity")
