@@ -7,20 +7,22 @@ neighbours (either way) are connected; a point that is not dense joins the
 topic of its nearest dense neighbour within reach of the bar. Regions of fewer than
 ``min_size`` rows, and points that no region reaches, are outliers (topic -1); topics are numbered by size.
 
-Neighbours come from blocks of two tiles of points, k per point and block,
-merged by an aggregation over at most k rows a block. Quadratic in
-the group's size, as exact neighbours are; no task holds a group.
+Neighbours come from tasks of two parts of a group (see ``blocks``), k per point and part,
+merged by an aggregation over at most k rows a part. The work is quadratic in
+the group's size, as exact neighbours are, what is shuffled is not; no task holds a group of more than one tile.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.vectors import as_double_array, normalize
-from colloquy.operators.density import group_points, tile_blocks, tile_sides
+from colloquy.operators.blocks import Smallest, blocks, deal, matrix, part_pairs, sides
+from colloquy.operators.density import group_points
 from colloquy.operators.graph import components
 from colloquy.operators.positions import positional_index
 from colloquy.session import ship_package, stored
@@ -37,31 +39,42 @@ def _top(S: np.ndarray, k: int) -> np.ndarray:
 # fit
 # ---------------------------------------------------------------------------
 
-def _block_neighbours(k: int):
-    cols = ["_g", "_id", "_near"]
-
-    def side(group, rows: pd.DataFrame, others: pd.DataFrame, S: np.ndarray, own: bool) -> pd.DataFrame:
-        ids, few = others["_id"].to_numpy(), min(k, S.shape[1] - own)
-        at = _top(S, few)
-        near = [[{"_neg": -float(s), "_other": int(o)} for s, o in zip(S[i, a], ids[a])] for i, a in enumerate(at)]
-        return pd.DataFrame({"_g": group, "_id": rows["_id"].to_numpy(), "_near": near}, columns=cols)
-
-    def fn(key: tuple, pts: pd.DataFrame) -> pd.DataFrame:
-        left, right = tile_sides(key, pts)
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=cols)
-        S = np.round(np.stack(left["_v"].to_numpy()) @ np.stack(right["_v"].to_numpy()).T, PLACES) + 0.0
-        if key[1] == key[2]:
-            np.fill_diagonal(S, -np.inf)
-            return side(key[0], left, right, S, True)
-        return pd.concat([side(key[0], left, right, S, False), side(key[0], right, left, S.T, False)])
+def _part_neighbours(k: int, least: float):
+    def found(group: pa.Scalar, ids: np.ndarray, best: Smallest) -> pa.Table:
+        some = np.isfinite(best.value)
+        n = some.sum(axis=1)
+        near = pa.StructArray.from_arrays([pa.array(-(-best.value[some] + 0.0)), pa.array(best.id[some])], names=["_neg", "_other"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[n > 0])).astype(np.int32)), near)
+        return pa.table([pa.repeat(group, len(lists)), pa.array(ids[n > 0]), lists], names=["_g", "_id", "_near"])
+
+    def limit(best: Smallest, rows: slice) -> np.ndarray:
+        last = best.last(rows)  # of equal similarities the first id stays
+        return np.where(np.isfinite(last), last - 0.4 * 10.0 ** -PLACES, best.most + 10.0 ** -PLACES)
+
+    def fn(key: tuple, table: pa.Table) -> pa.Table:
+        two = sides(key, table, ["_id"]) or [table.slice(0, 0)]
+        ids, X = [t["_id"].to_numpy() for t in two], [matrix(t["_v"]) if len(t) else np.zeros((0, 1)) for t in two]
+        best = [Smallest(len(x), k, -least) for x in X]
+        for i, j in blocks(len(X[0]), len(X[-1])):
+            S = -(X[0][i] @ X[-1][j].T)
+            if len(two) == 1:
+                own = np.arange(max(i.start, j.start), min(i.stop, j.stop))
+                S[own - i.start, own - j.start] = np.inf
+            exact = lambda a, b: np.round(S[a, b], PLACES)  # noqa: B023, E731
+            best[0].take(i, S, limit(best[0], i), 10.0 ** -PLACES, exact, ids[-1][j])
+            if len(two) > 1:
+                best[1].take(j, S, limit(best[1], j), 10.0 ** -PLACES, exact, ids[0][i], turned=True)
+        return pa.concat_tables([found(key[0], n, b) for n, b in zip(ids, best)])
     return fn
 
 
-def nearest_neighbours(points: DataFrame, k: int, tile: int) -> DataFrame:
-    """(_g, _id, _rank from 0, _other, _sim): the k nearest by cosine of each point (_g, _id, unit vector _v); ties by id."""
-    near = tile_blocks(points, tile).groupBy("_g", "_a", "_b").applyInPandas(
-        _block_neighbours(k), "_g string, _id long, _near array<struct<_neg: double, _other: long>>")
+def nearest_neighbours(points: DataFrame, k: int, tile: int, least: float = -np.inf) -> DataFrame:
+    """(_g, _id, _rank from 0, _other, _sim): the k nearest by cosine of each point (_g, _id, unit vector _v); ties by id.
+
+    Only neighbours with a similarity of ``least`` or more are given.
+    """
+    near = part_pairs(*deal(points, ["_g"], tile), ["_g"]).groupBy("_g", "_a", "_b").applyInArrow(
+        _part_neighbours(k, least), "_g string, _id long, _near array<struct<_neg: double, _other: long>>")
     merged = near.groupBy("_g", "_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("_near"))), 1, k).alias("_near"))
     return merged.select("_g", "_id", F.posexplode("_near").alias("_rank", "_n")).select(
         "_g", "_id", "_rank", "_n._other", (-F.col("_n._neg")).alias("_sim"))
@@ -72,7 +85,7 @@ def fit_topics(df: DataFrame, group_cols: list[str], id_col: str, vec_col: str,
     """(groups..., id, topic) for every row with a vector; -1 for outliers."""
     points = group_points(df, group_cols, id_col, vec_col)
     unit = points.select("_g", "_id", normalize("_v").alias("_v"))
-    strong = stored(nearest_neighbours(unit, k, tile).where(F.col("_sim") >= bar), "neighbours")
+    strong = stored(nearest_neighbours(unit, k, tile, bar), "neighbours")
     dense = stored(strong.groupBy("_g", "_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k).drop("_n"), "dense")
     to_dense = strong.join(dense.withColumnRenamed("_id", "_other"), ["_g", "_other"])
     edges = to_dense.join(dense, ["_g", "_id"]).select("_g", F.col("_id").alias("_u"), F.col("_other").alias("_x"))
