@@ -13,7 +13,8 @@ beyond the smallest Ritz value and stays below one under it, then X and N X are
 to small Gram matrices per group (columns x columns), from which numpy
 finds the rotation, the Ritz values and the residuals |N x - theta x| of unit vectors; the rotation is joined
 back. Rounds end when every returned dimension of every group has a residual of ``tol`` at most; if
-``max_rounds`` do not do, an error is raised.
+``max_rounds`` do not do, an error is raised. Groups of ``whole`` points at most run these rounds in one call
+each, on their edges and block as arrays, and shuffle nothing between rounds.
 
 Rules: groups of ``dims + GUARD + 2`` points or fewer are returned as they are
 (``reduced`` false). The start is drawn from hashes of ids, so results repeat; a dimension's
@@ -23,8 +24,11 @@ the parts apart. Null vectors are left out.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,18 +110,60 @@ def _turned(prefix: str, p: int) -> list[Column]:
     return [sum((plain[i] * F.col("_m")[j * p + i] for i in range(p)), F.lit(0.0)).alias(f"{prefix}{j}") for j in range(p)]
 
 
-def spectral_reduce(df: DataFrame, group_cols: list[str], id_col: str, vec_col: str, dims: int = 2, k: int = 10,
-                    tol: float = 1e-4, max_rounds: int = 60, tile: int = 256) -> DataFrame:
-    """(groups..., id, vec, reduced, eigenvalues, residuals): the point's entries in the group's leading eigenvectors."""
-    p = dims + GUARD
-    points = group_points(df, group_cols, id_col, vec_col)
-    big = stored(points.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > p + 2).select("_g"), "large-groups")
-    some = points.join(big, "_g", "left_semi")
-    edges = neighbour_graph(some, k, tile)
-    roots = edges.groupBy("_g", F.col("_u").alias("_id")).agg(F.max("_s").alias("_s"))
-    start = [(F.xxhash64("_id", F.lit(j)) / F.lit(float(1 << 63))).alias(f"x{j}") for j in range(p)]
-    X = stored(some.select("_g", "_id").join(roots, ["_g", "_id"], "left").select(
-        "_g", "_id", F.coalesce("_s", F.lit(0.0)).alias("_s"), *start), "block")
+def _whole(p: int, dims: int, tol: float, max_rounds: int, rounds: int | None = None):
+    """The rounds of one group's edges and block in one call.
+
+    Without ``rounds`` it gives the number that the group needs, with it the columns, Ritz values and residuals after so many.
+    """
+    def fn(key: tuple, edges: pa.Table, block: pa.Table) -> pa.Table:
+        block, edges = block.sort_by("_id"), edges.sort_by("_u")
+        ids, s = block["_id"].to_numpy(), block["_s"].to_numpy()
+        X = np.column_stack([block[c].to_numpy() for c in _cols("x", p)])
+        u, x = (np.searchsorted(ids, edges[c].to_numpy()) for c in ("_u", "_x"))
+        w, starts = edges["_w"].to_numpy()[:, None], np.flatnonzero(np.diff(u, prepend=-1))
+
+        def times(Y: np.ndarray) -> np.ndarray:
+            out = np.zeros_like(Y)
+            if len(starts):
+                out[u[starts]] = np.add.reduceat(w * Y[x], starts, axis=0)
+            return out
+
+        for done in range(1, max_rounds + 1):
+            Z = times(X)
+            trivial, ss = s @ X, s @ s
+            gone = np.outer(trivial, trivial) / ss
+            M, theta, residual = rotate(X.T @ X - gone, X.T @ Z - gone, Z.T @ Z - gone)
+            X, Z = (X - np.outer(s, trivial / ss)) @ M, (Z - np.outer(s, trivial / ss)) @ M
+            if done == rounds if rounds else residual[:dims].max() <= tol:
+                break
+            a = min(0.9, max(-0.9, theta[p - 1]))
+            center, half = (a - 1) / 2, (a + 1) / 2
+            before, X = X, (Z - center * X) / half
+            for _ in range(DEGREE - 1):
+                before, X = X, 2 * (times(X) - center * X) / half - before
+        else:
+            raise RuntimeError(f"residuals above {tol} after {max_rounds} rounds")
+        if not rounds:
+            return pa.table([pa.array([key[0].as_py()]), pa.array([done], pa.int32())], names=["_g", "_rounds"])
+        n = len(ids)
+        values = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * p), pa.array(np.tile(v, n))) for v in (theta, residual)]
+        return pa.table([pa.repeat(key[0], n), pa.array(ids), *(pa.array(X[:, j].copy()) for j in range(dims)), *values],
+                        names=["_g", "_id", *_cols("x", dims), "_theta", "_residual"])
+    return fn
+
+
+def _whole_groups(edges: DataFrame, X: DataFrame, groups: int, p: int, dims: int, tol: float, max_rounds: int) -> DataFrame:
+    """(_g, _id, x0 ..., _theta, _residual) of groups that are a call each; all take the rounds of the slowest."""
+    tasks = max(1, min(1_000, 2 * groups))  # by groups, however few bytes they have
+    both = edges.select("_g", "_u", "_x", "_w").repartition(tasks, "_g").groupBy("_g").cogroup(
+        X.repartition(tasks, "_g").groupBy("_g"))
+    rounds = both.applyInArrow(_whole(p, dims, tol, max_rounds), "_g string, _rounds int").agg(F.max("_rounds")).first()[0]
+    schema = f"_g string, _id long, {', '.join(f'{c} double' for c in _cols('x', dims))}, _theta array<double>, _residual array<double>"
+    return stored(both.applyInArrow(_whole(p, dims, tol, max_rounds, rounds or 1), schema), "dimensions")
+
+
+def _joined_rounds(edges: DataFrame, X: DataFrame, p: int, dims: int, tol: float, max_rounds: int) -> DataFrame:
+    """(_g, _id, x0 ..., _theta, _residual) by joins of the edges with the block."""
     zeros = {f"z{j}": 0.0 for j in range(p)}
     for _ in range(max_rounds):
         XZ = stored(X.join(_times(edges, X, "x", p), ["_g", "_id"], "left").fillna(zeros), "block")
@@ -139,12 +185,35 @@ def spectral_reduce(df: DataFrame, group_cols: list[str], id_col: str, vec_col:
         X = stored(now.select("_g", "_id", "_s", *_cols("x", p)), "block")
     else:
         raise RuntimeError(f"residuals above {tol} after {max_rounds} rounds")
-    XZ = stored(XZ.select("_g", "_id", *_cols("x", dims)), "dimensions")
+    XZ = XZ.select("_g", "_id", *_cols("x", dims))
+    return join_small(XZ, ritz.select("_g", "_theta", "_residual"), on=["_g"])
+
+
+def spectral_reduce(df: DataFrame, group_cols: list[str], id_col: str, vec_col: str, dims: int = 2, k: int = 10,
+                    tol: float = 1e-4, max_rounds: int = 60, tile: int = 256, whole: int = 100_000) -> DataFrame:
+    """(groups..., id, vec, reduced, eigenvalues, residuals): the point's entries in the group's leading eigenvectors."""
+    p = dims + GUARD
+    points = group_points(df, group_cols, id_col, vec_col)
+    big = stored(points.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > p + 2), "large-groups")
+    some = points.join(big, "_g", "left_semi")
+    edges = neighbour_graph(some, k, tile)
+    roots = edges.groupBy("_g", F.col("_u").alias("_id")).agg(F.max("_s").alias("_s"))
+    start = [(F.xxhash64("_id", F.lit(j)) / F.lit(float(1 << 63))).alias(f"x{j}") for j in range(p)]
+    X = stored(some.select("_g", "_id").join(roots, ["_g", "_id"], "left").select(
+        "_g", "_id", F.coalesce("_s", F.lit(0.0)).alias("_s"), *start), "block")
+    one = big.where(F.col("_n") <= whole).select("_g")
+    calls, rest = one.count(), big.where(F.col("_n") > whole).select("_g")
+    found = []
+    if calls:
+        found.append(_whole_groups(edges.join(one, "_g", "left_semi"), X.join(one, "_g", "left_semi"), calls, p, dims, tol, max_rounds))
+    if not calls or not rest.isEmpty():
+        found.append(_joined_rounds(*(stored(d.join(rest, "_g", "left_semi"), "rest") for d in (edges, X)), p, dims, tol, max_rounds))
+    XZ = stored(reduce(DataFrame.unionByName, found), "dimensions")
     signs = XZ.groupBy("_g").agg(*(F.max(F.struct(F.round(F.abs(f"x{j}"), 9), -F.col("_id"), F.signum(f"x{j}").alias("s")))["s"].alias(f"s{j}")
                                    for j in range(dims)))
-    about = signs.join(ritz.select("_g", F.slice("_theta", 1, dims).alias("eigenvalues"),
-                                   F.slice("_residual", 1, dims).alias("residuals")), "_g")
-    found = join_small(XZ, about, on=["_g"]).select(
+    found = join_small(XZ, signs, on=["_g"]).withColumn("eigenvalues", F.slice("_theta", 1, dims)).withColumn(
+        "residuals", F.slice("_residual", 1, dims))
+    found = found.select(
         "_g", "_id", F.array(*(F.col(f"x{j}") * F.col(f"s{j}") for j in range(dims))).alias("_r"), "eigenvalues", "residuals")
     out = points.join(found, ["_g", "_id"], "left")
     return out.select(*group_cols, F.col("_key").alias(id_col), F.coalesce("_r", "_v").alias(vec_col),
