@@ -5,14 +5,14 @@ distances max(core(a), core(b), d(a, b)), the condensed tree of clusters of at
 least a share of the group, the selection of clusters by excess of mass, and
 member probabilities and persistence.
 
-* Points are dealt to tiles, every pair of tiles is one block. A first pass
-  over the blocks gives each point's nearest distances, whose merge holds its
-  core distance. In a second pass each block gives the spanning tree of
-  its own points: an edge that is not in the tree of some block is the longest
+* Points are dealt to tiles and these to parts, every pair of parts is one task (see ``blocks``). A first pass
+  gives each point's nearest distances, whose merge holds its
+  core distance. In a second pass each task takes the spanning tree of every pair of its tiles
+  and then the tree of all their edges: an edge that is not in the tree of some of the points is the longest
   of a circle and not in the group's tree either. What is left, some
-  (tiles - 1) edges a point, goes through Boruvka rounds of joins: every
+  (parts - 1) edges a point, goes through Boruvka rounds of joins: every
   component takes its shortest edge out, components are merged by pointer
-  jumping, edges inside a component drop out. A group of one tile needs no round.
+  jumping, edges inside a component drop out. A group of one part needs no round.
 * Edges have one order, (weight, ids), so the tree is unique. They are
   merged by ascending weight in blocks of ``MERGE_EDGES`` edges of a group, one block after
   the other: a task sees one block of one group, its ends replaced by the
@@ -22,8 +22,8 @@ member probabilities and persistence.
 * With a minimum size of ``min_share`` of the group there are under
   2 / min_share clusters in a tree, so choosing among them sees a bounded table.
 
-No task holds a group. The distances are quadratic in the group's size, as the
-exact tree requires.
+No task holds a group of more than one tile. The distances are quadratic in the group's size, as the
+exact tree requires; what is shuffled is not.
 
 Rules: lambda is 1 / weight (weights below 1e-6, copies, count as 1e-6). A
 cluster's stability is the sum over its points of the lambda at which they
@@ -40,12 +40,16 @@ and be of any type with an order; group columns may be null.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.vectors import as_double_array
+from colloquy.operators.blocks import Smallest, blocks, deal, matrix, part_pairs, sides
 from colloquy.operators.joins import join_small
 from colloquy.operators.positions import positional_index
 from colloquy.session import ship_package, stored
@@ -56,7 +60,7 @@ PLACES = 12  # decimals of a weight; equal to so many, weights are ties
 
 
 # ---------------------------------------------------------------------------
-# blocks of two tiles
+# distances and trees
 # ---------------------------------------------------------------------------
 
 def pair_distances(L: np.ndarray, R: np.ndarray, chunk: int = 65_536) -> np.ndarray:
@@ -72,43 +76,46 @@ def pair_distances(L: np.ndarray, R: np.ndarray, chunk: int = 65_536) -> np.ndar
     return np.round(np.sqrt(d2), PLACES)
 
 
-def tile_blocks(points: DataFrame, tile: int) -> DataFrame:
-    """Points (_g, _id, _v, ...) copied to every unordered pair (``_a`` <= ``_b``) of tiles that theirs is part of."""
-    sizes = points.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("_m"))
-    pts = join_small(points, sizes, on=["_g"]).withColumn("_tile", F.pmod(F.xxhash64("_id"), F.col("_m")).cast("int"))
-    pts = pts.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
-    return pts.withColumn("_a", F.least("_tile", "_other")).withColumn("_b", F.greatest("_tile", "_other")).drop("_other")
-
-
-def tile_sides(key: tuple, pts: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    pts = pts.sort_values("_id")
-    return pts[pts["_tile"] == key[1]], pts[pts["_tile"] == key[2]]
+def exact_distances(L: np.ndarray, R: np.ndarray, i: np.ndarray, j: np.ndarray, chunk: int = 65_536) -> np.ndarray:
+    """Distances of the rows i of L to the rows j of R, from the differences."""
+    d2 = [((L[i[at:at + chunk]] - R[j[at:at + chunk]]) ** 2).sum(axis=1) for at in range(0, len(i), chunk)]
+    return np.round(np.sqrt(np.concatenate(d2)), PLACES) if d2 else np.zeros(0)
 
 
 def _nearest_distances(k: int):
-    def fn(key: tuple, pts: pd.DataFrame) -> pd.DataFrame:
-        left, right = tile_sides(key, pts)
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=["_g", "_id", "_near"])
-        D = pair_distances(np.stack(left["_v"].to_numpy()), np.stack(right["_v"].to_numpy()))
-        sides = [(left, D, key[1] == key[2])] + ([] if key[1] == key[2] else [(right, D.T, False)])
-        out = []
-        for rows, d, own in sides:
-            if own:
-                np.fill_diagonal(d, np.inf)
-            few = min(k, d.shape[1] - own)
-            if few:
-                near = np.partition(d, few - 1, axis=1)[:, :few]
-                out.append(pd.DataFrame({"_g": key[0], "_id": rows["_id"].to_numpy(), "_near": list(near)}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["_g", "_id", "_near"])
+    def found(group: pa.Scalar, ids: np.ndarray, best: Smallest) -> pa.Table:
+        some = np.isfinite(best.value)
+        n = some.sum(axis=1)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[n > 0])).astype(np.int32)), pa.array(best.value[some]))
+        return pa.table([pa.repeat(group, len(lists)), pa.array(ids[n > 0]), lists], names=["_g", "_id", "_near"])
+
+    def fn(key: tuple, table: pa.Table) -> pa.Table:
+        two = sides(key, table, ["_id"]) or [table.slice(0, 0)]
+        ids, X = [t["_id"].to_numpy() for t in two], [matrix(t["_v"]) if len(t) else np.zeros((0, 1)) for t in two]
+        X = [x - X[0].mean(axis=0) for x in X] if len(X[0]) else X
+        length = [(x * x).sum(axis=1) for x in X]
+        slack = 1e-12 * sum(n.max(initial=0.0) for n in length)  # rounding of a squared distance
+        best = [Smallest(len(x), k) for x in X]
+        # nothing is nearer than a copy
+        limit = lambda b, rows: np.where(b.last(rows) == 0.0, -np.inf, b.last(rows) ** 2 + slack)
+        for i, j in blocks(len(X[0]), len(X[-1])):
+            d2 = length[0][i, None] + length[-1][j] - 2.0 * (X[0][i] @ X[-1][j].T)
+            if len(two) == 1:
+                own = np.arange(max(i.start, j.start), min(i.stop, j.stop))
+                d2[own - i.start, own - j.start] = np.inf
+            exact = lambda a, b: np.where(np.isinf(d2[a, b]), np.inf, exact_distances(X[0][i], X[-1][j], a, b))  # noqa: B023, E731
+            best[0].take(i, d2, limit(best[0], i), 2 * slack, exact, ids[-1][j])
+            if len(two) > 1:
+                best[1].take(j, d2, limit(best[1], j), 2 * slack, exact, ids[0][i], turned=True)
+        return pa.concat_tables([found(key[0], n, b) for n, b in zip(ids, best)])
     return fn
 
 
 def core_distances(points: DataFrame, min_samples: int, tile: int) -> DataFrame:
     """Points with ``_core``, the distance of the ``min_samples``-th nearest other point."""
-    near = (tile_blocks(points.select("_g", "_id", "_v"), tile).groupBy("_g", "_a", "_b")
-            .applyInPandas(_nearest_distances(min_samples), "_g string, _id long, _near array<double>"))
-    # at most min_samples numbers per tile
+    near = part_pairs(*deal(points.select("_g", "_id", "_v"), ["_g"], tile), ["_g"]).groupBy("_g", "_a", "_b").applyInArrow(
+        _nearest_distances(min_samples), "_g string, _id long, _near array<double>")
+    # at most min_samples numbers per part
     merged = near.groupBy(F.col("_g").alias("_h"), F.col("_id").alias("_i")).agg(
         F.slice(F.sort_array(F.flatten(F.collect_list("_near"))), 1, min_samples).alias("_near"))
     j = points.join(merged, (F.col("_g") == F.col("_h")) & (F.col("_id") == F.col("_i")), "left")
@@ -142,16 +149,59 @@ def dense_tree(ids: np.ndarray, W: np.ndarray) -> list[tuple[int, int, float]]:
     return out
 
 
-def _block_tree(key: tuple, pts: pd.DataFrame) -> pd.DataFrame:
-    pts = pts.sort_values("_id")
-    ids, core = pts["_id"].to_numpy(), pts["_core"].to_numpy()
-    X = np.stack(pts["_v"].to_numpy())
+def sparse_tree(u: np.ndarray, x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of the edges of the minimum spanning forest; edges go by (weight, ids)."""
+    nodes, ends = np.unique(np.concatenate([u, x]), return_inverse=True)
+    order = np.lexsort((x, u, w))
+    up, kept = list(range(len(nodes))), []
+
+    def find(c: int) -> int:
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    for e, a, b in zip(order.tolist(), ends[:len(u)][order].tolist(), ends[len(u):][order].tolist()):
+        a, b = find(a), find(b)
+        if a != b:
+            up[a] = b
+            kept.append(e)
+            if len(kept) == len(nodes) - 1:
+                break
+    return np.array(kept, dtype=np.int64)
+
+
+def _block_tree(tiles: list[pa.Table]) -> np.ndarray:
+    """(smaller id, larger id, weight) of the spanning tree of the points of one or two tiles."""
+    ids = np.concatenate([t["_id"].to_numpy() for t in tiles])
+    order = np.argsort(ids)
+    core = np.concatenate([t["_core"].to_numpy() for t in tiles])[order]
+    X = np.vstack([matrix(t["_v"]) for t in tiles])[order]
     W = pair_distances(X, X)
     W = np.maximum(np.maximum(np.minimum(W, W.T), core[:, None]), core[None, :])
-    edges = dense_tree(ids, W)
-    frame = pd.DataFrame(edges, columns=["_u", "_w", "_d"]).rename(columns={"_w": "_x", "_d": "_w"})
-    frame["_g"], frame["_m"] = key[0], int(pts["_m"].iloc[0])
-    return frame[["_g", "_u", "_x", "_w", "_m"]]
+    return np.array(dense_tree(ids[order], W), dtype=[("u", np.int64), ("x", np.int64), ("w", np.float64)])
+
+
+def _part_tree(key: tuple, table: pa.Table) -> pa.Table:
+    """The tree of all edges that the trees of the pairs of tiles hold, of one part or between two."""
+    two = sides(key, table, ["_tile", "_id"])
+    cut = []
+    for t in two:
+        starts = np.flatnonzero(np.diff(t["_tile"].to_numpy(), prepend=-1))
+        cut.append([t.slice(a, b - a) for a, b in zip(starts, [*starts[1:], len(t)])])
+    if len(two) > 1:
+        pairs = [[a, b] for a in cut[0] for b in cut[1]]
+    else:
+        pairs = [[a, b] for c in cut for a, b in itertools.combinations(c, 2)] or [[c[0]] for c in cut]
+    edges, new = np.zeros(0, dtype=[("u", np.int64), ("x", np.int64), ("w", np.float64)]), []
+    for n, pair in enumerate(pairs, 1):
+        new.append(_block_tree(pair))
+        if n == len(pairs) or sum(map(len, new)) > MERGE_EDGES:
+            edges, new = np.concatenate([edges, *new]), []
+            edges = edges[sparse_tree(edges["u"], edges["x"], edges["w"])] if len(pairs) > 1 else edges
+    parts = table["_parts"][0]
+    return pa.table([pa.repeat(key[0], len(edges)), *(pa.array(edges[c]) for c in "uxw"), pa.repeat(parts, len(edges))],
+                    names=["_g", "_u", "_x", "_w", "_m"])
 
 
 # ---------------------------------------------------------------------------
@@ -204,8 +254,8 @@ def group_points(df: DataFrame, group_cols: list[str], id_col: str, vec_col: str
 
 def _forest(points: DataFrame, min_samples: int, tile: int) -> DataFrame:
     cored = stored(core_distances(points.select("_g", "_id", "_v"), min_samples, tile), "cores")
-    blocks = tile_blocks(cored, tile).groupBy("_g", "_a", "_b")
-    edges = stored(blocks.applyInPandas(_block_tree, "_g string, _u long, _x long, _w double, _m int"), "block-trees")
+    pairs = part_pairs(*deal(cored, ["_g"], tile), ["_g"]).groupBy("_g", "_a", "_b")
+    edges = stored(pairs.applyInArrow(_part_tree, "_g string, _u long, _x long, _w double, _m int"), "part-trees")
     several = edges.where("_m > 1")
     whole = edges.where("_m = 1").drop("_m")
     if several.isEmpty():
