@@ -49,20 +49,29 @@ class KeywordScorer:
         return entailment_score(c, e)
 
     # long-form path -----------------------------------------------------
+    def prepare(self, df: DataFrame, taxonomy: Taxonomy, text_col: str = "text") -> DataFrame:
+        """Add what ``score_pairs`` needs of a text, so that it is read once and not per label:
+        ``_ntok``, its number of tokens, and ``_evidence``, those that are a keyword of some label."""
+        space = LabelSpace([taxonomy], self)
+        df = df.withColumn("_toks", tokens_col(text_col))
+        known = F.filter("_toks", lambda t: F.size(space.lookup(t)) > 0)
+        return df.withColumn("_ntok", F.size("_toks")).withColumn("_evidence", known).drop("_toks")
+
     def score_pairs(self, pairs: DataFrame, taxonomy: Taxonomy, text_col: str = "text",
                     label_col: str = "label") -> DataFrame:
-        """Add ``contradiction``/``entailment`` to (text, label) pair rows."""
+        """Add ``contradiction``/``entailment`` to (text, label) pair rows, of prepared texts or plain ones."""
         kw = {lab: taxonomy.keywords_of(lab, self.with_sublabels) for lab in taxonomy.labels}
         kw_map = F.create_map(*[x for lab, words in kw.items()
                                 for x in (F.lit(lab), F.array(*[F.lit(w) for w in words]))])
         words = F.coalesce(F.try_element_at(kw_map, F.col(label_col)), F.array().cast("array<string>"))
-        pairs = pairs.withColumn("_toks", tokens_col(text_col)).withColumn("_words", words)
-        ntok = F.size("_toks")
-        flags = F.zip_with("_toks", F.array_repeat(F.col("_words"), ntok), lambda t, w: F.array_contains(w, t))
+        if "_evidence" not in pairs.columns:
+            pairs = pairs.withColumn("_evidence", tokens_col(text_col)).withColumn("_ntok", F.size("_evidence"))
+        pairs = pairs.withColumn("_words", words)
+        flags = F.zip_with("_evidence", F.array_repeat(F.col("_words"), F.size("_evidence")), lambda t, w: F.array_contains(w, t))
         hits = F.size(F.filter(flags, lambda b: b))
-        c, e = self.logits(hits, ntok)
+        c, e = self.logits(hits, F.col("_ntok"))
         pairs = pairs.withColumn("contradiction", c.cast("double")).withColumn("entailment", e)
-        return pairs.drop("_toks", "_words")
+        return pairs.drop("_evidence", "_ntok", "_words")
 
 
 class ModelScorer:

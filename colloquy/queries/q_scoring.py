@@ -76,8 +76,10 @@ def top1_label(spark, sf_dir):
 @query("top1_label_long", _TOP1_SQL)
 def top1_label_long(spark, sf_dir):
     """The same through the pluggable long-form path: pairs -> scorer -> max_by."""
-    pairs = S.text_label_pairs(_docs(spark, sf_dir), TOPIC_LEVEL1, keep=["doc_id", "text"])
-    scored = S.pair_scores(S.KeywordScorer().score_pairs(pairs, TOPIC_LEVEL1))
+    scorer = S.KeywordScorer()
+    texts = scorer.prepare(_docs(spark, sf_dir), TOPIC_LEVEL1)
+    pairs = S.text_label_pairs(texts, TOPIC_LEVEL1, keep=["doc_id", "_ntok", "_evidence"])
+    scored = S.pair_scores(scorer.score_pairs(pairs, TOPIC_LEVEL1))
     t = S.top1_long(scored, ["doc_id"])
     return t.select("doc_id", "label", rnd("score").alias("score"))
 
