@@ -178,19 +178,23 @@ def token_buckets(text_col: str, dim: int) -> Column:
         F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int"))
 
 
+def _unit_counts(buckets: pa.ListArray, dim: int, rows: int = 256) -> pa.ListArray:
+    """Counts of the buckets of every row, of unit length, made for some rows at a time."""
+    ends, flat = buckets.offsets.to_numpy(), buckets.values.to_numpy(zero_copy_only=False)
+    out = np.zeros((len(buckets), dim), dtype=np.float64)
+    for at in range(0, len(buckets), rows):
+        some = ends[at:at + rows + 1]
+        row = np.repeat(np.arange(len(some) - 1, dtype=np.int64) * dim, np.diff(some))
+        counts = np.bincount(row + flat[some[0]:some[-1]], minlength=(len(some) - 1) * dim).reshape(-1, dim)
+        norms = np.sqrt((counts * counts).sum(axis=1).astype(np.float64))
+        out[at:at + rows] = counts / np.where(norms == 0, 1.0, norms)[:, None]
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(buckets) + 1, dtype=np.int32) * dim), pa.array(out.reshape(-1)))
+
+
 def _bincount_udf(dim: int):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def bincount(buckets: pd.Series) -> pd.Series:
-        arr = pa.array(buckets, type=pa.list_(pa.int32()))
-        offsets = arr.offsets.to_numpy()
-        flat = arr.flatten().to_numpy(zero_copy_only=False)
-        rows = np.repeat(np.arange(len(arr)), np.diff(offsets))
-        counts = np.zeros((len(arr), dim), dtype=np.float64)
-        np.add.at(counts, (rows, flat), 1.0)
-        norms = np.sqrt((counts * counts).sum(axis=1))
-        norms[norms == 0] = 1.0
-        counts /= norms[:, None]
-        return pd.Series(list(counts))
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def bincount(buckets: pa.Array) -> pa.Array:
+        return _unit_counts(buckets, dim)
 
     return bincount
 
