@@ -41,9 +41,10 @@ def part_pairs(dealt: DataFrame, pairs: int, keys: list[str]) -> DataFrame:
 
     The number of tasks follows the pairs, not the bytes: a pair is much work for its size.
     """
-    copies = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    cores = dealt.sparkSession.sparkContext.defaultParallelism  # the copies are made by all of them, however few files hold the points
+    copies = dealt.repartition(cores).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     copies = copies.withColumn("_a", F.least("_part", "_other")).withColumn("_b", F.greatest("_part", "_other"))
-    return copies.drop("_other").repartition(max(1, min(1_000, 2 * pairs)), *keys, "_a", "_b")
+    return copies.drop("_other").repartition(max(1, min(8 * cores, 2 * pairs)), *keys, "_a", "_b")
 
 
 def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
