@@ -47,6 +47,7 @@ def neighbour_graph(points: DataFrame, k: int, tile: int) -> DataFrame:
     unit = points.select("_g", "_id", normalize("_v").alias("_v"))
     one = nearest_neighbours(unit, k, tile).select("_g", F.col("_id").alias("_u"), F.col("_other").alias("_x"),
                                                    F.greatest(F.col("_sim"), F.lit(0.0)).alias("_w"))
+    one = stored(one, "neighbours")  # read twice
     both = one.unionByName(one.select("_g", F.col("_x").alias("_u"), F.col("_u").alias("_x"), "_w"))
     edges = stored(both.groupBy("_g", "_u", "_x").agg(F.max("_w").alias("_w")).where("_w > 0"), "graph")
     degree = stored(edges.groupBy("_g", "_u").agg(F.sum("_w").alias("_d")), "degrees")
