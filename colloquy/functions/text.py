@@ -69,3 +69,8 @@ def tokens(col) -> Column:
     """Lower-cased letter runs of a text; null text gives an empty array."""
     parts = F.split(F.lower(F.coalesce(_c(col), F.lit(""))), TOKEN_SPLIT)
     return F.filter(parts, lambda x: x != F.lit(""))
+
+
+def spaced_tokens(col) -> Column:
+    """The ``tokens`` of a text with a blank between them; one more may stand before and after them."""
+    return F.regexp_replace(F.lower(F.coalesce(_c(col), F.lit(""))), TOKEN_SPLIT, " ")

@@ -18,17 +18,24 @@ from colloquy.operators.joins import join_small
 
 PARTS = 16
 PART_POINTS = 65_536
+TASKS = 8  # a core
 ROWS, COLUMNS = 512, 1024
 
 
-def deal(points: DataFrame, keys: list[str], tile: int) -> tuple[DataFrame, int]:
+def deal(points: DataFrame, keys: list[str], tile: int, even: bool = False) -> tuple[DataFrame, int]:
     """Points (keys..., _id, ...) with their ``_tile``, ``_part`` and number of parts ``_parts``; pairs of parts in all.
 
-    Equal ids share a tile. Groups with a null key are left out.
+    Equal ids share a tile. Groups with a null key are left out. ``even``: a group has only as many parts as
+    make its tasks no longer than an even share of all the work, so the points of many groups are copied less.
     """
     n = F.count(F.lit(1))
     sizes = points.groupBy(*keys).agg(F.ceil(n / F.lit(tile)).cast("int").alias("_m"), n.alias("_n"))
-    most = F.greatest(F.lit(PARTS), F.ceil(F.col("_n") / F.lit(PART_POINTS))).cast("int")
+    least = F.ceil(F.col("_n") / F.lit(PART_POINTS))
+    most = F.greatest(F.lit(PARTS), least).cast("int")
+    if even:
+        sizes = sizes.persist()
+        share = (sizes.agg(F.sum(F.col("_n").cast("double") * F.col("_n"))).first()[0] or 1.0) / TASKS / points.sparkSession.sparkContext.defaultParallelism
+        most = F.least(most, F.greatest(least, F.ceil(F.col("_n") / F.lit(share ** 0.5))).cast("int"))
     sizes = sizes.select(*keys, "_m", F.least("_m", most).alias("_parts")).persist()
     pairs = sizes.agg(F.sum(F.col("_parts") * (F.col("_parts") + 1) / 2)).first()[0]
     dealt = join_small(points, sizes, on=keys, small_rows=sizes.count())
@@ -44,7 +51,7 @@ def part_pairs(dealt: DataFrame, pairs: int, keys: list[str]) -> DataFrame:
     cores = dealt.sparkSession.sparkContext.defaultParallelism  # the copies are made by all of them, however few files hold the points
     copies = dealt.repartition(cores).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     copies = copies.withColumn("_a", F.least("_part", "_other")).withColumn("_b", F.greatest("_part", "_other"))
-    return copies.drop("_other").repartition(max(1, min(8 * cores, 2 * pairs)), *keys, "_a", "_b")
+    return copies.drop("_other").repartition(max(1, min(TASKS * cores, 2 * pairs)), *keys, "_a", "_b")
 
 
 def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
@@ -58,10 +65,10 @@ def tiled(n: int, step: int):
     return ((at, min(at + step, n)) for at in range(0, n, step))
 
 
-def blocks(left: int, right: int):
+def blocks(left: int, right: int, rows: int = ROWS, columns: int = COLUMNS):
     """Slices of rows and columns that cover a left x right matrix, ascending."""
-    for i, to in tiled(left, ROWS):
-        for j, end in tiled(right, COLUMNS):
+    for i, to in tiled(left, rows):
+        for j, end in tiled(right, columns):
             yield slice(i, to), slice(j, end)
 
 

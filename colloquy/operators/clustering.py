@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.vectors import as_double_array, normalize, sq_dist
 from colloquy.operators import vectors as V
-from colloquy.operators.blocks import blocks, codes, deal, matrix, part_pairs, sides
+from colloquy.operators.blocks import blocks, codes, deal, matrix, part_pairs, sides, tiled
 from colloquy.operators.joins import join_small
 from colloquy.session import checkpoint_dir, ship_package, stored
 
 MAX_K = 10
+ROWS, COLUMNS = 256, 1024  # of a block of distances; one stays in a core's cache
 MAX_ROUNDS = 10_000  # rounds grow with the points; an assignment that still changes then is an error
 
 
@@ -90,10 +91,17 @@ def _nearest(X: np.ndarray, C: np.ndarray, length: np.ndarray | None = None) ->
     """
     length = (X * X).sum(axis=1) if length is None else length
     own = (C * C).sum(axis=1)
-    d2 = length[:, None] + own - 2.0 * (X @ C.T)
-    near, least = d2.argmin(axis=1), d2.min(axis=1)
-    close = least + 2e-9 * (1.0 + np.abs(least)) + 1e-12 * (length + own.max())
-    unsure = np.flatnonzero((d2 <= close[:, None]).sum(axis=1) > 1)
+    d2 = C @ X.T  # a row per centre: what follows runs along the points
+    d2 *= -2.0
+    d2 += length
+    d2 += own[:, None]
+    least = d2.min(axis=0)
+    close = d2 <= least + 2e-9 * (1.0 + np.abs(least)) + 1e-12 * (length + own.max())
+    n = close.sum(axis=0, dtype=np.int32)
+    near = (np.arange(len(C), dtype=np.float64) @ close.astype(np.float64)).astype(np.int64)
+    lost = np.flatnonzero(n == 0)
+    near[lost] = d2[:, lost].argmin(axis=0)
+    unsure = np.flatnonzero(n > 1)
     if len(unsure):
         d2 = np.stack([((X[unsure] - c) ** 2).sum(axis=1) for c in C], axis=1)
         least = d2.min(axis=1, keepdims=True)
@@ -105,53 +113,62 @@ def _points(row) -> np.ndarray:
     return np.asarray(row["_vecs"], dtype=np.float64).reshape(len(row["_ids"]), -1)
 
 
-def _by_k(row):
-    """(k, cluster numbers, points, centres) for every k of a block of points."""
-    X = _points(row)
+def _centres(row):
+    """(k, cluster numbers, centres) for every k of a row."""
     C = np.asarray(row["_centers"], dtype=np.float64).reshape(len(row["_k"]), -1)
     ks, clusters = np.asarray(row["_k"]), np.asarray(row["_cluster"])
     for k in np.unique(ks):
-        yield int(k), clusters[ks == k], X, C[ks == k]
+        yield int(k), clusters[ks == k], C[ks == k]
 
 
-def _partial_means(centres: dict):
-    """Count, xor of id hashes and mean of a block's points by (group number, k, cluster)."""
+def _as_bytes(frames):
+    """Vectors and hashes of blocks as bytes, which go to Python without a look at each number."""
+    for frame in frames:
+        yield pd.DataFrame({"_group": frame["_group"], "_vecs": [np.asarray(x, dtype=np.float64).tobytes() for x in frame["_vecs"]],
+                            "_hashes": [np.asarray(x, dtype=np.int64).tobytes() for x in frame["_hashes"]]})
+
+
+def _partial_sums(centres: dict):
+    """Counts, xors of id hashes and sums of the clusters by (group number, k), of all blocks of a task together."""
     def fn(frames):
+        totals: dict = {}
         for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
-                X, hashes, group = _points(row), np.asarray(row["_hashes"]), int(row["_group"])
+            for group, vecs, hashes in zip(frame["_group"], frame["_vecs"], frame["_hashes"]):
+                hashes = np.frombuffer(hashes, dtype=np.int64)
+                X = np.frombuffer(vecs).reshape(len(hashes), -1)
                 length = (X * X).sum(axis=1)
-                for k, C in centres[group].items():
+                for k, C in centres[int(group)].items():
                     near = _nearest(X, C, length)
-                    for j in np.unique(near):
-                        mine = near == j
-                        out.append((group, k, int(j), int(mine.sum()), int(np.bitwise_xor.reduce(hashes[mine])), X[mine].mean(axis=0)))
-            yield pd.DataFrame(out, columns=["_group", "k", "_j", "_n", "_h", "_m"])
+                    none = np.zeros(len(C), dtype=np.int64)
+                    n, h, m = totals.setdefault((int(group), k), (none, none.copy(), np.zeros_like(C)))
+                    n += np.bincount(near, minlength=len(C))
+                    m += (np.arange(len(C))[:, None] == near).astype(np.float64) @ X
+                    np.bitwise_xor.at(h, near, hashes)
+        yield pd.DataFrame([(*key, *(x.tobytes() for x in found)) for key, found in totals.items()], columns=["_group", "k", "_n", "_h", "_m"])
     return fn
 
 
 def _settled(max_rounds: int):
-    """Rounds to the end for one k of a group of a few blocks; gives its last centres."""
+    """Rounds to the end for some k of a group of a few blocks; gives their last centres."""
     def fn(rows: pd.DataFrame) -> pd.DataFrame:
         X = np.vstack([_points(row) for row in rows[["_ids", "_vecs"]].to_dict("records")])
         length = (X * X).sum(axis=1)
-        one = rows.iloc[0]
-        clusters = np.asarray(one["_cluster"])
-        C = np.array(one["_centers"], dtype=np.float64).reshape(len(clusters), -1)
-        before = None
-        for _ in range(max_rounds):
-            near = _nearest(X, C, length)
-            if before is not None and (near == before).all():
-                break
-            member = (near[:, None] == np.arange(len(C))).astype(np.float64)
-            n = member.sum(axis=0)
-            C[n > 0] = (member.T @ X)[n > 0] / n[n > 0, None]
-            before = near
-        else:
-            raise RuntimeError(f"no stable assignment after {max_rounds} rounds")
-        keys = [c for c in rows.columns if not c.startswith("_") and c != "k"]
-        return pd.DataFrame({**{c: [one[c]] * len(C) for c in keys}, "k": one["k"], "cluster": clusters, "center": list(C)})
+        one, out = rows.iloc[0], []
+        keys = [c for c in rows.columns if not c.startswith("_")]
+        for k, clusters, C in _centres(one):
+            before = None
+            for _ in range(max_rounds):
+                near = _nearest(X, C, length)
+                if before is not None and (near == before).all():
+                    break
+                n = np.bincount(near, minlength=len(C))
+                member = (np.arange(len(C))[:, None] == near).astype(np.float64)
+                C[n > 0] = (member @ X)[n > 0] / n[n > 0, None]
+                before = near
+            else:
+                raise RuntimeError(f"no stable assignment after {max_rounds} rounds")
+            out.append(pd.DataFrame({**{c: [one[c]] * len(C) for c in keys}, "k": k, "cluster": clusters, "center": list(C)}))
+        return pd.concat(out)
     return fn
 
 
@@ -159,43 +176,64 @@ def _assignments(keys: list[str]):
     def fn(frames):
         for frame in frames:
             for row in frame.to_dict("records"):
-                for k, clusters, X, C in _by_k(row):
+                X = _points(row)
+                for k, clusters, C in _centres(row):
                     yield pd.DataFrame({**{c: [row[c]] * len(X) for c in keys}, "k": k, "_id": list(row["_ids"]),
                                         "cluster": clusters[_nearest(X, C)]})
     return fn
 
 
+def _lists(values: pa.Array, n: int) -> pa.ListArray:
+    """Values as n lists of equal length."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(len(values) // max(n, 1))), values)
+
+
+def _labelled(keys: list[str]):
+    """The points of a block with their vectors and their clusters for every k."""
+    def fn(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                of = {c: batch[c][r].values for c in ("_ids", "_vecs", "_k", "_cluster", "_centers")}
+                n, X = len(of["_ids"]), of["_vecs"].to_numpy(zero_copy_only=False).reshape(len(of["_ids"]), -1)
+                found = [(k, clusters[_nearest(X, C)]) for k, clusters, C in _centres({c: of[c].to_numpy(zero_copy_only=False) for c in ("_k", "_cluster", "_centers")})]
+                ks, clusters = np.tile(np.array([k for k, _ in found], dtype=np.int32), n), np.stack([c for _, c in found], axis=1).reshape(-1)
+                labels = pa.StructArray.from_arrays([pa.array(ks), pa.array(clusters.astype(np.int32))], names=["k", "cluster"])
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(batch[c][r], n) for c in keys), of["_ids"], _lists(of["_vecs"], n), _lists(labels, n)],
+                                                 names=[*keys, "_id", "_v", "_labels"])
+    return fn
+
+
 def lloyd(points: DataFrame, seeds: DataFrame, group_cols: list[str], id_col: str, vec_col: str = "vec",
-          block: int = 2_000, max_rounds: int = MAX_ROUNDS, whole: int = 65_536) -> tuple[DataFrame, DataFrame]:
+          block: int = 2_000, max_rounds: int = MAX_ROUNDS, whole: int = 65_536, by_point: bool = False) -> tuple[DataFrame, DataFrame]:
     """Lloyd's rounds for every (group, k) of ``seeds`` at once, until no assignment changes.
 
     ``seeds`` holds (group..., k, cluster, center). The points are packed once,
     one copy for all k, into checkpointed rows of about ``block`` points of a
-    group. Groups of ``whole`` points at most run all rounds of a k in one call. Of
-    larger ones a round is one job over the rows, kept where they are: each gives the mean,
+    group. Groups of ``whole`` points at most run all rounds in one call for some k; a group is copied
+    to no more calls than give every core work. Of
+    larger ones a round is one job over the rows, kept where they are: each task gives the sum,
     count and xor of id hashes per (k, cluster), which are merged to a row per centre; the centres (a few per
     ``whole`` points) go back with the next round. A (group, k) whose counts and
     xors are those of the round before has the same assignment, and is left
     out of further rounds. Distances within 1e-9 tie: the lowest cluster wins.
     A cluster that lost its members keeps its centre; null vectors take no part.
     An assignment that still changes after ``max_rounds`` is an error.
-    Returns (group..., k, id, cluster) and the centres (group..., k, cluster, center).
+    Returns (group..., k, id, cluster) and the centres (group..., k, cluster, center); ``by_point``, a row
+    per point instead, (group..., id, vec, _labels) with an array of (k, cluster).
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
     spark = points.sparkSession
     ship_package(spark)
     checkpoint_dir(spark)
     pts = points.where(F.col(vec_col).isNotNull()).select(
         *group_cols, F.col(id_col).alias("_id"), as_double_array(vec_col).alias("_v"))
     n = F.count(F.lit(1))
-    sizes = pts.groupBy(*group_cols).agg(F.ceil(n / F.lit(block)).cast("int").alias("_blocks"), (n > whole).alias("_long"))
-    pts = join_small(pts, sizes, on=group_cols).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")))
+    sizes = pts.groupBy(*group_cols).agg(F.ceil(n / F.lit(block)).cast("int").alias("_blocks"), (n > whole).alias("_long")).persist()
+    pts = join_small(pts, sizes, on=group_cols, small_rows=sizes.count()).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")))
     rows = pts.groupBy(*group_cols, "_long", "_block").agg(F.collect_list(F.struct("_id", "_v")).alias("_p"))
     rows = rows.select(*group_cols, "_long", F.col("_p._id").alias("_ids"), F.flatten(F.col("_p._v")).alias("_vecs"),
                        F.transform("_p", lambda x: F.xxhash64(x["_id"])).alias("_hashes"))
-    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism).checkpoint(eager=True)  # work for every core, however few bytes
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    rows = rows.repartition(tasks).checkpoint(eager=True)  # work for every core, however few bytes
 
     clustering = [*group_cols, "k"]
     schema = _schema(points, group_cols)
@@ -208,13 +246,16 @@ def lloyd(points: DataFrame, seeds: DataFrame, group_cols: list[str], id_col: st
         return some.select(*keys, *(F.col(f"_c.{c}").alias(f"_{c}") for c in (*first, "cluster")),
                            F.flatten(F.col("_c.center")).alias("_centers"))
 
-    by_k = packed(seeds, clustering).persist()
-    runs = by_k.count()
-    short = join_small(rows.where("NOT _long").select(*group_cols, "_ids", "_vecs"), by_k, on=group_cols, small_rows=runs)
-    short = short.repartition(max(1, min(1_000, 2 * runs)), *clustering).groupBy(*clustering).applyInPandas(
+    short = sizes.where("NOT _long")
+    total = short.agg(F.sum("_blocks")).first()[0] or 1
+    calls = short.select(*group_cols, F.ceil(F.col("_blocks") * F.lit(tasks) / F.lit(total)).cast("int").alias("_calls"))
+    several = packed(seeds.join(calls, on=group_cols).withColumn("_call", F.pmod("k", "_calls")), [*group_cols, "_call"], "k").persist()
+    runs = several.count()
+    short = join_small(rows.where("NOT _long").select(*group_cols, "_ids", "_vecs"), several, on=group_cols, small_rows=runs)
+    short = short.repartition(max(1, min(1_000, 2 * runs)), *group_cols, "_call").groupBy(*group_cols, "_call").applyInPandas(
         _settled(max_rounds), f"{schema}, k int, cluster int, center array<double>")
     centres = stored(short.select(*clustering, "cluster", "center"), "centres")
-    by_k.unpersist()
+    several.unpersist()
 
     groups = stored(rows.where("_long").select(*group_cols).distinct().withColumn("_group", F.monotonically_increasing_id()), "long-groups")
     state: dict = {}  # group number -> k -> centres
@@ -223,20 +264,24 @@ def lloyd(points: DataFrame, seeds: DataFrame, group_cols: list[str], id_col: st
     numbers = {(g, k): [c for c, _ in x] for g, ks in state.items() for k, x in ks.items()}
     state = {g: {k: np.stack([c for _, c in x]) for k, x in ks.items()} for g, ks in state.items()}
     active, before, done = set(numbers), {}, 0
-    far = rows.where("_long").join(groups, on=group_cols).select("_group", "_ids", "_vecs", "_hashes").persist()
+    # few tasks have rows of a group, so what they give is a few rows per group and task
+    far = rows.where("_long").join(groups, on=group_cols).select("_group", "_vecs", "_hashes")
+    far = far.repartitionByRange(tasks // 4, "_group", F.element_at("_hashes", 1))
+    far = far.mapInPandas(_as_bytes, "_group long, _vecs binary, _hashes binary").persist()
     while active:
         if done == max_rounds:
             raise RuntimeError(f"no stable assignment after {max_rounds} rounds")
         now = {g: {k: C for k, C in ks.items() if (g, k) in active} for g, ks in state.items()}
         partial = far.where(F.col("_group").isin([g for g, ks in now.items() if ks])).mapInPandas(
-            _partial_means(now), "_group long, k int, _j int, _n long, _h long, _m array<double>")
-        new = partial.groupBy("_group", "k", "_j").agg(
-            F.sum("_n").alias("_n"), F.bit_xor("_h").alias("_h"),
-            Summarizer.mean(array_to_vector("_m"), F.col("_n").cast("double")).alias("_m"))
+            _partial_sums(now), "_group long, k int, _n binary, _h binary, _m binary")
         seen: dict = {}
-        for r in new.withColumn("_m", vector_to_array("_m")).collect():  # a row per centre
-            state[r["_group"]][r["k"]][r["_j"]] = r["_m"]
-            seen.setdefault((r["_group"], r["k"]), set()).add((r["_j"], r["_n"], r["_h"]))
+        for r in partial.collect():
+            x = (r["_group"], r["k"])
+            found = [np.frombuffer(r["_n"], dtype=np.int64), np.frombuffer(r["_h"], dtype=np.int64), np.frombuffer(r["_m"]).reshape(state[x[0]][x[1]].shape)]
+            seen[x] = [seen[x][0] + found[0], seen[x][1] ^ found[1], seen[x][2] + found[2]] if x in seen else found
+        for (g, k), (n, _, m) in seen.items():
+            state[g][k][n > 0] = m[n > 0] / n[n > 0, None]
+        seen = {x: (n.tobytes(), h.tobytes()) for x, (n, h, _) in seen.items()}
         active = {x for x in active if seen[x] != before.get(x)}
         before, done = seen, done + 1
     far.unpersist()
@@ -247,6 +292,10 @@ def lloyd(points: DataFrame, seeds: DataFrame, group_cols: list[str], id_col: st
     every = packed(centres, group_cols, "k").persist()
     joined = join_small(rows, every, on=group_cols, small_rows=every.count())
     ids = points.schema[id_col].dataType.simpleString()
+    if by_point:
+        joined = joined.select(*group_cols, "_ids", "_vecs", "_k", "_cluster", "_centers")
+        assigned = joined.mapInArrow(_labelled(group_cols), f"{schema}, _id {ids}, _v array<double>, _labels array<struct<k int, cluster int>>")
+        return assigned.withColumnsRenamed({"_id": id_col, "_v": vec_col}), centres
     assigned = joined.mapInPandas(_assignments(group_cols), f"{schema}, k int, _id {ids}, cluster int")
     return assigned.withColumnRenamed("_id", id_col), centres
 
@@ -294,8 +343,14 @@ def _sil(a, b, own_size):
 
 
 def silhouette_samples_cosine(df: DataFrame, group_cols: list[str], id_col: str, vec_col: str,
-                              cluster_col: str = "cluster") -> DataFrame:
-    """Per-point cosine silhouette; linear in the number of points."""
+                              cluster_col: str = "cluster", labels_col: str | None = None) -> DataFrame:
+    """Per-point cosine silhouette; linear in the number of points.
+
+    With ``labels_col``, an array of (k, cluster) per point, it is that of each of these clusterings
+    within the groups: (groups..., k, id, cluster, s).
+    """
+    if labels_col is not None:
+        return _cosine_of_labellings(df, group_cols, id_col, vec_col, labels_col)
     unit = df.select(*group_cols, id_col, cluster_col, normalize(vec_col).alias("_u"))
     sums_long = V.explode_dims(unit, [*group_cols, cluster_col], "_u").groupBy(*group_cols, cluster_col, "dim") \
         .agg(F.sum("x").alias("s"))
@@ -325,17 +380,120 @@ def silhouette_samples_cosine(df: DataFrame, group_cols: list[str], id_col: str,
                       .otherwise(_sil(F.col("a"), F.col("b"), F.col("_own"))).alias("s"))
 
 
+def _units_of(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
+    """Unit vectors of a block's points, and the point and value of each of their (k, cluster); points of no cluster count for none."""
+    X = batch["_vecs"][r].values.to_numpy(zero_copy_only=False).reshape(len(batch["_ids"][r].values), -1)
+    length = np.sqrt((X * X).sum(axis=1))
+    at, entries = _entries(batch["_all"][r].values)
+    return X / np.where(length == 0, 1.0, length)[:, None], at, entries
+
+
+def _numbered(*entries: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (k, cluster), one after the other: codes of k, codes of the cluster (-1 for none) and of both."""
+    k, c = (codes(pa.concat_arrays([x.field(i) for x in entries])) for i in (0, 1))
+    return k, c, np.unique(k * (c.max(initial=0) + 2) + c + 1, return_inverse=True)[1]
+
+
+def _unit_sums(keys: list[str], names: list[str]):
+    def fn(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                U, at, entries = _units_of(batch, r)
+                _, c, column = _numbered(entries)
+                order = np.argsort(column, kind="stable")
+                order = order[c[order] >= 0]
+                if not len(order):
+                    continue
+                starts = np.flatnonzero(np.diff(column[order], prepend=-1))
+                sums = np.add.reduceat(U[at[order]], starts, axis=0)
+                some, size = entries.take(pa.array(order[starts])), np.diff([*starts, len(order)])
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(batch[x][r], len(starts)) for x in keys), some.field(0), some.field(1),
+                                                  pa.array(size.astype(np.int64)), _lists(pa.array(sums.reshape(-1)), len(starts))], names=names)
+    return fn
+
+
+def _cosine_of_block(keys: list[str], names: list[str]):
+    def fn(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                U, at, entries = _units_of(batch, r)
+                sums, m = batch["_clusters"][r].values, len(entries)
+                S = sums.field(3).flatten().to_numpy(zero_copy_only=False).reshape(len(sums), -1)
+                size = sums.field(2).to_numpy(zero_copy_only=False).astype(np.float64)
+                k, c, column = _numbered(entries, pa.StructArray.from_arrays([sums.field(0), sums.field(1)], names=["k", "c"]))
+                s, none = np.zeros(m), np.ones(m, dtype=bool)
+                for one in np.unique(k[:m]):
+                    mine, cols = np.flatnonzero((k[:m] == one) & (c[:m] >= 0)), np.flatnonzero(k[m:] == one)
+                    if len(cols) < 2 or not len(mine):
+                        continue
+                    units = U[at[mine]]
+                    dots, n = units @ S[cols].T, size[cols]
+                    own = column[m + cols][None, :] == column[mine][:, None]
+                    mates = np.where(own, n - 1, 0.0).sum(axis=1)
+                    near = np.where(own, dots, 0.0).sum(axis=1) - (units * units).sum(axis=1)
+                    a = np.where(mates > 0, (mates - near) / np.maximum(mates, 1.0), 0.0)
+                    b = np.where(own, np.inf, (n - dots) / n).min(axis=1)
+                    most = np.maximum(a, b)
+                    s[mine] = np.where((mates < 1) | (most == 0), 0.0, (b - a) / np.where(most == 0, 1.0, most))
+                    none[mine] = False
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(batch[x][r], m) for x in keys), entries.field(0), batch["_ids"][r].values.take(pa.array(at)),
+                                                  entries.field(1), pa.array(s, mask=none)], names=names)
+    return fn
+
+
+def _cosine_of_labellings(df: DataFrame, group_cols: list[str], id_col: str, vec_col: str, labels_col: str, block: int = 2_000) -> DataFrame:
+    """Cosine silhouettes of several clusterings of the same points, which are packed once in blocks of a group.
+
+    A block gives its sums of unit vectors per (k, cluster); those of the group come back to its blocks.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    ship_package(df.sparkSession)
+    pts = df.where(F.col(vec_col).isNotNull()).select(
+        *group_cols, F.col(id_col).alias("_id"), as_double_array(vec_col).alias("_v"), F.col(labels_col).alias("_labels"))
+    schema, inner = _schema(pts, group_cols), pts.schema["_labels"].dataType.elementType
+    k_name, k_type, c_name, c_type = (x for f in inner.fields for x in (f.name, f.dataType.simpleString()))
+    sizes = pts.groupBy(*group_cols).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_blocks"))
+    pts = join_small(pts, sizes, on=group_cols).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")))
+    rows = pts.groupBy(*group_cols, "_block").agg(F.collect_list(F.struct("_id", "_v", "_labels")).alias("_p"))
+    rows = stored(rows.select(*group_cols, F.col("_p._id").alias("_ids"), F.flatten(F.col("_p._v")).alias("_vecs"),
+                              F.col("_p._labels").alias("_all")), "blocks")
+    sums = rows.mapInArrow(_unit_sums(group_cols, [*group_cols, "_k", "_c", "_n", "_S"]),
+                           f"{schema}, _k {k_type}, _c {c_type}, _n long, _S array<double>")
+    sums = sums.groupBy(*group_cols, "_k", "_c").agg(F.sum("_n").alias("_n"), Summarizer.sum(array_to_vector("_S")).alias("_S"))
+    every = sums.groupBy(*group_cols).agg(F.collect_list(F.struct("_k", "_c", "_n", vector_to_array("_S").alias("_S"))).alias("_clusters"))
+    return join_small(rows, every, on=group_cols).select(*group_cols, "_ids", "_vecs", "_all", "_clusters").mapInArrow(
+        _cosine_of_block(group_cols, [*group_cols, k_name, id_col, c_name, "s"]),
+        f"{schema}, `{k_name}` {k_type}, `{id_col}` {df.schema[id_col].dataType.simpleString()}, `{c_name}` {c_type}, s double")
+
+
 def _entries(labels) -> tuple[np.ndarray, pa.StructArray]:
     """Row number of each (k, cluster) in a column of lists, and all of them one after the other."""
-    lists = labels.combine_chunks()
+    lists = labels.combine_chunks() if isinstance(labels, pa.ChunkedArray) else labels
     return np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy()), lists.flatten()
 
 
+def _squares(n: int):
+    """Slices of rows and columns that hold every unordered pair of n points once; those of a pair of equal slices hold both orders."""
+    for i, to in tiled(n, ROWS):
+        yield slice(i, to), slice(i, to)
+        for j, end in tiled(n - to, COLUMNS):
+            yield slice(i, to), slice(to + j, to + end)
+
+
+def _kinds(weights: np.ndarray) -> np.ndarray:
+    """A number for each different row, by a hash that is compared with the rows."""
+    mix = np.random.default_rng(0).integers(1, np.iinfo(np.int64).max, weights.shape[1])
+    _, first, kind = np.unique(weights.astype(np.int64) @ mix, return_index=True, return_inverse=True)
+    return kind if (weights == weights[first[kind]]).all() else np.unique(weights, axis=0, return_inverse=True)[1].reshape(-1)
+
+
 class _Side:
     """The points of a part with the weights that their clusters give them.
 
-    Points of equal clusters stand together in ``X``, so distances to them are
-    summed by runs; where there are more kinds of points than clusters, by the weights of the points.
+    Points of equal clusters stand together, so distances to them are summed by runs before they are
+    weighted; where the runs are short, each is weighted.
     """
 
     def __init__(self, points: pa.Table):
@@ -347,33 +505,33 @@ class _Side:
         weights = np.zeros((len(points), len(first)))
         np.add.at(weights, (at[named], column), 1.0)
         self.counts = weights.sum(axis=0)
-        kinds, self.kind = np.unique(weights, axis=0, return_inverse=True) if len(first) else (weights[:1], np.zeros(len(points), int))
-        self.kind = self.kind.reshape(-1)
-        self.runs = len(kinds) <= len(first)
-        self.fold = kinds if self.runs else None
-        self.order = np.argsort(self.kind, kind="stable") if self.runs else np.arange(len(points))
-        self.kind, self.weights = self.kind[self.order], weights[self.order]
+        kind = _kinds(weights)
+        self.order = np.argsort(kind, kind="stable")
+        self.kind, self.weights = kind[self.order], weights[self.order]
         self.X = matrix(points["_v"])[self.order]
         self.tile = points["_tile"].to_numpy()
-        one, length = np.ones((len(points), 1)), (self.X * self.X).sum(axis=1)[:, None]
-        self.left, self.right = np.hstack([-2.0 * self.X, length, one]), np.hstack([self.X, one, length]).T.copy()
 
-    def blank(self, n: int) -> np.ndarray:
-        return np.zeros((n, len(self.fold) if self.runs else self.weights.shape[1]))
+    def factor(self, left: bool) -> np.ndarray:
+        """One of the two matrices whose product holds the squared distances."""
+        one, length = np.ones((len(self.X), 1)), (self.X * self.X).sum(axis=1)[:, None]
+        return np.hstack([-2.0 * self.X, length, one]) if left else np.hstack([self.X, one, length]).T.copy()
 
     def add(self, to: np.ndarray, D: np.ndarray, at: slice, turned: bool = False) -> None:
-        """Add to ``to`` what distances to the points ``at`` come to; they are the rows of D if ``turned``."""
-        if not self.runs:
-            to += (D.T if turned else D) @ self.weights[at]
-            return
-        kind = self.kind[at]
-        starts = np.flatnonzero(np.diff(kind, prepend=-1))
-        sums = np.add.reduceat(D, starts, axis=0).T if turned else np.add.reduceat(D, starts, axis=1)
-        to[:, kind[starts]] += sums
-
-    def by_cluster(self, sums: np.ndarray, other: "_Side") -> np.ndarray:
-        """Sums over another side's points, a column per cluster, in the order in which the points came."""
-        sums = sums @ other.fold if other.runs else sums
+        """Add to ``to`` what distances to the points ``at`` come to, by cluster; they are the rows of D if ``turned``."""
+        starts = np.flatnonzero(np.diff(self.kind[at], prepend=-1))
+        weights = self.weights[at]
+        if 4 * len(starts) > len(weights):
+            to += (D.T if turned else D) @ weights
+        elif turned:
+            sums = np.empty((len(starts), D.shape[1]))
+            for r, (one, end) in enumerate(zip(starts, [*starts[1:], len(D)])):
+                np.add.reduce(D[one:end], axis=0, out=sums[r])
+            to += sums.T @ weights[starts]
+        else:
+            to += np.add.reduceat(D, starts, axis=1) @ weights[starts]
+
+    def as_given(self, sums: np.ndarray) -> np.ndarray:
+        """Rows of the sorted points in the order in which the points came."""
         out = np.empty_like(sums)
         out[self.order] = sums
         return out
@@ -398,20 +556,23 @@ def _pair_sums(keys: list[str]):
         if both:
             left, right = both[0], both[-1]
             same = left is right
-            of_left, of_right = right.blank(len(left.X)), left.blank(len(right.X))
-            for i, j in blocks(len(left.X), len(right.X)):
-                D = left.left[i] @ right.right[:, j]
+            rows, columns = left.factor(True), right.factor(False)
+            of_left = np.zeros((len(rows), right.weights.shape[1]))
+            of_right = of_left if same else np.zeros((columns.shape[1], left.weights.shape[1]))
+            room = np.empty(ROWS * COLUMNS)
+            for i, j in _squares(len(rows)) if same else blocks(len(rows), columns.shape[1], ROWS, COLUMNS):
+                shape = (i.stop - i.start, j.stop - j.start)
+                D = np.matmul(rows[i], columns[:, j], out=room[:shape[0] * shape[1]].reshape(shape))
                 np.maximum(D, 0.0, out=D)
                 np.sqrt(D, out=D)
-                if same:
-                    own = np.arange(max(i.start, j.start), min(i.stop, j.stop))
-                    D[own - i.start, own - j.start] = 0.0
+                if same and i == j:
+                    np.fill_diagonal(D, 0.0)
                 else:
                     left.add(of_right[j], D, i, turned=True)
                 right.add(of_left[i], D, j)
-            out = messages(key, left, right, left.by_cluster(of_left, right))
+            out = messages(key, left, right, left.as_given(of_left))
             if not same:
-                out += messages(key, right, left, right.by_cluster(of_right, left))
+                out += messages(key, right, left, right.as_given(of_right))
         if out:
             return pa.concat_tables(out)
         kind = table["_labels"].type.value_type
@@ -477,7 +638,7 @@ def silhouettes_of_labellings(df: DataFrame, group_cols: list[str], id_col: str,
     pts = stored(pts.withColumn("_row", F.monotonically_increasing_id()), "points")
     inner = pts.schema["_labels"].dataType.elementType
     k_name, k_type, c_name, c_type = *(x for f in inner.fields for x in (f.name, f.dataType.simpleString())),
-    dealt, pairs = deal(pts, group_cols, tile)
+    dealt, pairs = deal(pts, group_cols, tile, even=True)
     sums = part_pairs(dealt, pairs, group_cols).groupBy(*group_cols, "_a", "_b").applyInArrow(
         _pair_sums(group_cols), f"{_schema(pts, group_cols)}, _tile int, _k {k_type}, _c {c_type}, _cnt double, _sums array<double>")
     rows = dealt.select(*group_cols, "_tile", "_row", "_id", "_labels")
@@ -496,7 +657,12 @@ def silhouette_samples_euclid(df: DataFrame, group_cols: list[str], id_col: str,
 
 def silhouettes_of_sweep(assigned: DataFrame, points: DataFrame, group_cols: list[str], id_col: str, vec_col: str,
                          tile: int = 1024) -> DataFrame:
-    """(groups..., k, id, cluster, s) for the clusterings (groups..., k, id, cluster) of ``points`` (id, vec)."""
+    """(groups..., k, id, cluster, s) for the clusterings (groups..., k, id, cluster) of ``points`` (id, vec).
+
+    Those that ``lloyd`` gave by point, with ``_labels``, hold the points already.
+    """
+    if "_labels" in assigned.columns:
+        return silhouettes_of_labellings(assigned, group_cols, id_col, vec_col, "_labels", tile)
     labels = assigned.groupBy(*group_cols, id_col).agg(F.collect_list(F.struct("k", "cluster")).alias("_labels"))
     both = labels.join(points.select(id_col, vec_col), on=id_col)
     return silhouettes_of_labellings(both, group_cols, id_col, vec_col, "_labels", tile)
@@ -510,7 +676,7 @@ def silhouette(samples: DataFrame, group_cols: list[str]) -> DataFrame:
 def count_above_mean(samples: DataFrame, means: DataFrame, group_cols: list[str],
                      mean_col: str = "silhouette") -> DataFrame:
     """Per group: how many per-point scores exceed the group's mean score, and the share."""
-    j = samples.join(means, on=group_cols)
+    j = join_small(samples, means, on=group_cols)
     return j.groupBy(*group_cols).agg(
         F.sum(F.when(F.col("s") > F.col(mean_col), 1).otherwise(0)).alias("n_above"),
         F.count(F.lit(1)).alias("n"),

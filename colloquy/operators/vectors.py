@@ -16,10 +16,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.functions.text import spaced_tokens
 from colloquy.functions.text import tokens as tokens_col
 from colloquy.functions.vectors import as_double_array, sq_dist
 from colloquy.operators.joins import join_small
@@ -191,10 +193,21 @@ def _unit_counts(buckets: pa.ListArray, dim: int, rows: int = 256) -> pa.ListArr
     return pa.ListArray.from_arrays(pa.array(np.arange(len(buckets) + 1, dtype=np.int32) * dim), pa.array(out.reshape(-1)))
 
 
+def _buckets(texts: pa.Array, dim: int) -> pa.ListArray:
+    """``token_buckets`` of texts whose tokens are parted by blanks; a token is hashed once for all texts."""
+    lists = pc.split_pattern(texts, " ")
+    words = lists.values.dictionary_encode()
+    number = np.array([int.from_bytes(hashlib.md5(w).digest()[:4], "big") % dim if w else -1
+                       for w in words.dictionary.cast(pa.binary()).to_pylist()], dtype=np.int32)
+    flat = number[words.indices.to_numpy()]
+    before = np.concatenate([[0], np.cumsum(flat >= 0)])  # texts may begin or end with a blank
+    return pa.ListArray.from_arrays(pa.array(before[lists.offsets.to_numpy()].astype(np.int32)), pa.array(flat[flat >= 0]))
+
+
 def _bincount_udf(dim: int):
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def bincount(buckets: pa.Array) -> pa.Array:
-        return _unit_counts(buckets, dim)
+    def bincount(texts: pa.Array) -> pa.Array:
+        return _unit_counts(_buckets(texts, dim), dim)
 
     return bincount
 
@@ -202,12 +215,12 @@ def _bincount_udf(dim: int):
 def hash_embed(df: DataFrame, text_col: str, dim: int = 64, out: str = "vec") -> DataFrame:
     """L2-normalised hashed token counts per text (an embedder without weights).
 
-    Buckets are computed in the JVM; only the int arrays cross to Python,
-    where one vectorised ``bincount`` per Arrow batch builds the vectors.
+    The JVM parts the tokens, as ``tokens`` does; Python hashes every different token of an Arrow batch
+    once, as ``token_buckets`` does, and one vectorised ``bincount`` for some texts at a time builds the vectors.
     Explode the result with ``posexplode_outer``: the plain generator makes
     the optimizer add a size filter that re-runs the UDF.
     """
-    return df.withColumn(out, _bincount_udf(dim)(token_buckets(text_col, dim)))
+    return df.withColumn(out, _bincount_udf(dim)(spaced_tokens(text_col)))
 
 
 # ---------------------------------------------------------------------------
@@ -221,13 +234,33 @@ def sign_matrix(in_dim: int, out_dim: int) -> list[list[float]]:
              for i in range(in_dim)] for j in range(out_dim)]
 
 
+def _projected(vectors: pa.ListArray, R: np.ndarray, rows: int = 256) -> pa.ListArray:
+    """Products of R with vectors, summed in the order of the dimensions; nulls for a vector that lacks or exceeds any of them."""
+    out_dim, in_dim = R.shape
+    lengths, flat = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), vectors.flatten()
+    row = np.repeat(np.arange(len(vectors)), lengths)
+    bad = lengths != in_dim
+    bad[row[flat.is_null().to_numpy(zero_copy_only=False)]] = True
+    X = flat.filter(pa.array(~bad[row])).to_numpy(zero_copy_only=False).reshape(-1, in_dim)
+    made = np.zeros((len(X), out_dim))
+    for at in range(0, len(X), rows):
+        for i in range(in_dim):
+            made[at:at + rows] += X[at:at + rows, i, None] * R[:, i]
+    out = np.zeros((len(vectors), out_dim))
+    out[~bad] = made
+    values = pa.array(out.reshape(-1), mask=np.repeat(bad, out_dim))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * np.int32(out_dim)), values)
+
+
 def project(df: DataFrame, vec_col: str, in_dim: int, out_dim: int = 2, out: str = "proj") -> DataFrame:
-    """Linear random-sign projection, in-row (the matrix is a literal)."""
-    R = sign_matrix(in_dim, out_dim)
-    x = as_double_array(vec_col)
-    comps = [F.aggregate(F.zip_with(x, F.array(*[F.lit(v) for v in row]), lambda a, b: a * b),
-                         F.lit(0.0), lambda acc, v: acc + v) for row in R]
-    return df.withColumn(out, F.array(*comps))
+    """Linear random-sign projection (the matrix goes along with the function)."""
+    R = np.array(sign_matrix(in_dim, out_dim))
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def projected(vectors: pa.Array) -> pa.Array:
+        return _projected(vectors, R)
+
+    return df.withColumn(out, projected(as_double_array(vec_col)))
 
 
 def pca(df: DataFrame, vec_col: str, k: int = 2, out: str = "pca") -> DataFrame:

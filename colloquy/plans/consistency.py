@@ -18,7 +18,7 @@ from colloquy.operators import topic_fit as TF
 from colloquy.operators import topics as TP
 from colloquy.operators import vectors as V
 from colloquy.operators.joins import join_small
-from colloquy.session import checkpoint_dir, stored
+from colloquy.session import stored
 
 
 def most_frequent(df: DataFrame, group_cols: list[str], value_col: str, out: str = "main") -> DataFrame:
@@ -70,21 +70,20 @@ def answer_bag(qa: DataFrame, group_cols: list[str], question: str, answer: str,
 def with_mean_row(points: DataFrame, group_cols: list[str], id_col: str, vec_col: str) -> DataFrame:
     """Points plus each group's mean vector, flagged ``is_mean``; ``_row`` numbers all rows.
 
-    Checkpointed, so the numbers stay; they stand in for ids, which the mean rows lack.
+    Stored, so the numbers stay; they stand in for ids, which the mean rows lack. The points are
+    stored before, so their vectors are made once for themselves and their means.
     """
-    checkpoint_dir(points.sparkSession)
-    u = V.append_mean_row(points, group_cols, id_col, vec_col)
-    return u.withColumn("_row", F.monotonically_increasing_id()).checkpoint(eager=True)
+    u = V.append_mean_row(stored(points, "points"), group_cols, id_col, vec_col)
+    return stored(u.withColumn("_row", F.monotonically_increasing_id()), "points-and-means")
 
 
 def _sweep(pts: DataFrame, group_cols: list[str], id_col: str) -> DataFrame:
-    """Every candidate k of every group; seeds are the first own vectors by id."""
+    """Every candidate k of every group, by point: (group..., _row, vec, _labels); seeds are the first own vectors by id."""
     ks = C.k_candidates(pts, group_cols).drop("n")
     firsts = C.first_distinct(pts.where(~F.col("is_mean")), group_cols, id_col, "vec")
     seeds = firsts.join(ks, on=group_cols).where(F.col("rank") < F.col("k")).select(
         *group_cols, "k", F.col("rank").cast("int").alias("cluster"), "center")
-    assigned, _ = C.lloyd(pts, seeds, group_cols, "_row", "vec")
-    return assigned.join(pts.select("_row", "vec"), on="_row")
+    return C.lloyd(pts, seeds, group_cols, "_row", "vec", by_point=True)[0]
 
 
 def answer_count_per_group(docs: DataFrame, group_cols: list[str], id_col: str, text_col: str,
@@ -98,10 +97,10 @@ def answer_count_per_group(docs: DataFrame, group_cols: list[str], id_col: str,
     emb = V.hash_embed(docs.select(*group_cols, id_col, text_col), text_col, dim, "vec").drop(text_col)
     emb = V.project(emb, "vec", dim, reduced, "vec")  # linear: the mean row may be added before or after
     pts = with_mean_row(emb, group_cols, id_col, "vec")
-    j = _sweep(pts, group_cols, id_col).persist()
+    j = _sweep(pts, group_cols, id_col)
     keys = [*group_cols, "k"]
     se = C.silhouettes_of_sweep(j, pts, group_cols, "_row", "vec", tile=512)
-    mc = C.silhouette(C.silhouette_samples_cosine(j, keys, "_row", "vec", "cluster"), keys)
+    mc = C.silhouette(C.silhouette_samples_cosine(j, group_cols, "_row", "vec", labels_col="_labels"), keys)
     cnt = C.count_above_mean(se, mc, keys)
     best = C.best_k_by_count(cnt, group_cols)
     groups = docs.select(*group_cols).distinct()
